@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import decontaminate, ledger, media, packing, quality, tokens
+from gaugeworks.llm import decontaminate, jaccard, ledger, media, packing, quality, tokens
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_jaccard_join": jaccard.op1,
         "op2_benchmark_decontamination": decontaminate.op2,
         "op3_packing": packing.op3,
         "op4_quality_classifier": quality.op4,
