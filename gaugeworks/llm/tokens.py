@@ -6,6 +6,7 @@ known keys come from the cache; each distinct miss is encoded once and appended.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,29 +16,17 @@ from pyspark.sql import functions as F
 from gaugeworks.llm.common import slices, stored, table, vocabulary
 
 CACHE = "digest string, n_tokens long"
-#: Longer texts are encoded in pieces, cut at ASCII white space.
-PIECE_BYTES = 200_000
-
-
-def _pieces(raw: bytes) -> list[str]:
-    """A UTF-8 text in pieces that end before ASCII white space, so no word is cut."""
-    out, at = [], 0
-    while len(raw) - at > PIECE_BYTES:
-        end = at + PIECE_BYTES
-        while end < len(raw) and raw[end] not in b" \t\n\v\f\r":
-            end += 1
-        out.append(raw[at:end].decode())
-        at = end
-    out.append(raw[at:].decode())
-    return out
+#: Most distinct words whose counts a worker keeps at a time, for vocabularies that split at white space.
+WORDS_KEPT = 300_000
 
 
 def counter(name: str):
     """A function from texts to their numbers of tokens, without added special tokens.
 
-    name: of a vocabulary file, .json (tokenizers) or .model (sentencepiece). Files of the first
-    kind whose normaliser turns white space to one blank and drops it before merging count long
-    texts in pieces; others see each text whole.
+    name: of a vocabulary file, .json (tokenizers) or .model (sentencepiece). The word vocabulary
+    drops white space and never merges across it, so there a text's count is the sum of its words' counts;
+    each word between ASCII white space is encoded once while a worker keeps it. A-Z become
+    a-z first, as its normaliser does, unless the text may hold a special string.
     """
     path = vocabulary(name)
     if path.endswith(".model"):
@@ -45,25 +34,49 @@ def counter(name: str):
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda texts: [len(model.encode(t)) for t in texts]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
     model.no_truncation()
     model.no_padding()
-    splits = "word" in name
 
-    def count(texts: list[str]) -> list[int]:
-        parts = [_pieces(t.encode()) if splits else [t] for t in texts]
-        flat = [p for ps in parts for p in ps]
+    def encode(texts: list[str]) -> list[int]:
         sizes: list[int] = []
-        for a, b in slices(map(len, flat), 300_000):
-            sizes += [len(e.ids) for e in model.encode_batch_fast(flat[a:b], add_special_tokens=False)]
-        it = iter(sizes)
-        return [sum(next(it) for _ in ps) for ps in parts]
+        for a, b in slices(map(len, texts), 300_000):
+            sizes += [len(e.ids) for e in model.encode_batch_fast(texts[a:b], add_special_tokens=False)]
+        return sizes
+
+    if "word" not in name:
+        return encode
+    kept: dict[bytes, int] = {}
+
+    def count(texts: list[str]) -> list[int]:
+        out: list[int] = []
+        for a, b in slices(map(len, texts), 500_000):
+            raws = [t.encode() for t in texts[a:b]]
+            split = [(r if b"<|" in r else r.lower()).split() for r in raws]
+            new = [w for w in set().union(*split) if w not in kept]
+            if len(kept) + len(new) > WORDS_KEPT:
+                kept.clear()
+                new = list(set().union(*split))
+            kept.update(zip(new, encode([w.decode() for w in new])))
+            out += [sum(map(kept.__getitem__, words)) for words in split]
+        return out
 
     return count
 
 
+_COUNTERS: dict = {}
+
+
+def shared_counter(name: str):
+    """One counter for each worker process, however many tasks it runs."""
+    if name not in _COUNTERS:
+        _COUNTERS[name] = counter(name)
+    return _COUNTERS[name]
+
+
 def normalised(text: Column, name: str) -> Column:
     """The content that decides the count: null is empty; where the tokenizer drops white space
     (the word vocabulary), runs of ASCII white space count as one blank."""
@@ -73,10 +86,11 @@ def normalised(text: Column, name: str) -> Column:
 
 def _encode(misses: DataFrame, name: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = None
+        count = shared_counter(name)
         for batch in batches:
-            count = count or counter(name)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count(batch.column(1).to_pylist()), pa.int64())], ["digest", "n_tokens"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count(part.column(1).to_pylist()), pa.int64())], ["digest", "n_tokens"])
 
     return misses.select("digest", "content_").mapInArrow(run, CACHE)
 
