@@ -1,15 +1,16 @@
 """N-gram Jaccard join: a size-aware heavy-light join over sets of word shingles.
 
-Texts with equal sets are one class. Classes are linked in two ways, and a boundary between small
-and large sets, chosen by cost, says which:
+Texts with equal sets are one class. A class takes part only if enough of its smallest elements are
+among another's smallest, as those of similar sets must be; most texts end there. The others are
+linked in two ways, and a boundary between small and large sets, chosen by cost, says which:
 
 * Two small sets. To be similar, sets of sizes a and b must share c(a, b) elements, so they share a
   subset of that size. Each small set lists its subsets for every size it can be paired with;
   sets that list the same one are similar.
 * A pair with a large set. Each set stands in the inverted lists of its first elements in one
-  global order: so many that two similar sets share one of them. Elements that stand in many
-  lists (heavy) come last in that order. Lists are scanned, filtered by size and position, and what
-  is left is compared as whole sets.
+  global order: so many that two similar sets share one of them. Elements of one set alone come
+  first in that order (and need no list), heavy ones, of many sets, last. Lists are scanned,
+  filtered by size and position, and what is left is compared as whole sets.
 
 A list isn't scanned for all its pairs. A pivot is compared with the others; the classes that turn out
 connected need no comparison among themselves, and only pairs across components remain. The
@@ -33,12 +34,15 @@ from gaugeworks.llm.components import components
 
 #: Sets up to this size keep all elements beside their first ones, and may count as small.
 SMALL_MOST = 40
+#: Bits of the filters that tell elements of two sets or more: 32 an element, within these bounds. A full filter
+#: lets more through; it never loses an element.
+FILTER_BITS = (1 << 16, 1 << 30)
 #: An element counts as heavy from so many lists on; doubled until at most HEAVY_MOST are.
 HEAVY_LEAST, HEAVY_MOST = 16, 500_000
 #: Most rows of ids or elements that are broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
-#: Remaining pairs are listed at once when they are at most so many times the rows of the lists.
-WORK = 4
+#: The rest of the pairs is compared at once when it is at most so many times the rows of the lists, or so many.
+WORK, WORK_LEAST = 4, 200_000_000
 
 
 def _first(n: int, num: int, den: int) -> int:
@@ -46,6 +50,22 @@ def _first(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
+def _smallest(n: int, num: int, den: int) -> int:
+    """How many smallest elements tell whether a set of n can be similar to another."""
+    return min(n, _first(n, num, den) * 5 // 4 + 4)
+
+
+def _common(n: int, num: int, den: int) -> int:
+    """How many of its smallest elements a set of n shares at least with those of any similar set.
+
+    Of the smallest elements of either set at most _first - 1 lie outside the other. Take the set whose
+    smallest ones end first: the rest of these are among the other's smallest. The bound grows
+    with the size, so the least partner sets it.
+    """
+    t = max(1, -(-num * n // den))
+    return _smallest(t, num, den) - _first(t, num, den) + 1
+
+
 def _needed(a: int, b: int, num: int, den: int) -> int:
     """Least number of shared elements of similar sets of sizes a and b."""
     return -(-num * (a + b) // (num + den))
@@ -82,7 +102,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def _profiles(docs: DataFrame, id: str, text: str, shingle: int, num: int, den: int, whole: bool) -> DataFrame:
-    """id_, n, d1, d2 and some: the set (whole), or its smallest elements and a few more than must be listed."""
+    """id_, n, d1, d2 and some: the set (whole, or small), or its smallest elements."""
     kind = docs.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,36 +115,68 @@ def _profiles(docs: DataFrame, id: str, text: str, shingle: int, num: int, den:
                     one, two = _digest(s)
                     d1.append(one)
                     d2.append(two)
-                    some.append(s if whole or len(s) <= SMALL_MOST else s[: _first(len(s), num, den) * 5 // 4 + 4])
+                    some.append(s if whole or len(s) <= SMALL_MOST else s[: _smallest(len(s), num, den)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), _lists(some)], ["id_", "n", "d1", "d2", "some"])
 
     return docs.select(docs[id].alias("id_"), docs[text].cast("string").alias("text_")).mapInArrow(run, f"id_ {kind}, n int, d1 long, d2 long, some array<long>")
 
 
-def _ordered(classes: DataFrame, heavy: np.ndarray, num: int, den: int, whole: bool) -> DataFrame:
-    """cid, n, first (the elements to list, light ones before heavy ones, each by value), lacking.
+class _Filter:
+    """A filter of fixed size over elements: says yes for all it was made of and few others."""
+
+    def __init__(self, elements: DataFrame, count: int):
+        least, most = FILTER_BITS
+        self.bits = min(most, max(least, 1 << (32 * max(count, 1) - 1).bit_length()))
+        self.words = np.zeros(self.bits // 64, np.uint64)
+        mask = self.bits - 1
+        bit = F.explode(F.array(F.expr(f"e & {mask}L"), F.expr(f"shiftrightunsigned(e, 27) & {mask}L")))
+        words = elements.select(bit.alias("b")).groupBy(F.expr("shiftright(b, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("v"))
+        got = words.toArrow()  # at most FILTER_BITS / 64 rows
+        self.words[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
+
+    def holds(self, e: np.ndarray) -> np.ndarray:
+        u, mask, out = e.view(np.uint64), np.uint64(self.bits - 1), True
+        for b in (u & mask, (u >> np.uint64(27)) & mask):
+            out = out & ((self.words[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1)).astype(bool)
+        return out
 
-    lacking: ``some`` holds too few light elements to tell the first ones.
-    """
-    shared = classes.sparkSession.sparkContext.broadcast(heavy)
+
+def _candidates(classes: DataFrame, shared: _Filter, num: int, den: int) -> DataFrame:
+    """cid of the classes that can be similar to another, as far as their smallest elements tell."""
+    told = classes.sparkSession.sparkContext.broadcast(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            firsts, lacking = [], []
-            sizes = batch.column(1).to_numpy()
-            column = batch.column(2)
+            column, keep = batch.column(2), []
             values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
-            is_heavy = np.isin(values, shared.value, assume_unique=False) if len(shared.value) else np.zeros(len(values), bool)
-            for i, n in enumerate(sizes):
-                s, h = values[offsets[i] : offsets[i + 1]], is_heavy[offsets[i] : offsets[i + 1]]
-                p = _first(int(n), num, den)
-                light = s[~h]
-                short = len(light) < p and len(s) < n
-                firsts.append(s[:0] if short else np.concatenate((light, s[h]))[:p])
-                lacking.append(short)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(firsts), pa.array(lacking)], ["cid", "n", "first", "lacking"])
+            known = np.concatenate(([0], np.cumsum(told.value.holds(values))))
+            for i, n in enumerate(batch.column(1).to_pylist()):
+                end = min(offsets[i + 1], offsets[i] + _smallest(n, num, den))
+                keep.append(known[end] - known[offsets[i]] >= _common(n, num, den))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], ["cid"])
+
+    return classes.select("cid", "n", "some").mapInArrow(run, "cid long")
 
-    return classes.select("cid", "n", "some").mapInArrow(run, "cid long, n int, first array<long>, lacking boolean")
+
+def _firsts(sets: DataFrame, shared: _Filter, heavy: np.ndarray, num: int, den: int) -> DataFrame:
+    """cid, n, first: the elements to list. Order: not shared, shared, heavy; each by value. alone: how many come first that nobody shares."""
+    told = sets.sparkSession.sparkContext.broadcast((shared, heavy))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, firsts, alone = batch.column(2), [], []
+            values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+            kind = told.value[0].holds(values).astype(np.int8)
+            kind[np.isin(values, told.value[1])] = 2
+            for i, n in enumerate(batch.column(1).to_pylist()):
+                s, k = values[offsets[i] : offsets[i + 1]], kind[offsets[i] : offsets[i + 1]]
+                p = _first(n, num, den)
+                own = int((k == 0).sum())
+                alone.append(min(own, p))
+                firsts.append(np.concatenate((s[k == 1], s[k == 2]))[: max(0, p - own)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(firsts), pa.array(alone, pa.int32())], ["cid", "n", "first", "alone"])
+
+    return sets.select("cid", "n", "some").mapInArrow(run, "cid long, n int, first array<long>, alone int")
 
 
 def _subsets(classes: DataFrame, most: int, num: int, den: int) -> DataFrame:
@@ -165,22 +217,25 @@ class _Join:
 
     def __init__(self, docs: DataFrame, id: str, text: str, shingle: int, num: int, den: int):
         self.docs, self.id, self.text, self.shingle, self.num, self.den = docs, id, text, shingle, num, den
-        profiles = stored(_profiles(docs, id, text, shingle, num, den, whole=False), "jaccard-profiles")
-        self.rows = profiles.select("id_", "n", "d1", "d2")
-        grouped = profiles.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("id_").alias("least_id"), F.first("some").alias("some"))
+        profiles = lambda: _profiles(docs, id, text, shingle, num, den, whole=False)
+        # The texts are read twice rather than their smallest elements kept for every copy.
+        self.rows = stored(profiles().select("id_", "n", "d1", "d2"), "jaccard-profiles")
+        grouped = profiles().filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("id_").alias("least_id"), F.first("some").alias("some"))
         self.classes = stored(grouped.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
         self.needed = lambda a, b: f"(({num} * ({a} + {b}) + {num + den - 1}) div {num + den})"
 
-    def heavy(self) -> tuple[DataFrame, np.ndarray]:
-        """Elements that stand in two lists or more, and the heavy ones among them."""
-        counts = self.classes.select(F.explode("some").alias("e")).groupBy("e").agg(F.count("*").alias("df"))
-        shared = stored(counts.filter("df > 1"), "jaccard-shared")
+    def shared(self, sets: DataFrame) -> tuple[DataFrame, int]:
+        """Elements of two sets or more, stored, with the number of sets; and how many they are."""
+        counts = sets.select(F.explode("some").alias("e")).groupBy("e").agg(F.count("*").alias("df"))
+        out = stored(counts.filter("df > 1"), "jaccard-shared")
+        return out, out.count()
+
+    def heavy(self, shared: DataFrame) -> np.ndarray:
         steps = [HEAVY_LEAST << i for i in range(40)]
         many = shared.agg(*(F.count_if(F.col("df") >= x).alias(f"c{x}") for x in steps)).first()
         least = next(x for x, k in zip(steps, many) if k <= HEAVY_MOST)
         # At most HEAVY_MOST elements by the choice of ``least``.
-        taken = shared.filter(F.col("df") >= least).select("e").toArrow()
-        return shared, np.sort(taken.column(0).to_numpy())
+        return np.sort(shared.filter(F.col("df") >= least).select("e").toArrow().column(0).to_numpy())
 
     def whole(self, wanted: DataFrame) -> DataFrame:
         """cid, n, some: the whole sets of the wanted classes, from one text of each."""
@@ -191,14 +246,14 @@ class _Join:
         sets = _profiles(texts, self.id, self.text, self.shingle, self.num, self.den, whole=True)
         return sets.join(_bounded(wanted.select("cid", "n", "d1", "d2"), count), ["n", "d1", "d2"]).dropDuplicates(["cid"]).select("cid", "n", "some")
 
-    def lists(self) -> tuple[DataFrame, DataFrame]:
-        """first: cid, n, first; and lists: e, cid, n, pos of the elements that two classes list."""
-        shared, heavy = self.heavy()
-        told = stored(_ordered(self.classes, heavy, self.num, self.den, False), "jaccard-first")
-        rest = stored(_ordered(self.whole(told.filter("lacking").select("cid")), heavy, self.num, self.den, True), "jaccard-first")
-        first = told.filter("not lacking").unionByName(rest).select("cid", "n", "first")
-        entries = first.select("cid", "n", F.posexplode("first").alias("pos", "e"))
-        return first, stored(entries.join(_bounded(shared.select("e"), shared.count()), "e", "left_semi"), "jaccard-lists")
+    def lists(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """sets: cid, n, some (whole) of the candidates; first: cid, n, first, alone; and lists: e, cid, n, pos."""
+        near = _candidates(self.classes, _Filter(*self.shared(self.classes)), self.num, self.den)
+        sets = stored(self.whole(near), "jaccard-sets")
+        shared, count = self.shared(sets)
+        first = stored(_firsts(sets, _Filter(shared, count), self.heavy(shared), self.num, self.den), "jaccard-first")
+        entries = first.select("cid", "n", "alone", F.posexplode("first").alias("at", "e")).select("e", "cid", "n", (F.col("at") + F.col("alone")).alias("pos"))
+        return sets, first, stored(entries, "jaccard-lists")
 
     def boundary(self, lists: DataFrame) -> int:
         """The size up to which sets are small: the one with the least cost of subsets and scans."""
@@ -225,25 +280,25 @@ class _Join:
         met = l.withColumnRenamed("e", "e_").join(r, F.expr(f"e_ = e and {fits} and {also}"))
         return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
-    def verified(self, pairs: DataFrame, first: DataFrame) -> DataFrame:
+    def verified(self, pairs: DataFrame, sets: DataFrame, first: DataFrame) -> DataFrame:
         """The pairs that are similar: filtered by their listed elements, then compared as whole sets."""
-        side = lambda df, name, key: df.select(F.col("cid").alias(key), F.col("n").alias(f"n_{key}"), F.col(name).alias(f"s_{key}"))
-        near = pairs.join(side(first, "first", "u"), "u").join(side(first, "first", "v"), "v")
+        short = lambda key: first.select(F.col("cid").alias(key), F.col("n").alias(f"n_{key}"), F.col("first").alias(f"s_{key}"), (F.size("first") + F.col("alone")).alias(f"k_{key}"))
+        full = lambda key: sets.select(F.col("cid").alias(key), F.col("n").alias(f"n_{key}"), F.col("some").alias(f"s_{key}"))
+        near = pairs.join(short("u"), "u").join(short("v"), "v")
         # Beyond the listed elements of the one whose list ends first, at most the rest of it is shared.
-        bound = f"size(array_intersect(s_u, s_v)) + greatest(n_u - size(s_u), n_v - size(s_v)) >= {self.needed('n_u', 'n_v')}"
+        bound = f"size(array_intersect(s_u, s_v)) + greatest(n_u - k_u, n_v - k_v) >= {self.needed('n_u', 'n_v')}"
         kept = stored(near.filter(bound).select("u", "v"), "jaccard-pairs")
-        sets = stored(self.whole(kept.select(F.col("u").alias("cid")).unionByName(kept.select(F.col("v").alias("cid")))), "jaccard-sets")
-        met = kept.join(side(sets, "some", "v"), "v").join(side(sets, "some", "u"), "u").withColumn("both", F.size(F.array_intersect("s_u", "s_v")))
+        met = kept.join(full("v"), "v").join(full("u"), "u").withColumn("both", F.size(F.array_intersect("s_u", "s_v")))
         return stored(met.filter(f"{self.den}L * both >= {self.num}L * (n_u + n_v - both)").select("u", "v"), "jaccard-links")
 
     def links(self) -> DataFrame:
         """Links between classes that have the same components as all links."""
-        first, lists = self.lists()
+        sets, first, lists = self.lists()
         most = self.boundary(lists)
         found = stored(self.small_links(most), "jaccard-links")
         pivots = lists.groupBy("e").agg(F.min(F.struct("pos", F.xxhash64("cid").alias("h"), "cid", "n")).alias("p"), F.count("*").alias("k")).filter("k > 1").select("e", "p.cid", "p.n", "p.pos")
         pivots = stored(pivots, "jaccard-pivots")
-        found = found.unionByName(self.verified(self.pairs(pivots, lists, most, "true"), first))
+        found = found.unionByName(self.verified(self.pairs(pivots, lists, most, "true"), sets, first))
         left = lists.join(pivots.select("e", "cid"), ["e", "cid"], "left_anti")
         size, turn = lists.count(), 0
         while True:
@@ -258,14 +313,15 @@ class _Join:
             if not work:
                 return found
             open_ = marked.join(odd, "e")
-            last = work <= WORK * size
-            each = max(1, WORK * size // max(lengths, 1))
+            limit = max(WORK * size, WORK_LEAST)
+            last = work <= limit
+            each = max(1, limit // max(lengths, 1))
             chance = F.lit(True) if last else F.pmod(F.xxhash64("cid", F.lit(turn)), F.col("s")) < each
             # A list's strays are compared with all others of it; not last: about ``each`` of them now, the rest later.
             strays = open_.filter(F.col("comp") != F.col("main")).filter(chance)
             strays = stored(strays, "jaccard-strays")
             now = self.pairs(strays.select("e", "cid", "n", "pos", "comp"), open_.select("e", "cid", "n", "pos", "comp"), most, "l_comp <> r_comp")
-            found = found.unionByName(self.verified(now, first))
+            found = found.unionByName(self.verified(now, sets, first))
             if last:
                 return found
             left = open_.select("e", "cid", "n", "pos").join(strays.select("e", "cid"), ["e", "cid"], "left_anti")
