@@ -87,3 +87,9 @@ def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def others(df: DataFrame, made: Iterable[str]) -> list[str]:
+    """The columns of ``df`` but those that an operator makes itself; names differ by more than case."""
+    own = {m.lower() for m in made}
+    return [c for c in df.columns if c.lower() not in own]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import stored, table
+from gaugeworks.llm.common import others, stored, table
 
 FINDINGS = "array<struct<at:long, rank:int, kind:string, start:long, end:long>>"
 LEDGER = f"blob string, rules string, findings {FINDINGS}"
@@ -32,6 +32,10 @@ BASE = ("assign", "access", "hex")
 RULES_VERSION = "2"
 
 
+#: Most findings that are broadcast to the paths; beyond it both sides are shuffled.
+BROADCAST_FINDINGS = 300_000
+
+
 def find_secrets(text: str) -> list[tuple[int, int, str, int, int]]:
     """(start, rank, kind, start, end) of every finding, by start, then kind."""
     found = []
@@ -50,7 +54,7 @@ def _scan(blobs: DataFrame) -> DataFrame:
             found = [[dict(zip(names, x)) for x in find_secrets(t.as_py() or "")] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["blob", "findings"])
 
-    return blobs.select("blob", "text_").mapInArrow(run, f"blob string, findings {FINDINGS}")
+    return blobs.select("blob", "__text").mapInArrow(run, f"blob string, findings {FINDINGS}")
 
 
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, text: str = "text", rules: str = RULES_VERSION) -> tuple[DataFrame, DataFrame]:
@@ -61,19 +65,17 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, text: st
     the text) and findings (empty where nothing was found); the second is stored in the shared
     folder and is to be appended to the ledger.
 
-    Null texts are empty blobs. Equal texts are one blob, repeated rows stay. Columns named blob
-    or findings in ``versions`` are an error. Whole texts are scanned.
+    Null texts are empty blobs. Equal texts are one blob, repeated rows stay. Columns of
+    ``versions`` named blob or findings give way. Whole texts are scanned.
     """
-    clash = {"blob", "findings", "text_"} & set(versions.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would be overwritten")
+    columns = others(versions, ("blob", "findings"))
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    blobs = versions.select(F.sha2(content, 256).alias("blob"), content.alias("text_"))
+    blobs = versions.select(F.sha2(content, 256).alias("blob"), content.alias("__text"))
     if ledger is not None:
         seen = ledger.filter(F.col("rules") == rules).select("blob").distinct()
         blobs = blobs.join(seen, "blob", "left_anti")
     # One text for each blob: copies meet in the partial aggregate before they are dealt out.
-    once = blobs.groupBy("blob").agg(F.first("text_").alias("text_"))
+    once = blobs.groupBy("blob").agg(F.first("__text").alias("__text"))
     added = stored(_scan(once).select("blob", F.lit(rules).alias("rules"), "findings"), "secret-ledger")
     known = added.select("blob", "findings")
     if ledger is not None:
@@ -81,8 +83,10 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, text: st
         known = known.unionByName(old)
     # Most blobs hold no secret; only the others meet their paths.
     hits = known.filter(F.size("findings") > 0)
-    joined = versions.withColumn("blob", F.sha2(content, 256)).join(hits, "blob", "left")
-    return joined.select(*versions.columns, "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings")), added
+    if hits.agg(F.coalesce(F.sum(F.size("findings")), F.lit(0))).first()[0] <= BROADCAST_FINDINGS:
+        hits = F.broadcast(hits)
+    joined = versions.select(*columns, F.sha2(content, 256).alias("blob")).join(hits, "blob", "left")
+    return joined.select(*columns, "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings")), added
 
 
 def redact(text: str = "text", findings: str = "findings", mask: str = "[SECRET]"):

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.llm.common import others, table
+
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 SIDE, LOW = 32, 8
 
@@ -161,14 +163,12 @@ def media_columns(docs: DataFrame, text: str = "text", width: int = 192, keep: l
 
     Returns the columns ``keep`` (all but the text, if not given) and n_bytes, media (binary: the
     PNG), payload (binary: read back from the PNG, padding included) and phash (binary, 8 bytes).
-    Null and empty texts are one row of spaces. Rows are handled one by one where they lie:
+    A column of ``docs`` with one of these names gives way. Null and empty texts are one row of spaces. Rows are handled one by one where they lie:
     nothing is shuffled, repeated rows give equal values, and the largest text bounds the memory.
     """
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
-    clash = {"n_bytes", "media", "payload", "phash", "text_"} & set(keep)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would be overwritten")
-    source = docs.select(*keep, docs[text].cast("string").alias("text_"))
+    made = ("n_bytes", "media", "payload", "phash")
+    keep = others(docs if keep is None else docs.select(*keep), (*made, "__text", *([text] if keep is None else [])))
+    source = docs.select(*keep, docs[text].cast("string").alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,8 +193,6 @@ def media_columns(docs: DataFrame, text: str = "text", width: int = 192, keep: l
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    from gaugeworks.llm.common import table
-
     made = media_columns(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return made.select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeworks.llm import wordhash
-from gaugeworks.llm.common import slices, small, stored, table, text_bytes
+from gaugeworks.llm.common import others, slices, small, stored, table, text_bytes
 
 BINS = 1 << 14
 #: Most labelled rows that the classifier is fitted on, and most bytes of features on the driver.
@@ -119,16 +119,16 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, targets: dict[str, Column]
     """
     wanted = labels.select(F.col(id).alias("id_"), *(c.cast("int").alias(f"t_{name}") for name, c in targets.items())).dropna()
     wanted = wanted.dropDuplicates(["id_"]).orderBy(F.xxhash64("id_"), "id_").limit(rows)
-    found = docs.select(docs[id].alias("id_"), docs[text].alias("text_")).join(F.broadcast(wanted), "id_")
-    got = found.select("text_", *(f"t_{name}" for name in targets)).toPandas()
-    return fit([t or "" for t in got["text_"]], got.drop(columns="text_").to_numpy())
+    found = docs.select(docs[id].alias("id_"), docs[text].alias("__text")).join(F.broadcast(wanted), "id_")
+    got = found.select("__text", *(f"t_{name}" for name in targets)).toPandas()
+    return fit([t or "" for t in got["__text"]], got.drop(columns="__text").to_numpy())
 
 
 def with_log_odds(docs: DataFrame, model: Classifier, names: list[str], text: str = "text", drop_text: bool = False) -> DataFrame:
     """``docs`` and the columns e_<name>: the classifier's log odds from the whole text."""
-    kept = [c for c in docs.columns if not (drop_text and c == text)]
+    kept = others(docs, [f"e_{n}" for n in names] + [text] * drop_text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*kept, docs[text].cast("string").alias("text_"))
+    source = docs.select(*kept, docs[text].cast("string").alias("__text"))
     schema = T.StructType([*source.schema.fields[:-1], *(T.StructField(f"e_{n}", T.DoubleType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,25 +149,27 @@ def _logit(p: Column) -> Column:
 
 
 def site_posteriors(evidence: DataFrame, host: str, path: str) -> DataFrame:
-    """host, path, host_posterior, path_posterior, global_share.
+    """host, path, host_posterior, path_posterior, __global_share.
 
-    evidence: rows with host_, path_ and good_ (a share from 0 to 1). Sums are pre-aggregated by
+    evidence: rows with __host, __path and __good (a share from 0 to 1). Sums are pre-aggregated by
     path. The prior of a level weighs as many documents as m = p (1 - p) / var - 1 says, where var is
     the spread of its shares beyond that of chance; from 2 to 10,000.
     """
-    paths = stored(evidence.groupBy("host_", "path_").agg(F.sum("good_").alias("k"), F.count("*").alias("n")), "quality-sites")
-    hosts = paths.groupBy("host_").agg(F.sum("k").alias("hk"), F.sum("n").alias("hn"))
-    weight = F.greatest(F.lit(2.0), F.least(F.lit(10_000.0), F.try_divide(F.col("p") * (1 - F.col("p")), F.col("var")) - 1))
-    whole = hosts.agg(F.sum("hk").alias("k"), F.sum("hn").alias("n")).select(((F.col("k") + 1) / (F.col("n") + 2)).alias("p"))
-    spread = lambda k, n, p: F.greatest(F.lit(1e-6), F.sum(F.col(n) * (F.col(k) / F.col(n) - p) ** 2 - p * (1 - p)) / F.sum(n)).alias("var")
-    top = hosts.crossJoin(F.broadcast(whole)).groupBy("p").agg(spread("hk", "hn", F.col("p"))).select("p", F.coalesce(weight, F.lit(2.0)).alias("m"))
-    ranked = hosts.crossJoin(F.broadcast(top)).select("host_", "p", ((F.col("hk") + F.col("m") * F.col("p")) / (F.col("hn") + F.col("m"))).alias("host_posterior"))
-    joined = paths.join(ranked.withColumnRenamed("host_", "h_"), F.expr("host_ <=> h_")).drop("h_")
-    below = joined.groupBy(F.col("p").alias("gp")).agg(spread("k", "n", F.col("host_posterior"))).select(F.col("gp").alias("p"), "var")
-    below = below.select(F.coalesce(weight, F.lit(2.0)).alias("pm"))
-    return joined.crossJoin(F.broadcast(below)).select(
-        "host_", "path_", "host_posterior", ((F.col("k") + F.col("pm") * F.col("host_posterior")) / (F.col("n") + F.col("pm"))).alias("path_posterior"), F.col("p").alias("global_share"), F.col("n").alias("site_rows")
-    )
+    paths = stored(evidence.groupBy("__host", "__path").agg(F.sum("__good").alias("k"), F.count("*").alias("n")), "quality-sites")
+    hosts = paths.groupBy("__host").agg(F.sum("k").alias("hk"), F.sum("n").alias("hn"))
+    good, rows = hosts.agg(F.coalesce(F.sum("hk"), F.lit(0.0)), F.coalesce(F.sum("hn"), F.lit(0))).first()
+    share = (good + 1) / (rows + 2)
+    spread = lambda k, n, p: F.sum(F.col(n) * (F.col(k) / F.col(n) - p) ** 2 - p * (1 - p)) / F.sum(n)
+    weight = _weight(share, hosts.agg(spread("hk", "hn", F.lit(share))).first()[0])
+    ranked = hosts.select(F.col("__host").alias("__h"), ((F.col("hk") + weight * share) / (F.col("hn") + weight)).alias("host_posterior"))
+    joined = paths.join(ranked, F.expr("__host <=> __h")).drop("__h")
+    weight = _weight(share, joined.agg(spread("k", "n", F.col("host_posterior"))).first()[0])
+    posterior = (F.col("k") + weight * F.col("host_posterior")) / (F.col("n") + weight)
+    return joined.select("__host", "__path", "host_posterior", posterior.alias("path_posterior"), F.lit(share).alias("__global_share"), F.col("n").alias("__site_rows"))
+
+
+def _weight(share: float, spread: float | None) -> float:
+    return 2.0 if spread is None else min(10_000.0, max(2.0, share * (1 - share) / max(spread, 1e-6) - 1))
 
 
 def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", id: str = "doc_id", text: str = "text", threshold: float = 0.5, toxic_threshold: float = 0.5, keep_text: bool = True) -> DataFrame:
@@ -175,30 +177,29 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
     labels: id, quality and toxic (0 or 1). accepted: p_good of at least ``threshold`` and p_toxic,
     from the document alone, below ``toxic_threshold``. Nulls: a null text counts as empty, a null
-    host or path as a site of its own, null labels are no labels. Without labels every document
+    host or path as a site of its own; columns of ``docs`` named like a new one give way; null labels are no labels. Without labels every document
     has even odds and is accepted. Repeated rows are scored each. The text isn't shuffled.
     """
-    made = {"e_good", "e_toxic", "host_posterior", "path_posterior", "p_good", "p_toxic", "accepted", "host_", "path_", "text_", "site_rows", "global_share", "salt_"}
-    if clash := made & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} would be overwritten")
+    made = ("e_good", "e_toxic", "host_posterior", "path_posterior", "p_good", "p_toxic", "accepted")
+    docs = docs.select(*others(docs, made))
     model = fit_on_labels(docs, labels, {"good": F.col("quality"), "toxic": F.col("toxic")}, id, text)
     names = ["good", "toxic"]
     one = with_log_odds(docs.select(*dict.fromkeys((id, host, path, text))), model, names, text, drop_text=True)
-    known = labels.filter(F.col(id).isNotNull()).groupBy(F.col(id).alias("id_")).agg(F.max("quality").alias("label_"))
+    known = labels.filter(F.col(id).isNotNull()).groupBy(F.col(id).alias("id_")).agg(F.max("quality").alias("__label"))
     told = one.join(known, one[id] == known["id_"], "left")
-    evidence = told.select(F.col(host).alias("host_"), F.col(path).alias("path_"), F.coalesce(F.col("label_").cast("double"), _share(F.col("e_good"))).alias("good_"))
+    evidence = told.select(F.col(host).alias("__host"), F.col(path).alias("__path"), F.coalesce(F.col("__label").cast("double"), _share(F.col("e_good"))).alias("__good"))
     sites = stored(site_posteriors(evidence, host, path), "quality-posteriors")
     scored = with_log_odds(docs, model, names, text, drop_text=not keep_text)
-    on = F.expr(f"`{host}` <=> host_ and `{path}` <=> path_")
+    on = F.expr(f"`{host}` <=> __host and `{path}` <=> __path")
     if sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES:
         met = scored.join(F.broadcast(sites), on, "left")
     else:
-        salted = sites.withColumn("salt_at", F.explode(F.when(F.col("site_rows") > 100_000, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-        hot = F.broadcast(small(sites.filter(F.col("site_rows") > 100_000).select(F.col("host_").alias("hot_h"), F.col("path_").alias("hot_p")), 10**6))
-        marked = scored.join(hot, F.expr(f"`{host}` <=> hot_h and `{path}` <=> hot_p"), "left")
-        salt = F.when(F.col("hot_p").isNotNull() | F.col("hot_h").isNotNull(), F.pmod(F.xxhash64(id), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-        met = marked.withColumn("salt_", salt).drop("hot_h", "hot_p").join(salted, on & F.expr("salt_ = salt_at"), "left").drop("salt_", "salt_at")
-    p_good = _share(F.col("e_good") + _logit(F.col("path_posterior")) - _logit(F.col("global_share")))
+        salted = sites.withColumn("__salt_at", F.explode(F.when(F.col("__site_rows") > 100_000, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+        hot = small(sites.filter(F.col("__site_rows") > 100_000).select(F.col("__host").alias("__hot_h"), F.col("__path").alias("__hot_p")), 10**6)
+        marked = scored.join(hot, F.expr(f"`{host}` <=> __hot_h and `{path}` <=> __hot_p"), "left")
+        salt = F.when(F.col("__hot_p").isNotNull() | F.col("__hot_h").isNotNull(), F.pmod(F.xxhash64(id), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+        met = marked.withColumn("__salt", salt).drop("__hot_h", "__hot_p").join(salted, on & F.expr("__salt = __salt_at"), "left").drop("__salt", "__salt_at")
+    p_good = _share(F.col("e_good") + _logit(F.col("path_posterior")) - _logit(F.col("__global_share")))
     out = met.withColumn("p_good", p_good).withColumn("p_toxic", _share(F.col("e_toxic")))
     out = out.withColumn("accepted", (F.col("p_good") >= threshold) & (F.col("p_toxic") < toxic_threshold))
     columns = [c for c in docs.columns if keep_text or c != text]
@@ -206,5 +207,5 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep_text=False)
+    scored = quality(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), table(spark, sf_dir, "labels"), keep_text=False)
     return scored.select("doc_id", F.round("e_good", 6).alias("doc_log_odds"), F.round("host_posterior", 6).alias("host_posterior"), F.round("path_posterior", 6).alias("path_posterior"), F.round("p_good", 6).alias("p_good"), F.round("p_toxic", 6).alias("p_toxic"), "accepted")

@@ -5,6 +5,12 @@ from __future__ import annotations
 from gaugeworks.llm import decontaminate, jaccard, ledger, media, packing, quality, tokens
 
 
+def pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_ngram_jaccard_join": jaccard.op1,
@@ -14,6 +20,7 @@ def queries() -> dict:
         "op6_token_counts": tokens.op6,
         "op7_secret_scans": ledger.op7,
         "op10_media_columns": media.op10,
+        "pipeline": pipeline,
     }
 
 

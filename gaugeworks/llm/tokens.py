@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import slices, stored, table, vocabulary
+from gaugeworks.llm.common import others, slices, stored, table, vocabulary
 
 CACHE = "digest string, n_tokens long"
 #: Most distinct words whose counts a worker keeps at a time, for vocabularies that split at white space.
@@ -92,7 +92,7 @@ def _encode(misses: DataFrame, name: str) -> DataFrame:
                 part = batch.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count(part.column(1).to_pylist()), pa.int64())], ["digest", "n_tokens"])
 
-    return misses.select("digest", "content_").mapInArrow(run, CACHE)
+    return misses.select("digest", "__content").mapInArrow(run, CACHE)
 
 
 def token_counts(docs: DataFrame, name: str, version: str = "1", cache: DataFrame | None = None, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -100,22 +100,20 @@ def token_counts(docs: DataFrame, name: str, version: str = "1", cache: DataFram
 
     cache: rows as CACHE from earlier calls, or None. The second frame is stored in the shared
     folder. Null texts count as empty; equal contents are encoded once and repeated rows stay.
-    Columns named digest or n_tokens in ``docs`` are an error. Whole texts are counted.
+    Columns of ``docs`` named digest or n_tokens give way. Whole texts are counted.
     """
-    clash = {"digest", "n_tokens", "content_"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would be overwritten")
+    columns = others(docs, ("digest", "n_tokens"))
     content = normalised(F.col(text), name)
     digest = F.sha2(F.concat_ws("\n", F.lit(name), F.lit(version), content), 256)
-    asked = docs.select(digest.alias("digest"), content.alias("content_"))
+    asked = docs.select(digest.alias("digest"), content.alias("__content"))
     if cache is not None:
         asked = asked.join(cache.select("digest").distinct(), "digest", "left_anti")
     # One content for each digest: copies meet in the partial aggregate before they are dealt out.
-    misses = asked.groupBy("digest").agg(F.first("content_").alias("content_"))
+    misses = asked.groupBy("digest").agg(F.first("__content").alias("__content"))
     added = stored(_encode(misses, name), "token-cache")
     known = added if cache is None else added.unionByName(cache.groupBy("digest").agg(F.first("n_tokens").alias("n_tokens")))
-    joined = docs.withColumn("digest", digest).join(known, "digest", "left")
-    return joined.select(*docs.columns, "digest", "n_tokens"), added
+    joined = docs.select(*columns, digest.alias("digest")).join(known, "digest", "left")
+    return joined.select(*columns, "digest", "n_tokens"), added
 
 
 def op6(spark: SparkSession, sf_dir: str, limit: int = 2048) -> DataFrame:
