@@ -1,7 +1,7 @@
 """Quality classifier: document evidence combined with hierarchical empirical Bayes site priors.
 
-1. A logistic regression over hashed words and a few shape features of the whole text, fitted on
-   a bounded sample of labelled rows.
+1. A logistic regression over the most telling hashed words and a few shape features of the whole
+   text, fitted on a bounded sample of labelled rows.
 2. Its evidence and all labels are summed by host and by path (host and one more level). The share
    of good documents of each host is shrunk toward the global share, that of each path toward
    its host's, by as much as the spread of the shares asks for (method of moments), so that
@@ -24,7 +24,9 @@ from pyspark.sql import types as T
 from gaugeworks.llm import wordhash
 from gaugeworks.llm.common import others, slices, small, stored, table, text_bytes
 
-BINS = 1 << 14
+BINS = 1 << 20
+#: Word bins that a target may weigh: those most unevenly spread over its classes, from this z score on.
+WORDS_USED, WORDS_Z = 256, 5.0
 #: Most labelled rows that the classifier is fitted on, and most bytes of features on the driver.
 SAMPLE_ROWS = 4_000
 #: Most sites whose posteriors are broadcast; beyond it documents meet them in a salted join.
@@ -54,7 +56,7 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[t
     for i, (end, k) in enumerate(zip(ends, n)):
         own = h[end - k : end]
         kinds, counts = np.unique(own, return_counts=True)
-        bins.append(((kinds & np.uint64(BINS - 1)).astype(np.int32), np.log1p(counts) / np.sqrt(max(len(kinds), 1))))
+        bins.append(((kinds & np.uint64(BINS - 1)).astype(np.int32), np.log1p(counts).astype(np.float32)))
         pairs = own[1:] * np.uint64(3) + own[:-1]
         shape[i] = (np.log1p(k) / 5, min(size[i] / max(k, 1), 30) / 10, len(kinds) / max(k, 1), upper[i] * 3, min(symbol[i] * 8, 3), min(digit[i] * 8, 3), 1 - len(np.unique(pairs)) / max(len(pairs), 1))
     return shape, bins
@@ -88,27 +90,35 @@ def fit(texts: list[str], targets: np.ndarray, steps: int = 300, decay: float =
     share = (targets.sum(0) + 1) / (n + 2) if n else np.full(k, 0.5)
     bias = np.log(share / (1 - share))
     if not n:
-        return Classifier(np.zeros((len(SHAPE), k)), np.zeros((BINS, k)), bias)
+        return Classifier(np.zeros((len(SHAPE), k)), np.zeros((BINS, k), np.float32), bias)
     data, offsets = text_bytes(pa.array(texts, pa.string()))
     shape, bins = _features(data, offsets)
     rows = np.repeat(np.arange(n), [len(a) for a, _ in bins])
     at, values = (np.concatenate([x[i] for x in bins]) for i in (0, 1))
-    fitted_shape, fitted_words = np.zeros((len(SHAPE), k)), np.zeros((BINS, k))
+    fitted_shape, fitted_words = np.zeros((len(SHAPE), k)), np.zeros((BINS, k), np.float32)
+    held = np.bincount(at, minlength=BINS)
     for j in range(k):
         y = targets[:, j].astype(float)
         if y.min() == y.max():
             continue
-        w_s, w_w, b = np.zeros(len(SHAPE)), np.zeros(BINS), bias[j]
-        m_s, m_w, m_b, v_s, v_w, v_b = np.zeros(len(SHAPE)), np.zeros(BINS), 0.0, np.zeros(len(SHAPE)), np.zeros(BINS), 0.0
+        p = y.mean()
+        z = np.abs(np.bincount(at, y[rows], BINS) - held * p) / np.sqrt(np.maximum(held, 1) * p * (1 - p))
+        used = np.argsort(-z, kind="stable")[:WORDS_USED]
+        used = used[z[used] >= WORDS_Z]
+        place = np.full(BINS, -1)
+        place[used] = np.arange(len(used))
+        own = place[at] >= 0
+        x = np.zeros((n, len(SHAPE) + len(used)))
+        x[:, : len(SHAPE)] = shape
+        np.add.at(x, (rows[own], len(SHAPE) + place[at[own]]), values[own])
+        w, b, m, v = np.zeros(x.shape[1]), bias[j], np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
         for t in range(1, steps + 1):
-            z = shape @ w_s + np.bincount(rows, values * w_w[at], n) + b
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-            g_s, g_w, g_b = shape.T @ g + decay * w_s, np.bincount(at, values * g[rows], BINS) + decay * w_w, g.sum()
-            m_s, m_w, m_b = (0.9 * m + 0.1 * x for m, x in ((m_s, g_s), (m_w, g_w), (m_b, g_b)))
-            v_s, v_w, v_b = (0.999 * v + 0.001 * x * x for v, x in ((v_s, g_s), (v_w, g_w), (v_b, g_b)))
-            rate, fix, root = 0.05, 1 - 0.9**t, 1 - 0.999**t
-            w_s, w_w, b = (w - rate * (m / fix) / (np.sqrt(v / root) + 1e-8) for w, m, v in ((w_s, m_s, v_s), (w_w, m_w, v_w), (b, m_b, v_b)))
-        fitted_shape[:, j], fitted_words[:, j], bias[j] = w_s, w_w, b
+            g = (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y) / n
+            grad = np.append(x.T @ g + decay * w, g.sum())
+            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+            step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            w, b = w - step[:-1], b - step[-1]
+        fitted_shape[:, j], fitted_words[used, j], bias[j] = w[: len(SHAPE)], w[len(SHAPE) :], b
     return Classifier(fitted_shape, fitted_words, bias)
 
 
