@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import decontaminate, jaccard, ledger, media, packing, quality, tokens
+from gaugeworks.llm import decontaminate, jaccard, ledger, licences, media, packing, quality, quotes, tokens, warc
 
 
 def pipeline(spark, sf_dir: str):
@@ -17,12 +17,15 @@ def queries() -> dict:
         "op2_benchmark_decontamination": decontaminate.op2,
         "op3_packing": packing.op3,
         "op4_quality_classifier": quality.op4,
+        "op5_warc_revisits": warc.op5,
         "op6_token_counts": tokens.op6,
         "op7_secret_scans": ledger.op7,
+        "op8_chat_formatting": quotes.op8,
+        "op9_license_scans": licences.op9,
         "op10_media_columns": media.op10,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc_revisits": warc.OP5_SQL, "op8_chat_formatting": quotes.OP8_SQL}
