@@ -50,12 +50,12 @@ def _first(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def _smallest(n: int, num: int, den: int) -> int:
+def _smallest(n: int, num: int, den: int, quarters: int) -> int:
     """How many smallest elements tell whether a set of n can be similar to another."""
-    return min(n, _first(n, num, den) * 5 // 4 + 4)
+    return min(n, _first(n, num, den) * quarters // 4 + 4)
 
 
-def _common(n: int, num: int, den: int) -> int:
+def _common(n: int, num: int, den: int, quarters: int) -> int:
     """How many of its smallest elements a set of n shares at least with those of any similar set.
 
     Of the smallest elements of either set at most _first - 1 lie outside the other. Take the set whose
@@ -63,7 +63,7 @@ def _common(n: int, num: int, den: int) -> int:
     with the size, so the least partner sets it.
     """
     t = max(1, -(-num * n // den))
-    return _smallest(t, num, den) - _first(t, num, den) + 1
+    return _smallest(t, num, den, quarters) - _first(t, num, den) + 1
 
 
 def _needed(a: int, b: int, num: int, den: int) -> int:
@@ -101,7 +101,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 
 
-def _profiles(docs: DataFrame, id: str, text: str, shingle: int, num: int, den: int, whole: bool) -> DataFrame:
+def _profiles(docs: DataFrame, id: str, text: str, shingle: int, num: int, den: int, quarters: int, whole: bool) -> DataFrame:
     """id_, n, d1, d2 and some: the set (whole, or small), or its smallest elements."""
     kind = docs.schema[id].dataType.simpleString()
 
@@ -115,7 +115,7 @@ def _profiles(docs: DataFrame, id: str, text: str, shingle: int, num: int, den:
                     one, two = _digest(s)
                     d1.append(one)
                     d2.append(two)
-                    some.append(s if whole or len(s) <= SMALL_MOST else s[: _smallest(len(s), num, den)])
+                    some.append(s if whole or len(s) <= SMALL_MOST else s[: _smallest(len(s), num, den, quarters)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), _lists(some)], ["id_", "n", "d1", "d2", "some"])
 
     return docs.select(docs[id].alias("id_"), docs[text].cast("string").alias("text_")).mapInArrow(run, f"id_ {kind}, n int, d1 long, d2 long, some array<long>")
@@ -141,7 +141,7 @@ class _Filter:
         return out
 
 
-def _candidates(classes: DataFrame, shared: _Filter, num: int, den: int) -> DataFrame:
+def _candidates(classes: DataFrame, shared: _Filter, num: int, den: int, quarters: int) -> DataFrame:
     """cid of the classes that can be similar to another, as far as their smallest elements tell."""
     told = classes.sparkSession.sparkContext.broadcast(shared)
 
@@ -151,8 +151,8 @@ def _candidates(classes: DataFrame, shared: _Filter, num: int, den: int) -> Data
             values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
             known = np.concatenate(([0], np.cumsum(told.value.holds(values))))
             for i, n in enumerate(batch.column(1).to_pylist()):
-                end = min(offsets[i + 1], offsets[i] + _smallest(n, num, den))
-                keep.append(known[end] - known[offsets[i]] >= _common(n, num, den))
+                end = min(offsets[i + 1], offsets[i] + _smallest(n, num, den, quarters))
+                keep.append(known[end] - known[offsets[i]] >= _common(n, num, den, quarters))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], ["cid"])
 
     return classes.select("cid", "n", "some").mapInArrow(run, "cid long")
@@ -215,9 +215,10 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
 class _Join:
     """One run of the join; the stored tables that its steps share."""
 
-    def __init__(self, docs: DataFrame, id: str, text: str, shingle: int, num: int, den: int):
+    def __init__(self, docs: DataFrame, id: str, text: str, shingle: int, num: int, den: int, quarters: int):
+        self.quarters = quarters
         self.docs, self.id, self.text, self.shingle, self.num, self.den = docs, id, text, shingle, num, den
-        profiles = lambda: _profiles(docs, id, text, shingle, num, den, whole=False)
+        profiles = lambda: _profiles(docs, id, text, shingle, num, den, quarters, whole=False)
         # The texts are read twice rather than their smallest elements kept for every copy.
         self.rows = stored(profiles().select("id_", "n", "d1", "d2"), "jaccard-profiles")
         grouped = profiles().filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("id_").alias("least_id"), F.first("some").alias("some"))
@@ -243,12 +244,12 @@ class _Join:
         count = wanted.count()
         ids = _bounded(wanted.select(F.col("least_id").alias("w_")).distinct(), count)
         texts = self.docs.select(self.id, self.text).join(ids, F.col(self.id).eqNullSafe(F.col("w_")), "left_semi")
-        sets = _profiles(texts, self.id, self.text, self.shingle, self.num, self.den, whole=True)
+        sets = _profiles(texts, self.id, self.text, self.shingle, self.num, self.den, self.quarters, whole=True)
         return sets.join(_bounded(wanted.select("cid", "n", "d1", "d2"), count), ["n", "d1", "d2"]).dropDuplicates(["cid"]).select("cid", "n", "some")
 
     def lists(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """sets: cid, n, some (whole) of the candidates; first: cid, n, first, alone; and lists: e, cid, n, pos."""
-        near = _candidates(self.classes, _Filter(*self.shared(self.classes)), self.num, self.den)
+        near = _candidates(self.classes, _Filter(*self.shared(self.classes)), self.num, self.den, self.quarters)
         sets = stored(self.whole(near), "jaccard-sets")
         shared, count = self.shared(sets)
         first = stored(_firsts(sets, _Filter(shared, count), self.heavy(shared), self.num, self.den), "jaccard-first")
@@ -327,18 +328,20 @@ class _Join:
             left = open_.select("e", "cid", "n", "pos").join(strays.select("e", "cid"), ["e", "cid"], "left_anti")
 
 
-def ngram_jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, num: int = 80, den: int = 100, quarters: int | None = None) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, class_id (the smallest id with an equal set) and
     component_id (the smallest id that links reach). Two texts are linked when
     den * shared shingles >= num * all shingles of both.
 
     A word is a run of bytes other than white space (20, 09-0D), A-Z as a-z. A text of fewer words is one
     shingle; null, empty or blank texts have none and link with nothing. Repeated rows fall into one
-    class and stay rows. A null id takes part; it is nobody's smallest id unless all are null.
+    class and stay rows. quarters: how many smallest elements decide who takes part, in quarters of those that must
+    be listed; more of them tell better, and short shingles, often shared by chance, ask for more (8 up to three words,
+    else 5). The result doesn't depend on it. A null id takes part; it is nobody's smallest id unless all are null.
     """
     if not 0 < num <= den:
         raise ValueError("0 < num <= den")
-    run = _Join(docs, id, text, shingle, num, den)
+    run = _Join(docs, id, text, shingle, num, den, quarters or (8 if shingle <= 3 else 5))
     groups = components(run.links())
     named = run.classes.select("cid", "n", "d1", "d2", "least_id").join(groups, F.col("cid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cid"))
     least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
