@@ -69,15 +69,14 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
 
 def slices(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows that add up to at most ``most`` each; a larger row stands alone."""
-    start = total = at = 0
-    for at, size in enumerate(sizes):
-        if total and total + size > most:
-            yield start, at
-            start, total = at, 0
-        total += size
-    sizes_seen = at + 1 if total or start or at else 0
-    if start < sizes_seen:
-        yield start, sizes_seen
+    start = total = end = 0
+    for size in sizes:
+        if end > start and total + size > most:
+            yield start, end
+            start, total = end, 0
+        total, end = total + size, end + 1
+    if end > start:
+        yield start, end
 
 
 def vocabulary(name: str) -> str:

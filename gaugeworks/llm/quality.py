@@ -72,29 +72,37 @@ class Classifier:
 
     def log_odds(self, texts: pa.Array) -> np.ndarray:
         """rows x targets; whole texts, null as empty."""
-        data, offsets = text_bytes(texts)
         out = []
-        for a, b in slices(np.diff(offsets), 2_000_000):
-            shape, bins = _features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        for shape, bins in _sliced(texts):
             words = np.array([values @ self.words[at] for at, values in bins])
             out.append(shape @ self.shape + words + self.bias)
         return np.concatenate(out) if out else np.zeros((0, len(self.bias)))
 
 
-def fit(texts: list[str], targets: np.ndarray, steps: int = 300, decay: float = 1e-4) -> Classifier:
+def _sliced(texts: pa.Array, most: int = 500_000) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
+    """_features of some texts at a time."""
+    data, offsets = text_bytes(texts)
+    for a, b in slices(np.diff(offsets), most):
+        yield _features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+
+
+def fit(texts: list[str], targets: np.ndarray) -> Classifier:
+    """Fits on texts at hand."""
+    got = [(s, a, v) for shape, bins in _sliced(pa.array(texts, pa.string())) for s, (a, v) in zip(shape, bins)]
+    shape = np.array([s for s, _, _ in got]).reshape(-1, len(SHAPE))
+    return fit_features(shape, np.array([len(a) for _, a, _ in got], np.int64), *(np.concatenate([np.zeros(0, kind), *(g[i] for g in got)]) for i, kind in ((1, np.int32), (2, np.float32))), targets)
+
+
+def fit_features(shape: np.ndarray, sizes: np.ndarray, at: np.ndarray, values: np.ndarray, targets: np.ndarray, steps: int = 300, decay: float = 1e-4) -> Classifier:
     """Logistic regression by gradient descent with momentum over all given rows, on the driver.
 
+    shape: a row for each text; sizes: how many entries of at (word bins) and values each text has.
     A target with one class only keeps its log share: no text then moves it.
     """
-    n, k = len(texts), targets.shape[1]
-    share = (targets.sum(0) + 1) / (n + 2) if n else np.full(k, 0.5)
+    n, k = targets.shape
+    share = (targets.sum(0) + 1) / (n + 2)
     bias = np.log(share / (1 - share))
-    if not n:
-        return Classifier(np.zeros((len(SHAPE), k)), np.zeros((BINS, k), np.float32), bias)
-    data, offsets = text_bytes(pa.array(texts, pa.string()))
-    shape, bins = _features(data, offsets)
-    rows = np.repeat(np.arange(n), [len(a) for a, _ in bins])
-    at, values = (np.concatenate([x[i] for x in bins]) for i in (0, 1))
+    rows = np.repeat(np.arange(n, dtype=np.int32), sizes)
     fitted_shape, fitted_words = np.zeros((len(SHAPE), k)), np.zeros((BINS, k), np.float32)
     held = np.bincount(at, minlength=BINS)
     for j in range(k):
@@ -107,7 +115,7 @@ def fit(texts: list[str], targets: np.ndarray, steps: int = 300, decay: float =
         used = used[z[used] >= WORDS_Z]
         place = np.full(BINS, -1)
         place[used] = np.arange(len(used))
-        own = place[at] >= 0
+        own = np.isin(at, used)
         x = np.zeros((n, len(SHAPE) + len(used)))
         x[:, : len(SHAPE)] = shape
         np.add.at(x, (rows[own], len(SHAPE) + place[at[own]]), values[own])
@@ -129,9 +137,24 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, targets: dict[str, Column]
     """
     wanted = labels.select(F.col(id).alias("id_"), *(c.cast("int").alias(f"t_{name}") for name, c in targets.items())).dropna()
     wanted = wanted.dropDuplicates(["id_"]).orderBy(F.xxhash64("id_"), "id_").limit(rows)
-    found = docs.select(docs[id].alias("id_"), docs[text].alias("__text")).join(F.broadcast(wanted), "id_")
-    got = found.select("__text", *(f"t_{name}" for name in targets)).toPandas()
-    return fit([t or "" for t in got["__text"]], got.drop(columns="__text").to_numpy())
+    found = docs.select(docs[id].alias("id_"), docs[text].cast("string").alias("__text")).join(F.broadcast(wanted), "id_")
+    marks = [f"t_{name}" for name in targets]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for shape, bins in _sliced(batch.column(len(marks))):
+                some = batch.slice(at, len(bins))
+                at += len(bins)
+                lists = [pa.array(list(shape), pa.list_(pa.float64())), pa.array([a for a, _ in bins], pa.list_(pa.int32())), pa.array([v for _, v in bins], pa.list_(pa.float32()))]
+                yield pa.RecordBatch.from_arrays([*some.columns[: len(marks)], *lists], [*marks, "shape", "at", "values"])
+
+    # Features are made where the texts lie; the driver gets those of at most ``rows`` texts.
+    told = found.select(*marks, "__text").mapInArrow(run, ", ".join([*(f"{m} int" for m in marks), "shape array<double>, at array<int>, values array<float>"])).toArrow().combine_chunks()
+    flat = lambda name: told[name].combine_chunks().flatten().to_numpy() if told.num_rows else np.zeros(0)
+    sizes = np.array([len(x) for x in told["at"]], np.int64)
+    y = np.column_stack([told[m].to_numpy() for m in marks]) if told.num_rows else np.zeros((0, len(marks)))
+    return fit_features(flat("shape").reshape(-1, len(SHAPE)), sizes, flat("at").astype(np.int32), flat("values"), y)
 
 
 def with_log_odds(docs: DataFrame, model: Classifier, names: list[str], text: str = "text", drop_text: bool = False) -> DataFrame:
