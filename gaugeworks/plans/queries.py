@@ -114,8 +114,8 @@ def _around(source: str) -> str:
 
 
 def _stray(source: str, jump: float, turn: str, percent: bool = False) -> str:
-    a, b = ("abs(meas - p) / abs(p) * 100", "abs(n - meas) / abs(meas) * 100") if percent else ("abs(meas - p)", "abs(n - meas)")
-    sound = "p IS NOT NULL AND NOT isnan(p) AND n IS NOT NULL AND NOT isnan(n) AND meas IS NOT NULL AND NOT isnan(meas)" + (" AND p <> 0 AND meas <> 0" if percent else "")
+    a, b = ("abs(meas - p) / abs(p) * 100", "abs(n - meas) / abs(p) * 100") if percent else ("abs(meas - p)", "abs(n - meas)")
+    sound = "p IS NOT NULL AND NOT isnan(p) AND n IS NOT NULL AND NOT isnan(n) AND meas IS NOT NULL AND NOT isnan(meas)" + (" AND p <> 0" if percent else "")
     return f"SELECT *, coalesce(CASE WHEN {sound} THEN (meas - p) * (n - meas) < 0 AND {turn} AND {a} > {jump} AND {b} > {jump} END, false) AS is_rejected FROM ({_around(source)})"
 
 
