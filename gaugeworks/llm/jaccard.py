@@ -36,7 +36,7 @@ from gaugeworks.llm.components import components
 SMALL_MOST = 40
 #: Bits of the filters that tell elements of two sets or more: 32 an element, within these bounds. A full filter
 #: lets more through; it never loses an element.
-FILTER_BITS = (1 << 16, 1 << 30)
+FILTER_BITS = (1 << 16, 1 << 28)
 #: An element counts as heavy from so many lists on; doubled until at most HEAVY_MOST are.
 HEAVY_LEAST, HEAVY_MOST = 16, 500_000
 #: Most rows of ids or elements that are broadcast; beyond it both sides are shuffled.

@@ -63,13 +63,16 @@ def link_quotes(messages: DataFrame, thread: str = "thread", order: str = "turn"
     parents = links.filter("level = 1").groupBy("t", "o").agg(F.max(F.struct("size", "passage", "original"))["original"].alias("parent"))
     # Depths by doubling: each round every message jumps as far again as it has come.
     now = stored(m.select("t", "o").join(parents, ["t", "o"], "left").select("t", "o", "parent", F.coalesce("parent", "o").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")), "quotes-depth")
+    done, open_ = now.filter("depth = 0"), now.filter("depth > 0")
     while True:
-        up = now.select("t", F.col("o").alias("root"), F.col("root").alias("above"), F.col("depth").alias("more")).filter("more > 0")
-        jumped = now.join(up, ["t", "root"], "left").select("t", "o", "parent", F.coalesce("above", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("more").isNotNull().alias("moved"))
+        up = done.unionByName(open_).filter("depth > 0").select("t", F.col("o").alias("root"), F.col("root").alias("above"), F.col("depth").alias("more"))
+        jumped = open_.join(up, ["t", "root"], "left").select("t", "o", "parent", F.coalesce("above", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("more").isNotNull().alias("moved"))
         now = stored(jumped, "quotes-depth")
-        if not now.filter("moved").limit(1).count():
+        # Who didn't move stands at its root; only the others go on.
+        done, open_ = done.unionByName(now.filter("not moved").drop("moved")), now.filter("moved").drop("moved")
+        if not open_.limit(1).count():
             break
-        now = now.drop("moved")
+    now = done
     out = m.select("t", "o", "own").join(now, ["t", "o"])
     named = lambda df, *more: df.select(F.col("t").alias(thread), F.col("o").alias(order), *more)
     return named(out, "own", "parent", "root", "depth"), named(links, "passage", "level", "original")
