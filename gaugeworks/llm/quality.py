@@ -107,7 +107,7 @@ def fit_features(shape: np.ndarray, sizes: np.ndarray, at: np.ndarray, values: n
     held = np.bincount(at, minlength=BINS)
     for j in range(k):
         y = targets[:, j].astype(float)
-        if y.min() == y.max():
+        if not n or y.min() == y.max():
             continue
         p = y.mean()
         z = np.abs(np.bincount(at, y[rows], BINS) - held * p) / np.sqrt(np.maximum(held, 1) * p * (1 - p))
@@ -209,7 +209,7 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     """``docs`` with e_good, host_posterior, path_posterior, p_good, p_toxic and accepted.
 
     labels: id, quality and toxic (0 or 1). accepted: p_good of at least ``threshold`` and p_toxic,
-    from the document alone, below ``toxic_threshold``. Nulls: a null text counts as empty, a null
+    from the document alone, of at most ``toxic_threshold``. Nulls: a null text counts as empty, a null
     host or path as a site of its own; columns of ``docs`` named like a new one give way; null labels are no labels. Without labels every document
     has even odds and is accepted. Repeated rows are scored each. The text isn't shuffled.
     """
@@ -234,7 +234,7 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
         met = marked.withColumn("__salt", salt).drop("__hot_h", "__hot_p").join(salted, on & F.expr("__salt = __salt_at"), "left").drop("__salt", "__salt_at")
     p_good = _share(F.col("e_good") + _logit(F.col("path_posterior")) - _logit(F.col("__global_share")))
     out = met.withColumn("p_good", p_good).withColumn("p_toxic", _share(F.col("e_toxic")))
-    out = out.withColumn("accepted", (F.col("p_good") >= threshold) & (F.col("p_toxic") < toxic_threshold))
+    out = out.withColumn("accepted", (F.col("p_good") >= threshold) & (F.col("p_toxic") <= toxic_threshold))
     columns = [c for c in docs.columns if keep_text or c != text]
     return out.select(*columns, "e_good", "host_posterior", "path_posterior", "p_good", "p_toxic", "accepted")
 
