@@ -353,3 +353,18 @@ def ngram_jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text",
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' ')))) END AS s FROM d
+), s AS (SELECT doc_id, unnest(s) AS e FROM g),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.e = b.e AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN g a ON a.doc_id = x JOIN g b ON b.doc_id = y WHERE 100 * c >= 90 * (len(a.s) + len(b.s) - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS o FROM g UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.o)
+SELECT g.doc_id, len(g.s) AS n_shingles, CASE WHEN len(g.s) = 0 THEN g.doc_id ELSE min(g.doc_id) OVER (PARTITION BY g.s) END AS class_id, c.component_id
+FROM g JOIN (SELECT doc_id, min(o) AS component_id FROM r GROUP BY 1) c USING (doc_id)
+"""
