@@ -109,3 +109,27 @@ def document_files(docs: DataFrame) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan_licences(document_files(table(spark, sf_dir, "documents").filter("doc_id is not null")))
     return out.select(F.regexp_extract("path", "[^/]*$", 0).cast("long").alias("doc_id"), "licence", F.round("cosine", 6).alias("cosine"), "lines", "origin", "licence_file")
+
+
+_QUOTED = ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES.items())
+#: Documents stand two directories deep, so only source/lang/ can hold a licence file.
+OP9_SQL = f"""
+WITH tpl(template, t) AS (VALUES {_QUOTED}),
+tt AS (SELECT template, w, count(*) AS tf FROM (SELECT template, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS w FROM tpl) GROUP BY ALL),
+f AS (SELECT doc_id, coalesce(source, '_') || '/' || coalesce(lang, '_') || '/' AS dir, coalesce(source, '_') || '/' || coalesce(lang, '_') || '/' || doc_id AS p, coalesce(text, '') AS x FROM documents WHERE doc_id IS NOT NULL),
+n AS (SELECT count(*) AS n FROM f),
+df AS (SELECT w, count(*) AS df FROM (SELECT DISTINCT p, unnest(regexp_extract_all(lower(x), '[a-z0-9]+')) AS w FROM f) WHERE w IN (SELECT w FROM tt) GROUP BY 1),
+v AS (SELECT w, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT w FROM tt) LEFT JOIN df USING (w), n),
+tw AS (SELECT template, w, tf * idf AS y FROM tt JOIN v USING (w)), tn AS (SELECT template, sqrt(sum(y * y)) AS z FROM tw GROUP BY 1),
+l AS (SELECT p, unnest(string_split(x, chr(10))) AS l, generate_subscripts(string_split(x, chr(10)), 1) AS i FROM f),
+c AS (SELECT p, i, w, count(*) AS tf FROM (SELECT p, i, unnest(regexp_extract_all(lower(l), '[a-z0-9]+')) AS w FROM l) GROUP BY ALL),
+h AS (SELECT p, i, w, tf, tf * coalesce(idf, ln(1 + n) + 1) AS y FROM c LEFT JOIN v USING (w), n),
+s AS (SELECT p, i, sqrt(sum(y * y)) AS norm, sum(tf) AS words FROM h GROUP BY 1, 2),
+k AS (SELECT p, i, template, words, round(sum(h.y * tw.y / z) / norm, 9) AS cosine FROM h JOIN tw USING (w) JOIN tn USING (template) JOIN s USING (p, i) GROUP BY p, i, template, words, norm),
+b AS (SELECT * FROM k WHERE cosine >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY p, i ORDER BY cosine DESC, template) = 1),
+o AS (SELECT p, arg_min(template, (-cosine, template)) AS licence, max(cosine) AS cosine, count(*) AS lines, sum(words) AS words FROM b GROUP BY 1),
+g AS (SELECT dir, min(p) AS licence_file, arg_min(licence, p) AS given FROM o JOIN f USING (p) WHERE words >= 0.5 * len(regexp_extract_all(lower(x), '[a-z0-9]+')) GROUP BY 1)
+SELECT doc_id, coalesce(licence, given) AS licence, round(cosine, 6) AS cosine, coalesce(lines, 0) AS lines,
+  CASE WHEN licence IS NOT NULL THEN 'own' WHEN given IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin, CASE WHEN licence IS NULL THEN licence_file END AS licence_file
+FROM f LEFT JOIN o USING (p) LEFT JOIN g USING (dir)
+"""

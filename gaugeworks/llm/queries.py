@@ -28,4 +28,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": jaccard.OP1_SQL, "op2_benchmark_decontamination": decontaminate.OP2_SQL, "op5_warc_revisits": warc.OP5_SQL, "op8_chat_formatting": quotes.OP8_SQL}
+    return {"op1_ngram_jaccard_join": jaccard.OP1_SQL, "op2_benchmark_decontamination": decontaminate.OP2_SQL, "op5_warc_revisits": warc.OP5_SQL, "op8_chat_formatting": quotes.OP8_SQL, "op9_license_scans": licences.OP9_SQL}
