@@ -34,7 +34,7 @@ from gaugeworks.llm.components import components
 
 #: Sets up to this size keep all elements beside their first ones, and may count as small.
 SMALL_MOST = 40
-#: Bits of the filters that tell elements of two sets or more: 32 an element, within these bounds. A full filter
+#: Bits of the filters that tell elements of two sets or more: 16 an element, within these bounds. A full filter
 #: lets more through; it never loses an element.
 FILTER_BITS = (1 << 16, 1 << 28)
 #: An element counts as heavy from so many lists on; doubled until at most HEAVY_MOST are.
@@ -126,7 +126,7 @@ class _Filter:
 
     def __init__(self, elements: DataFrame, count: int):
         least, most = FILTER_BITS
-        self.bits = min(most, max(least, 1 << (32 * max(count, 1) - 1).bit_length()))
+        self.bits = min(most, max(least, 1 << (16 * max(count, 1) - 1).bit_length()))
         self.words = np.zeros(self.bits // 64, np.uint64)
         mask = self.bits - 1
         bit = F.explode(F.array(F.expr(f"e & {mask}L"), F.expr(f"shiftrightunsigned(e, 27) & {mask}L")))
