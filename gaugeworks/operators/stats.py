@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import nav
@@ -33,8 +33,11 @@ def stats(df: DataFrame, chunk: int | str | None = None) -> DataFrame:
     high = F.max(F.when(use, F.struct("meas", (-F.col("chron_ns")).alias("back"))))
     short = F.min(F.when(interval, F.struct("dchron_ns", "chron_ns")))
     long_ = F.max(F.when(interval, F.struct("dchron_ns", (-F.col("chron_ns")).alias("back"))))
-    spread = base.groupBy("series_id").agg(F.min("chron_ns").alias("__first"))
-    base = base.join(spread, "series_id").withColumn("__offset", F.col("chron_ns") - F.col("__first")).withColumn("__second", F.floor(F.col("__offset") / 10**9))
+    if chunk is None:  # the deltas' window has the series in order already
+        base = base.withColumn("__first", F.min("chron_ns").over(Window.partitionBy("series_id").orderBy("chron_ns", "seq").rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        base = base.join(base.groupBy("series_id").agg(F.min("chron_ns").alias("__first")), "series_id")
+    base = base.withColumn("__offset", F.col("chron_ns") - F.col("__first")).withColumn("__second", F.floor(F.col("__offset") / 10**9))
     got = base.groupBy("series_id").agg(
         F.count("*").alias("len"), F.min_by(point, key).alias("a"), F.max_by(point, key).alias("z"), F.min("__first").alias("first"),
         # Whole numbers, so that the mean doesn't lose nanoseconds.
