@@ -307,9 +307,9 @@ class _Join:
             groups = components(found)
             marked = left.join(groups, F.col("cid") == F.col("node"), "left").select("e", "cid", "n", "pos", F.coalesce("component", "cid").alias("comp"))
             marked = stored(marked, "jaccard-marked")
-            per = marked.groupBy("e").agg(F.count("*").alias("k"), F.min("comp").alias("main"), F.max("comp").alias("high")).filter("main <> high")
-            odd = marked.join(per, "e").groupBy("e", "k", "main").agg(F.count_if(F.col("comp") != F.col("main")).alias("s"))
-            odd = stored(odd, "jaccard-odd")
+            # Strays of a list: those outside the component with the smallest name. Counted by component first.
+            per = marked.groupBy("e", "comp").agg(F.count("*").alias("c")).groupBy("e").agg(F.sum("c").alias("k"), F.min("comp").alias("main"), (F.sum("c") - F.min_by("c", "comp")).alias("s"))
+            odd = stored(per.filter("s > 0"), "jaccard-odd")
             work, lengths = odd.agg(F.coalesce(F.sum(F.col("s") * F.col("k")), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
             if not work:
                 return found
