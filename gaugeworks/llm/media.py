@@ -8,7 +8,6 @@ transform of the image, averaged down to 32 x 32.
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
