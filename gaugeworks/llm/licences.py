@@ -1,7 +1,7 @@
 """Licence scans: sparse TF-IDF cosine of lines to licence templates, then inheritance along directories.
 
-In DataFrame operations only. Template terms weigh log((1 + N) / (1 + df)) + 1 with df over all files; words that no
-template has weigh as if no file had them. A line whose cosine reaches the threshold must hold one
+In DataFrame operations only. Every word, a template's or not, weighs log((1 + N) / (1 + df)) + 1 with df over all
+files. A line whose cosine reaches the threshold must hold one
 of a template's heaviest terms, those without which the rest is too light, so only lines that do are
 split into words. A file that is mostly licence lines is its directory's licence file; a file
 without licence lines takes the licence of the nearest directory above it that has such a file.
@@ -27,8 +27,10 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 THRESHOLD = 0.75
-#: Most rows of directories that are broadcast; beyond it both sides are shuffled.
+#: Most rows of directories, and of words, that are broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 200_000
+#: Words in more than this share of the files are broadcast always: no task gets all lines that hold one of them.
+COMMON = 0.001
 
 
 def terms(text: Column) -> Column:
@@ -50,6 +52,15 @@ def _anchors(weights: dict[str, dict[str, float]], threshold: float) -> list[str
     return sorted(out)
 
 
+def _weighed(counts: DataFrame, idf: DataFrame, least: float) -> DataFrame:
+    """``counts`` with the idf (of all words) of its column w; a smaller idf than ``least`` is a common word's."""
+    met = stored(idf.join(counts.select("w").distinct(), "w", "left_semi"), "licence-weights")
+    if met.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return counts.join(F.broadcast(met), "w")
+    common = F.broadcast(met.filter(F.col("idf") < least))
+    return counts.join(common, "w").unionByName(counts.join(common, "w", "left_anti").join(met.filter(F.col("idf") >= least), "w").select(*counts.columns, "idf"))
+
+
 def scan_licences(files: DataFrame, path: str = "path", text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD, mostly: float = 0.5) -> DataFrame:
     """One row per file: path, licence, cosine, lines (that reach the threshold), origin, licence_file.
 
@@ -65,21 +76,19 @@ def scan_licences(files: DataFrame, path: str = "path", text: str = "text", temp
     spark = files.sparkSession
     split = {name: [w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in t.lower()).split()] for name, t in templates.items()}
     vocabulary = sorted({w for ws in split.values() for w in ws})
-    # The templates are a parameter; their terms are counted over all files.
-    counted = base.select(F.explode_outer(F.array_intersect(terms(F.col("x")), F.array(*map(F.lit, vocabulary)))).alias("w")).groupBy("w").count()
-    df = {r["w"]: r["count"] for r in counted.collect()}  # at most one row for each template term
     total = base.count()
+    frequency = stored(base.select(F.explode(F.array_distinct(terms(F.col("x")))).alias("w")).groupBy("w").agg(F.count("*").alias("df")), "licence-words")
+    df = {r["w"]: r["df"] for r in frequency.filter(F.col("w").isin(vocabulary)).collect()}  # at most one row for each template term
     idf = {w: log((1 + total) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
-    unknown = log(1 + total) + 1
     weights = {name: {w: ws.count(w) * idf[w] for w in set(ws)} for name, ws in split.items()}
     pattern = rf"(?i)(?<![a-z0-9])({'|'.join(_anchors(weights, threshold))})(?![a-z0-9])"
     unit = [(name, w, x / sum(y * y for y in v.values()) ** 0.5) for name, v in weights.items() for w, x in v.items()]
     template = spark.createDataFrame(unit, "template string, w string, u double")
-    known = spark.createDataFrame([(w, idf[w]) for w in vocabulary], "w string, idf double")
+    known = frequency.select("w", (F.log((1 + total) / (1 + F.col("df"))) + 1).alias("idf"))
 
     lines = base.select("p", F.posexplode_outer(F.filter(F.split("x", r"\r?\n"), lambda x: x.rlike(pattern))).alias("line", "l")).filter("l is not null")
     counts = lines.select("p", "line", F.explode_outer(terms(F.col("l"))).alias("w")).groupBy("p", "line", "w").agg(F.count("*").alias("tf"))
-    heavy = counts.join(F.broadcast(known), "w", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
+    heavy = _weighed(counts, known, log(1 / COMMON) + 1).withColumn("x", F.col("tf") * F.col("idf"))
     size = heavy.groupBy("p", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.sum("tf").alias("words"))
     dots = heavy.join(F.broadcast(template), "w").groupBy("p", "line", "template").agg(F.sum(F.col("x") * F.col("u")).alias("dot"))
     cosine = dots.join(size, ["p", "line"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("cosine") >= threshold)

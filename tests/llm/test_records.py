@@ -142,6 +142,22 @@ def test_licences(spark):
     assert licences.scan_licences(spark.createDataFrame([], "path string, text string")).collect() == []
 
 
+NOTICE = "This project is released under the MIT License."
+
+
+@pytest.mark.parametrize("most", [licences.BROADCAST_ROWS, 0])
+def test_licence_words_weigh_by_all_files(spark, monkeypatch, most):
+    """Ordinary words beside a notice's weigh little however many files there are."""
+    monkeypatch.setattr(licences, "BROADCAST_ROWS", most)
+    files = [(f"n/{i}", NOTICE) for i in range(2)] + [(f"d/{i}", f"this project is number {i}") for i in range(3000)]
+    got = {r["path"]: r for r in licences.scan_licences(spark.createDataFrame(files, "path string, text string")).collect()}
+    df = {"this": 3002, "project": 3002, "is": 3002, **dict.fromkeys(["released", "under", "the", "mit", "license"], 2)}
+    w = {k: (math.log(3003 / (1 + v)) + 1) ** 2 for k, v in df.items()}
+    expected = math.sqrt(sum(w[k] for k in ("released", "under", "the", "mit", "license")) / sum(w.values()))
+    assert got["n/0"]["licence"] == "MIT" and abs(got["n/0"]["cosine"] - expected) < 1e-6
+    assert got["d/7"]["origin"] == "none"
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pipeline(spark):
     import corpus_pipeline as p
