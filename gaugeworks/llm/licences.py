@@ -52,6 +52,16 @@ def _anchors(weights: dict[str, dict[str, float]], threshold: float) -> list[str
     return sorted(out)
 
 
+def _one_a_path(base: DataFrame) -> DataFrame:
+    """Rows (p, x) with the greatest x of each p; only the texts of repeated paths are shuffled."""
+    again = stored(base.groupBy("p").count().filter("count > 1").select("p"), "licence-again")
+    if not again.limit(1).count():
+        return base
+    again = small(again, BROADCAST_ROWS)
+    greatest = stored(base.join(again, "p", "left_semi").groupBy("p").agg(F.max("x").alias("x")), "licence-greatest")
+    return base.join(again, "p", "left_anti").unionByName(greatest)
+
+
 def _weighed(counts: DataFrame, idf: DataFrame, least: float) -> DataFrame:
     """``counts`` with the idf (of all words) of its column w; a smaller idf than ``least`` is a common word's."""
     met = stored(idf.join(counts.select("w").distinct(), "w", "left_semi"), "licence-weights")
@@ -72,7 +82,7 @@ def scan_licences(files: DataFrame, path: str = "path", text: str = "text", temp
     left out, a null or empty text has no lines. Whole texts are read.
     """
     templates = TEMPLATES if templates is None else templates
-    base = files.filter(F.col(path).isNotNull()).select(F.col(path).alias("p"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("x"))
+    base = _one_a_path(files.filter(F.col(path).isNotNull()).select(F.col(path).alias("p"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("x")))
     spark = files.sparkSession
     split = {name: [w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in t.lower()).split()] for name, t in templates.items()}
     vocabulary = sorted({w for ws in split.values() for w in ws})

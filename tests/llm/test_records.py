@@ -158,6 +158,15 @@ def test_licence_words_weigh_by_all_files(spark, monkeypatch, most):
     assert got["d/7"]["origin"] == "none"
 
 
+def test_licences_of_repeated_paths(spark):
+    mit, gpl = licences.TEMPLATES["MIT"], licences.TEMPLATES["GPL-3.0"]
+    quarter = mit + "\n" + " ".join(f"w{i}" for i in range(15))
+    files = [("a/x", quarter), ("a/x", quarter), ("a/x", quarter), ("a/bare", "nothing"), ("b/y", gpl), ("b/y", "zebra " * 30), ("c/y", "AARDVARK " * 30), ("c/y", gpl), ("c/y", None)]
+    once = [("a/x", quarter), ("a/bare", "nothing"), ("b/y", "zebra " * 30), ("c/y", gpl)]
+    got, want = (sorted(map(str, licences.scan_licences(spark.createDataFrame(f, "path string, text string")).collect())) for f in (files, once))
+    assert got == want and len(got) == 4 and "origin='none'" in got[0] and "licence='GPL-3.0'" in got[3]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pipeline(spark):
     import corpus_pipeline as p
