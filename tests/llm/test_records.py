@@ -4,6 +4,7 @@ import math
 import os
 import random
 import re
+import textwrap
 
 import pytest
 from plain import contamination, groups
@@ -167,6 +168,23 @@ def test_licences_of_repeated_paths(spark):
     assert got == want and len(got) == 4 and "origin='none'" in got[0] and "licence='GPL-3.0'" in got[3]
 
 
+def test_licence_texts_and_headers(spark):
+    """Licence files as they are found, wrapped headers, tags and titles."""
+    own = "Copyright (c) 2021 Jane Doe and others. All rights reserved.\n\n"
+    wrap = lambda t, mark, n: "\n".join(mark + x for x in textwrap.wrap(t, n))
+    code = "\n\nint main(void) { return call(17); }\n" * 30
+    head = {n: t[0] for n, t in licences.HEADERS.items()}
+    files = {f"full/{n}/LICENSE": (n, own + textwrap.fill(t[0], 61)) for n, t in licences.full_texts().items()} | {
+        "h/a.py": ("Apache-2.0", "#!/usr/bin/env python\n" + wrap(own + head["Apache-2.0"], "# ", 50) + code), "h/g.c": ("GPL-3.0", "/*\n" + wrap(own + head["GPL-3.0"], " * ", 44) + "\n */" + code),
+        "h/m.js": ("MPL-2.0", wrap(head["MPL-2.0"], "// ", 40) + code), "h/l.html": ("LGPL-2.1", "<!--\n" + wrap(own + head["LGPL-2.1"], "", 70) + "-->" + code), "h/n.sh": ("GPL-3.0", wrap(licences.TEMPLATES["GPL-3.0"], "# ", 30) + code),
+        "s/a.c": ("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0" + code), "s/m": ("MIT", "MIT License\n" + code), "n/none.c": (None, "// a program that calls 17" + code), "n/none": (None, "the software is provided by the copyright holders " + code),
+        "full/MIT/src/x.c": ("MIT", code),
+    }
+    got = {r["path"]: r for r in licences.scan_licences(spark.createDataFrame([(p, t) for p, (_, t) in files.items()], "path string, text string")).collect()}
+    assert {p: r["licence"] for p, r in got.items()} == {p: n for p, (n, _) in files.items()}
+    assert got["full/MIT/src/x.c"]["licence_file"] == "full/MIT/LICENSE" and got["h/g.c"]["origin"] == "own"
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pipeline(spark):
     import corpus_pipeline as p
