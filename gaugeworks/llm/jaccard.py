@@ -331,7 +331,8 @@ class _Join:
 def ngram_jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, num: int = 80, den: int = 100, quarters: int | None = None) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, class_id (the smallest id with an equal set) and
     component_id (the smallest id that links reach). Two texts are linked when
-    den * shared shingles >= num * all shingles of both.
+    den * shared shingles >= num * all shingles of both. These are components and not the links: pairs within
+    a component that is connected already are not compared, so neither the links nor their number are given.
 
     A word is a run of bytes other than white space (20, 09-0D), A-Z as a-z. A text of fewer words is one
     shingle; null, empty or blank texts have none and link with nothing. Repeated rows fall into one
