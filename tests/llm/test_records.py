@@ -7,7 +7,7 @@ import re
 import textwrap
 
 import pytest
-from plain import contamination, groups
+from plain import contamination, groups, prose
 
 from gaugeworks.llm import ledger, licences, quality, quotes, warc
 
@@ -209,3 +209,25 @@ def test_pipeline(spark):
     assert len(masked) == len(rows[3]) and all(("[SECRET]" in masked[d]) == bool(ledger.find_secrets(t)) for d, t in rows[3])
     pieces = p.STAGES[-1][1](spark, frames[4], SF)
     assert {r["doc_id"] for r in pieces.select("doc_id").collect()} == set(masked)
+
+
+def test_pipeline_decisions(spark, tmp_path):
+    """Decontamination drops exactly what brute force finds, and the classifier toxic documents."""
+    import corpus_pipeline as p
+
+    r = random.Random(4)
+    bench = [(i, prose(r, r.choice([5, 10, 14, 30]), 10**5)) for i in range(12)]
+    docs = []
+    for i in range(60):
+        taken = r.choice(bench)[1].split()
+        docs.append((i, " ".join([prose(r, 15, 10**5), *(taken if i % 3 == 0 else taken[:4] if i % 3 == 1 else []), prose(r, 15, 10**5)])))
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = sorted(tuple(x) for x in p.clean(spark, spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path)).collect())
+    expected = [x for x in docs if not contamination(x[1], bench)[1]]
+    assert kept == expected and len(expected) == 40
+
+    texts, labels, truth = corpus(spark)
+    labels.filter("doc_id < 150").write.parquet(f"{tmp_path}/labels.parquet")
+    ids = {x["doc_id"] for x in p.good(spark, texts, str(tmp_path)).select("doc_id").collect()}
+    toxic = [i for i, x in truth.items() if i >= 150 and x[1]]
+    assert toxic and sum(i in ids for i in toxic) <= 0.05 * len(toxic)
