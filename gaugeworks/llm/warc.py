@@ -19,7 +19,7 @@ FIXED_FIELDS = (
 )
 #: Query parameters that don't change what a URL names.
 TRACKING = "^(utm_[a-z]+|ref|fbclid|gclid|sessionid|jsessionid|phpsessid)(=|$)"
-#: Slices of time into which each URL's records are cut, so that no URL is one task's.
+#: Slices of time, a power of two, into which each URL's records are cut, so that no URL is one task's.
 SLICES = 256
 
 
@@ -40,6 +40,16 @@ def merged_headers(response: Column, revisit: Column) -> Column:
     return F.map_concat(F.map_filter(low(response), lambda k, _: ~F.map_contains_key(mine, k)), mine)
 
 
+def sliced(r: DataFrame) -> DataFrame:
+    """``r`` with slice, 0 to SLICES - 1, by ts: about as many rows each, however ts are spread. Null if ts is."""
+    edges = r.agg(F.percentile_approx("ts", [i / SLICES for i in range(1, SLICES)], 10_000)).first()[0] or []
+    edges = F.array(*(F.lit(e).cast("long") for e in edges + [2**63 - 1] * (SLICES - 1 - len(edges))))
+    steps = F.array(*(F.lit(1 << k) for k in range(SLICES.bit_length() - 2, -1, -1)))
+    # Bisection: how many edges are at most ts.
+    found = F.aggregate(steps, F.lit(0), lambda k, s: F.when(F.element_at(edges, k + s) <= F.col("ts"), k + s).otherwise(k))
+    return r.withColumn("slice", F.when(F.col("ts").isNotNull(), found))
+
+
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """One row per revisit: record_id, canonical_url, ts, outcome, source_record, digest, headers.
 
@@ -53,9 +63,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     wanted = ("record_id", "url", "ts", "kind", "etag", "last_modified", "digest", "headers")
     r = records.select(*wanted).filter(F.col("kind").isin("response", "revisit")).withColumn("curl", canonical_url(F.col("url")))
     r = r.withColumn("headers", F.coalesce("headers", F.create_map().cast("map<string,string>")))
-    low, high = r.agg(F.min("ts"), F.max("ts")).first()
-    width = max(1, ((high or 0) - (low or 0)) // SLICES + 1)
-    r = r.withColumn("slice", F.floor((F.col("ts") - F.lit(low or 0)) / width))
+    r = sliced(r)
     full = F.struct("record_id", "ts", "etag", "last_modified", "digest", "headers")
     full_at = F.when(F.col("kind") == "response", full)
     # Within a slice a window; before it the last response of the URL's earlier slices, at most SLICES rows a URL.

@@ -84,6 +84,16 @@ def test_revisits(spark, seed):
     assert warc.resolve_revisits(df.limit(0)).collect() == []
 
 
+def test_slices_follow_the_records(spark):
+    """A stray timestamp doesn't put all others into one slice."""
+    ts = [*range(1000, 6120), 10**15, -(10**15), None]
+    rows = warc.sliced(spark.createDataFrame([(t,) for t in ts], "ts long")).collect()
+    got = sorted((r["ts"], r["slice"]) for r in rows if r["ts"] is not None)
+    slices = [s for _, s in got]
+    assert slices == sorted(slices) and set(slices) == set(range(warc.SLICES)) and max(map(slices.count, set(slices))) < 60
+    assert [r["slice"] for r in rows if r["ts"] is None] == [None]
+
+
 def test_quotes(spark):
     rows = [
         ("t", 0, "Shall we meet?\nOn Monday?"), ("t", 1, "> Shall we  MEET?\n> On Monday?\nYes."), ("t", 2, ">> shall we meet?\n>> on monday?\n> Yes.\n\nFine, and lunch?"),
