@@ -6,27 +6,48 @@ known keys come from the cache; each distinct miss is encoded once and appended.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import others, slices, stored, table, vocabulary
+from gaugeworks.llm.common import others, slices, small, stored, table, vocabulary
 
 CACHE = "digest string, n_tokens long"
 #: Most distinct words whose counts a worker keeps at a time, for vocabularies that split at white space.
 WORDS_KEPT = 300_000
 
 
+#: Most digests of misses that are broadcast to the texts; beyond it both sides are shuffled.
+BROADCAST_DIGESTS = 300_000
+#: Patterns of words between which white space is dropped. No match holds white space or begins or
+#: ends otherwise because of what lies beyond it, so a text's tokens are those of its words.
+WORD_PATTERNS = ("'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",)
+
+
+@cache
+def drops_blanks(name: str) -> bool:
+    """Whether the vocabulary drops white space before it merges, as told by its file: then words can be counted
+    one by one, and runs of white space are the same content as one blank."""
+    path = vocabulary(name)
+    if path.endswith(".model"):
+        return False
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)["pre_tokenizer"] or {}
+    first = (made.get("pretokenizers") or [made])[0]
+    return first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed" and first["pattern"].get("Regex") in WORD_PATTERNS
+
+
 def counter(name: str):
     """A function from texts to their numbers of tokens, without added special tokens.
 
-    name: of a vocabulary file, .json (tokenizers) or .model (sentencepiece). The word vocabulary
-    drops white space and never merges across it, so there a text's count is the sum of its words' counts;
-    each word between ASCII white space is encoded once while a worker keeps it. A-Z become
-    a-z first, as its normaliser does, unless the text may hold a special string.
+    name: of a vocabulary file, .json (tokenizers) or .model (sentencepiece). Where the vocabulary
+    drops white space a text's count is the sum of its words' counts, and each word between ASCII white
+    space is encoded once, as it stands, while a worker keeps it.
     """
     path = vocabulary(name)
     if path.endswith(".model"):
@@ -47,15 +68,14 @@ def counter(name: str):
             sizes += [len(e.ids) for e in model.encode_batch_fast(texts[a:b], add_special_tokens=False)]
         return sizes
 
-    if "word" not in name:
+    if not drops_blanks(name):
         return encode
     kept: dict[bytes, int] = {}
 
     def count(texts: list[str]) -> list[int]:
         out: list[int] = []
         for a, b in slices(map(len, texts), 500_000):
-            raws = [t.encode() for t in texts[a:b]]
-            split = [(r if b"<|" in r else r.lower()).split() for r in raws]
+            split = [t.encode().split() for t in texts[a:b]]
             new = [w for w in set().union(*split) if w not in kept]
             if len(kept) + len(new) > WORDS_KEPT:
                 kept.clear()
@@ -78,10 +98,10 @@ def shared_counter(name: str):
 
 
 def normalised(text: Column, name: str) -> Column:
-    """The content that decides the count: null is empty; where the tokenizer drops white space
-    (the word vocabulary), runs of ASCII white space count as one blank."""
+    """The content that decides the count: null is empty; where the vocabulary drops white space,
+    runs of ASCII white space count as one blank."""
     content = F.coalesce(text.cast("string"), F.lit(""))
-    return F.regexp_replace(content, r"[ \t\n\x0B\f\r]+", " ") if "word" in name else content
+    return F.regexp_replace(content, r"[ \t\n\x0B\f\r]+", " ") if drops_blanks(name) else content
 
 
 def _encode(misses: DataFrame, name: str) -> DataFrame:
@@ -107,7 +127,9 @@ def token_counts(docs: DataFrame, name: str, version: str = "1", cache: DataFram
     digest = F.sha2(F.concat_ws("\n", F.lit(name), F.lit(version), content), 256)
     asked = docs.select(digest.alias("digest"), content.alias("__content"))
     if cache is not None:
-        asked = asked.join(cache.select("digest").distinct(), "digest", "left_anti")
+        # Digests alone tell the misses; no text that the cache knows is moved.
+        missing = stored(asked.select("digest").distinct().join(cache.select("digest").distinct(), "digest", "left_anti"), "token-misses")
+        asked = asked.join(small(missing, BROADCAST_DIGESTS), "digest", "left_semi")
     # One content for each digest: copies meet in the partial aggregate before they are dealt out.
     misses = asked.groupBy("digest").agg(F.first("__content").alias("__content"))
     added = stored(_encode(misses, name), "token-cache")
@@ -117,7 +139,10 @@ def token_counts(docs: DataFrame, name: str, version: str = "1", cache: DataFram
 
 
 def op6(spark: SparkSession, sf_dir: str, limit: int = 2048) -> DataFrame:
+    """Documents arrive in two batches, told apart by a hash of doc_id; the second is joined to what the first has stored."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     sized = docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    counted, _ = token_counts(sized, "word_bpe_49k.json")
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    early = F.xxhash64("doc_id") < 0
+    first, cache = token_counts(sized.filter(early), "word_bpe_49k.json")
+    second, _ = token_counts(sized.filter(~early), "word_bpe_49k.json", cache=cache)
+    return first.unionByName(second).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
