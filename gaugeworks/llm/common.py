@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -23,13 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where the session names none (tests on one machine) a folder of our own is set.
+    Only where the session names none and all tasks run on this machine a folder of our own is set;
+    on a cluster that would be a folder that executors don't share, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
@@ -56,6 +60,31 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: A key of fewer rows is never told apart as hot.
+HOT_LEAST = 1_000
+
+
+def keyed_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right``, which has at most one row for each key, without a key of many rows of
+    ``left`` becoming one task's.
+
+    A key is hot if it has more than twice an even share of the rows; so there are at most half as
+    many hot keys as shuffle partitions, and their rows of ``right`` are broadcast. All other rows are
+    shuffled. how: inner or left. Null keys find nothing. ``left`` is counted by key, unless ``right`` is a stored frame
+    with the counts as __rows (dropped here): pass a stored or cheap frame.
+    """
+    spark = left.sparkSession
+    counts, known = (right.select(*on, "__rows"), right.drop("__rows")) if "__rows" in right.columns else (left.groupBy(*on).agg(F.count("*").alias("__rows")), right)
+    total = (counts.agg(F.sum("__rows")).first()[0] if known is not right else left.count()) or 0
+    right, counts = known, counts.filter(F.col("__rows") > max(HOT_LEAST, 2 * total // int(spark.conf.get("spark.sql.shuffle.partitions")))).select(*on)
+    rows = counts.collect()  # at most half as many as there are partitions
+    if not rows:
+        return left.join(right, on, how)
+    hot = F.broadcast(spark.createDataFrame(rows, counts.schema))
+    told = F.broadcast(right.join(hot, on, "left_semi"))
+    return left.join(hot, on, "left_semi").join(told, on, how).unionByName(left.join(hot, on, "left_anti").join(right, on, how))
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column as one array, and the n + 1 offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):

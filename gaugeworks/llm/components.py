@@ -1,7 +1,8 @@
 """Connected components of an undirected graph given by its links, by alternating stars.
 
 Large-star links every larger neighbour of a node to the smallest; small-star does so with the
-smaller ones. Both are one aggregate and one join; they end in a star around each smallest node.
+smaller ones. Both are one aggregate and one join, in which a node of many links is not one
+task's; they end in a star around each smallest node.
 """
 
 from __future__ import annotations
@@ -9,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import stored
+from gaugeworks.llm.common import keyed_join, stored
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    met = both.join(least, "u")
+    least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("__rows")), "stars-least")
+    met = keyed_join(both, least, ["u"])
     out = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         out = met.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
@@ -31,7 +32,7 @@ def components(links: DataFrame) -> DataFrame:
     now = stored(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = None
     while True:
-        now = stored(_star(_star(now, True), False), "stars")
+        now = stored(_star(stored(_star(now, True), "stars-large"), False), "stars")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if seen == mark:
             break
