@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import others, stored, table
+from gaugeworks.llm.common import others, small, stored, table
 
 FINDINGS = "array<struct<at:long, rank:int, kind:string, start:long, end:long>>"
 LEDGER = f"blob string, rules string, findings {FINDINGS}"
@@ -32,7 +32,7 @@ BASE = ("assign", "access", "hex")
 RULES_VERSION = "2"
 
 
-#: Most findings that are broadcast to the paths; beyond it both sides are shuffled.
+#: Most findings that are broadcast to the paths, and most digests of unseen blobs; beyond it both sides are shuffled.
 BROADCAST_FINDINGS = 300_000
 
 
@@ -72,8 +72,10 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, text: st
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     blobs = versions.select(F.sha2(content, 256).alias("blob"), content.alias("__text"))
     if ledger is not None:
+        # Digests alone tell the unseen blobs; no text that the ledger knows is moved.
         seen = ledger.filter(F.col("rules") == rules).select("blob").distinct()
-        blobs = blobs.join(seen, "blob", "left_anti")
+        unseen = stored(blobs.select("blob").distinct().join(seen, "blob", "left_anti"), "secret-unseen")
+        blobs = blobs.join(small(unseen, BROADCAST_FINDINGS), "blob", "left_semi")
     # One text for each blob: copies meet in the partial aggregate before they are dealt out.
     once = blobs.groupBy("blob").agg(F.first("__text").alias("__text"))
     added = stored(_scan(once).select("blob", F.lit(rules).alias("rules"), "findings"), "secret-ledger")
@@ -106,7 +108,12 @@ def redact(text: str = "text", findings: str = "findings", mask: str = "[SECRET]
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = scan_versions(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Versions arrive in two batches, told apart by a hash of doc_id; the second is joined to the ledger of the first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    early = F.xxhash64("doc_id") < 0
+    first, ledger = scan_versions(docs.filter(early))
+    second, _ = scan_versions(docs.filter(~early), ledger)
+    found = first.unionByName(second)
     span = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
     ordered = F.array_sort("findings")
     base = F.filter(ordered, lambda x: x["kind"].isin(*BASE))
