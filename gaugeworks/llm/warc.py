@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import table
+from gaugeworks.llm.common import keyed_join, stored, table
 
 #: Header fields that describe a body or one connection; a revisit's don't replace the response's.
 FIXED_FIELDS = (
@@ -34,10 +34,17 @@ def canonical_url(url: Column) -> Column:
 
 
 def merged_headers(response: Column, revisit: Column) -> Column:
-    """The response's fields, replaced and joined by the revisit's but the fixed ones; names in lower case."""
-    low = lambda m: F.transform_keys(m, lambda k, _: F.lower(k))
-    mine = F.map_filter(low(revisit), lambda k, _: ~k.isin(*FIXED_FIELDS))
-    return F.map_concat(F.map_filter(low(response), lambda k, _: ~F.map_contains_key(mine, k)), mine)
+    """The response's fields, replaced and joined by the revisit's but the fixed ones; names in lower case.
+    Of one map's names that are then the same the last as written, in order, counts."""
+    mine = F.map_filter(_lowered(revisit), lambda k, _: ~k.isin(*FIXED_FIELDS))
+    return F.map_concat(F.map_filter(_lowered(response), lambda k, _: ~F.map_contains_key(mine, k)), mine)
+
+
+def _lowered(headers: Column) -> Column:
+    fields = F.transform(F.array_sort(F.map_entries(headers)), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    names = F.transform(fields, lambda e: e["key"])
+    last = lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e["key"])
+    return F.map_from_entries(F.filter(fields, last))
 
 
 def sliced(r: DataFrame) -> DataFrame:
@@ -58,32 +65,34 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     with one ts the greatest record_id counts. outcome: 'resolved'; 'changed' if both have an
     etag and these differ (weak marks aside), or, where an etag lacks, both have last_modified and these
     differ; 'no response' if there is none earlier. Only resolved ones take digest and headers.
-    Null headers are empty; a null url or ts finds no response; repeated rows are answered each.
+    Null headers are empty; a null url or ts finds no response; repeated rows are answered each. Responses of one
+    URL and ts are one row before anything is sorted, and each revisit is looked up, so no URL or instant is one task's.
     """
     wanted = ("record_id", "url", "ts", "kind", "etag", "last_modified", "digest", "headers")
     r = records.select(*wanted).filter(F.col("kind").isin("response", "revisit")).withColumn("curl", canonical_url(F.col("url")))
     r = r.withColumn("headers", F.coalesce("headers", F.create_map().cast("map<string,string>")))
-    r = sliced(r)
-    full = F.struct("record_id", "ts", "etag", "last_modified", "digest", "headers")
-    full_at = F.when(F.col("kind") == "response", full)
-    # Within a slice a window; before it the last response of the URL's earlier slices, at most SLICES rows a URL.
-    order = Window.partitionBy("curl", "slice").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    inside = r.withColumn("order_", F.when(F.col("kind") == "response", F.struct("ts", "record_id", "etag", "last_modified", "digest", F.array_sort(F.map_entries("headers")).alias("headers"))))
-    inside = inside.withColumn("near", F.max("order_").over(order)).filter("kind = 'revisit'").drop("order_")
-    ends = r.filter("kind = 'response' and curl is not null and ts is not null").groupBy("curl", "slice").agg(F.max_by(full, F.struct("ts", "record_id")).alias("last"))
-    carry = ends.select("curl", F.col("slice").alias("from"), "last", (F.coalesce(F.lead("slice").over(Window.partitionBy("curl").orderBy("slice")), F.lit(SLICES))).alias("upto"))
-    spread = carry.select("curl", "last", F.explode_outer(F.expr("if(from < upto, sequence(cast(from + 1 as int), cast(upto as int)), null)")).alias("s")).filter("s is not null")
-    near = F.col("near")
-    met = inside.join(spread.withColumnRenamed("curl", "c_"), (F.col("curl") == F.col("c_")) & (F.col("slice") == F.col("s")), "left")
-    own = F.struct(*(near[c].alias(c) for c in ("record_id", "ts", "etag", "last_modified", "digest")), F.map_from_entries(near["headers"]).alias("headers"))
-    met = met.withColumn("base", F.when(F.col("curl").isNull(), F.lit(None)).when(near.isNotNull(), own).otherwise(F.col("last")))
+    answered = F.col("url").isNotNull() & F.col("ts").isNotNull()
+    entries = F.array_sort(F.map_entries("headers")).alias("headers")
+    # One row for each URL and instant: its greatest response, and whether a revisit asks there. Copies meet before they are dealt out.
+    own = F.max(F.when(F.col("kind") == "response", F.struct("record_id", "ts", "etag", "last_modified", "digest", entries))).alias("own")
+    points = sliced(r.filter(answered)).groupBy("curl", "slice", "ts").agg(own, F.bool_or(F.col("kind") == "revisit").alias("asked"))
+    points = stored(points, "warc-points")
+    # Within a slice a window; before it the last response of the URL's earlier slices, of which there are at most SLICES.
+    inside = Window.partitionBy("curl", "slice").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("curl").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = points.groupBy("curl", "slice").agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.col("ts"))).alias("end"), F.bool_or("asked").alias("wanted"))
+    carried = ends.withColumn("carry", F.last("end", True).over(earlier)).filter("wanted and carry is not null").select("curl", "slice", "carry")
+    near = points.withColumn("near", F.last("own", True).over(inside)).filter("asked").select("curl", "slice", "ts", "near")
+    answers = stored(near.join(carried, ["curl", "slice"], "left").select("curl", "ts", F.coalesce("near", "carry").alias("base")), "warc-answers")
+    asks = stored(r.filter("kind = 'revisit'").select("record_id", "url", "curl", "ts", "etag", "last_modified", "headers"), "warc-revisits")
+    met = keyed_join(asks.filter(answered), answers, ["curl", "ts"], "left").unionByName(asks.filter(~answered), allowMissingColumns=True)
     base, strong = F.col("base"), lambda e: F.regexp_replace(e, "^W/", "")
     differ = F.when(F.col("etag").isNotNull() & base["etag"].isNotNull(), strong(F.col("etag")) != strong(base["etag"])).otherwise(F.coalesce(F.col("last_modified") != base["last_modified"], F.lit(False)))
     outcome = F.when(base.isNull(), "no response").when(differ, "changed").otherwise("resolved")
     good = F.col("outcome") == "resolved"
     return met.withColumn("outcome", outcome).select(
         "record_id", F.col("curl").alias("canonical_url"), "ts", "outcome", base["record_id"].alias("source_record"),
-        F.when(good, base["digest"]).alias("digest"), F.when(good, merged_headers(base["headers"], F.col("headers"))).alias("headers"),
+        F.when(good, base["digest"]).alias("digest"), F.when(good, merged_headers(F.map_from_entries(base["headers"]), F.col("headers"))).alias("headers"),
     )
 
 
