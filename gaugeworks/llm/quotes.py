@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import stored, table
+from gaugeworks.llm.common import keyed_join, stored, table
 
 _MARKS = r"^((?:\s*>)+)\s?"
 
@@ -58,15 +58,15 @@ def link_quotes(messages: DataFrame, thread: str = "thread", order: str = "turn"
     whole = asked.select("t", "o", "passage", "p.level", F.lit(1).alias("whole"), F.explode(_hashed(F.array(F.col("p.text")))).alias("h"))
     parts = asked.select("t", "o", "passage", "p.level", F.lit(0).alias("whole"), F.explode(_hashed(F.col("p.lines"))).alias("h"))
     units = whole.unionByName(parts).select("t", "o", "passage", "level", "whole", "h.hash", "h.size")
-    found = units.join(first, ["t", "hash"]).filter("original < o")
+    found = keyed_join(stored(units, "quotes-units"), first, ["t", "hash"]).filter("original < o")
     links = stored(found.groupBy("t", "o", "passage", "level").agg(F.max(F.struct("whole", "size", "original")).alias("b")).select("t", "o", "passage", "level", "b.size", "b.original"), "quotes-links")
     parents = links.filter("level = 1").groupBy("t", "o").agg(F.max(F.struct("size", "passage", "original"))["original"].alias("parent"))
-    # Depths by doubling: each round every message jumps as far again as it has come.
+    # Depths by doubling: each round every message jumps as far again as it has come. A root that many answer is no one task's.
     now = stored(m.select("t", "o").join(parents, ["t", "o"], "left").select("t", "o", "parent", F.coalesce("parent", "o").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")), "quotes-depth")
     done, open_ = now.filter("depth = 0"), now.filter("depth > 0")
     while True:
         up = done.unionByName(open_).filter("depth > 0").select("t", F.col("o").alias("root"), F.col("root").alias("above"), F.col("depth").alias("more"))
-        jumped = open_.join(up, ["t", "root"], "left").select("t", "o", "parent", F.coalesce("above", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("more").isNotNull().alias("moved"))
+        jumped = keyed_join(open_, up, ["t", "root"], "left").select("t", "o", "parent", F.coalesce("above", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("more").isNotNull().alias("moved"))
         now = stored(jumped, "quotes-depth")
         # Who didn't move stands at its root; only the others go on.
         done, open_ = done.unionByName(now.filter("not moved").drop("moved")), now.filter("moved").drop("moved")
