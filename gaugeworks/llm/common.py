@@ -64,25 +64,33 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 HOT_LEAST = 1_000
 
 
-def keyed_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def keyed_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", by: list[str] | None = None, counted: DataFrame | None = None) -> DataFrame:
     """``left`` joined to ``right``, which has at most one row for each key, without a key of many rows of
     ``left`` becoming one task's.
 
-    A key is hot if it has more than twice an even share of the rows; so there are at most half as
-    many hot keys as shuffle partitions, and their rows of ``right`` are broadcast. All other rows are
-    shuffled. how: inner or left. Null keys find nothing. ``left`` is counted by key, unless ``right`` is a stored frame
-    with the counts as __rows (dropped here): pass a stored or cheap frame.
+    A key is hot if it has more than twice an even share of the rows; so there are at most half as many hot keys as
+    shuffle partitions. The rows of a hot key are dealt by a hash of ``by`` (all columns, if not given; maps can't be hashed)
+    to as many parts as it has shares, and its row of ``right`` goes to each: all in all at most as many copies as there are
+    partitions. how: inner or left. Null keys find nothing. Keys are counted in ``counted`` (``left``, if not given): pass
+    a stored or cheap frame, or a stored ``right`` with the counts as __rows (dropped here).
     """
-    spark = left.sparkSession
-    counts, known = (right.select(*on, "__rows"), right.drop("__rows")) if "__rows" in right.columns else (left.groupBy(*on).agg(F.count("*").alias("__rows")), right)
-    total = (counts.agg(F.sum("__rows")).first()[0] if known is not right else left.count()) or 0
-    right, counts = known, counts.filter(F.col("__rows") > max(HOT_LEAST, 2 * total // int(spark.conf.get("spark.sql.shuffle.partitions")))).select(*on)
-    rows = counts.collect()  # at most half as many as there are partitions
+    spark, tasks = left.sparkSession, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if "__rows" in right.columns:
+        counts, right = right.select(*on, "__rows"), right.drop("__rows")
+        total = counts.agg(F.sum("__rows")).first()[0] or 0
+    else:
+        counted = left if counted is None else counted
+        counts, total = counted.groupBy(*on).agg(F.count("*").alias("__rows")), counted.count()
+    least = max(HOT_LEAST, 2 * total // tasks)
+    hot = counts.filter(F.col("__rows") > least).select(*on, F.expr(f"cast(2 * __rows div {least} as int)").alias("__parts"))
+    rows = hot.collect()  # at most half as many as there are partitions
     if not rows:
         return left.join(right, on, how)
-    hot = F.broadcast(spark.createDataFrame(rows, counts.schema))
-    told = F.broadcast(right.join(hot, on, "left_semi"))
-    return left.join(hot, on, "left_semi").join(told, on, how).unionByName(left.join(hot, on, "left_anti").join(right, on, how))
+    hot = F.broadcast(spark.createDataFrame(rows, hot.schema))
+    dealt = F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64(*(by or left.columns)), F.col("__parts")).cast("int")).otherwise(F.lit(0))
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))
+    salted = left.join(hot, on, "left").withColumn("__salt", dealt).drop("__parts")
+    return salted.join(right.join(hot, on, "left").withColumn("__salt", copies).drop("__parts"), [*on, "__salt"], how).drop("__salt")
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

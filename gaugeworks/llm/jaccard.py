@@ -1,16 +1,19 @@
 """N-gram Jaccard join: a size-aware heavy-light join over sets of word shingles.
 
 Texts with equal sets are one class. A class takes part only if enough of its smallest elements are
-among another's smallest, as those of similar sets must be; most texts end there. The others are
+among another's smallest, as those of similar sets must be; most texts end there. The others, the candidates, are
 linked in two ways, and a boundary between small and large sets, chosen by cost, says which:
 
 * Two small sets. To be similar, sets of sizes a and b must share c(a, b) elements, so they share a
-  subset of that size. Each small set lists its subsets for every size it can be paired with;
-  sets that list the same one are similar.
-* A pair with a large set. Each set stands in the inverted lists of its first elements in one
+  subset of that size. Each small set lists its subsets for every size of a small set that it can be
+  paired with; of elements that another set holds too, as others are in no shared subset.
+* A pair with a large set. Each set that can be paired with a large one stands in the inverted lists of its first elements in one
   global order: so many that two similar sets share one of them. Elements of one set alone come
   first in that order (and need no list), heavy ones, of many sets, last. Lists are scanned,
-  filtered by size and position, and what is left is compared as whole sets.
+  filtered by size and position.
+
+What either half finds is compared as whole sets. Cost is counted in rows over all candidates: subsets on one side, on the
+other list entries, each with the pair it makes and that pair's lookups.
 
 A list isn't scanned for all its pairs. A pivot is compared with the others; the classes that turn out
 connected need no comparison among themselves, and only pairs across components remain. The
@@ -20,8 +23,7 @@ links found this way have the same components as all links.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
-from math import comb
+from itertools import chain, combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import wordhash
-from gaugeworks.llm.common import slices, stored, table, text_bytes
+from gaugeworks.llm.common import keyed_join, slices, stored, table, text_bytes
 from gaugeworks.llm.components import components
 
-#: Sets up to this size keep all elements beside their first ones, and may count as small.
-SMALL_MOST = 40
+#: Rows that an entry of an inverted list costs where a subset costs one: itself, its pair, and the pair's four lookups.
+SCAN_ROWS = 6
 #: Bits of the filters that tell elements of two sets or more: 16 an element, within these bounds. A full filter
 #: lets more through; it never loses an element.
 FILTER_BITS = (1 << 16, 1 << 28)
@@ -43,6 +45,8 @@ HEAVY_LEAST, HEAVY_MOST = 16, 500_000
 BROADCAST_ROWS = 1_000_000
 #: The rest of the pairs is compared at once when it is at most so many times the rows of the lists, or so many.
 WORK, WORK_LEAST = 4, 200_000_000
+#: Pairs of one list that a task may be given whatever its even share.
+PAIRS_LEAST = 1_000_000
 
 
 def _first(n: int, num: int, den: int) -> int:
@@ -71,13 +75,29 @@ def _needed(a: int, b: int, num: int, den: int) -> int:
     return -(-num * (a + b) // (num + den))
 
 
-def _partners(n: int, num: int, den: int) -> range:
-    return range(-(-num * n // den), n * den // num + 1)
+class _Sizes:
+    """The sizes that candidates have, and which of them several have: others need no subsets."""
+
+    def __init__(self, sizes: np.ndarray, counts: np.ndarray, num: int, den: int):
+        order = np.argsort(sizes)
+        self.sizes, self.many, self.num, self.den = sizes[order].astype(np.int64), counts[order] > 1, num, den
+
+    def partners(self, n: int, held: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes of sets that a set of n, of whose elements others hold ``held``, may be similar to; and how many elements they must share."""
+        low, high = np.searchsorted(self.sizes, [-(-self.num * n // self.den), n * self.den // self.num + 1])
+        t = self.sizes[low:high]
+        c = -(-self.num * (n + t) // (self.num + self.den))
+        # Of one size, and all elements shared: equal sets, which are one class.
+        use = (c <= np.minimum(np.minimum(t, n), held)) & ((t != n) | (self.many[low:high] & (c < n)))
+        return t[use], c[use]
 
 
-def subset_count(n: int, num: int, den: int) -> int:
-    """How many subsets a small set of n elements lists."""
-    return sum(comb(n, c) for t in _partners(n, num, den) if not (t == n and (c := _needed(n, t, num, den)) == n) and (c := _needed(n, t, num, den)) <= min(n, t))
+def _subset_counts(held: int, c: np.ndarray) -> np.ndarray:
+    """How many subsets of c elements a set of ``held`` has, at most 1e15."""
+    gone = held - c
+    steps = np.arange(1, int(gone.max()) + 1 if len(gone) else 1)
+    log = np.concatenate(([0.0], np.cumsum(np.log((held - steps + 1) / steps))))
+    return np.exp(np.minimum(log[gone], 34.5))
 
 
 def _spark_sets(batch: pa.RecordBatch, at: int, shingle: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -102,7 +122,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def _profiles(docs: DataFrame, id: str, text: str, shingle: int, num: int, den: int, quarters: int, whole: bool) -> DataFrame:
-    """id_, n, d1, d2 and some: the set (whole, or small), or its smallest elements."""
+    """id_, n, d1, d2 and some: the set (whole), or its smallest elements."""
     kind = docs.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +135,7 @@ def _profiles(docs: DataFrame, id: str, text: str, shingle: int, num: int, den:
                     one, two = _digest(s)
                     d1.append(one)
                     d2.append(two)
-                    some.append(s if whole or len(s) <= SMALL_MOST else s[: _smallest(len(s), num, den, quarters)])
+                    some.append(s if whole else s[: _smallest(len(s), num, den, quarters)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), _lists(some)], ["id_", "n", "d1", "d2", "some"])
 
     return docs.select(docs[id].alias("id_"), docs[text].cast("string").alias("text_")).mapInArrow(run, f"id_ {kind}, n int, d1 long, d2 long, some array<long>")
@@ -179,33 +199,52 @@ def _firsts(sets: DataFrame, shared: _Filter, heavy: np.ndarray, num: int, den:
     return sets.select("cid", "n", "some").mapInArrow(run, "cid long, n int, first array<long>, alone int")
 
 
-def _subsets(classes: DataFrame, most: int, num: int, den: int) -> DataFrame:
-    """a, b, subset, n, cid: every small set's subsets for each pair of sizes a < = b that it can be in."""
+def _held(column: pa.ListArray, shared: _Filter) -> Iterator[np.ndarray]:
+    """Of each set the elements that the filter holds."""
+    values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+    known = shared.holds(values)
+    for a, b in zip(offsets, offsets[1:]):
+        yield values[a:b][known[a:b]]
+
+
+def _prices(sets: DataFrame, shared: _Filter, sizes: _Sizes) -> DataFrame:
+    """m, price: how many subsets pairs of sizes ask for whose greater is m; in parts."""
+    told = sets.sparkSession.sparkContext.broadcast((shared, sizes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared, sizes = told.value
+        total = np.zeros(len(sizes.sizes))
         for batch in batches:
-            out: list[tuple[int, int, int, int, int]] = []
-            for cid, n, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                marks = wordhash.mix(np.array(s.as_py(), np.int64).view(np.uint64) ^ np.uint64(wordhash.BASE))
-                total = marks.sum(dtype=np.uint64)
-                for t in _partners(n, num, den):
-                    c = _needed(n, t, num, den)
-                    if t > most or c > min(n, t) or t == n == c:
-                        continue
-                    for gone in combinations(range(n), n - c):
-                        key = total - marks[list(gone)].sum(dtype=np.uint64) if gone else total
-                        out.append((min(n, t), max(n, t), int(np.uint64(key).view(np.int64)), n, cid))
-                    if len(out) > 100_000:
-                        yield _rows(out)
-                        out = []
-            yield _rows(out)
+            for n, held in zip(batch.column(0).to_pylist(), _held(batch.column(1), shared)):
+                t, c = sizes.partners(n, len(held))
+                np.add.at(total, np.searchsorted(sizes.sizes, np.maximum(t, n)), _subset_counts(len(held), c))
+        yield pa.RecordBatch.from_arrays([pa.array(sizes.sizes[total > 0]), pa.array(total[total > 0])], ["m", "price"])
 
-    def _rows(out: list) -> pa.RecordBatch:
-        a, b, key, n, cid = zip(*out) if out else ((),) * 5
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(key, pa.int64()), pa.array(n, pa.int32()), pa.array(cid, pa.int64())], ["a", "b", "subset", "n", "cid"])
+    return sets.select("n", "some").mapInArrow(run, "m long, price double")
+
+
+def _subsets(sets: DataFrame, shared: _Filter, sizes: _Sizes, most: int) -> DataFrame:
+    """a, b, one, two, n, cid: every small set's subsets, as two independent keys, for each pair of sizes a <= b that it can be in."""
+    told = sets.sparkSession.sparkContext.broadcast((shared, sizes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared, sizes = told.value
+        for batch in batches:
+            for cid, n, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _held(batch.column(2), shared)):
+                u = held.view(np.uint64)
+                marks = np.stack((wordhash.mix(u ^ np.uint64(wordhash.BASE)), wordhash.mix(u * np.uint64(wordhash.BASE) + np.uint64(3))))
+                total = marks.sum(1, dtype=np.uint64)
+                for t, c in zip(*(x.tolist() for x in sizes.partners(n, len(held)))):
+                    if t > most:
+                        continue
+                    left_out = combinations(range(len(held)), len(held) - c)
+                    while some := list(islice(left_out, 50_000)):
+                        gone = np.fromiter(chain.from_iterable(some), np.int64).reshape(len(some), -1)
+                        keys = (total[:, None] - marks[:, gone].sum(2, dtype=np.uint64)).view(np.int64)
+                        same = lambda x, kind: pa.array(np.full(len(some), x, kind))  # noqa: B023, E731
+                        yield pa.RecordBatch.from_arrays([same(min(n, t), np.int32), same(max(n, t), np.int32), pa.array(keys[0]), pa.array(keys[1]), same(n, np.int32), same(cid, np.int64)], ["a", "b", "one", "two", "n", "cid"])
 
-    chosen = classes.filter((F.col("n") <= most) & (F.col("n") > 0)).select("cid", "n", "some")
-    return chosen.mapInArrow(run, "a int, b int, subset long, n int, cid long")
+    return sets.filter(F.col("n") <= most).select("cid", "n", "some").mapInArrow(run, "a int, b int, one long, two long, n int, cid long")
 
 
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -247,61 +286,81 @@ class _Join:
         sets = _profiles(texts, self.id, self.text, self.shingle, self.num, self.den, self.quarters, whole=True)
         return sets.join(_bounded(wanted.select("cid", "n", "d1", "d2"), count), ["n", "d1", "d2"]).dropDuplicates(["cid"]).select("cid", "n", "some")
 
-    def lists(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """sets: cid, n, some (whole) of the candidates; first: cid, n, first, alone; and lists: e, cid, n, pos."""
+    def lists(self) -> tuple[DataFrame, DataFrame, DataFrame, _Filter]:
+        """sets: cid, n, some (whole) of the candidates; first: cid, n, first, alone; lists: e, cid, n, pos; what sets share."""
         near = _candidates(self.classes, _Filter(*self.shared(self.classes)), self.num, self.den, self.quarters)
         sets = stored(self.whole(near), "jaccard-sets")
-        shared, count = self.shared(sets)
-        first = stored(_firsts(sets, _Filter(shared, count), self.heavy(shared), self.num, self.den), "jaccard-first")
+        counts, count = self.shared(sets)
+        shared = _Filter(counts, count)
+        first = stored(_firsts(sets, shared, self.heavy(counts), self.num, self.den), "jaccard-first")
         entries = first.select("cid", "n", "alone", F.posexplode("first").alias("at", "e")).select("e", "cid", "n", (F.col("at") + F.col("alone")).alias("pos"))
-        return sets, first, stored(entries, "jaccard-lists")
-
-    def boundary(self, lists: DataFrame) -> int:
-        """The size up to which sets are small: the one with the least cost of subsets and scans."""
-        counts = lists.groupBy("e").agg(F.count("*").alias("k"))
-        scans = lists.filter(F.col("n") <= SMALL_MOST).join(counts, "e").groupBy("n").agg(F.sum("k").alias("k"))
-        scanned = {r["n"]: r["k"] for r in scans.collect()}  # a row for each size up to SMALL_MOST
-        sets = {r["n"]: r["count"] for r in self.classes.filter(F.col("n") <= SMALL_MOST).groupBy("n").count().collect()}
-        cost = lambda x: sum(sets.get(n, 0) * subset_count(n, self.num, self.den) if n <= x else scanned.get(n, 0) for n in range(1, SMALL_MOST + 1))
-        return min(range(SMALL_MOST + 1), key=cost)
-
-    def small_links(self, most: int) -> DataFrame:
-        """Links between small sets: in each group of the same subset, every set to the smallest of the other size."""
-        subsets = stored(_subsets(self.classes, most, self.num, self.den), "jaccard-subsets")
-        ends = subsets.groupBy("a", "b", "subset").agg(F.min(F.when(F.col("n") == F.col("a"), F.col("cid"))).alias("low"), F.min(F.when(F.col("n") == F.col("b"), F.col("cid"))).alias("high"), F.count("*").alias("k"))
-        met = subsets.join(ends.filter("k > 1 and low is not null and high is not null"), ["a", "b", "subset"])
-        return met.select(F.col("cid").alias("u"), F.when(F.col("n") == F.col("a"), F.col("high")).otherwise(F.col("low")).alias("v")).filter("u <> v").distinct()
-
-    def pairs(self, left: DataFrame, right: DataFrame, most: int, also: str) -> DataFrame:
-        """u, v from two sides of the same list that sizes and positions let be similar."""
-        num, den = self.num, self.den
-        l = left.select("e", F.col("cid").alias("u"), F.col("n").alias("a"), F.col("pos").alias("i"), *(F.col(c).alias(f"l_{c}") for c in left.columns if c not in ("e", "cid", "n", "pos")))  # noqa: E741
-        r = right.select("e", F.col("cid").alias("v"), F.col("n").alias("b"), F.col("pos").alias("j"), *(F.col(c).alias(f"r_{c}") for c in right.columns if c not in ("e", "cid", "n", "pos")))
-        fits = f"u <> v and greatest(a, b) > {most} and {den}L * least(a, b) >= {num}L * greatest(a, b) and least(a - i, b - j) >= {self.needed('a', 'b')}"
-        met = l.withColumnRenamed("e", "e_").join(r, F.expr(f"e_ = e and {fits} and {also}"))
-        return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        return sets, first, stored(entries, "jaccard-lists"), shared
+
+    def boundary(self, prices: DataFrame, lists: DataFrame) -> int:
+        """The size up to which sets are small: the one with the least cost of subsets and scans.
+
+        Sets whose partners are all small leave the lists. Both sides are priced over all candidates.
+        """
+        scans = {r["n"]: SCAN_ROWS * r["count"] for r in lists.groupBy("n").count().collect()}  # a row for each size
+        whole = sum(scans.values())
+        # Where the subsets of one size alone cost more than all scans, no boundary lies beyond.
+        summed = prices.groupBy("m").agg(F.sum("price").alias("price"))
+        stop = summed.filter(F.col("price") > whole).agg(F.min("m")).first()[0]
+        asked = sorted((r["m"], r["price"]) for r in (summed if stop is None else summed.filter(F.col("m") < stop)).collect())
+        best, least, paid = 0, whole, 0.0
+        for size, price in asked:
+            paid += price
+            cost = paid + sum(x for n, x in scans.items() if n * self.den // self.num > size)
+            if paid > whole:
+                break
+            if cost <= least:
+                best, least = size, cost
+        return best
+
+    def small_links(self, sets: DataFrame, first: DataFrame, shared: _Filter, sizes: _Sizes, most: int) -> DataFrame:
+        """Links between small sets: in each group of one subset every set is compared to the smallest of the other size."""
+        key = ["a", "b", "one", "two"]
+        subsets = stored(_subsets(sets, shared, sizes, most), "jaccard-subsets")
+        of = lambda size: F.min(F.when(F.col("n") == F.col(size), F.col("cid")))
+        ends = subsets.groupBy(*key).agg(of("a").alias("low"), of("b").alias("high"), F.count("*").alias("__rows")).filter("__rows > 1 and low is not null and high is not null")
+        met = keyed_join(subsets, stored(ends, "jaccard-ends"), key)
+        other = F.when(F.col("n") == F.col("a"), F.col("high")).otherwise(F.col("low"))
+        pairs = met.select(F.least("cid", other).alias("u"), F.greatest("cid", other).alias("v")).filter("u <> v").distinct()
+        return self.verified(pairs, sets, first)
+
+    def _fit(self, met: DataFrame, most: int, also: str = "true") -> DataFrame:
+        """u, v of the pairs (cid, n, pos with p_cid, p_n, p_pos) that sizes and positions let be similar, one of them large."""
+        fits = f"cid <> p_cid and greatest(n, p_n) > {most} and {self.den}L * least(n, p_n) >= {self.num}L * greatest(n, p_n) and least(n - pos, p_n - p_pos) >= {self.needed('n', 'p_n')}"
+        return met.filter(f"{fits} and {also}").select(F.least("cid", "p_cid").alias("u"), F.greatest("cid", "p_cid").alias("v")).distinct()
 
     def verified(self, pairs: DataFrame, sets: DataFrame, first: DataFrame) -> DataFrame:
         """The pairs that are similar: filtered by their listed elements, then compared as whole sets."""
         short = lambda key: first.select(F.col("cid").alias(key), F.col("n").alias(f"n_{key}"), F.col("first").alias(f"s_{key}"), (F.size("first") + F.col("alone")).alias(f"k_{key}"))
         full = lambda key: sets.select(F.col("cid").alias(key), F.col("n").alias(f"n_{key}"), F.col("some").alias(f"s_{key}"))
-        near = pairs.join(short("u"), "u").join(short("v"), "v")
+        pairs = stored(pairs, "jaccard-asked")
+        near = keyed_join(keyed_join(pairs, short("u"), ["u"], by=["v"]), short("v"), ["v"], by=["u"], counted=pairs)
         # Beyond the listed elements of the one whose list ends first, at most the rest of it is shared.
         bound = f"size(array_intersect(s_u, s_v)) + greatest(n_u - k_u, n_v - k_v) >= {self.needed('n_u', 'n_v')}"
         kept = stored(near.filter(bound).select("u", "v"), "jaccard-pairs")
-        met = kept.join(full("v"), "v").join(full("u"), "u").withColumn("both", F.size(F.array_intersect("s_u", "s_v")))
+        met = keyed_join(keyed_join(kept, full("v"), ["v"], by=["u"]), full("u"), ["u"], by=["v"], counted=kept).withColumn("both", F.size(F.array_intersect("s_u", "s_v")))
         return stored(met.filter(f"{self.den}L * both >= {self.num}L * (n_u + n_v - both)").select("u", "v"), "jaccard-links")
 
     def links(self) -> DataFrame:
         """Links between classes that have the same components as all links."""
-        sets, first, lists = self.lists()
-        most = self.boundary(lists)
-        found = stored(self.small_links(most), "jaccard-links")
-        pivots = lists.groupBy("e").agg(F.min(F.struct("pos", F.xxhash64("cid").alias("h"), "cid", "n")).alias("p"), F.count("*").alias("k")).filter("k > 1").select("e", "p.cid", "p.n", "p.pos")
-        pivots = stored(pivots, "jaccard-pivots")
-        found = found.unionByName(self.verified(self.pairs(pivots, lists, most, "true"), sets, first))
-        left = lists.join(pivots.select("e", "cid"), ["e", "cid"], "left_anti")
-        size, turn = lists.count(), 0
+        sets, first, lists, shared = self.lists()
+        told = sets.groupBy("n").count().collect()  # a row for each size
+        sizes = _Sizes(np.array([r["n"] for r in told]), np.array([r["count"] for r in told]), self.num, self.den)
+        most = self.boundary(_prices(sets, shared, sizes), lists)
+        found = self.small_links(sets, first, shared, sizes, most)
+        self.told = {"candidates": sum(r["count"] for r in told), "boundary": most, "subset_links": found.count()}
+        lists = lists.filter(f"n * {self.den}L div {self.num} > {most}")
+        pivots = lists.groupBy("e").agg(F.min(F.struct("pos", F.xxhash64("cid").alias("h"), "cid", "n")).alias("p"), F.count("*").alias("__rows")).filter("__rows > 1")
+        pivots = stored(pivots.select("e", F.col("p.cid").alias("p_cid"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos"), "__rows"), "jaccard-pivots")
+        scanned = self.verified(self._fit(keyed_join(lists, pivots, ["e"]), most), sets, first)
+        self.told["scan_links"] = scanned.count()
+        found = found.unionByName(scanned)
+        left = lists.join(pivots.select("e", F.col("p_cid").alias("cid")), ["e", "cid"], "left_anti")
+        size, turn, tasks = lists.count(), 0, int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         while True:
             turn += 1
             groups = components(found)
@@ -313,22 +372,27 @@ class _Join:
             work, lengths = odd.agg(F.coalesce(F.sum(F.col("s") * F.col("k")), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
             if not work:
                 return found
-            open_ = marked.join(odd, "e")
+            open_ = stored(keyed_join(marked, odd, ["e"], counted=marked), "jaccard-open")
             limit = max(WORK * size, WORK_LEAST)
             last = work <= limit
             each = max(1, limit // max(lengths, 1))
             chance = F.lit(True) if last else F.pmod(F.xxhash64("cid", F.lit(turn)), F.col("s")) < each
             # A list's strays are compared with all others of it; not last: about ``each`` of them now, the rest later.
-            strays = open_.filter(F.col("comp") != F.col("main")).filter(chance)
-            strays = stored(strays, "jaccard-strays")
-            now = self.pairs(strays.select("e", "cid", "n", "pos", "comp"), open_.select("e", "cid", "n", "pos", "comp"), most, "l_comp <> r_comp")
-            found = found.unionByName(self.verified(now, sets, first))
+            # Where that is much work the others are dealt to several tasks, and the strays go to each.
+            share = max(PAIRS_LEAST, 2 * min(work, limit) // tasks)
+            parts = F.expr(f"cast(1 + {'s' if last else f'least(s, {each})'} * k div {share} as int)")
+            strays = stored(open_.filter(F.col("comp") != F.col("main")).filter(chance), "jaccard-strays")
+            dealt = open_.withColumn("salt", F.pmod(F.xxhash64("cid"), parts).cast("int"))
+            copies = strays.select("e", F.col("cid").alias("p_cid"), F.col("n").alias("p_n"), F.col("pos").alias("p_pos"), F.col("comp").alias("p_comp"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+            scanned = self.verified(self._fit(dealt.join(copies, ["e", "salt"]), most, "comp <> p_comp"), sets, first)
+            self.told["scan_links"] += scanned.count()
+            found = found.unionByName(scanned)
             if last:
                 return found
             left = open_.select("e", "cid", "n", "pos").join(strays.select("e", "cid"), ["e", "cid"], "left_anti")
 
 
-def ngram_jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, num: int = 80, den: int = 100, quarters: int | None = None) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, num: int = 80, den: int = 100, quarters: int | None = None, told: dict | None = None) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, class_id (the smallest id with an equal set) and
     component_id (the smallest id that links reach). Two texts are linked when
     den * shared shingles >= num * all shingles of both. These are components and not the links: pairs within
@@ -338,16 +402,20 @@ def ngram_jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text",
     shingle; null, empty or blank texts have none and link with nothing. Repeated rows fall into one
     class and stay rows. quarters: how many smallest elements decide who takes part, in quarters of those that must
     be listed; more of them tell better, and short shingles, often shared by chance, ask for more (8 up to three words,
-    else 5). The result doesn't depend on it. A null id takes part; it is nobody's smallest id unless all are null.
+    else 5). The result doesn't depend on it. told: takes the number of candidates, the boundary between small and large sets, and how
+    many links subsets and scans have found. A null id takes part; it is nobody's smallest id unless all are null.
     """
     if not 0 < num <= den:
         raise ValueError("0 < num <= den")
     run = _Join(docs, id, text, shingle, num, den, quarters or (8 if shingle <= 3 else 5))
     groups = components(run.links())
+    if told is not None:
+        told |= run.told
     named = run.classes.select("cid", "n", "d1", "d2", "least_id").join(groups, F.col("cid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cid"))
-    least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    told = stored(named.join(least, "comp").select("n", "d1", "d2", "least_id", "component_id"), "jaccard-classes")
-    return run.rows.join(told, ["n", "d1", "d2"], "left").select(
+    named = stored(named.select("n", "d1", "d2", "least_id", "comp"), "jaccard-named")
+    least = stored(named.groupBy("comp").agg(F.min("least_id").alias("component_id"), F.count("*").alias("__rows")), "jaccard-least")
+    classes = stored(keyed_join(named, least, ["comp"]).select("n", "d1", "d2", "least_id", "component_id"), "jaccard-classes")
+    return keyed_join(run.rows, classes, ["n", "d1", "d2"], "left", by=["id_"]).select(
         F.col("id_").alias(id), F.col("n").cast("long").alias("n_shingles"), F.coalesce("least_id", "id_").alias("class_id"), F.coalesce("component_id", "id_").alias("component_id")
     )
 

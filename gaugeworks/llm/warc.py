@@ -85,7 +85,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     near = points.withColumn("near", F.last("own", True).over(inside)).filter("asked").select("curl", "slice", "ts", "near")
     answers = stored(near.join(carried, ["curl", "slice"], "left").select("curl", "ts", F.coalesce("near", "carry").alias("base")), "warc-answers")
     asks = stored(r.filter("kind = 'revisit'").select("record_id", "url", "curl", "ts", "etag", "last_modified", "headers"), "warc-revisits")
-    met = keyed_join(asks.filter(answered), answers, ["curl", "ts"], "left").unionByName(asks.filter(~answered), allowMissingColumns=True)
+    met = keyed_join(asks.filter(answered), answers, ["curl", "ts"], "left", by=["record_id"]).unionByName(asks.filter(~answered), allowMissingColumns=True)
     base, strong = F.col("base"), lambda e: F.regexp_replace(e, "^W/", "")
     differ = F.when(F.col("etag").isNotNull() & base["etag"].isNotNull(), strong(F.col("etag")) != strong(base["etag"])).otherwise(F.coalesce(F.col("last_modified") != base["last_modified"], F.lit(False)))
     outcome = F.when(base.isNull(), "no response").when(differ, "changed").otherwise("resolved")

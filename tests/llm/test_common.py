@@ -11,7 +11,7 @@ def test_keyed_join(spark, monkeypatch, how, least):
     """Hot keys, null keys, keys without a match: as a plain join answers."""
     monkeypatch.setattr(common, "HOT_LEAST", least)
     r = random.Random(1)
-    rows = [(r.choice(["a"] * 6 + ["b", "c", None]), r.choice([1, 1, 2]), i) for i in range(400)]
+    rows = [(r.choice(["a"] * 16 + ["b", "c", None]), r.choice([1] * 9 + [2]), i) for i in range(400)]
     left = spark.createDataFrame(rows, "k string, l int, i int")
     right = spark.createDataFrame([("a", 1, 10.0), ("b", 2, 20.0), ("z", 1, 30.0), (None, 1, 40.0)], "k string, l int, v double")
     got = common.keyed_join(left, right, ["k", "l"], how).select("k", "l", "i", "v").collect()
