@@ -4,18 +4,15 @@ Texts with equal sets are one class. A class takes part only if enough of its sm
 among another's smallest, as those of similar sets must be; most texts end there. The others, the candidates, are
 linked in two ways, and a boundary between small and large sets, chosen by cost, says which:
 
-* Two small sets. To be similar, sets of sizes a and b must share c(a, b) elements, so they share a
-  subset of that size. Each small set lists its subsets for every size of a small set that it can be
-  paired with; of elements that another set holds too, as others are in no shared subset.
-* A pair with a large set. Each set that can be paired with a large one stands in the inverted lists of its first elements in one
-  global order: so many that two similar sets share one of them. Elements of one set alone come
-  first in that order (and need no list), heavy ones, of many sets, last. Lists are scanned,
-  filtered by size and position.
-
-What either half finds is compared as whole sets. Cost is counted in rows over all candidates: subsets on one side, on the
-other list entries, each with the pair it makes and that pair's lookups.
-
-A list isn't scanned for all its pairs. A pivot is compared with the others; the classes that turn out
+* Two small sets. Similar sets share one of their first elements in one global order, and two of their first ones
+  and one more. Each small set lists the subsets of SUBSET elements of these; sets that list the same one are compared.
+* A pair with a large set. Each set that can be paired with a large one stands in the inverted lists of its first elements.
+
+Elements of one set alone come first in that order (no list or subset needs them), heavy ones, of many sets, last. Sets that meet
+are filtered by size and position, and what is left is compared as whole sets. Cost is counted in rows over all
+candidates: subsets on one side, on the other list entries, each with the pair it makes and that pair's lookups.
+
+The sets of a list, or of a subset, aren't compared all with all. A pivot is compared with the others; the classes that turn out
 connected need no comparison among themselves, and only pairs across components remain. The
 links found this way have the same components as all links.
 """
@@ -23,7 +20,6 @@ links found this way have the same components as all links.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +30,8 @@ from gaugeworks.llm import wordhash
 from gaugeworks.llm.common import keyed_join, slices, stored, table, text_bytes
 from gaugeworks.llm.components import components
 
+#: Size of the subsets that small sets list. Sets that share more than half of all their elements, and aren't equal, share two.
+SUBSET = 2
 #: Rows that an entry of an inverted list costs where a subset costs one: itself, its pair, and the pair's four lookups.
 SCAN_ROWS = 6
 #: Bits of the filters that tell elements of two sets or more: 16 an element, within these bounds. A full filter
@@ -75,31 +73,6 @@ def _needed(a: int, b: int, num: int, den: int) -> int:
     return -(-num * (a + b) // (num + den))
 
 
-class _Sizes:
-    """The sizes that candidates have, and which of them several have: others need no subsets."""
-
-    def __init__(self, sizes: np.ndarray, counts: np.ndarray, num: int, den: int):
-        order = np.argsort(sizes)
-        self.sizes, self.many, self.num, self.den = sizes[order].astype(np.int64), counts[order] > 1, num, den
-
-    def partners(self, n: int, held: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sizes of sets that a set of n, of whose elements others hold ``held``, may be similar to; and how many elements they must share."""
-        low, high = np.searchsorted(self.sizes, [-(-self.num * n // self.den), n * self.den // self.num + 1])
-        t = self.sizes[low:high]
-        c = -(-self.num * (n + t) // (self.num + self.den))
-        # Of one size, and all elements shared: equal sets, which are one class.
-        use = (c <= np.minimum(np.minimum(t, n), held)) & ((t != n) | (self.many[low:high] & (c < n)))
-        return t[use], c[use]
-
-
-def _subset_counts(held: int, c: np.ndarray) -> np.ndarray:
-    """How many subsets of c elements a set of ``held`` has, at most 1e15."""
-    gone = held - c
-    steps = np.arange(1, int(gone.max()) + 1 if len(gone) else 1)
-    log = np.concatenate(([0.0], np.cumsum(np.log((held - steps + 1) / steps))))
-    return np.exp(np.minimum(log[gone], 34.5))
-
-
 def _spark_sets(batch: pa.RecordBatch, at: int, shingle: int) -> Iterator[tuple[int, np.ndarray]]:
     data, offsets = text_bytes(batch.column(at))
     for a, b in slices(np.diff(offsets), 2_000_000):
@@ -179,7 +152,7 @@ def _candidates(classes: DataFrame, shared: _Filter, num: int, den: int, quarter
 
 
 def _firsts(sets: DataFrame, shared: _Filter, heavy: np.ndarray, num: int, den: int) -> DataFrame:
-    """cid, n, first: the elements to list. Order: not shared, shared, heavy; each by value. alone: how many come first that nobody shares."""
+    """cid, n, first: the elements to list, and one more. Order: not shared, shared, heavy; each by value. alone: how many come first that nobody shares."""
     told = sets.sparkSession.sparkContext.broadcast((shared, heavy))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +163,7 @@ def _firsts(sets: DataFrame, shared: _Filter, heavy: np.ndarray, num: int, den:
             kind[np.isin(values, told.value[1])] = 2
             for i, n in enumerate(batch.column(1).to_pylist()):
                 s, k = values[offsets[i] : offsets[i + 1]], kind[offsets[i] : offsets[i + 1]]
-                p = _first(n, num, den)
+                p = min(n, _first(n, num, den) + SUBSET - 1)
                 own = int((k == 0).sum())
                 alone.append(min(own, p))
                 firsts.append(np.concatenate((s[k == 1], s[k == 2]))[: max(0, p - own)])
@@ -199,54 +172,6 @@ def _firsts(sets: DataFrame, shared: _Filter, heavy: np.ndarray, num: int, den:
     return sets.select("cid", "n", "some").mapInArrow(run, "cid long, n int, first array<long>, alone int")
 
 
-def _held(column: pa.ListArray, shared: _Filter) -> Iterator[np.ndarray]:
-    """Of each set the elements that the filter holds."""
-    values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
-    known = shared.holds(values)
-    for a, b in zip(offsets, offsets[1:]):
-        yield values[a:b][known[a:b]]
-
-
-def _prices(sets: DataFrame, shared: _Filter, sizes: _Sizes) -> DataFrame:
-    """m, price: how many subsets pairs of sizes ask for whose greater is m; in parts."""
-    told = sets.sparkSession.sparkContext.broadcast((shared, sizes))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared, sizes = told.value
-        total = np.zeros(len(sizes.sizes))
-        for batch in batches:
-            for n, held in zip(batch.column(0).to_pylist(), _held(batch.column(1), shared)):
-                t, c = sizes.partners(n, len(held))
-                np.add.at(total, np.searchsorted(sizes.sizes, np.maximum(t, n)), _subset_counts(len(held), c))
-        yield pa.RecordBatch.from_arrays([pa.array(sizes.sizes[total > 0]), pa.array(total[total > 0])], ["m", "price"])
-
-    return sets.select("n", "some").mapInArrow(run, "m long, price double")
-
-
-def _subsets(sets: DataFrame, shared: _Filter, sizes: _Sizes, most: int) -> DataFrame:
-    """a, b, one, two, n, cid: every small set's subsets, as two independent keys, for each pair of sizes a <= b that it can be in."""
-    told = sets.sparkSession.sparkContext.broadcast((shared, sizes))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared, sizes = told.value
-        for batch in batches:
-            for cid, n, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _held(batch.column(2), shared)):
-                u = held.view(np.uint64)
-                marks = np.stack((wordhash.mix(u ^ np.uint64(wordhash.BASE)), wordhash.mix(u * np.uint64(wordhash.BASE) + np.uint64(3))))
-                total = marks.sum(1, dtype=np.uint64)
-                for t, c in zip(*(x.tolist() for x in sizes.partners(n, len(held)))):
-                    if t > most:
-                        continue
-                    left_out = combinations(range(len(held)), len(held) - c)
-                    while some := list(islice(left_out, 50_000)):
-                        gone = np.fromiter(chain.from_iterable(some), np.int64).reshape(len(some), -1)
-                        keys = (total[:, None] - marks[:, gone].sum(2, dtype=np.uint64)).view(np.int64)
-                        same = lambda x, kind: pa.array(np.full(len(some), x, kind))  # noqa: B023, E731
-                        yield pa.RecordBatch.from_arrays([same(min(n, t), np.int32), same(max(n, t), np.int32), pa.array(keys[0]), pa.array(keys[1]), same(n, np.int32), same(cid, np.int64)], ["a", "b", "one", "two", "n", "cid"])
-
-    return sets.filter(F.col("n") <= most).select("cid", "n", "some").mapInArrow(run, "a int, b int, one long, two long, n int, cid long")
-
-
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -286,55 +211,53 @@ class _Join:
         sets = _profiles(texts, self.id, self.text, self.shingle, self.num, self.den, self.quarters, whole=True)
         return sets.join(_bounded(wanted.select("cid", "n", "d1", "d2"), count), ["n", "d1", "d2"]).dropDuplicates(["cid"]).select("cid", "n", "some")
 
-    def lists(self) -> tuple[DataFrame, DataFrame, DataFrame, _Filter]:
-        """sets: cid, n, some (whole) of the candidates; first: cid, n, first, alone; lists: e, cid, n, pos; what sets share."""
+    def lists(self) -> tuple[DataFrame, DataFrame]:
+        """sets: cid, n, some (whole) of the candidates; first: cid, n, first, alone."""
         near = _candidates(self.classes, _Filter(*self.shared(self.classes)), self.num, self.den, self.quarters)
         sets = stored(self.whole(near), "jaccard-sets")
         counts, count = self.shared(sets)
-        shared = _Filter(counts, count)
-        first = stored(_firsts(sets, shared, self.heavy(counts), self.num, self.den), "jaccard-first")
-        entries = first.select("cid", "n", "alone", F.posexplode("first").alias("at", "e")).select("e", "cid", "n", (F.col("at") + F.col("alone")).alias("pos"))
-        return sets, first, stored(entries, "jaccard-lists"), shared
+        return sets, stored(_firsts(sets, _Filter(counts, count), self.heavy(counts), self.num, self.den), "jaccard-first")
 
-    def boundary(self, prices: DataFrame, lists: DataFrame) -> int:
+    def boundary(self, first: DataFrame) -> int:
         """The size up to which sets are small: the one with the least cost of subsets and scans.
 
-        Sets whose partners are all small leave the lists. Both sides are priced over all candidates.
+        Sets whose partners are all small are in no list. Sets that may share less than SUBSET elements are never small.
         """
-        scans = {r["n"]: SCAN_ROWS * r["count"] for r in lists.groupBy("n").count().collect()}  # a row for each size
-        whole = sum(scans.values())
-        # Where the subsets of one size alone cost more than all scans, no boundary lies beyond.
-        summed = prices.groupBy("m").agg(F.sum("price").alias("price"))
-        stop = summed.filter(F.col("price") > whole).agg(F.min("m")).first()[0]
-        asked = sorted((r["m"], r["price"]) for r in (summed if stop is None else summed.filter(F.col("m") < stop)).collect())
-        best, least, paid = 0, whole, 0.0
-        for size, price in asked:
-            paid += price
-            cost = paid + sum(x for n, x in scans.items() if n * self.den // self.num > size)
-            if paid > whole:
-                break
-            if cost <= least:
-                best, least = size, cost
+        if 2 * self.num <= self.den:
+            return 0
+        held = F.size("first").cast("long")
+        listed = F.least(held, F.expr(f"greatest(0, n - ({self.num}L * n + {self.den - 1}) div {self.den} + 1 - alone)"))
+        told = first.groupBy("n").agg(F.sum(held * (held - 1) / 2).alias("subsets"), F.sum(listed).alias("entries")).collect()  # a row for each size
+        scans = sum(r["entries"] for r in told) * SCAN_ROWS
+        best, least, paid = 0, scans, 0
+        lists = sorted((r["n"] * self.den // self.num, r["entries"]) for r in told)
+        at = 0
+        rows = sorted(told, key=lambda r: r["n"])
+        for r, larger in zip(rows, [x["n"] for x in rows[1:]] + [lists[-1][0] + 1 if rows else 0]):
+            paid += r["subsets"]
+            size = larger - 1  # no set is larger than r and up to it
+            while at < len(lists) and lists[at][0] <= size:
+                scans, at = scans - SCAN_ROWS * lists[at][1], at + 1
+            if paid + scans <= least:
+                best, least = size, paid + scans
         return best
 
-    def small_links(self, sets: DataFrame, first: DataFrame, shared: _Filter, sizes: _Sizes, most: int) -> DataFrame:
-        """Links between small sets: in each group of one subset every set is compared to the smallest of the other size."""
-        key = ["a", "b", "one", "two"]
-        subsets = stored(_subsets(sets, shared, sizes, most), "jaccard-subsets")
-        of = lambda size: F.min(F.when(F.col("n") == F.col(size), F.col("cid")))
-        ends = subsets.groupBy(*key).agg(of("a").alias("low"), of("b").alias("high"), F.count("*").alias("__rows")).filter("__rows > 1 and low is not null and high is not null")
-        met = keyed_join(subsets, stored(ends, "jaccard-ends"), key)
-        other = F.when(F.col("n") == F.col("a"), F.col("high")).otherwise(F.col("low"))
-        pairs = met.select(F.least("cid", other).alias("u"), F.greatest("cid", other).alias("v")).filter("u <> v").distinct()
-        return self.verified(pairs, sets, first)
+    def meetings(self, first: DataFrame, most: int) -> DataFrame:
+        """e, f, cid, n, pos: who stands in the list of e (there f = e), or lists the subset of e and f. pos: how many of the
+        set's elements come before the first that a partner met here first shares; of a subset one less, as two are shared."""
+        listed = first.filter(f"n * {self.den}L div {self.num} > {most}").select("cid", "n", "alone", F.posexplode("first").alias("at", "e"))
+        listed = listed.select("e", F.col("e").alias("f"), "cid", "n", (F.col("at") + F.col("alone")).alias("pos")).filter(f"pos <= n - ({self.num}L * n + {self.den - 1}) div {self.den}")
+        twos = "flatten(transform(sequence(0, size(first) - 2), i -> transform(sequence(i + 1, size(first) - 1), j -> struct(first[i] as e, first[j] as f, j + alone - 1 as pos))))"
+        subsets = first.filter((F.col("n") <= most) & (F.size("first") > 1)).select("cid", "n", F.expr(f"inline({twos})")).select("e", "f", "cid", "n", "pos")
+        return stored(listed.unionByName(subsets), "jaccard-lists")
 
     def _fit(self, met: DataFrame, most: int, also: str = "true") -> DataFrame:
-        """u, v of the pairs (cid, n, pos with p_cid, p_n, p_pos) that sizes and positions let be similar, one of them large."""
-        fits = f"cid <> p_cid and greatest(n, p_n) > {most} and {self.den}L * least(n, p_n) >= {self.num}L * greatest(n, p_n) and least(n - pos, p_n - p_pos) >= {self.needed('n', 'p_n')}"
+        """u, v of the pairs (cid, n, pos with p_cid, p_n, p_pos) that sizes and positions let be similar; in lists, one of them large."""
+        fits = f"cid <> p_cid and (f <> e or greatest(n, p_n) > {most}) and {self.den}L * least(n, p_n) >= {self.num}L * greatest(n, p_n) and least(n - pos, p_n - p_pos) >= {self.needed('n', 'p_n')}"
         return met.filter(f"{fits} and {also}").select(F.least("cid", "p_cid").alias("u"), F.greatest("cid", "p_cid").alias("v")).distinct()
 
     def verified(self, pairs: DataFrame, sets: DataFrame, first: DataFrame) -> DataFrame:
-        """The pairs that are similar: filtered by their listed elements, then compared as whole sets."""
+        """The pairs that are similar, with the greater size: filtered by their listed elements, then compared as whole sets."""
         short = lambda key: first.select(F.col("cid").alias(key), F.col("n").alias(f"n_{key}"), F.col("first").alias(f"s_{key}"), (F.size("first") + F.col("alone")).alias(f"k_{key}"))
         full = lambda key: sets.select(F.col("cid").alias(key), F.col("n").alias(f"n_{key}"), F.col("some").alias(f"s_{key}"))
         pairs = stored(pairs, "jaccard-asked")
@@ -343,36 +266,31 @@ class _Join:
         bound = f"size(array_intersect(s_u, s_v)) + greatest(n_u - k_u, n_v - k_v) >= {self.needed('n_u', 'n_v')}"
         kept = stored(near.filter(bound).select("u", "v"), "jaccard-pairs")
         met = keyed_join(keyed_join(kept, full("v"), ["v"], by=["u"]), full("u"), ["u"], by=["v"], counted=kept).withColumn("both", F.size(F.array_intersect("s_u", "s_v")))
-        return stored(met.filter(f"{self.den}L * both >= {self.num}L * (n_u + n_v - both)").select("u", "v"), "jaccard-links")
+        return stored(met.filter(f"{self.den}L * both >= {self.num}L * (n_u + n_v - both)").select("u", "v", F.greatest("n_u", "n_v").alias("size")), "jaccard-links")
 
     def links(self) -> DataFrame:
         """Links between classes that have the same components as all links."""
-        sets, first, lists, shared = self.lists()
-        told = sets.groupBy("n").count().collect()  # a row for each size
-        sizes = _Sizes(np.array([r["n"] for r in told]), np.array([r["count"] for r in told]), self.num, self.den)
-        most = self.boundary(_prices(sets, shared, sizes), lists)
-        found = self.small_links(sets, first, shared, sizes, most)
-        self.told = {"candidates": sum(r["count"] for r in told), "boundary": most, "subset_links": found.count()}
-        lists = lists.filter(f"n * {self.den}L div {self.num} > {most}")
-        pivots = lists.groupBy("e").agg(F.min(F.struct("pos", F.xxhash64("cid").alias("h"), "cid", "n")).alias("p"), F.count("*").alias("__rows")).filter("__rows > 1")
-        pivots = stored(pivots.select("e", F.col("p.cid").alias("p_cid"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos"), "__rows"), "jaccard-pivots")
-        scanned = self.verified(self._fit(keyed_join(lists, pivots, ["e"]), most), sets, first)
-        self.told["scan_links"] = scanned.count()
-        found = found.unionByName(scanned)
-        left = lists.join(pivots.select("e", F.col("p_cid").alias("cid")), ["e", "cid"], "left_anti")
+        sets, first = self.lists()
+        most = self.boundary(first)
+        lists = self.meetings(first, most)
+        key = ["e", "f"]
+        pivots = lists.groupBy(*key).agg(F.min(F.struct("pos", F.xxhash64("cid").alias("h"), "cid", "n")).alias("p"), F.count("*").alias("__rows")).filter("__rows > 1")
+        pivots = stored(pivots.select(*key, F.col("p.cid").alias("p_cid"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos"), "__rows"), "jaccard-pivots")
+        found = self.verified(self._fit(keyed_join(lists, pivots, key), most), sets, first)
+        left = lists.join(pivots.select(*key, F.col("p_cid").alias("cid")), [*key, "cid"], "left_anti")
         size, turn, tasks = lists.count(), 0, int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         while True:
             turn += 1
             groups = components(found)
-            marked = left.join(groups, F.col("cid") == F.col("node"), "left").select("e", "cid", "n", "pos", F.coalesce("component", "cid").alias("comp"))
+            marked = left.join(groups, F.col("cid") == F.col("node"), "left").select(*key, "cid", "n", "pos", F.coalesce("component", "cid").alias("comp"))
             marked = stored(marked, "jaccard-marked")
             # Strays of a list: those outside the component with the smallest name. Counted by component first.
-            per = marked.groupBy("e", "comp").agg(F.count("*").alias("c")).groupBy("e").agg(F.sum("c").alias("k"), F.min("comp").alias("main"), (F.sum("c") - F.min_by("c", "comp")).alias("s"))
+            per = marked.groupBy(*key, "comp").agg(F.count("*").alias("c")).groupBy(*key).agg(F.sum("c").alias("k"), F.min("comp").alias("main"), (F.sum("c") - F.min_by("c", "comp")).alias("s"))
             odd = stored(per.filter("s > 0"), "jaccard-odd")
             work, lengths = odd.agg(F.coalesce(F.sum(F.col("s") * F.col("k")), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
             if not work:
-                return found
-            open_ = stored(keyed_join(marked, odd, ["e"], counted=marked), "jaccard-open")
+                break
+            open_ = stored(keyed_join(marked, odd, key), "jaccard-open")
             limit = max(WORK * size, WORK_LEAST)
             last = work <= limit
             each = max(1, limit // max(lengths, 1))
@@ -383,13 +301,15 @@ class _Join:
             parts = F.expr(f"cast(1 + {'s' if last else f'least(s, {each})'} * k div {share} as int)")
             strays = stored(open_.filter(F.col("comp") != F.col("main")).filter(chance), "jaccard-strays")
             dealt = open_.withColumn("salt", F.pmod(F.xxhash64("cid"), parts).cast("int"))
-            copies = strays.select("e", F.col("cid").alias("p_cid"), F.col("n").alias("p_n"), F.col("pos").alias("p_pos"), F.col("comp").alias("p_comp"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
-            scanned = self.verified(self._fit(dealt.join(copies, ["e", "salt"]), most, "comp <> p_comp"), sets, first)
-            self.told["scan_links"] += scanned.count()
-            found = found.unionByName(scanned)
+            copies = strays.select(*key, F.col("cid").alias("p_cid"), F.col("n").alias("p_n"), F.col("pos").alias("p_pos"), F.col("comp").alias("p_comp"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+            found = found.unionByName(self.verified(self._fit(dealt.join(copies, [*key, "salt"]), most, "comp <> p_comp"), sets, first))
             if last:
-                return found
-            left = open_.select("e", "cid", "n", "pos").join(strays.select("e", "cid"), ["e", "cid"], "left_anti")
+                break
+            left = open_.select(*key, "cid", "n", "pos").join(strays.select(*key, "cid"), [*key, "cid"], "left_anti")
+        small = F.count_if(F.col("size") <= most)
+        of_subsets, of_scans = found.agg(small, F.count("*") - small).first()
+        self.told = {"candidates": first.count(), "boundary": most, "subset_links": of_subsets, "scan_links": of_scans}
+        return found
 
 
 def ngram_jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, num: int = 80, den: int = 100, quarters: int | None = None, told: dict | None = None) -> DataFrame:

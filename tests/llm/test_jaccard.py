@@ -1,4 +1,3 @@
-import math
 import random
 import re
 
@@ -40,7 +39,7 @@ def test_against_all_pairs(spark, shingle, num, seed):
 
 def test_small_sets_by_subsets(spark, monkeypatch):
     """With every set up to 24 made small, the subsets alone must find their links."""
-    monkeypatch.setattr(jaccard._Join, "boundary", lambda self, prices, lists: 24)
+    monkeypatch.setattr(jaccard._Join, "boundary", lambda self, first: 24)
     r = random.Random(4)
     docs = []
     for i in range(60):
@@ -55,19 +54,12 @@ def test_cost_chooses_small_sets(spark):
     r = random.Random(6)
     docs = []
     for i in range(50):
-        w = [f"w{r.randrange(10**6)}" for _ in range(r.choice([10, 11, 19, 60, 200]))]
+        w = [f"w{r.randrange(10**6)}" for _ in range(r.choice([10, 11, 19, 60, 900]))]
         docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:-1]))]
     told = {}
     out = {r["doc_id"]: r["component_id"] for r in jaccard.ngram_jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), shingle=1, num=90, told=told).collect()}
     assert [out[d] for d, _ in docs] == groups(docs, 1, 90, 100)[0]
-    assert told["subset_links"] > 5 and told["scan_links"] > 5 and 10 <= told["boundary"] < 200 and told["candidates"] == 100
-
-
-def test_subset_counts():
-    c = np.array([3, 0, 7, 5])
-    assert np.allclose(jaccard._subset_counts(7, c), [math.comb(7, x) for x in c.tolist()]) and jaccard._subset_counts(10**4, np.array([5000]))[0] < 2e15
-    sizes = jaccard._Sizes(np.array([20, 18, 19, 40]), np.array([2, 1, 1, 1]), 90, 100)
-    assert [x.tolist() for x in sizes.partners(20, 20)] == [[18, 19, 20], [18, 19, 19]] and [x.tolist() for x in sizes.partners(19, 18)] == [[18], [18]]
+    assert told["subset_links"] > 5 and told["scan_links"] > 5 and 60 <= told["boundary"] < 899 and told["candidates"] == 100
 
 
 def test_hot_keys(spark, monkeypatch):
@@ -79,6 +71,15 @@ def test_hot_keys(spark, monkeypatch):
     assert [out[d] for d, _ in docs] == groups(docs, 3, 80, 100)[0]
 
 
+@pytest.mark.parametrize("most", [0, 15, 10**6])
+def test_any_boundary(spark, monkeypatch, most):
+    """Wherever the boundary lies, the result is the same."""
+    monkeypatch.setattr(jaccard._Join, "boundary", lambda self, first: most)
+    docs = near_copies(8)
+    out = {r["doc_id"]: r["component_id"] for r in jaccard.ngram_jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), shingle=3, num=80).collect()}
+    assert [out[d] for d, _ in docs] == groups(docs, 3, 80, 100)[0]
+
+
 def test_rounds_of_strays(spark, monkeypatch):
     """Without room to compare the rest at once, it is compared in rounds with the same result."""
     monkeypatch.setattr(jaccard, "WORK", 0)
