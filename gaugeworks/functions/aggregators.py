@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,6 +64,37 @@ last_usable: Aggregator = _edge(F.max_by, True)
 count_usable: Aggregator = lambda f: nav.count_usable(f.meas).cast("double")
 slope: Aggregator = _slope
 
+
+def placed(agg: Aggregator) -> Aggregator:
+    """``agg``, which reads the column of each reading's place in its window."""
+    agg.needs_place = True
+    return agg
+
+
+placed(slope)
+
+
+def of_readings(make: Callable[[Column], Column]) -> Aggregator:
+    """An aggregator of one's own over a window's readings: ``make`` gets the array of its measurements in order,
+    missing ones null, and returns a column. The readings of one window are held together."""
+
+    def of(f: Frame) -> Column:
+        points = F.array_sort(F.collect_list(F.struct(F.col(f.chron).alias("c"), F.col(f.seq).alias("s"), F.col(f.meas).alias("m"))))
+        return make(F.transform(points, lambda p: p["m"]))
+
+    return of
+
+
+def of_function(compute: Callable[[list[float | None]], float | None]) -> Aggregator:
+    """The same with a plain Python function over the list of measurements, run in Arrow batches of windows."""
+
+    @F.arrow_udf("double")
+    def udf(windows: pa.Array) -> pa.Array:
+        return pa.array([compute(w) for w in windows.to_pylist()], pa.float64())
+
+    return of_readings(udf)
+
+
 _NAMED: dict[str, Aggregator] = {
     "mean": mean, "average": mean, "avg": mean, "median": median, "min": least, "minimum": least, "max": greatest, "maximum": greatest,
     "sum": total, "first": first, "open": first, "last": last, "close": last, "firstusable": first_usable, "lastusable": last_usable,
@@ -83,4 +115,4 @@ def aggregator(name: str) -> Aggregator:
 
 
 def needs_place(agg: Aggregator) -> bool:
-    return agg is slope
+    return getattr(agg, "needs_place", False)

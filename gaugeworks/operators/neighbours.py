@@ -2,7 +2,8 @@
 
 Every operator that looks at neighbours asks here. With ``chunk`` a series is cut into spans of that
 many nanoseconds, windows run within a span, and what earlier spans hand on is worked out over one
-row per span: then a long series is many tasks' work, not one's.
+row per span: then a long series is many tasks' work, not one's. By default the span is chosen from
+counted rows; None never cuts.
 """
 
 from __future__ import annotations
@@ -13,7 +14,39 @@ from pyspark.sql import functions as F
 from gaugeworks.durations import ns
 
 
-def nearest(df: DataFrame, value: Column, name: str, after: bool = False, own: bool = False, chunk: int | str | None = None, rank: str | None = None) -> DataFrame:
+AUTO = "auto"
+#: Readings that one task's window may have; and the size, by Catalyst's estimate, up to which a table isn't even counted.
+CHUNK_ROWS, UNCOUNTED_BYTES = 4_000_000, 64 << 20
+
+
+def width(df: DataFrame, chunk: int | str | None = AUTO, rows: int | None = None) -> int | None:
+    """The span in nanoseconds that ``chunk`` asks for. AUTO: None if no series has more than CHUNK_ROWS readings (or ``rows``); else
+    the span in which the fullest series has about so many. That takes one pass over series_id and chron_ns of a large table."""
+    if chunk is None or chunk != AUTO:
+        return None if chunk is None else ns(chunk)
+    rows, counted = rows or CHUNK_ROWS, rows is not None
+    if not counted and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= UNCOUNTED_BYTES:
+        return None
+    series = df.groupBy("series_id").agg(F.count("*").alias("n"), (F.max("chron_ns") - F.min("chron_ns") + 1).alias("w"))
+    most, least = series.agg(F.max("n"), F.min(F.ceil(F.col("w") * (F.lit(rows) / F.col("n"))))).first()
+    return max(1, int(least)) if most and most > rows else None
+
+
+def ranked(df: DataFrame, chunk: int | str | None = AUTO, name: str = "place", total: str | None = None) -> DataFrame:
+    """``df`` with each row's place in its series, from 0; and, as column ``total`` if named, how many rows the series has."""
+    size, order = width(df, chunk), ("chron_ns", "seq")
+    if size is None:
+        out = df.withColumn(name, F.row_number().over(Window.partitionBy("series_id").orderBy(*order)) - F.lit(1).cast("long"))
+        return out.withColumn(total, F.count("*").over(Window.partitionBy("series_id"))) if total else out
+    cut = df.withColumn("__span", F.floor(F.col("chron_ns") / size))
+    series = Window.partitionBy("series_id")
+    before = F.sum("__n").over(series.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1))
+    spans = cut.groupBy("series_id", "__span").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(before, F.lit(0))).withColumn("__total", F.sum("__n").over(series)).drop("__n")
+    near = cut.withColumn("__i", F.row_number().over(Window.partitionBy("series_id", "__span").orderBy(*order)) - F.lit(1).cast("long"))
+    return near.join(spans, ["series_id", "__span"]).select(*df.columns, (F.col("__before") + F.col("__i")).alias(name), *([F.col("__total").alias(total)] if total else []))
+
+
+def nearest(df: DataFrame, value: Column, name: str, after: bool = False, own: bool = False, chunk: int | str | None = AUTO, rank: str | None = None) -> DataFrame:
     """``df`` with column ``name``: ``value``, a struct, of the nearest row before (after) where it isn't null.
 
     own: the row itself counts. rank: a column that settles the order between chron_ns and seq.
@@ -21,9 +54,9 @@ def nearest(df: DataFrame, value: Column, name: str, after: bool = False, own: b
     keys = ["chron_ns", *([rank] if rank else []), "seq"]
     turn = (lambda c: F.col(c).desc()) if after else F.col
     frame = lambda *part: Window.partitionBy("series_id", *part).orderBy(*map(turn, keys)).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
-    if chunk is None:
+    size = width(df, chunk)
+    if size is None:
         return df.withColumn(name, F.last(value, True).over(frame()))
-    size = ns(chunk)
     cut = df.withColumn("__value", value).withColumn("__span", F.floor(F.col("chron_ns") / size))
     pick = F.min_by if after else F.max_by
     handed = cut.filter("__value is not null").groupBy("series_id", "__span").agg(pick("__value", F.struct(*keys)).alias("__end"))
@@ -34,7 +67,7 @@ def nearest(df: DataFrame, value: Column, name: str, after: bool = False, own: b
     return near.withColumn(name, F.coalesce("__near", "__carry")).select(*df.columns, name)
 
 
-def deltas(df: DataFrame, chunk: int | str | None = None) -> DataFrame:
+def deltas(df: DataFrame, chunk: int | str | None = AUTO) -> DataFrame:
     """Readings with dchron_ns and dmeas: what has changed since the reading before; none for the first."""
     from gaugeworks.functions import nav
 

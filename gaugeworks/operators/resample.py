@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gaugeworks.durations import ns
 from gaugeworks.errors import RegularizeArgumentError
 from gaugeworks.functions import aggregators
-from gaugeworks.operators.neighbours import nearest
+from gaugeworks.operators.neighbours import AUTO, nearest
 
 #: Seconds from the first year to 1970: grids are aligned to the former.
 YEAR_ONE = 62135596800
@@ -50,7 +50,7 @@ def ticks(df: DataFrame, step_ns: int, tolerance_ns: int = 0) -> DataFrame:
     return met.withColumn("tick", F.greatest(up(F.col("chron_ns") - F.lit(tolerance_ns)), up(F.col("__first")))).drop("__first")
 
 
-def regularize(df: DataFrame, step: int | str, agg="mean", tolerance: int | str = 0, chunk: int | str | None = None) -> DataFrame:
+def regularize(df: DataFrame, step: int | str, agg="mean", tolerance: int | str = 0, chunk: int | str | None = AUTO) -> DataFrame:
     """series_id, chron_ns, meas on every grid point from a series' first window to its last; empty windows are missing."""
     step_ns, tolerance_ns, agg = ns(step), ns(tolerance), _aggregator(agg)
     if step_ns <= 0:
@@ -67,15 +67,15 @@ def regularize(df: DataFrame, step: int | str, agg="mean", tolerance: int | str
 _PERIODS = {"daily": ("day", "interval 1 day"), "weekly": ("week", "interval 7 days"), "monthly": ("month", "interval 1 month"), "yearly": ("year", "interval 1 year")}
 
 
-def _opens(day: Column, tz: str) -> Column:
+def _opens(day: Column, tz: Column | str) -> Column:
     """The first instant of a local day, in nanoseconds."""
     return F.unix_micros(F.to_utc_timestamp(day.cast("timestamp"), tz)) * 1000
 
 
-def downscale(df: DataFrame, period: str, agg="mean", tz: str = "UTC", chunk: int | str | None = None) -> DataFrame:
+def downscale(df: DataFrame, period: str, agg="mean", tz: str | DataFrame = "UTC", chunk: int | str | None = AUTO) -> DataFrame:
     """series_id, chron_ns (the last nanosecond of a period), meas for every calendar period in zone tz; weeks begin on Monday.
 
-    The session's time zone must be UTC. A local day that never happened has no period.
+    tz: a zone for all series, or a frame of series_id and tz, one row a series; a series without one takes UTC. The session's time zone must be UTC. A local day that never happened has no period.
     """
     if period not in _PERIODS:
         raise RegularizeArgumentError(f"period {period!r} isn't one of {', '.join(_PERIODS)}")
@@ -83,15 +83,21 @@ def downscale(df: DataFrame, period: str, agg="mean", tz: str = "UTC", chunk: in
         raise RegularizeArgumentError("spark.sql.session.timeZone must be UTC")
     agg = _aggregator(agg)
     unit, length = _PERIODS[period]
+    zones = tz if isinstance(tz, DataFrame) else None
+    zone = tz if zones is None else F.col("__tz")
+    if zones is not None:
+        known = zones.select("series_id", F.col("tz").alias("__tz"))
+        df = df.join(known, "series_id", "left").withColumn("__tz", F.coalesce("__tz", F.lit("UTC")))
+    keys = ["series_id", *(["__tz"] if zones is not None else [])]
     # Floor division by hand: an instant before 1970 must not round up.
     micros = F.expr("timestamp_micros((chron_ns - pmod(chron_ns, 1000L)) div 1000L)")
-    day = F.to_date(F.from_utc_timestamp(micros, tz))
+    day = F.to_date(F.from_utc_timestamp(micros, zone))
     start = day if unit == "day" else F.trunc(day, unit)
-    full = _reduced(df.withColumn("__start", start), ["series_id", "__start"], agg)
+    full = _reduced(df.withColumn("__start", start), [*keys, "__start"], agg)
     keyed = full.withColumn("chron_ns", F.unix_date("__start").cast("long") * 86400 * 10**9).withColumn("seq", F.lit(0))
     near = nearest(keyed, F.struct("__start"), "__next", after=True, chunk=chunk)
     spread = near.withColumn("__p", F.explode(F.expr(f"sequence(__start, coalesce(date_sub(__next.__start, 1), __start), {length})")))
-    out = spread.withColumn("__open", _opens(F.col("__p"), tz)).withColumn("__close", _opens(F.expr(f"cast(__p + {length} as date)"), tz))
+    out = spread.withColumn("__open", _opens(F.col("__p"), zone)).withColumn("__close", _opens(F.expr(f"cast(__p + {length} as date)"), zone))
     return out.filter("__close > __open").select("series_id", (F.col("__close") - 1).alias("chron_ns"), F.when(F.col("__p") == F.col("__start"), F.col("meas")).alias("meas"))
 
 

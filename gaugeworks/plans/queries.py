@@ -119,16 +119,40 @@ def _stray(source: str, jump: float, turn: str, percent: bool = False) -> str:
     return f"SELECT *, coalesce(CASE WHEN {sound} THEN (meas - p) * (n - meas) < 0 AND {turn} AND {a} > {jump} AND {b} > {jump} END, false) AS is_rejected FROM ({_around(source)})"
 
 
-def _peirce() -> str:
-    table = ", ".join(f"({n}, {k}, {cleaning.peirce_ratio(n, k)})" for n in range(3, 61) for k in range(1, 10) if cleaning.peirce_ratio(n, k))
-    return f"""WITH e AS ({_events('user_id')}), m AS (SELECT series_id, avg(meas) FILTER ({USABLE}) AS mean, stddev_samp(meas) FILTER ({USABLE}) AS s, count(*) FILTER ({USABLE}) AS n FROM e GROUP BY 1),
-      r(n, k, ratio) AS (VALUES {table}),
+#: The last rows of the printed table, which judge these series; typed apart from the code's ratios.
+_PEIRCE_ROWS = {
+    43: "2.533, 2.261, 2.092, 1.966, 1.866, 1.783, 1.711, 1.648, 1.592", 44: "2.542, 2.271, 2.102, 1.976, 1.876, 1.794, 1.722, 1.659, 1.603", 45: "2.551, 2.281, 2.112, 1.987, 1.887, 1.804, 1.733, 1.67, 1.614",
+    46: "2.56, 2.29, 2.122, 1.997, 1.897, 1.815, 1.743, 1.681, 1.625", 47: "2.568, 2.299, 2.131, 2.006, 1.907, 1.825, 1.754, 1.691, 1.636", 48: "2.577, 2.308, 2.14, 2.016, 1.917, 1.835, 1.764, 1.701, 1.646",
+    49: "2.585, 2.317, 2.149, 2.026, 1.927, 1.844, 1.773, 1.711, 1.656", 50: "2.592, 2.326, 2.158, 2.035, 1.936, 1.854, 1.783, 1.721, 1.666", 51: "2.6, 2.334, 2.167, 2.044, 1.945, 1.863, 1.792, 1.73, 1.675",
+    52: "2.608, 2.342, 2.175, 2.052, 1.954, 1.872, 1.802, 1.74, 1.685", 53: "2.615, 2.35, 2.184, 2.061, 1.963, 1.881, 1.811, 1.749, 1.694", 54: "2.622, 2.358, 2.192, 2.069, 1.972, 1.89, 1.82, 1.758, 1.703",
+    55: "2.629, 2.365, 2.2, 2.077, 1.98, 1.898, 1.828, 1.767, 1.711", 56: "2.636, 2.373, 2.207, 2.085, 1.988, 1.907, 1.837, 1.775, 1.72", 57: "2.643, 2.38, 2.215, 2.093, 1.996, 1.915, 1.845, 1.784, 1.729",
+    58: "2.65, 2.387, 2.223, 2.109, 2.012, 1.931, 1.861, 1.8, 1.745", 59: "2.656, 2.394, 2.237, 2.116, 2.019, 1.939, 1.869, 1.808, 1.753", 60: "2.663, 2.401, 2.223, 2.101, 2.004, 1.923, 1.853, 1.792, 1.737",
+}
+
+
+def _peirce(source: str) -> str:
+    table = ", ".join(f"({n}, [{row}])" for n, row in _PEIRCE_ROWS.items())
+    return f"""WITH e AS ({source}), m AS (SELECT series_id, avg(meas) FILTER ({USABLE}) AS mean, stddev_samp(meas) FILTER ({USABLE}) AS s, count(*) FILTER ({USABLE}) AS n FROM e GROUP BY 1),
+      p(n, ratios) AS (VALUES {table}), r AS (SELECT n, unnest(ratios) AS ratio, generate_subscripts(ratios, 1) AS k FROM p),
       d AS (SELECT series_id, abs(meas - mean) AS dev, row_number() OVER (PARTITION BY series_id ORDER BY abs(meas - mean) DESC) AS k, s, least(n, 60) AS n FROM e JOIN m USING (series_id) WHERE {USABLE} AND m.n >= 3 AND s > 0),
       l AS (SELECT series_id, d.k, dev <= ratio * s AS stop, ratio * s AS lim FROM d JOIN r ON r.n = d.n AND r.k = d.k),
       t AS (SELECT series_id, coalesce(arg_min(lim, k) FILTER (stop), arg_max(lim, k)) AS lim FROM l GROUP BY 1)
       SELECT e.*, coalesce({USABLE} AND abs(meas - mean) > lim, false) AS is_rejected FROM e LEFT JOIN m USING (series_id) LEFT JOIN t USING (series_id)"""
 
 
+#: The natural spline by elimination along each series, forwards and back.
+_CUBIC = f"""WITH RECURSIVE g AS (%s), a AS (SELECT series_id, chron_ns, seq, meas AS y, row_number() OVER ({W}) AS i, count(*) OVER (PARTITION BY series_id) AS n,
+    (chron_ns - lag(chron_ns) OVER ({W})) / 1e9 AS hl, (lead(chron_ns) OVER ({W}) - chron_ns) / 1e9 AS hr, meas - lag(meas) OVER ({W}) AS dl, lead(meas) OVER ({W}) - meas AS dr FROM g WHERE {USABLE}),
+  f AS (SELECT series_id, i, 0.0::DOUBLE AS u, 0.0::DOUBLE AS z FROM a WHERE i = 1
+    UNION ALL SELECT a.series_id, a.i, hr / (2 * (hl + hr) - hl * u), (6 * (dr / hr - dl / hl) - hl * z) / (2 * (hl + hr) - hl * u) FROM f JOIN a ON a.series_id = f.series_id AND a.i = f.i + 1 WHERE a.i < n),
+  b AS (SELECT series_id, n AS i, 0.0::DOUBLE AS m FROM a WHERE i = n
+    UNION ALL SELECT f.series_id, f.i, CASE WHEN f.i = 1 THEN 0 ELSE z - u * m END FROM b JOIN f ON f.series_id = b.series_id AND f.i = b.i - 1),
+  j AS (SELECT g.*, b.m FROM g LEFT JOIN a USING (series_id, chron_ns, seq) LEFT JOIN b ON b.series_id = a.series_id AND b.i = a.i),
+  w AS (SELECT *, last_value(CASE WHEN m IS NOT NULL THEN {{'c': chron_ns, 'y': meas, 'm': m}} END IGNORE NULLS) {PREV} AS p, first_value(CASE WHEN m IS NOT NULL THEN {{'c': chron_ns, 'y': meas, 'm': m}} END IGNORE NULLS) {NEXT} AS q FROM j),
+  x AS (SELECT *, (q.c - p.c) / 1e9 AS h, (q.c - chron_ns) / (q.c - p.c) AS l, (chron_ns - p.c) / (q.c - p.c) AS r FROM w)
+  SELECT series_id, chron_ns, seq, CASE WHEN meas IS NULL THEN l * p.y + r * q.y + ((l*l*l - l) * p.m + (r*r*r - r) * q.m) * h * h / 6 ELSE meas END AS meas FROM x"""
+
+
 def _filled(source: str, value: str) -> str:
     anchor = f"CASE WHEN {USABLE} THEN {{'c': chron_ns, 'm': meas}} END"
     return f"""WITH n AS (SELECT *, last_value({anchor} IGNORE NULLS) {PREV} AS p, first_value({anchor} IGNORE NULLS) {NEXT} AS q FROM ({source})),
@@ -238,7 +262,10 @@ def _build() -> dict[str, tuple[Callable, str | None]]:
     out["length"] = lambda s, d: length(orders(s, d)), f"SELECT series_id, count(*) AS len FROM ({o}) GROUP BY 1"
     out["ends"] = lambda s, d: ends(orders(s, d)).select("series_id", F.col("first.chron_ns").alias("first_ns"), F.col("first.meas").alias("first_meas"), F.col("last.chron_ns").alias("last_ns"), F.col("last.meas").alias("last_meas")), f"SELECT series_id, min(chron_ns) AS first_ns, first(meas ORDER BY chron_ns, seq) AS first_meas, max(chron_ns) AS last_ns, last(meas ORDER BY chron_ns, seq) AS last_meas FROM ({o}) GROUP BY 1"
     out["at_tenth"] = point(lambda s, d: at(events(s, d), 10)), _say(f"SELECT * FROM (SELECT *, row_number() OVER ({W}) AS i FROM ({e})) WHERE i = 11", *POINT)
-    out["measurements"] = lambda s, d: measurements(events(s, d, clean=True)).select("series_id", F.size("meas").cast("long").alias("n"), F.round(F.element_at("meas", 3), 6).alias("third")), f"SELECT series_id, count(*) AS n, round(list(meas ORDER BY chron_ns, seq)[3], 6) AS third FROM ({_events(clean=True)}) GROUP BY 1"
+    weigh = lambda c: F.round(F.aggregate(F.transform(c, lambda x, i: F.when(~F.isnan(x), x * (i % 7 + 1)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))), 3)
+    parted = lambda source: f"SELECT *, (row_number() OVER ({W}) - 1) // 300 AS part, (row_number() OVER ({W}) - 1) % 300 AS i FROM ({source})"
+    weighed = lambda c: f"round(sum(CASE WHEN {c} IS NOT NULL AND NOT isnan({c}) THEN {c} * (i % 7 + 1) ELSE 0 END), 3)"
+    out["measurements"] = lambda s, d: measurements(events(s, d), 300).select("series_id", "part", F.size("meas").cast("long").alias("n"), weigh("meas").alias("weighed")), f"SELECT series_id, part, count(*) AS n, {weighed('meas')} AS weighed FROM ({parted(e)}) GROUP BY 1, 2"
     out["append_batches"] = lambda s, d: _shown(neighbours.deltas(append(events(s, d).filter("chron_ns >= 1705000000000000000"), events(s, d).filter("chron_ns < 1705000000000000000"))), "series_id", "chron_ns", "dchron_ns", meas=("meas", "dmeas")), _say(_DELTAS % e, "series_id", "chron_ns", "dchron_ns", meas=("meas", "dmeas"))
     out["time_range"] = point(lambda s, d: time_range(events(s, d), START + 48 * HOUR, START + 96 * HOUR, HOUR)), _say(f"SELECT * FROM ({e}) WHERE chron_ns BETWEEN {START + 47 * HOUR} AND {START + 97 * HOUR}", *POINT)
     for name, sql in _AGG_SQL.items():
@@ -256,7 +283,7 @@ def _build() -> dict[str, tuple[Callable, str | None]]:
     for i, which in enumerate(("cleaned", "rejected")):
         out[f"percentile_{which}"] = point(lambda s, d, i=i: cleaning.remove_percentile_outliers(events(s, d), 28, 95)[i]), _split(percentile, which)
         out[f"zscore_{which}"] = point(lambda s, d, i=i: cleaning.remove_zscore_outliers(events(s, d), 2)[i]), _split(zscore, which)
-        out[f"peirce_{which}"] = point(lambda s, d, i=i: cleaning.remove_peirce_outliers(events(s, d, "user_id"))[i]), _split(_peirce(), which)
+        out[f"peirce_{which}"] = point(lambda s, d, i=i: cleaning.remove_peirce_outliers(events(s, d, "user_id"))[i]), _split(_peirce(u), which)
     for name, direction, turn in (("both", "up or down", "true"), ("up", "up", "meas > p"), ("down", "down", "meas < p")):
         out[f"stray_{name}"] = point(lambda s, d, direction=direction: cleaning.remove_stray_points(events(s, d), 40.0, direction)[1]), _split(_stray(e, 40.0, turn), "rejected")
     out["stray_cleaned"] = point(lambda s, d: cleaning.remove_stray_points(events(s, d), 40.0, chunk="3d")[0]), _split(_stray(e, 40.0, "true"), "cleaned")
@@ -270,6 +297,10 @@ def _build() -> dict[str, tuple[Callable, str | None]]:
     out["interp_pchip"] = point(lambda s, d: fill.interpolate(events(s, d), "pchip")), _say(_PCHIP, *POINT)
     out["interp_within"] = point(lambda s, d: fill.interpolate(events(s, d, "user_id"), "linear", "8h")), _say(_filled(u, f"CASE WHEN span <= {8 * HOUR} THEN {_FILL_SQL['linear']} END"), *POINT)
     out["interp_cubic"] = point(lambda s, d: fill.interpolate(events(s, d), "cubic spline")), None
+    on_hours = _regularized(u, 3 * HOUR, _AGG_SQL["mean"])
+    hours = lambda s, d: resample.regularize(events(s, d, "user_id"), "3h").withColumn("seq", F.lit(0).cast("long"))
+    out["interp_cubic_grid"] = grid(lambda s, d: fill.interpolate(hours(s, d), "cubic spline")), _say(_CUBIC % f"SELECT *, 0 AS seq FROM ({on_hours})", *GRID)
+    out["interp_none"] = point(lambda s, d: fill.interpolate(events(s, d), "none")), _say(f"SELECT * FROM ({e})", *POINT)
     step = lambda df: df.withColumn("meas", F.when(nav.usable("meas"), F.floor(F.col("meas") / 100).cast("double")).otherwise(F.col("meas")))
     stepped = f"SELECT series_id, seq, chron_ns, CASE WHEN {USABLE} THEN floor(meas / 100) ELSE meas END AS meas FROM ({e})"
     out["reduce"] = point(lambda s, d: compress.reduce(step(events(s, d)))), _say(_REDUCED % stepped, *POINT)
@@ -279,8 +310,28 @@ def _build() -> dict[str, tuple[Callable, str | None]]:
     out["watch_reduce_expand"] = grid(lambda s, d: conditioning.restored(step(events(s, d)), "1h", START, STOP, "3h")), _say(_EXPANDED % (_REDUCED % (_SILENT % (stepped, stepped))), *GRID)
     for part in ("meas", "delta", "chron", "counts"):
         out[f"stats_{part}"] = _stats(part), _stats_sql(e, part)
-    out["json_lengths"] = lambda s, d: export.columns(events(s, d)).select("series_id", *(F.size(c).cast("long").alias(f"n_{c}") for c in ("chron_ns", "meas", "dchron_ns", "dmeas"))), f"SELECT series_id, count(*) AS n_chron_ns, count(*) AS n_meas, count(*) AS n_dchron_ns, count(*) AS n_dmeas FROM ({e}) GROUP BY 1"
+    exported = lambda df: df.select("series_id", "part", F.size("chron_ns").cast("long").alias("n"), F.element_at("chron_ns", -1).alias("until"), weigh("meas").alias("meas"), weigh("dmeas").alias("dmeas"), F.aggregate("dchron_ns", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0))).alias("spent"))
+    out["json_columns"] = lambda s, d: exported(export.columns(events(s, d), 300)), f"SELECT series_id, part, count(*) AS n, max(chron_ns) AS until, {weighed('meas')} AS meas, {weighed('dmeas')} AS dmeas, CAST(coalesce(sum(dchron_ns), 0) AS BIGINT) AS spent FROM ({parted(_DELTAS % e)}) GROUP BY 1, 2"
     out["json_stats"] = lambda s, d: export.stats_json(events(s, d)).select("series_id", F.get_json_object("json", "$.len").cast("long").alias("len"), F.get_json_object("json", "$.chmin").cast("long").alias("chmin"), F.get_json_object("json", "$.msmin").alias("msmin")), f"SELECT series_id, count(*) AS len, min(chron_ns) AS chmin, CAST(NULL AS VARCHAR) AS msmin FROM ({e}) GROUP BY 1"
+    at_value = {"val_at_chmin": "arg_min(meas, (chron_ns, seq))", "val_at_chmax": "arg_max(meas, (chron_ns, seq))", "val_at_first_usable": f"arg_min(meas, (chron_ns, seq)) FILTER ({USABLE})"}
+    ends_usable = f"SELECT * FROM ({_events('user_id')}) WHERE seq % 3 > 0"
+    out["stats_values"] = lambda s, d: _shown(stats_.stats(events(s, d, "user_id").filter("seq % 3 > 0")), "series_id", meas=tuple(at_value)), _say(f"SELECT series_id, {', '.join(f'first(meas ORDER BY chron_ns, seq) AS {k}' if k == 'val_at_chmin' else f'last(meas ORDER BY chron_ns, seq) AS {k}' if k == 'val_at_chmax' else f'first(meas ORDER BY chron_ns, seq) FILTER ({USABLE}) AS {k}' for k in at_value)} FROM ({ends_usable}) GROUP BY 1", "series_id", meas=tuple(at_value))
+    zero = lambda s, d: events(s, d).select(*POINT, nav.div(F.when(F.col("seq") % 5 == 0, 0.0).otherwise(F.col("meas") - 50), F.lit(0.0)).alias("over"))
+    out["nav_div_by_zero"] = lambda s, d: zero(s, d).select(*POINT, F.when(F.col("over").isNull(), "NaV").when(F.isnan("over"), "NaN").when(F.col("over") > 0, "+Inf").otherwise("-Inf").alias("over")), f"SELECT series_id, chron_ns, seq, CASE WHEN x IS NULL THEN 'NaV' WHEN isnan(x) OR x = 0 THEN 'NaN' WHEN x > 0 THEN '+Inf' ELSE '-Inf' END AS over FROM (SELECT *, CASE WHEN seq % 5 = 0 THEN 0 ELSE meas - 50 END AS x FROM ({e}))"
+    out["json_instants"] = lambda s, d: events(s, d).select("series_id", "seq", export.rfc3339_text("chron_ns").alias("at"), export.rfc3339_text(F.when(F.col("seq") % 2 == 0, F.col("chron_ns") + 120_000_000)).alias("later")), f"SELECT series_id, seq, regexp_replace(strftime(make_timestamp_ns(chron_ns), '%Y-%m-%dT%H:%M:%S.%n'), '\\.?0+$', '') || 'Z' AS at, CASE WHEN seq % 2 = 0 THEN regexp_replace(strftime(make_timestamp_ns(chron_ns + 120000000), '%Y-%m-%dT%H:%M:%S.%n'), '\\.?0+$', '') || 'Z' ELSE '{export.NO_INSTANT}' END AS later FROM ({e})"
+    out["agg_p90_1h"] = grid(lambda s, d: resample.regularize(events(s, d), "1h", lambda f: nav.percentile(f.meas, 90))), _say(_regularized(e, HOUR, _guarded(f"quantile_disc(meas, 0.9) FILTER ({USABLE})")), *GRID)
+    own = aggregators.of_function(lambda xs: sum(x is not None and x > 60 for x in xs) - xs.count(None) / 2)
+    out["agg_function_1h"] = grid(lambda s, d: resample.regularize(events(s, d, clean=True), "1h", own)), _say(_regularized(_events(clean=True), HOUR, "CAST(count(*) FILTER (meas > 60) AS DOUBLE)"), *GRID)
+    out["agg_readings_1h"] = grid(lambda s, d: resample.regularize(events(s, d), "1h", aggregators.of_readings(lambda xs: F.coalesce(F.get(xs, F.lit(1)), F.lit(-1.0))))), _say(_regularized(e, HOUR, "coalesce(list(meas ORDER BY chron_ns, seq)[2], -1.0)"), *GRID)
+    out["downscale_zones"] = grid(lambda s, d: resample.downscale(events(s, d), "daily", "count", s.createDataFrame([("view", "Asia/Tokyo"), ("click", "America/New_York")], "series_id string, tz string"))), _say(" UNION ALL ".join(f"({_downscaled(f'SELECT * FROM ({e}) WHERE {where}', 'daily', _AGG_SQL['count'], tz)})" for where, tz in (("series_id = 'view'", "Asia/Tokyo"), ("series_id = 'click'", "America/New_York"), ("series_id NOT IN ('view', 'click')", "UTC"))), *GRID)
+    # One series holds all readings and is cut by counted rows.
+    one, hot = f"SELECT 'all' AS series_id, seq, chron_ns, meas FROM ({e})", lambda s, d: events(s, d).withColumn("series_id", F.lit("all"))
+    cut = lambda f: lambda s, d: (lambda df: f(df, neighbours.width(df, rows=400)))(hot(s, d))
+    out["hot_deltas"] = cut(lambda df, size: _shown(neighbours.deltas(df, size), *POINT, "dchron_ns", meas=("meas", "dmeas"))), _say(_DELTAS % one, *POINT, "dchron_ns", meas=("meas", "dmeas"))
+    out["hot_linear"] = cut(lambda df, size: _shown(fill.interpolate(df, "linear", chunk=size), *POINT)), _say(_filled(one, _FILL_SQL["linear"]), *POINT)
+    out["hot_silences"] = cut(lambda df, size: _shown(compress.mark_silences(df, "1h", size), *POINT)), _say(_SILENT % (one, one), *POINT)
+    out["hot_reduce"] = cut(lambda df, size: _shown(compress.reduce(step(df), size), *POINT)), _say(_REDUCED % stepped.replace(f"({e})", f"({one})"), *POINT)
+    out["hot_stats"] = cut(lambda df, size: _shown(stats_.stats(df, size), "series_id", *_AT, meas=(*_MS, *_DM))), _say(f"SELECT * FROM ({_stats_sql(one, 'chron')}) JOIN (SELECT series_id, {', '.join(f'{x} AS ms{k}' for k, x in _five('meas').items())}, {', '.join(f'{x} AS dms{k}' for k, x in _five('dmeas').items())} FROM ({_DELTAS % one}) GROUP BY 1) USING (series_id)", "series_id", *_AT, meas=(*_MS, *_DM))
     return out
 
 

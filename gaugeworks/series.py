@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,10 @@ from gaugeworks.operators import cleaning, compress, fill, neighbours, resample
 from gaugeworks.operators import stats as stats_
 from gaugeworks.sources import readings as r
 
+#: Comments where a fence can't be built.
+NO_PERCENTILES, NO_ZSCORE, NO_PEIRCE = "percentiles on nothing to measure", "z-score on too few readings", "Peirce on too few readings"
+#: Most series whose fences a comment names.
+NAMED = 5
 UNITS = {"daily": "day", "weekly": "week", "monthly": "month", "yearly": "year"}
 
 
@@ -22,32 +27,41 @@ def new_id() -> str:
     return str(uuid.uuid4())
 
 
+def _bounds(low: float | None, high: float | None) -> str:
+    return f"bounds [{nav.shown(low)}, {nav.shown(high)}]"
+
+
 @dataclass(frozen=True)
-class TimeSeries:
+class Signal:
     """Readings of one or many series that are treated alike. Every step returns a new one, lazily."""
 
     df: DataFrame
     name: str = ""
     id: str = ""
-    comment: str = ""
-    tz: str = "UTC"
-    chunk: int | str | None = None
+    #: What was done, or a function that finds it out when first asked.
+    note: str | Callable[[], str] = ""
+    tz: str | DataFrame = "UTC"
+    chunk: int | str | None = neighbours.AUTO
+
+    @property
+    def comment(self) -> str:
+        return self.note() if callable(self.note) else self.note
 
     @classmethod
-    def new(cls, spark: SparkSession, name: str) -> TimeSeries:
+    def new(cls, spark: SparkSession, name: str) -> Signal:
         return cls(r.empty(spark), name)
 
-    def _next(self, df: DataFrame, suffix: str, comment: str) -> TimeSeries:
+    def _next(self, df: DataFrame, suffix: str, comment: str | Callable[[], str]) -> Signal:
         if "seq" not in df.columns:
             df = df.withColumn("seq", F.lit(0).cast("long"))
-        return replace(self, df=df.select(*r.SCHEMA.names), name=f"{self.name} {suffix}", comment=comment)
+        return replace(self, df=df.select(*r.SCHEMA.names), name=f"{self.name} {suffix}", note=comment)
 
     # Ingestion and reading.
 
-    def add(self, chron_ns: int, meas: float | None, series: str = "s") -> TimeSeries:
+    def add(self, chron_ns: int, meas: float | None, series: str = "s") -> Signal:
         return self.add_batch(r.from_rows(self.df.sparkSession, [(chron_ns, meas)], series))
 
-    def add_batch(self, batch: DataFrame) -> TimeSeries:
+    def add_batch(self, batch: DataFrame) -> Signal:
         return replace(self, df=r.append(self.df, batch))
 
     def __len__(self) -> int:
@@ -55,7 +69,8 @@ class TimeSeries:
 
     def at(self, i: int):
         """The i-th point with its deltas; of several series, of each."""
-        got = r.at(neighbours.deltas(self.df, self.chunk), i).collect() if i >= 0 else []
+        size = neighbours.width(self.df, self.chunk)
+        got = r.at(neighbours.deltas(self.df, size), i, size).collect() if i >= 0 else []
         if not got:
             raise IndexError(i)
         return got[0] if len(got) == 1 else got
@@ -76,31 +91,47 @@ class TimeSeries:
                 return
 
     def meas(self) -> DataFrame:
-        return r.measurements(self.df)
+        return r.measurements(self.df, chunk=self.chunk)
 
     def deltas(self) -> DataFrame:
         return neighbours.deltas(self.df, self.chunk)
 
     def stats(self) -> DataFrame:
-        return stats_.stats(self.df, self.chunk)
+        """A row for each series; one of nothing if there are no readings at all."""
+        return stats_.stats(self.df, self.chunk) if self.first() else stats_.nothing(self.df.sparkSession)
 
     # Cleaning: (cleaned, rejected).
 
-    def _split(self, marked: DataFrame, rule: str) -> tuple[TimeSeries, TimeSeries]:
+    def _split(self, marked: DataFrame, rule: str | Callable[[], str]) -> tuple[Signal, Signal]:
         cleaned, rejected = cleaning.split(marked)
         return self._next(cleaned, "cleaned", rule), self._next(rejected, "rejected", rule)
 
+    def _fences(self, fences: DataFrame, shown: Callable[[object], str], none: str) -> Callable[[], str]:
+        """A comment that gives the fence; of several series each one's, up to NAMED of them, after its name."""
+
+        @cache
+        def tell() -> str:
+            rows = fences.orderBy("series_id").limit(NAMED + 1).collect()
+            if len(rows) < 2:
+                return shown(rows[0]) if rows else none
+            return "; ".join(f"{x['series_id']}: {shown(x)}" for x in rows[:NAMED]) + ("; …" if len(rows) > NAMED else "")
+
+        return tell
+
     def remove_outbounds(self, low=None, high=None):
-        return self._split(cleaning.mark_outbounds(self.df, low, high), f"bounds [{nav.shown(low)}, {nav.shown(high)}]")
+        return self._split(cleaning.mark_outbounds(self.df, low, high), _bounds(low, high))
 
     def remove_percentile_outliers(self, low=None, high=None):
-        return self._split(cleaning.mark_percentile_outliers(self.df, low, high), f"bounds of percentiles [{nav.shown(low)}, {nav.shown(high)}]")
+        marked = cleaning.mark_percentile_outliers(self.df, low, high)
+        return self._split(marked, self._fences(cleaning.percentile_fences(self.df, low, high), lambda x: _bounds(x["low"], x["high"]), NO_PERCENTILES))
 
     def remove_zscore_outliers(self, level: float):
-        return self._split(cleaning.mark_zscore_outliers(self.df, level), f"z-score at {nav.shown(level)}")
+        marked = cleaning.mark_zscore_outliers(self.df, level)
+        return self._split(marked, self._fences(cleaning.zscore_fences(self.df, level), lambda x: f"z-score at {nav.shown(level)}: [{nav.shown(x['low'])}, {nav.shown(x['high'])}]", NO_ZSCORE))
 
     def remove_peirce_outliers(self):
-        return self._split(cleaning.mark_peirce_outliers(self.df), "Peirce criterion")
+        marked = cleaning.mark_peirce_outliers(self.df)
+        return self._split(marked, self._fences(cleaning.peirce_limits(self.df), lambda x: f"Peirce criterion: deviation above {nav.shown(x['limit'])}", NO_PEIRCE))
 
     def remove_stray_points(self, jump: float, direction=cleaning.StrayDirection.BOTH):
         marked = cleaning.mark_stray_points(self.df, jump, direction, chunk=self.chunk)
@@ -112,31 +143,31 @@ class TimeSeries:
 
     # Resampling, filling, compressing.
 
-    def regularize(self, step, agg="mean", tolerance=0) -> TimeSeries:
+    def regularize(self, step, agg="mean", tolerance=0) -> Signal:
         out = resample.regularize(self.df, step, agg, tolerance, self.chunk)
         late = f", late readings tolerated up to {written(ns(tolerance))}" if ns(tolerance) else ""
         return self._next(out, "regularized", f"every {written(ns(step))}{late}")
 
-    def downscale(self, period: str, agg="mean") -> TimeSeries:
+    def downscale(self, period: str, agg="mean") -> Signal:
         out = resample.downscale(self.df, period, agg, self.tz, self.chunk)
         return self._next(out, period, f"grouped by calendar {UNITS[period]}, periods of unequal length")
 
-    def interpolate(self, how, max_gap=0) -> TimeSeries:
+    def interpolate(self, how, max_gap=0) -> Signal:
         out = fill.interpolate(self.df, how, max_gap, self.chunk)
         limit = f", up to {written(ns(max_gap))}" if ns(max_gap) else ""
         return self._next(out, "interpolated", f"gaps filled: {fill.method(how).value}{limit}")
 
-    def reduce(self) -> TimeSeries:
+    def reduce(self) -> Signal:
         return self._next(compress.reduce(self.df, self.chunk), "reduced", "transitions only")
 
-    def reduce_with_deadband(self, band: float) -> TimeSeries:
+    def reduce_with_deadband(self, band: float) -> Signal:
         out = compress.reduce_with_deadband(self.df, band)
         return self._next(out, "reduced", f"transitions beyond ±{nav.shown(band)}" if band else "transitions only")
 
-    def expand(self, start_ns: int, end_ns: int, step) -> TimeSeries:
+    def expand(self, start_ns: int, end_ns: int, step) -> Signal:
         return self._next(compress.expand(self.df, start_ns, end_ns, step, self.chunk), "expanded", f"held every {written(ns(step))}")
 
-    def mark_silences(self, max_gap) -> TimeSeries:
+    def mark_silences(self, max_gap) -> Signal:
         return self._next(compress.mark_silences(self.df, max_gap, self.chunk), "watched", f"silences beyond {written(ns(max_gap))} marked as NaV")
 
 
@@ -145,16 +176,16 @@ class Container:
 
     def __init__(self, name: str = "", comment: str = ""):
         self.name, self.comment = name, comment
-        self._held: dict[str, TimeSeries | None] = {}
+        self._held: dict[str, Signal | None] = {}
 
-    def put(self, name: str, series: TimeSeries | None) -> None:
+    def put(self, name: str, series: Signal | None) -> None:
         """A name that is there keeps its place."""
         self._held[name] = series
 
-    def get(self, name: str) -> tuple[TimeSeries | None, bool]:
+    def get(self, name: str) -> tuple[Signal | None, bool]:
         return self._held.get(name), name in self._held
 
-    def series(self, name: str) -> TimeSeries | None:
+    def series(self, name: str) -> Signal | None:
         return self._held.get(name)
 
     def delete(self, name: str) -> None:
@@ -166,7 +197,7 @@ class Container:
     def names(self) -> list[str]:
         return list(self._held)
 
-    def range(self, visit: Callable[[str, TimeSeries | None], bool]) -> None:
+    def range(self, visit: Callable[[str, Signal | None], bool]) -> None:
         for name, series in list(self._held.items()):
             if not visit(name, series):
                 return

@@ -9,8 +9,9 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.operators.neighbours import deltas
+from gaugeworks.operators.neighbours import AUTO, deltas, width
 from gaugeworks.operators.stats import stats
+from gaugeworks.sources.readings import PART_ROWS, parts
 
 #: The keys of a summary, each with the field that it shows.
 STATS_KEYS = {
@@ -45,10 +46,19 @@ def rfc3339(at: int | None, tz: str = "UTC") -> str:
     return local.strftime("%Y-%m-%dT%H:%M:%S").rjust(19, "0") + digits + ("Z" if offset == "+0000" else f"{offset[:3]}:{offset[3:]}")
 
 
-def columns(df: DataFrame) -> DataFrame:
-    """series_id and arrays chron_ns, meas, dchron_ns, dmeas in order, one row a series: for series that fit in memory."""
-    packed = F.array_sort(F.collect_list(F.struct("chron_ns", "seq", finite("meas").alias("meas"), "dchron_ns", finite("dmeas").alias("dmeas"))))
-    return deltas(df).groupBy("series_id").agg(packed.alias("p")).select("series_id", *(F.col("p")[c].alias(c) for c in ("chron_ns", "meas", "dchron_ns", "dmeas")))
+def rfc3339_text(at: Column | str) -> Column:
+    """The same for a column, in UTC, at full precision."""
+    at = F.col(at) if isinstance(at, str) else at
+    second, part = F.call_function("div", at - F.pmod(at, F.lit(10**9)), F.lit(10**9)), F.pmod(at, F.lit(10**9))
+    digits = F.regexp_replace(F.concat(F.lit("."), F.lpad(part.cast("string"), 9, "0")), r"\.?0+$", "")
+    text = F.concat(F.date_format(F.timestamp_seconds(second), "yyyy-MM-dd'T'HH:mm:ss"), F.when(part == 0, "").otherwise(digits), F.lit("Z"))
+    return F.coalesce(text, F.lit(NO_INSTANT))
+
+
+def columns(df: DataFrame, rows: int = PART_ROWS, chunk: int | str | None = AUTO) -> DataFrame:
+    """series_id, part, and arrays chron_ns, meas, dchron_ns, dmeas in order: a series becomes rows of at most ``rows`` readings."""
+    size = width(df, chunk)
+    return parts(deltas(df, size), {"chron_ns": F.col("chron_ns"), "meas": finite("meas"), "dchron_ns": F.col("dchron_ns"), "dmeas": finite("dmeas")}, rows, size)
 
 
 def stats_json(df: DataFrame) -> DataFrame:
@@ -63,13 +73,18 @@ def _stats_dict(text: str, tz: str) -> dict:
 
 
 def series_dicts(df: DataFrame, name: str = "", comment: str = "", tz: str = "UTC", ids: dict[str, str] | None = None) -> dict[str, dict]:
-    """Every series of ``df`` as the dict that a front end reads; small series, brought to the driver."""
+    """Every series of ``df`` as the dict that a front end reads, brought to the driver part by part: what a browser can show."""
     summaries = {r["series_id"]: r["json"] for r in stats_json(df).collect()}
-    out = {}
-    for row in columns(df).collect():
+    out: dict[str, dict] = {}
+    for row in columns(df).orderBy("series_id", "part").toLocalIterator():
+        told = {"chron": [rfc3339(x, tz) for x in row["chron_ns"]], "meas": row["meas"], "dchron_ns": row["dchron_ns"], "dmeas": row["dmeas"]}
+        one = out.get(row["series_id"])
+        if one:
+            for key, more in told.items():
+                one[key] += more
+            continue
         one = {"id": (ids or {}).get(row["series_id"], ""), "name": name} | ({"comment": comment} if comment else {})
-        one |= {"chron": [rfc3339(x, tz) for x in row["chron_ns"]], "meas": row["meas"], "dchron_ns": row["dchron_ns"], "dmeas": row["dmeas"]}
-        out[row["series_id"]] = one | {"stats": _stats_dict(summaries[row["series_id"]], tz)}
+        out[row["series_id"]] = one | told | {"stats": _stats_dict(summaries[row["series_id"]], tz)}
     return out
 
 
@@ -78,8 +93,8 @@ def empty_dict(name: str = "", id: str = "") -> dict:
 
 
 def series_dict(series) -> dict:
-    """A TimeSeries of one series."""
-    got = series_dicts(series.df, series.name, series.comment, series.tz)
+    """A signal of one series."""
+    got = series_dicts(series.df, series.name, series.comment, series.tz if isinstance(series.tz, str) else "UTC")
     if not got:
         return empty_dict(series.name, series.id) | ({"comment": series.comment} if series.comment else {})
     return next(iter(got.values())) | {"id": series.id}

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gaugeworks.operators.neighbours import AUTO, ranked
+
 SCHEMA = T.StructType([T.StructField("series_id", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("chron_ns", T.LongType()), T.StructField("meas", T.DoubleType())])
 KEY = ("series_id", "chron_ns", "seq")
 
@@ -64,13 +66,22 @@ def ends(readings_: DataFrame) -> DataFrame:
     return readings_.groupBy("series_id").agg(F.min_by(point, key).alias("first"), F.max_by(point, key).alias("last"))
 
 
-def at(readings_: DataFrame, i: int) -> DataFrame:
+def at(readings_: DataFrame, i: int, chunk: int | str | None = AUTO) -> DataFrame:
     """The i-th reading, from 0, of every series that has it."""
-    order = Window.partitionBy("series_id").orderBy("chron_ns", "seq")
-    return readings_.withColumn("__i", F.row_number().over(order) - 1).filter(F.col("__i") == i).drop("__i")
+    return ranked(readings_, chunk, "__i").filter(F.col("__i") == i).drop("__i")
+
+
+#: Most readings that one row's arrays hold.
+PART_ROWS = 1_000_000
+
+
+def parts(readings_: DataFrame, columns: dict[str, Column], rows: int = PART_ROWS, chunk: int | str | None = AUTO) -> DataFrame:
+    """series_id, part (from 0), and an array for each of ``columns``, in order: a series becomes rows of at most ``rows`` readings."""
+    placed = ranked(readings_, chunk, "__i").withColumn("part", F.expr(f"__i div {rows}"))
+    packed = F.array_sort(F.collect_list(F.struct("__i", *(c.alias(name) for name, c in columns.items()))))
+    return placed.groupBy("series_id", "part").agg(packed.alias("p")).select("series_id", "part", *(F.col("p")[n].alias(n) for n in columns))
 
 
-def measurements(readings_: DataFrame) -> DataFrame:
-    """All measurements of each series in order, gaps included, as one array; for series that fit in memory."""
-    packed = F.array_sort(F.collect_list(F.struct("chron_ns", "seq", "meas")))
-    return readings_.groupBy("series_id").agg(F.transform(packed, lambda x: x["meas"]).alias("meas"))
+def measurements(readings_: DataFrame, rows: int = PART_ROWS, chunk: int | str | None = AUTO) -> DataFrame:
+    """All measurements of each series in order, gaps included, in arrays: series_id, part, meas."""
+    return parts(readings_, {"meas": F.col("meas")}, rows, chunk)

@@ -1,12 +1,22 @@
-"""Series, statistics and containers as text, on the driver."""
+"""Signals, statistics and containers as text, on the driver."""
 
 from __future__ import annotations
 
 from datetime import UTC, datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from gaugeworks.durations import written
 from gaugeworks.functions.nav import shown
 
+#: What a summary says of each field, by subject: the field, in words, and the instant or value that goes with it.
+_SUMMARY = {
+    "Values": (("msmin", "smallest", "ch_at_msmin"), ("msmed", "middle", None), ("msmean", "average", None), ("msmax", "greatest", "ch_at_msmax"), ("msstd", "spread", None)),
+    "Steps in value": (("dmsmin", "smallest", None), ("dmsmed", "middle", None), ("dmsmean", "average", None), ("dmsmax", "greatest", None), ("dmsstd", "spread", None)),
+    "Steps in time": (("dchmin", "smallest", "ch_at_dchmin"), ("dchmed", "middle", None), ("dchmean", "average", None), ("dchmax", "greatest", "ch_at_dchmax"), ("dchstd", "spread", None)),
+    "Instants": (("chmin", "from", "val_at_chmin"), ("ch_first_usable", "first number", "val_at_first_usable"), ("chmed", "middle", None), ("chmean", "average", None), ("chmax", "to", "val_at_chmax")),
+}
+
 
 def instant(at: int | None) -> str:
     """2026-01-01 00:00:00.5, or a dash where it isn't known."""
@@ -21,9 +31,9 @@ def interval(x: float | None) -> str:
     return shown(x) if x is None or x != x else written(int(x))
 
 
-def _table(rows: list[list[str]], right: bool) -> str:
+def _lines(rows: list[list[str]], right: bool = False) -> list[str]:
     widths = [max(map(len, column)) for column in zip(*rows)]
-    return "\n".join("  ".join(c.rjust(w) if right else c.ljust(w) for c, w in zip(row, widths)).rstrip() for row in rows)
+    return [" | ".join(c.rjust(w) if right else c.ljust(w) for c, w in zip(row, widths)).rstrip() for row in rows]
 
 
 def point_row(p) -> list[str]:
@@ -32,52 +42,47 @@ def point_row(p) -> list[str]:
 
 def series_text(series, *what: int) -> str:
     """All points; the first n; or those from a to below b. Only these are brought to the driver."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
     total = len(series)
     low, high = (0, total) if not what else (0, what[0]) if len(what) == 1 else (what[0], what[1])
     low, high = max(0, low), min(total, high)
-    head = [f"Series     : {series.name}"] + ([f"ID         : {series.id}"] if series.id else []) + ([f"Comment    : {series.comment}"] if series.comment else [])
+    out = [" / ".join(x for x in (series.name, series.id, series.comment) if x)]
     if low >= high:
-        return "\n".join([*head, "(empty series, or indices out of range)"])
-    order = Window.partitionBy("series_id").orderBy("chron_ns", "seq")
-    points = series.deltas().withColumn("i", F.row_number().over(order) - 1).filter(f"i >= {low} and i < {high}").orderBy("i").collect()
-    body = _table([["index", "Chron", "Measure", "Dchron", "Dmeas"], *([str(p["i"]), *point_row(p)] for p in points)], True)
-    return "\n".join([*head, body] + ([f"(points {low} to {high - 1} of {total})"] if low or high < total else []))
+        return "\n".join([*out, "no points" if total else "no readings"])
+    from gaugeworks.operators.neighbours import ranked, width
+
+    size = width(series.df, series.chunk)
+    places = ranked(series.deltas(), size, "place").filter(F.col("place").between(low, high - 1))
+    points = places.orderBy("series_id", "place").collect()
+    out += _lines([["#", "instant", "value", "after", "step"], *([str(p["place"]), *point_row(p)] for p in points)], right=True)
+    return "\n".join(out + ([f"{high - low} of {total} points"] if high - low < total else []))
 
 
 def stats_text(s, title: str = "") -> str:
-    """s: a row of ``stats``, or None for an empty series."""
-    g = (lambda k: s[k]) if s is not None else (lambda k: 0 if k in ("len", "nbre_of_nan", "nbre_of_nav") else None)
-    broken = g("nbre_of_nan") - g("nbre_of_nav")
-    out = ["=" * 64, *([title] if title else []), f"{g('len')} points   {g('len') - g('nbre_of_nan')} usable   {g('nbre_of_nav')} missing (NaV)   {broken} broken (NaN)"]
+    """s: a row of ``stats``."""
+    missing, broken = s["nbre_of_nav"], s["nbre_of_nan"] - s["nbre_of_nav"]
+    out = [f"{title}: " * bool(title) + f"{s['len']} readings, of which {missing} NaV and {broken} NaN"]
     if broken:
-        out += ["A broken measurement propagates: every statistic of the", "measurements below is NaN, on purpose."]
-    parts = [
-        ("WHEN", [("first point", instant(g("chmin")), "measuring", shown(g("val_at_chmin"))), ("last point", instant(g("chmax")), "measuring", shown(g("val_at_chmax"))), ("first usable", instant(g("ch_first_usable")), "measuring", shown(g("val_at_first_usable"))), ("mean instant", instant(g("chmean")), "", ""), ("median instant", instant(g("chmed")), "", "")]),
-        ("WHAT", [("lowest", shown(g("msmin")), "measured at", instant(g("ch_at_msmin"))), ("highest", shown(g("msmax")), "measured at", instant(g("ch_at_msmax"))), ("mean", shown(g("msmean")), "", ""), ("median", shown(g("msmed")), "", ""), ("std deviation", shown(g("msstd")), "", "")]),
-        ("HOW OFTEN", [("shortest", written(g("dchmin")), "ending at", instant(g("ch_at_dchmin"))), ("longest", written(g("dchmax")), "ending at", instant(g("ch_at_dchmax"))), ("mean", interval(g("dchmean")), "", ""), ("median", interval(g("dchmed")), "", ""), ("irregularity", interval(g("dchstd")), "", "")]),
-        ("BY HOW MUCH", [("largest fall", shown(g("dmsmin")), "", ""), ("largest rise", shown(g("dmsmax")), "", ""), ("mean", shown(g("dmsmean")), "", ""), ("median", shown(g("dmsmed")), "", ""), ("std deviation", shown(g("dmsstd")), "", "")]),
-    ]
-    for name, rows in parts:
-        out += ["", name, _table([["  " + a, *rest] for a, *rest in rows], False)]
+        out.append("(a NaN makes every figure of the values NaN)")
+    text = lambda f: instant(s[f]) if f.startswith("ch") else interval(s[f]) if f.startswith("dch") else shown(s[f])
+    for subject, fields in _SUMMARY.items():
+        out += [subject, *("  " + line for line in _lines([[words, text(field), "" if beside is None else f"({text(beside)})"] for field, words, beside in fields]))]
     return "\n".join(out)
 
 
-def container_text(container, *what: int) -> str:
-    parts = [f"{container.name}" + (f": {container.comment}" if container.comment else "")]
-    if not len(container):
-        parts.append("(no series)")
+def whole_text(series, *what: int) -> str:
+    """The points, then a summary of each series."""
+    return "\n\n".join([series_text(series, *what), *(stats_text(s, s["series_id"] or series.name) for s in series.stats().orderBy("series_id").collect())])
+
+
+def container_text(container, *what: int, points: bool = True) -> str:
+    """Every variant with its points (if wanted) and its summary."""
+    out = [" / ".join(x for x in (container.name, container.comment) if x)]
     for name in container.names():
         series = container.series(name)
-        parts.append(f"[{name}]\n" + ("(not produced)" if series is None else series_text(series, *what)))
-    return "\n\n".join(parts)
+        shown_ = "nothing was made of it" if series is None else whole_text(series, *what) if points else "\n".join(stats_text(s, name) for s in series.stats().orderBy("series_id").collect())
+        out.append(f"== {name}\n{shown_}")
+    return "\n\n".join(out if len(out) > 1 else [*out, "no variants"])
 
 
 def container_stats_text(container) -> str:
-    parts = []
-    for name in container.names():
-        series = container.series(name)
-        parts.append(f"[{name}] (not produced)" if series is None else stats_text(next(iter(series.stats().collect()), None), name))
-    return "\n\n".join(parts)
+    return container_text(container, points=False)

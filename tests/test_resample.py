@@ -1,7 +1,10 @@
 import pytest
 from helpers import HOUR, MINUTE, NAN, ORIGIN, got, hourly, kind, minutes, values, want
 
+from pyspark.sql import functions as F
+
 from gaugeworks.errors import RegularizeArgumentError
+from gaugeworks.functions import aggregators
 from gaugeworks.operators import resample
 from gaugeworks.sources.readings import empty, from_rows
 
@@ -84,6 +87,25 @@ def test_clock_changes(spark):
     assert sum(values(resample.downscale_daily(santiago, "count", "America/Santiago"))) == 72
 
 
+def test_zone_of_each_series(spark):
+    two = [(600, 1), (1200, 2)]
+    df = minutes(spark, two).unionByName(minutes(spark, two).withColumn("series_id", F.lit("east")))
+    zones = spark.createDataFrame([("east", "Asia/Tokyo")], "series_id string, tz string")
+    out = resample.downscale(df, "daily", "sum", zones).collect()
+    assert sorted((r["series_id"], r["meas"]) for r in out) == [("east", 1), ("east", 2), ("s", 3)]
+
+
+def test_own_aggregators(spark):
+    points = [(10, 4), (20, None), (30, NAN), (70, 1), (80, 5), (200, 2)]
+    rises = aggregators.of_readings(lambda xs: F.size(F.filter(xs, lambda x: x > 1)).cast("double"))
+    assert grid(spark, points, agg=rises) == want((60, 2), (120, 1), (180, None), (240, 1))  # NaN is above all numbers
+    spread = aggregators.of_function(lambda xs: None if None in xs else max(xs) - min(xs))
+    assert grid(spark, points, agg=spread) == want((60, None), (120, 4), (180, None), (240, 0))
+    assert grid(spark, points, agg=aggregators.of_function(lambda xs: float("nan")))[0] == (60.0, "error")
+    last = aggregators.placed(lambda f: F.max(f.place).cast("double"))
+    assert grid(spark, points, agg=last) == want((60, 2), (120, 1), (180, None), (240, 0))
+
+
 def test_end_of_period(spark):
     (end,) = [r["chron_ns"] for r in resample.downscale_daily(hourly(spark, 1), "sum").collect()]
     assert end == ORIGIN + 24 * HOUR - 1 and kind(1.0) == 1

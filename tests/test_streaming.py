@@ -1,5 +1,6 @@
 import pytest
 from helpers import HOUR, MINUTE, ORIGIN, minutes
+from pyspark.sql import functions as F
 
 from gaugeworks.errors import AlarmArgumentError
 from gaugeworks.operators import resample
@@ -24,6 +25,13 @@ def test_grid(spark, tmp_path):
     assert got[:2] == [(ORIGIN + HOUR, 1.5), (ORIGIN + 2 * HOUR, 3.5)] and set(got) <= whole
 
 
+def test_whole_microseconds(spark):
+    """A step of 1 ms far from 1970: no detour through doubles."""
+    at = [1704067200002000000, 1704067200002000999, -1, -1000]
+    rows = spark.createDataFrame([(x,) for x in at], "x long").select(live._micros(F.col("x")).alias("m")).collect()
+    assert [r["m"] for r in rows] == [x // 1000 for x in at]
+
+
 def test_alarm(spark, tmp_path):
     df = minutes(spark, [(0, 1), (10, 1), (60, 2), (70, 2)])
     got = run(spark, df, tmp_path / "in", lambda s: live.silences_stream(s, "15m"), "alarms")
