@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from gaugeworks.llm.common import stored, table
 
 SPAN, KGRAM = 10, 5
-#: Most rows of seeds or windows that are broadcast; beyond it both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Most rows of seeds or windows that are broadcast; beyond it both sides are shuffled, the benchmark's in so many copies,
+#: so that a passage that most documents hold isn't one task's.
+BROADCAST_ROWS, COPIES = 1_000_000, 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What lies between words once A-Z are lower case, and what words are made of before that.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -65,6 +66,14 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _met(docs: DataFrame, bench: DataFrame, on: list[str], rows: int) -> DataFrame:
+    """``docs`` (with id_) joined to ``bench``, which has one row for each key and so many rows."""
+    if rows <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(bench), on)
+    dealt = docs.withColumn("copy_", F.pmod(F.xxhash64("id_"), F.lit(COPIES)).cast("int"))
+    return dealt.join(bench.withColumn("copy_", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))), [*on, "copy_"]).drop("copy_")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", span: int = SPAN) -> DataFrame:
     """One row per document: id, n_words, n_hit, items (sorted array of strings), contaminated,
     spans (sorted array of (start, end): word positions of hit windows, the end exclusive).
@@ -96,7 +105,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", tex
     n_windows, n_entries = windows.agg(F.count("*"), F.sum(F.size("items"))).first()
 
     split = keyed.filter(F.col("t_") != "").select("id_", "th_", words("t_").alias("ws_"))
-    met = _seeds(split, spans, ["id_", "th_"]).join(_bounded(seeds, seeds.count()), ["span", "fp"], "left_semi")
+    met = _met(_seeds(split, spans, ["id_", "th_"]), seeds, ["span", "fp"], seeds.count())
     near = stored(met.groupBy("id_", "th_").agg(F.collect_set(F.struct("span", "lo", "hi")).alias("runs")), "bench-near")
     n_runs = near.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0]
 
@@ -104,7 +113,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", tex
     hit = near.select(F.col("id_").alias("i_"), F.col("th_").alias("h_"), "runs")
     again = keyed.join(_bounded(hit, n_runs), F.expr("id_ <=> i_ and th_ <=> h_")).select("id_", "th_", "runs", words("t_").alias("ws_"))
     tried = again.select("id_", "th_", F.expr("flatten(transform(runs, r -> transform(sequence(r.lo, least(r.hi, size(ws_) - r.span)), s -> struct(r.span as span, s as start, array_join(slice(ws_, s + 1, r.span), ' ') as window)))) as tried"))
-    found = tried.select("id_", "th_", F.inline_outer("tried")).filter(F.col("window").isNotNull()).join(_bounded(windows, n_windows + (n_entries or 0)), ["span", "window"])
+    found = _met(tried.select("id_", "th_", F.inline_outer("tried")).filter(F.col("window").isNotNull()), windows, ["span", "window"], n_windows + (n_entries or 0))
     total = found.groupBy("id_", "th_").agg(
         F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("span")).alias("end")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
