@@ -1,7 +1,9 @@
 """A training corpus from ``documents``: five stages, each over all that the one before kept.
 
 Every stage takes (spark, docs, sf_dir); all but the last return the columns of ``docs``, extra
-ones included. doc_id is the key: rows without one are never linked or dropped by it.
+ones included, whatever their names. Null and empty texts pass every stage: they are judged as empty, are nobody's copies,
+hold no passage and no secret, and are packed as an end mark alone. Whole texts are read, however long, and an empty
+table stays empty. Repeated rows are judged each; what else a stage does with them, nulls and ties, it says itself.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import others, stored, table
+from gaugeworks.llm.common import others, small, stored, table
 from gaugeworks.llm.decontaminate import decontaminate
 from gaugeworks.llm.jaccard import ngram_jaccard_join
 from gaugeworks.llm.ledger import redact, scan_versions
@@ -40,14 +42,16 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the quality classifier rejects: poor text, and toxic text."""
+    """Drops what the quality classifier rejects: poor text, and toxic text. A null source or lang is a site of its own;
+    a document at a threshold stays. Of several labels of one id the greater quality counts."""
     needed = ("doc_id", "text", "lang", "source")
     kept = quality(_aside(docs, needed), table(spark, sf_dir, "labels")).filter("accepted")
     return _back(kept, docs, needed)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of similar texts; of rows with one doc_id, one."""
+    """Keeps the smallest doc_id of each group of similar texts; of rows with one doc_id, one. Rows without a doc_id
+    stay, and none gives way to them."""
     told = stored(ngram_jaccard_join(docs.select("doc_id", "text")), "pipeline-groups")
     kept = _without(docs, told.filter("doc_id <> component_id").select("doc_id"))
     again = told.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
@@ -57,13 +61,16 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with words of a benchmark item's window."""
-    told = decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return _without(docs, told.filter("contaminated").select("doc_id"))
+    """Drops documents with words of a benchmark item's window. The text alone decides, so rows that share a doc_id,
+    or have none, are judged each by its own."""
+    key = F.sha2(F.coalesce("text", F.lit("")), 256)
+    told = decontaminate(docs.select(key.alias("key"), "text"), table(spark, sf_dir, "benchmark"), id="key")
+    gone = stored(told.filter("contaminated").select(F.col("key").alias("__gone")).distinct(), "pipeline-gone")
+    return docs.join(small(gone, BROADCAST_IDS), key == F.col("__gone"), "left_anti")
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret in the texts, and counts n_chars anew where one was."""
+    """Replaces every secret in the texts, and counts n_chars anew where one was. Overlapping ones become one mask."""
     needed = ("text", "n_chars")
     found, _ = scan_versions(_aside(docs, needed))
     found = found.withColumn("__hit", F.size("findings") > 0).withColumn("text", redact())
@@ -71,7 +78,8 @@ def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all texts in sequences of 1024 tokens; ids as little-endian unsigned 32-bit."""
+    """The pieces of all texts in sequences of 1024 tokens; ids as little-endian unsigned 32-bit. Rows with one doc_id, or none,
+    are packed each."""
     return pack(docs)
 
 

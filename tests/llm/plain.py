@@ -1,7 +1,9 @@
 """Plain versions of the operators, for small inputs."""
 
+import math
 import random
 import re
+import statistics
 
 LOW = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 
@@ -70,3 +72,82 @@ def near_copies(seed):
         texts += [t.upper(), t + " tail"] if r.random() < 0.5 else [edited(r, t, 0.02)]
     r.shuffle(texts)
     return [(i * 7 % 1009, t) for i, t in enumerate(texts)] + [(5000, None), (5001, "  \t"), (None, texts[0])]
+
+
+def secrets(text):
+    """The base kinds by walking the text character by character."""
+    text, found = text or "", []
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    low = text.translate(LOW)
+    value = set(letters + letters.upper() + digits + "+/_.=-")
+
+    def run(i, chars):
+        while i < len(text) and text[i] in chars:
+            i += 1
+        return i
+
+    def assign(i):
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(word, i):
+                j = i + len(word)
+                j = run(j + (text[j : j + 1] in ("'", '"')), " ")
+                if text[j : j + 1] in (":", "="):
+                    j = run(j + 1, " ")
+                    j += text[j : j + 1] in ("'", '"')
+                    return j, run(j, value), 6
+        return i, i, 1
+
+    def access(i):
+        end = run(i + 4, letters.upper() + digits) if text.startswith("AKIA", i) else i
+        return i, end if end > i + 4 else i, 20
+
+    for kind, match in (("assign", assign), ("access", access), ("hex", lambda i: (i, run(i, "abcdef" + digits), 24))):
+        i = 0
+        while i < len(text):
+            start, end, least = match(i)
+            if end > start:
+                if end - start >= least:
+                    found.append((i, ("assign", "access", "hex").index(kind), f"{kind}:{i}:{end}"))
+                i = end
+            else:
+                i += 1
+    return [x for _, _, x in sorted(found)]
+
+
+def posteriors(rows):
+    """[(host, path, share of good)] -> {(host, path): (host posterior, path posterior)}, by loops."""
+    sites, hosts = {}, {}
+    for h, p, g in rows:
+        sites.setdefault((h, p), []).append(g)
+        hosts.setdefault(h, []).append(g)
+    share = (sum(g for _, _, g in rows) + 1) / (len(rows) + 2)
+
+    def weight(groups):
+        """groups: [(shares of good, prior)]."""
+        if not groups:
+            return 2.0
+        spread = sum(len(g) * (sum(g) / len(g) - prior) ** 2 - prior * (1 - prior) for g, prior in groups) / sum(len(g) for g, _ in groups)
+        return min(10_000.0, max(2.0, share * (1 - share) / max(spread, 1e-6) - 1))
+
+    w = weight([(g, share) for g in hosts.values()])
+    of_host = {h: (sum(g) + w * share) / (len(g) + w) for h, g in hosts.items()}
+    w = weight([(g, of_host[h]) for (h, _), g in sites.items()])
+    return {(h, p): (of_host[h], (sum(g) + w * of_host[h]) / (len(g) + w)) for (h, p), g in sites.items()}
+
+
+def cosine_bits(image):
+    """The 64 lowest frequencies of the image's means over 32 x 32 cells, told from their median, by the definition."""
+    rows, cols = len(image), len(image[0])
+    tall, wide = -(-32 // rows) if rows < 32 else 1, -(-32 // cols) if cols < 32 else 1
+    big = [[image[y // tall][x // wide] for x in range(cols * wide)] for y in range(rows * tall)]
+    edge = lambda i, n: i * n // 32
+    cell = [[0.0] * 32 for _ in range(32)]
+    for i in range(32):
+        for j in range(32):
+            part = [v for line in big[edge(i, len(big)) : edge(i + 1, len(big))] for v in line[edge(j, len(big[0])) : edge(j + 1, len(big[0]))]]
+            cell[i][j] = sum(part) / len(part)
+    cos = [[math.cos(math.pi * (2 * i + 1) * k / 64) for i in range(32)] for k in range(8)]
+    low = [round(sum(cos[u][i] * cos[v][j] * cell[i][j] for i in range(32) for j in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = statistics.median(low[1:])
+    bits = "".join("0" if n == 0 else str(int(x > middle)) for n, x in enumerate(low))
+    return f"{int(bits, 2):016x}"

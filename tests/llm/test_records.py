@@ -7,9 +7,9 @@ import re
 import textwrap
 
 import pytest
-from plain import contamination, groups, prose
+from plain import contamination, groups, prose, words
 
-from gaugeworks.llm import ledger, licences, quality, quotes, warc
+from gaugeworks.llm import common, ledger, licences, quality, quotes, warc
 
 SF = "/root/testdata/sf0.01"
 
@@ -195,6 +195,79 @@ def test_licence_texts_and_headers(spark):
     assert got["full/MIT/src/x.c"]["licence_file"] == "full/MIT/LICENSE" and got["h/g.c"]["origin"] == "own"
 
 
+def contaminated(text, bench):
+    """Whether the text holds a window of an item, as texts between marks."""
+    ws = words(text)
+    return any(tuple(ws[i : i + n]) in windows for n, windows in bench[1].items() for i in range(len(ws) - n + 1))
+
+
+def windows_of(bench):
+    out = {}
+    for item, t in bench:
+        ws = words(t)
+        n = min(10, len(ws))
+        if item is not None and n:
+            out.setdefault(n, set()).update(tuple(ws[i : i + n]) for i in range(len(ws) - n + 1))
+    return bench, out
+
+
+def test_stages_of_odd_rows(spark, tmp_path):
+    """Null, empty, long and repeated texts, null ids, columns with the operators' own names, and no rows at all."""
+    import corpus_pipeline as p
+
+    r = random.Random(4)
+    long_ = prose(r, 30_000, 10**6)
+    passage = prose(r, 12, 10**6)
+    rows = [(0, None), (1, ""), (2, long_), (3, long_ + " end"), (None, passage), (None, "fine words of no harm"), (4, "token=abcdefgh"), (4, prose(r, 40)), (5, " \t"), (6, passage.upper()), (2, long_)]
+    docs = spark.createDataFrame([(d, t, "en", None, 0, "mine", "mine", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, blob string, e_good string, cid int")
+    spark.createDataFrame([(0, passage), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen = {}
+    for name, stage in p.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        seen[name] = sorted(((x["doc_id"], x["text"]) for x in out.collect()), key=str)
+        assert all((x["blob"], x["e_good"], x["cid"]) == ("mine", "mine", 1) for x in out.collect())
+    key = lambda some: sorted(some, key=str)
+    assert seen["quality classifier"] == key(rows)
+    kept = seen["n-gram Jaccard join"]
+    assert {d for d, _ in kept} == {0, 1, 2, 4, 5, 6, None} and len(kept) == 8
+    assert seen["benchmark decontamination"] == key([x for x in rows if (x[1] or "").lower() != passage])
+    masked = seen["secret scans"]
+    assert (4, "[SECRET]") in masked and len(masked) == len(rows) and key([x for x in masked if x[1] != "[SECRET]"]) == key([x for x in rows if x[1] != "token=abcdefgh"])
+    pieces = p.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sum(x["length"] == x["doc_tokens"] == 1 for x in pieces) == 2 and p.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).collect() == []
+
+
+def test_extra_columns(spark):
+    """Columns with names that the operators use themselves change nothing."""
+    from gaugeworks.llm import decontaminate
+
+    extra = lambda df: df.selectExpr("*", *(f"'mine' as {c}" for c in ("curl", "slice", "own", "th_", "ws_", "seeds", "t", "o", "x", "p", "w", "line", "l_", "near", "hash", "window") if c not in df.columns))
+    show = lambda df, *columns: sorted(map(str, df.select(*columns).collect()))
+    docs, bench = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "q")], "doc_id long, text string"), spark.createDataFrame([(1, "b c d e f g h i j k")], "item_id long, text string")
+    assert show(decontaminate.decontaminate(extra(docs), extra(bench)), "*") == show(decontaminate.decontaminate(docs, bench), "*")
+    records = spark.createDataFrame([("r", "a.com", 1, "response", "e", None, "d", {"Date": "1", "date": "2", "X": "y"}), ("v", "a.com", 2, "revisit", "e", None, None, {"date": "3", "DATE": "4"})], "record_id string, url string, ts long, kind string, etag string, last_modified string, digest string, headers map<string,string>")
+    told = warc.resolve_revisits(extra(records))
+    assert show(told, "*") == show(warc.resolve_revisits(records), "*") and told.first()["headers"] == {"x": "y", "date": "3"}
+    mails = spark.createDataFrame([("t", 0, "hello there\n" * 5000), ("t", 1, "> hello there\nyes")], "thread string, turn int, text string")
+    assert show(quotes.link_quotes(extra(mails))[0], "*") == show(quotes.link_quotes(mails)[0], "*")
+    files = spark.createDataFrame([("a/LICENSE", licences.TEMPLATES["MIT"]), ("a/x", "word " * 50_000)], "path string, text string")
+    assert show(licences.scan_licences(extra(files)), "*") == show(licences.scan_licences(files), "*")
+
+
+def test_hot_records(spark, monkeypatch):
+    """One URL at one instant, and one root that all answer, dealt to several tasks."""
+    monkeypatch.setattr(common, "HOT_LEAST", 3)
+    records = [(f"r{i:03}", "a.com", 5 + i % 2, "response", None, None, f"d{i}", {}) for i in range(40)] + [(f"v{i}", "a.com", 7 if i % 4 else 6, "revisit", None, None, None, {}) for i in range(60)]
+    df = spark.createDataFrame(records, "record_id string, url string, ts long, kind string, etag string, last_modified string, digest string, headers map<string,string>")
+    assert {(x["ts"], x["source_record"]) for x in warc.resolve_revisits(df).collect()} == {(6, "r038"), (7, "r039")} and warc.resolve_revisits(df).count() == 60
+    rows = [("t", 0, "all of this")] + [("t", i, f"> all of this\nanswer {i}") for i in range(1, 80)]
+    told = quotes.link_quotes(spark.createDataFrame(rows, "thread string, turn int, text string"))[0].collect()
+    assert {(x["root"], x["depth"], x["parent"]) for x in told if x["turn"]} == {(0, 1, 0)} and len(told) == 80
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pipeline(spark):
     import corpus_pipeline as p
@@ -213,8 +286,8 @@ def test_pipeline(spark):
     assert sum(d in kept for d in clean) >= 0.98 * len(clean) and sum(d in kept for d, x in labels.items() if x[0] == 0) <= 0.1 * sum(x[0] == 0 for x in labels.values())
     component, _ = groups(rows[1], 5, 80, 100)
     assert rows[2] == [x for x, c in zip(rows[1], component) if x[0] == c]
-    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    assert rows[3] == [x for x in rows[2] if not contamination(x[1], bench)[1]] or len(rows[3]) < len(rows[2])
+    bench = windows_of([(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
+    assert rows[3] == [x for x in rows[2] if not contaminated(x[1], bench)] and len(rows[3]) < len(rows[2])
     masked = dict(rows[4])
     assert len(masked) == len(rows[3]) and all(("[SECRET]" in masked[d]) == bool(ledger.find_secrets(t)) for d, t in rows[3])
     pieces = p.STAGES[-1][1](spark, frames[4], SF)
