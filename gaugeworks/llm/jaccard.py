@@ -34,9 +34,9 @@ from gaugeworks.llm.components import components
 SUBSET = 2
 #: Rows that an entry of an inverted list costs where a subset costs one: itself, its pair, and the pair's four lookups.
 SCAN_ROWS = 6
-#: Bits of the filters that tell elements of two sets or more: 16 an element, within these bounds. A full filter
-#: lets more through; it never loses an element.
-FILTER_BITS = (1 << 16, 1 << 28)
+#: Most elements of two sets or more that a filter tells, which the driver makes and every worker holds: 16 bits each, so at most
+#: 32 MB, in a power of two of at least so many bits. Beyond it the elements are joined.
+FILTER_MOST, FILTER_LEAST_BITS = 1 << 24, 1 << 16
 #: An element counts as heavy from so many lists on; doubled until at most HEAVY_MOST are.
 HEAVY_LEAST, HEAVY_MOST = 16, 500_000
 #: Most rows of ids or elements that are broadcast; beyond it both sides are shuffled.
@@ -118,13 +118,12 @@ class _Filter:
     """A filter of fixed size over elements: says yes for all it was made of and few others."""
 
     def __init__(self, elements: DataFrame, count: int):
-        least, most = FILTER_BITS
-        self.bits = min(most, max(least, 1 << (16 * max(count, 1) - 1).bit_length()))
+        self.bits = max(FILTER_LEAST_BITS, 1 << (16 * max(count, 1) - 1).bit_length())
         self.words = np.zeros(self.bits // 64, np.uint64)
         mask = self.bits - 1
         bit = F.explode(F.array(F.expr(f"e & {mask}L"), F.expr(f"shiftrightunsigned(e, 27) & {mask}L")))
         words = elements.select(bit.alias("b")).groupBy(F.expr("shiftright(b, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("v"))
-        got = words.toArrow()  # at most FILTER_BITS / 64 rows
+        got = words.toArrow()  # at most FILTER_MOST / 4 rows
         self.words[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
 
     def holds(self, e: np.ndarray) -> np.ndarray:
@@ -195,12 +194,36 @@ class _Join:
         out = stored(counts.filter("df > 1"), "jaccard-shared")
         return out, out.count()
 
-    def heavy(self, shared: DataFrame) -> np.ndarray:
+    def heavy(self, shared: DataFrame) -> int:
+        """How many sets must hold an element that counts as heavy, so that at most HEAVY_MOST do."""
         steps = [HEAVY_LEAST << i for i in range(40)]
         many = shared.agg(*(F.count_if(F.col("df") >= x).alias(f"c{x}") for x in steps)).first()
-        least = next(x for x, k in zip(steps, many) if k <= HEAVY_MOST)
-        # At most HEAVY_MOST elements by the choice of ``least``.
-        return np.sort(shared.filter(F.col("df") >= least).select("e").toArrow().column(0).to_numpy())
+        return next(x for x, k in zip(steps, many) if k <= HEAVY_MOST)
+
+    def candidates(self) -> DataFrame:
+        """cid of the classes that can be similar to another, as far as their smallest elements tell."""
+        shared, count = self.shared(self.classes)
+        if count <= FILTER_MOST:
+            return _candidates(self.classes, _Filter(shared, count), self.num, self.den, self.quarters)
+        met = keyed_join(self.classes.select("cid", "n", F.explode("some").alias("e")), shared.select("e", F.col("df").alias("__rows")), ["e"], by=["cid"])
+        up = lambda x: f"(({self.num}L * {x} + {self.den - 1}) div {self.den})"
+        # As _common, _first and _smallest have it.
+        least = met.groupBy("cid", "n").agg(F.count("*").alias("k")).withColumn("t", F.expr(f"greatest(1L, {up('n')})")).withColumn("f", F.expr(f"t - {up('t')} + 1"))
+        return least.filter(f"k >= least(t, f * {self.quarters} div 4 + 4) - f + 1").select("cid")
+
+    def firsts(self, sets: DataFrame) -> DataFrame:
+        """As _firsts has it, by a filter or by a join."""
+        shared, count = self.shared(sets)
+        heavy = self.heavy(shared)
+        if count <= FILTER_MOST:
+            # At most HEAVY_MOST elements.
+            most = np.sort(shared.filter(F.col("df") >= heavy).select("e").toArrow().column(0).to_numpy())
+            return _firsts(sets, _Filter(shared, count), most, self.num, self.den)
+        met = keyed_join(sets.select("cid", "n", F.explode("some").alias("e")), shared.select("e", "df", F.col("df").alias("__rows")), ["e"], "left", by=["cid"])
+        kind = F.when(F.col("df") >= heavy, 2).when(F.col("df").isNotNull(), 1)
+        held = met.groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.when(kind.isNotNull(), F.struct(kind.alias("kind"), "e")))).alias("held"), F.count_if(F.col("df").isNull()).alias("own"))
+        held = held.withColumn("p", F.expr(f"least(n, n - ({self.num}L * n + {self.den - 1}) div {self.den} + {SUBSET})")).withColumn("alone", F.least("own", "p").cast("int"))
+        return held.select("cid", "n", F.expr("transform(slice(held, 1, cast(p - alone as int)), x -> x.e)").alias("first"), "alone")
 
     def whole(self, wanted: DataFrame) -> DataFrame:
         """cid, n, some: the whole sets of the wanted classes, from one text of each."""
@@ -213,10 +236,8 @@ class _Join:
 
     def lists(self) -> tuple[DataFrame, DataFrame]:
         """sets: cid, n, some (whole) of the candidates; first: cid, n, first, alone."""
-        near = _candidates(self.classes, _Filter(*self.shared(self.classes)), self.num, self.den, self.quarters)
-        sets = stored(self.whole(near), "jaccard-sets")
-        counts, count = self.shared(sets)
-        return sets, stored(_firsts(sets, _Filter(counts, count), self.heavy(counts), self.num, self.den), "jaccard-first")
+        sets = stored(self.whole(self.candidates()), "jaccard-sets")
+        return sets, stored(self.firsts(sets), "jaccard-first")
 
     def boundary(self, first: DataFrame) -> int:
         """The size up to which sets are small: the one with the least cost of subsets and scans.
