@@ -181,10 +181,8 @@ class _Join:
     def __init__(self, docs: DataFrame, id: str, text: str, shingle: int, num: int, den: int, quarters: int):
         self.quarters = quarters
         self.docs, self.id, self.text, self.shingle, self.num, self.den = docs, id, text, shingle, num, den
-        profiles = lambda: _profiles(docs, id, text, shingle, num, den, quarters, whole=False)
-        # The texts are read twice rather than their smallest elements kept for every copy.
-        self.rows = stored(profiles().select("id_", "n", "d1", "d2"), "jaccard-profiles")
-        grouped = profiles().filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("id_").alias("least_id"), F.first("some").alias("some"))
+        self.rows = stored(_profiles(docs, id, text, shingle, num, den, quarters, whole=False), "jaccard-profiles")
+        grouped = self.rows.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("id_").alias("least_id"), F.first("some").alias("some"))
         self.classes = stored(grouped.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
         self.needed = lambda a, b: f"(({num} * ({a} + {b}) + {num + den - 1}) div {num + den})"
 
@@ -356,7 +354,7 @@ def ngram_jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text",
     named = stored(named.select("n", "d1", "d2", "least_id", "comp"), "jaccard-named")
     least = stored(named.groupBy("comp").agg(F.min("least_id").alias("component_id"), F.count("*").alias("__rows")), "jaccard-least")
     classes = stored(keyed_join(named, least, ["comp"]).select("n", "d1", "d2", "least_id", "component_id"), "jaccard-classes")
-    return keyed_join(run.rows, classes, ["n", "d1", "d2"], "left", by=["id_"]).select(
+    return keyed_join(run.rows.drop("some"), classes, ["n", "d1", "d2"], "left", by=["id_"]).select(
         F.col("id_").alias(id), F.col("n").cast("long").alias("n_shingles"), F.coalesce("least_id", "id_").alias("class_id"), F.coalesce("component_id", "id_").alias("component_id")
     )
 
