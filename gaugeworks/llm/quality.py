@@ -217,12 +217,13 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     docs = docs.select(*others(docs, made))
     model = fit_on_labels(docs, labels, {"good": F.col("quality"), "toxic": F.col("toxic")}, id, text)
     names = ["good", "toxic"]
-    one = with_log_odds(docs.select(*dict.fromkeys((id, host, path, text))), model, names, text, drop_text=True)
+    # Stored, so that features are made once: posteriors need all log odds before any row is scored.
+    scored = stored(with_log_odds(docs, model, names, text, drop_text=not keep_text), "quality-scored")
+    one = scored.select(*dict.fromkeys((id, host, path)), "e_good")
     known = labels.filter(F.col(id).isNotNull()).groupBy(F.col(id).alias("id_")).agg(F.max("quality").alias("__label"))
     told = one.join(known, one[id] == known["id_"], "left")
     evidence = told.select(F.col(host).alias("__host"), F.col(path).alias("__path"), F.coalesce(F.col("__label").cast("double"), _share(F.col("e_good"))).alias("__good"))
     sites = stored(site_posteriors(evidence, host, path), "quality-posteriors")
-    scored = with_log_odds(docs, model, names, text, drop_text=not keep_text)
     on = F.expr(f"`{host}` <=> __host and `{path}` <=> __path")
     if sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES:
         met = scored.join(F.broadcast(sites), on, "left")
