@@ -98,7 +98,7 @@ class Signal:
 
     def stats(self) -> DataFrame:
         """A row for each series; one of nothing if there are no readings at all."""
-        return stats_.stats(self.df, self.chunk) if self.first() else stats_.nothing(self.df.sparkSession)
+        return stats_.nothing(self.df.sparkSession) if self.df.isEmpty() else stats_.stats(self.df, self.chunk)
 
     # Cleaning: (cleaned, rejected).
 
