@@ -23,7 +23,8 @@ from gaugeworks.llm.common import small, stored, table, vocabulary
 END_ID = 0
 #: Most partitions whose offsets are broadcast; beyond it they are joined by shuffling.
 BROADCAST_PARTITIONS = 200_000
-#: Longer texts are encoded in pieces, cut at a blank between two letters or digits, where the pattern always cuts.
+#: Longer texts are encoded in pieces, cut at a blank between two letters or digits, where the pattern always cuts; a text
+#: without such a blank is encoded whole, which takes more memory and gives the same ids.
 PIECE_CHARS = 1_000_000
 _CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 

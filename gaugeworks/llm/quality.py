@@ -25,7 +25,8 @@ from gaugeworks.llm import wordhash
 from gaugeworks.llm.common import others, slices, small, stored, table, text_bytes
 
 BINS = 1 << 20
-#: Word bins that a target may weigh: those most unevenly spread over its classes, from this z score on.
+#: Parameters of the model: how many word bins a target may weigh at most, the most unevenly spread over its classes, from this z score on.
+#: All bins of all labelled texts in the sample are counted to choose them.
 WORDS_USED, WORDS_Z = 256, 5.0
 #: Most labelled rows that the classifier is fitted on, and most bytes of features on the driver.
 SAMPLE_ROWS = 4_000

@@ -151,3 +151,55 @@ def cosine_bits(image):
     middle = statistics.median(low[1:])
     bits = "".join("0" if n == 0 else str(int(x > middle)) for n, x in enumerate(low))
     return f"{int(bits, 2):016x}"
+
+
+BLANKS = " \t\n\x0b\f\r"
+
+
+def linked_quotes(rows):
+    """[(thread, order, text)], each once -> {(thread, order): (own, parent, root, depth)} and [(thread, order, passage, level, original)]."""
+    tidy = lambda t: " ".join(x for x in re.split(f"[{BLANKS}]+", t.lower()) if x)
+    parts, said = {}, {}
+    for t, o, text in rows:
+        own, runs, before = [], [], None
+        for line in re.split("\r?\n", text or ""):
+            level, i = 0, 0
+            while True:
+                j = i
+                while j < len(line) and line[j] in BLANKS:
+                    j += 1
+                if line[j : j + 1] != ">":
+                    break
+                level, i = level + 1, j + 1
+            if level and line[i : i + 1] and line[i] in BLANKS:
+                i += 1
+            if level == 0:
+                own.append(line)
+            elif level == before:
+                runs[-1][1].append(line[i:])
+            else:
+                runs.append((level, [line[i:]]))
+            before = level
+        whole = "\n".join(own).strip(BLANKS)
+        parts[t, o] = whole, runs
+        for x in [*own, whole]:
+            if tidy(x):
+                said[t, tidy(x)] = min(o, said.get((t, tidy(x)), o))
+    links, parent = [], {}
+    for (t, o), (_, runs) in parts.items():
+        best = []
+        for n, (level, lines) in enumerate(runs):
+            tried = [(w, len(tidy(x)), said[t, tidy(x)]) for w, x in [(1, "\n".join(lines)), *((0, x) for x in lines)] if tidy(x) and said.get((t, tidy(x)), o) < o]
+            if tried:
+                _, size, original = max(tried)
+                links.append((t, o, n, level, original))
+                best += [(size, n, original)] * (level == 1)
+        if best:
+            parent[t, o] = max(best)[2]
+    out = {}
+    for t, o in parts:
+        at, depth = o, 0
+        while (t, at) in parent:
+            at, depth = parent[t, at], depth + 1
+        out[t, o] = parts[t, o][0], parent.get((t, o)), at, depth
+    return out, sorted(links)

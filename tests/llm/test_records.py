@@ -7,7 +7,7 @@ import re
 import textwrap
 
 import pytest
-from plain import contamination, groups, prose, words
+from plain import contamination, groups, linked_quotes, prose, words
 
 from gaugeworks.llm import common, ledger, licences, quality, quotes, warc
 
@@ -109,6 +109,31 @@ def test_quotes(spark):
     assert quotes.link_quotes(spark.createDataFrame([], "thread string, turn int, text string"))[0].collect() == []
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_quotes_by_walking(spark, seed):
+    """Random threads of quotes within quotes, some altered, some of nobody, some said twice."""
+    r = random.Random(seed)
+    rows = []
+    for t in ("t", "u"):
+        texts = []
+        for o in range(40):
+            lines = []
+            for _ in range(r.choice([0, 1, 1, 2])):
+                quoted = r.choice(texts) if texts else "none"
+                some = quoted.split("\n")
+                a = r.randrange(len(some))
+                mark = r.choice(["> ", ">", ">> ", " > "])
+                lines += [mark + (x.upper() if r.random() < 0.2 else x + r.choice(["", "", "  "])) for x in some[a : a + r.choice([1, 2, 9])]]
+                lines += [r.choice(["", "I see", "> stray", "yes  indeed"])] * r.randrange(2)
+            lines += [" ".join(r.choice(["fine", "no", "what", "then", "sun"]) for _ in range(r.choice([0, 1, 3, 5]))) for _ in range(r.randrange(3))]
+            texts.append(r.choice(["\n", "\r\n"]).join(lines))
+            rows.append((t, o, texts[-1] if o % 13 else None))
+    told, links = quotes.link_quotes(spark.createDataFrame(rows, "thread string, turn int, text string"))
+    out, expected = linked_quotes(rows)
+    assert {(x["thread"], x["turn"]): (x["own"], x["parent"], x["root"], x["depth"]) for x in told.collect()} == out
+    assert sorted((x["thread"], x["turn"], x["passage"], x["level"], x["original"]) for x in links.collect()) == expected and len(expected) > 30
+
+
 def test_long_reply_chain(spark):
     rows = [("t", i, (f"> line {i - 1}\n" if i else "") + f"line {i}") for i in range(70)]
     got = {r["turn"]: (r["root"], r["depth"]) for r in quotes.link_quotes(spark.createDataFrame(rows, "thread string, turn int, text string"))[0].collect()}

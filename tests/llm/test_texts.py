@@ -1,6 +1,7 @@
 """Packing, token counts, secret scans and media columns."""
 
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -41,6 +42,17 @@ def test_packing_round_trip(spark, length, parts):
     assert sorted(filled) == list(range(-(-total // length))) and all(n == length for s, n in filled.items() if s < max(filled))
 
 
+def test_ranks_against_the_library():
+    """Every assigned character, between letters, blanks and digits, gives the ids of the named library."""
+    t, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.byte_bpe()
+    known = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co") and not (0x3400 < c < 0x9FF0 or 0xAC00 < c < 0xD7A0 or 0x17000 < c < 0x18D00 or 0x20000 < c < 0x32000) or c % 97 == 0 and not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}b {c} 1{c}{c}" for c in known]
+    assert len(texts) > 40_000
+    for at in range(0, len(texts), 20_000):
+        some = texts[at : at + 20_000]
+        assert [encode(x) for x in some] == [e.ids for e in t.encode_batch(some, add_special_tokens=False)]
+
+
 def test_packing_of_long_texts_and_none(spark, monkeypatch):
     text = "some words and, others; 'tis  x " * 50
     whole = packing.byte_bpe()(text)
