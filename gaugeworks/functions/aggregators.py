@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from gaugeworks.durations import ns
 from gaugeworks.functions import nav
@@ -88,7 +89,7 @@ def of_readings(make: Callable[[Column], Column]) -> Aggregator:
 def of_function(compute: Callable[[list[float | None]], float | None]) -> Aggregator:
     """The same with a plain Python function over the list of measurements, run in Arrow batches of windows."""
 
-    @F.arrow_udf("double")
+    @F.arrow_udf(DoubleType())
     def udf(windows: pa.Array) -> pa.Array:
         return pa.array([compute(w) for w in windows.to_pylist()], pa.float64())
 

@@ -323,8 +323,8 @@ def _build() -> dict[str, tuple[Callable, str | None]]:
     out["json_columns"] = lambda s, d: exported(export.columns(events(s, d), 300)), f"SELECT series_id, part, count(*) AS n, max(chron_ns) AS until, {weighed('meas')} AS meas, {weighed('dmeas')} AS dmeas, CAST(coalesce(sum(dchron_ns), 0) AS BIGINT) AS spent FROM ({parted(_DELTAS % e)}) GROUP BY 1, 2"
     out["json_stats"] = lambda s, d: export.stats_json(events(s, d)).select("series_id", F.get_json_object("json", "$.len").cast("long").alias("len"), F.get_json_object("json", "$.chmin").cast("long").alias("chmin"), F.get_json_object("json", "$.msmin").alias("msmin")), f"SELECT series_id, count(*) AS len, min(chron_ns) AS chmin, CAST(NULL AS VARCHAR) AS msmin FROM ({e}) GROUP BY 1"
     said = lambda key, kind: F.get_json_object("json", f"$.{key}").cast(kind)
-    summary = {"chmax": said("chmax", "long"), "msmax": F.round(said("msmax", "double"), 6), "msmed": F.round(said("msmed", "double"), 6), "dchmin": said("dChmin_ns", "long"), "dchmed": said("dChmed_ns", "long"), "dmsmax": F.round(said("dMsmax", "double"), 6), "broken": said("nbreOfNaN", "long")}
-    out["json_summary"] = lambda s, d: export.stats_json(events(s, d, clean=True)).select("series_id", *(c.alias(k) for k, c in summary.items())), f"SELECT series_id, max(chron_ns) AS chmax, round(max(meas), 6) AS msmax, round(quantile_disc(meas, 0.5), 6) AS msmed, min(dchron_ns) AS dchmin, CAST(quantile_disc(dchron_ns, 0.5) AS BIGINT) AS dchmed, round(max(dmeas), 6) AS dmsmax, 0 AS broken FROM ({_DELTAS % _events(clean=True)}) GROUP BY 1"
+    summary = lambda: {"chmax": said("chmax", "long"), "msmax": F.round(said("msmax", "double"), 6), "msmed": F.round(said("msmed", "double"), 6), "dchmin": said("dChmin_ns", "long"), "dchmed": said("dChmed_ns", "long"), "dmsmax": F.round(said("dMsmax", "double"), 6), "broken": said("nbreOfNaN", "long")}
+    out["json_summary"] = lambda s, d: export.stats_json(events(s, d, clean=True)).select("series_id", *(c.alias(k) for k, c in summary().items())), f"SELECT series_id, max(chron_ns) AS chmax, round(max(meas), 6) AS msmax, round(quantile_disc(meas, 0.5), 6) AS msmed, min(dchron_ns) AS dchmin, CAST(quantile_disc(dchron_ns, 0.5) AS BIGINT) AS dchmed, round(max(dmeas), 6) AS dmsmax, 0 AS broken FROM ({_DELTAS % _events(clean=True)}) GROUP BY 1"
     out["container_union"] = _variants, " UNION ALL ".join(f"SELECT '{name}' AS variant, {i} AS variant_rank, * FROM ({_say(source, *POINT)})" for i, (name, source) in enumerate((("raw", e), ("cleaned", bounded))))
     at_value = {"val_at_chmin": "arg_min(meas, (chron_ns, seq))", "val_at_chmax": "arg_max(meas, (chron_ns, seq))", "val_at_first_usable": f"arg_min(meas, (chron_ns, seq)) FILTER ({USABLE})"}
     ends_usable = f"SELECT * FROM ({_events('user_id')}) WHERE seq % 3 > 0"

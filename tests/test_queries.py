@@ -1,6 +1,8 @@
 """Every registered query that has SQL, against DuckDB over the smallest tables."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -34,5 +36,11 @@ def test_query(spark, duck, name):
     assert rows(mine.columns, mine.collect()) == rows(theirs.columns, theirs.fetchall())
 
 
+def test_registry_needs_no_session():
+    """Names and SQL can be read before a session is made."""
+    told = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) > len(e.oracle_sql()) > 60)"], cwd=os.path.dirname(os.path.abspath(entry.__file__)), capture_output=True, text=True, timeout=120)
+    assert told.stdout.strip().endswith("True"), told.stderr
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
