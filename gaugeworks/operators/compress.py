@@ -2,59 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from math import isnan
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.durations import ns
 from gaugeworks.errors import AlarmArgumentError, RegularizeArgumentError
-from gaugeworks.functions import nav
-from gaugeworks.operators.neighbours import AUTO, nearest, width
+from gaugeworks.operators.deadband import deadband
+from gaugeworks.operators.neighbours import Look, around, nearest
+from gaugeworks.operators.spans import AUTO, resolved
 
 
-def reduce(df: DataFrame, chunk: int | str | None = AUTO) -> DataFrame:
+def reduce(df: DataFrame, chunk=AUTO) -> DataFrame:
     """First, last, and every reading that differs from the one before; missing, broken and numbers are three classes."""
-    chunk, here = width(df, chunk), F.struct("meas")
-    near = nearest(nearest(df, here, "__before", chunk=chunk), here, "__after", after=True, chunk=chunk)
+    here = F.struct("meas")
+    near = around(df, [Look("__before", here), Look("__after", here, after=True)], chunk)
     same = F.col("meas").eqNullSafe(F.col("__before.meas"))
     keep = F.col("__before").isNull() | F.col("__after").isNull() | ~same
     return near.filter(keep).select(*df.columns)
 
 
-def reduce_with_deadband(df: DataFrame, band: float) -> DataFrame:
+def reduce_with_deadband(df: DataFrame, band: float, chunk=AUTO) -> DataFrame:
     """First, last, and every reading further than ``band`` from the last one kept, or of another class.
 
-    What is kept depends on what was kept before, along the whole series: so each series is one task's, which
-    passes through it batch by batch and holds no more than the last kept reading.
+    What is kept depends on what was kept before, along the whole series; see ``operators.deadband`` for how long series are many tasks' work.
     """
     if isnan(band) or band < 0:
         raise RegularizeArgumentError(f"band {band} is negative or NaN")
-    state = F.when(F.col("meas").isNull(), 1).when(F.isnan("meas"), 2).otherwise(0).cast("int")
-    order = Window.partitionBy("series_id").orderBy("chron_ns", "seq")
-    source = df.withColumn("__state", state).withColumn("__final", F.lead("seq").over(order).isNull() & F.lead("chron_ns").over(order).isNull())
-    source = source.sortWithinPartitions("series_id", "chron_ns", "seq")  # the window's own order: nothing is sorted anew
-    at = {name: i for i, name in enumerate(source.columns)}
+    return deadband(df, float(band), resolved(df, chunk))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        series = kind = value = None
-        for batch in batches:
-            columns = (batch.column(at[c]).to_pylist() for c in ("series_id", "__state", "meas", "__final"))
-            keep = []
-            for name, k, v, final in zip(*columns):
-                moved = kind is None or name != series or k != kind or (k == 0 and v != value and abs(v - value) > band)
-                if moved:
-                    series, kind, value = name, k, v
-                keep.append(moved or final)
-            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    out = source.mapInArrow(run, source.schema)
-    return out.select(*df.columns)
-
-
-def expand(df: DataFrame, start_ns: int, end_ns: int, step: int | str, chunk: int | str | None = AUTO) -> DataFrame:
+def expand(df: DataFrame, start_ns: int, end_ns: int, step: int | str, chunk=AUTO) -> DataFrame:
     """series_id, chron_ns, meas at start, start + step, ... up to end: what the last reading up to then said.
 
     Missing before the first reading and after the last. A series without readings doesn't appear.
@@ -73,7 +52,7 @@ def expand(df: DataFrame, start_ns: int, end_ns: int, step: int | str, chunk: in
     return near.filter("__grid = 1").select("series_id", "chron_ns", F.when(F.col("chron_ns") <= F.col("__last"), F.col("__held.meas")).alias("meas"))
 
 
-def mark_silences(df: DataFrame, max_gap: int | str, chunk: int | str | None = AUTO) -> DataFrame:
+def mark_silences(df: DataFrame, max_gap: int | str, chunk=AUTO) -> DataFrame:
     """Readings, and a missing one at max_gap after each reading that the next one lets wait longer; not after a missing one."""
     gap = ns(max_gap)
     if gap <= 0:

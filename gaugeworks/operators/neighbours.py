@@ -1,73 +1,73 @@
-"""The nearest earlier or later row of a series that has something to say.
+"""The nearest earlier or later row of a series that has something to say, and a row's place in it.
 
-Every operator that looks at neighbours asks here. With ``chunk`` a series is cut into spans of that
-many nanoseconds, windows run within a span, and what earlier spans hand on is worked out over one
-row per span: then a long series is many tasks' work, not one's. By default the span is chosen from
-counted rows; None never cuts.
+Every operator that looks at neighbours asks here. Long series are cut into spans (``operators.spans``): windows run within a
+span, and what earlier or later spans hand on is worked out over one row per span.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.durations import ns
+from gaugeworks.operators.spans import AUTO, SPAN, assigned, joined, only_cut, resolved, turned, whole
 
 
-AUTO = "auto"
-#: Readings that one task's window may have; and the size, by Catalyst's estimate, up to which a table isn't even counted.
-CHUNK_ROWS, UNCOUNTED_BYTES = 4_000_000, 64 << 20
+@dataclass(frozen=True)
+class Look:
+    """As column ``name``: ``value``, a struct, of the nearest row before (after) where it isn't null. own: the row itself counts."""
 
+    name: str
+    value: Column
+    after: bool = False
+    own: bool = False
 
-def width(df: DataFrame, chunk: int | str | None = AUTO, rows: int | None = None) -> int | None:
-    """The span in nanoseconds that ``chunk`` asks for. AUTO: None if no series has more than CHUNK_ROWS readings (or ``rows``); else
-    the span in which the fullest series has about so many. That takes one pass over series_id and chron_ns of a large table."""
-    if chunk is None or chunk != AUTO:
-        return None if chunk is None else ns(chunk)
-    rows, counted = rows or CHUNK_ROWS, rows is not None
-    if not counted and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= UNCOUNTED_BYTES:
-        return None
-    series = df.groupBy("series_id").agg(F.count("*").alias("n"), (F.max("chron_ns") - F.min("chron_ns") + 1).alias("w"))
-    most, least = series.agg(F.max("n"), F.min(F.ceil(F.col("w") * (F.lit(rows) / F.col("n"))))).first()
-    return max(1, int(least)) if most and most > rows else None
 
+def around(df: DataFrame, looks: list[Look], chunk=AUTO, rank: str | None = None) -> DataFrame:
+    """``df`` with a column for each look. rank: a column that settles the order between chron_ns and seq.
 
-def ranked(df: DataFrame, chunk: int | str | None = AUTO, name: str = "place", total: str | None = None) -> DataFrame:
-    """``df`` with each row's place in its series, from 0; and, as column ``total`` if named, how many rows the series has."""
-    size, order = width(df, chunk), ("chron_ns", "seq")
-    if size is None:
-        out = df.withColumn(name, F.row_number().over(Window.partitionBy("series_id").orderBy(*order)) - F.lit(1).cast("long"))
-        return out.withColumn(total, F.count("*").over(Window.partitionBy("series_id"))) if total else out
-    cut = df.withColumn("__span", F.floor(F.col("chron_ns") / size))
-    series = Window.partitionBy("series_id")
-    before = F.sum("__n").over(series.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1))
-    spans = cut.groupBy("series_id", "__span").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(before, F.lit(0))).withColumn("__total", F.sum("__n").over(series)).drop("__n")
-    near = cut.withColumn("__i", F.row_number().over(Window.partitionBy("series_id", "__span").orderBy(*order)) - F.lit(1).cast("long"))
-    return near.join(spans, ["series_id", "__span"]).select(*df.columns, (F.col("__before") + F.col("__i")).alias(name), *([F.col("__total").alias(total)] if total else []))
+    The series meet in one exchange, whatever the number of looks.
+    """
+    spans, keys = resolved(df, chunk), ["chron_ns", *([rank] if rank else []), "seq"]
+    own = [SPAN] if not whole(spans) else []
 
+    def within(look: Look) -> Column:
+        frame = Window.partitionBy("series_id", *own).orderBy(*(turned(k, look.after) for k in keys))
+        return F.last(look.value, True).over(frame.rowsBetween(Window.unboundedPreceding, 0 if look.own else -1))
 
-def nearest(df: DataFrame, value: Column, name: str, after: bool = False, own: bool = False, chunk: int | str | None = AUTO, rank: str | None = None) -> DataFrame:
-    """``df`` with column ``name``: ``value``, a struct, of the nearest row before (after) where it isn't null.
+    if not own:
+        return df.withColumns({x.name: within(x) for x in looks})
+    picks = [(F.min_by if x.after else F.max_by)(x.value, F.when(x.value.isNotNull(), F.struct(*keys))).alias(f"__end{i}") for i, x in enumerate(looks)]
+    ends = only_cut(df, spans).groupBy("series_id", SPAN).agg(*picks)
+    hand = lambda i, x: F.last(f"__end{i}", True).over(Window.partitionBy("series_id").orderBy(turned(SPAN, x.after)).rowsBetween(Window.unboundedPreceding, -1)).alias(f"__carry{i}")
+    carried = ends.select("series_id", SPAN, *(hand(i, x) for i, x in enumerate(looks)))
+    near = assigned(df, spans).withColumns({f"__near{i}": within(x) for i, x in enumerate(looks)})
+    met = joined(near, carried, spans)
+    return met.select(*df.columns, *(F.coalesce(f"__near{i}", f"__carry{i}").alias(x.name) for i, x in enumerate(looks)))
 
-    own: the row itself counts. rank: a column that settles the order between chron_ns and seq.
-    """
-    keys = ["chron_ns", *([rank] if rank else []), "seq"]
-    turn = (lambda c: F.col(c).desc()) if after else F.col
-    frame = lambda *part: Window.partitionBy("series_id", *part).orderBy(*map(turn, keys)).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
-    size = width(df, chunk)
-    if size is None:
-        return df.withColumn(name, F.last(value, True).over(frame()))
-    cut = df.withColumn("__value", value).withColumn("__span", F.floor(F.col("chron_ns") / size))
-    pick = F.min_by if after else F.max_by
-    handed = cut.filter("__value is not null").groupBy("series_id", "__span").agg(pick("__value", F.struct(*keys)).alias("__end"))
-    spans = cut.select("series_id", "__span").distinct().join(handed, ["series_id", "__span"], "left")
-    order = Window.partitionBy("series_id").orderBy(turn("__span")).rowsBetween(Window.unboundedPreceding, -1)
-    carried = spans.select("series_id", "__span", F.last("__end", True).over(order).alias("__carry"))
-    near = cut.withColumn("__near", F.last("__value", True).over(frame("__span"))).join(carried, ["series_id", "__span"])
-    return near.withColumn(name, F.coalesce("__near", "__carry")).select(*df.columns, name)
-
-
-def deltas(df: DataFrame, chunk: int | str | None = AUTO) -> DataFrame:
+
+def nearest(df: DataFrame, value: Column, name: str, after: bool = False, own: bool = False, chunk=AUTO, rank: str | None = None) -> DataFrame:
+    """One look of ``around``."""
+    return around(df, [Look(name, value, after, own)], chunk, rank)
+
+
+def ranked(df: DataFrame, chunk=AUTO, name: str = "place") -> DataFrame:
+    """``df`` with each row's place in its series, from 0."""
+    spans = resolved(df, chunk)
+    if whole(spans):
+        return df.withColumn(name, _numbered("series_id"))
+    before = F.sum("__n").over(Window.partitionBy("series_id").orderBy(SPAN).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = only_cut(df, spans).groupBy("series_id", SPAN).agg(F.count("*").alias("__n")).select("series_id", SPAN, F.coalesce(before, F.lit(0)).alias("__before"))
+    met = joined(assigned(df, spans).withColumn("__i", _numbered("series_id", SPAN)), sizes, spans)
+    return met.select(*df.columns, (F.coalesce("__before", F.lit(0)) + F.col("__i")).alias(name))
+
+
+def _numbered(*by: str) -> Column:
+    return F.row_number().over(Window.partitionBy(*by).orderBy("chron_ns", "seq")) - F.lit(1).cast("long")
+
+
+def deltas(df: DataFrame, chunk=AUTO) -> DataFrame:
     """Readings with dchron_ns and dmeas: what has changed since the reading before; none for the first."""
     from gaugeworks.functions import nav
 

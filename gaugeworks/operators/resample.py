@@ -50,7 +50,7 @@ def ticks(df: DataFrame, step_ns: int, tolerance_ns: int = 0) -> DataFrame:
     return met.withColumn("tick", F.greatest(up(F.col("chron_ns") - F.lit(tolerance_ns)), up(F.col("__first")))).drop("__first")
 
 
-def regularize(df: DataFrame, step: int | str, agg="mean", tolerance: int | str = 0, chunk: int | str | None = AUTO) -> DataFrame:
+def regularize(df: DataFrame, step: int | str, agg="mean", tolerance: int | str = 0, chunk=AUTO) -> DataFrame:
     """series_id, chron_ns, meas on every grid point from a series' first window to its last; empty windows are missing."""
     step_ns, tolerance_ns, agg = ns(step), ns(tolerance), _aggregator(agg)
     if step_ns <= 0:
@@ -72,7 +72,7 @@ def _opens(day: Column, tz: Column | str) -> Column:
     return F.unix_micros(F.to_utc_timestamp(day.cast("timestamp"), tz)) * 1000
 
 
-def downscale(df: DataFrame, period: str, agg="mean", tz: str | DataFrame = "UTC", chunk: int | str | None = AUTO) -> DataFrame:
+def downscale(df: DataFrame, period: str, agg="mean", tz: str | DataFrame = "UTC", chunk=AUTO) -> DataFrame:
     """series_id, chron_ns (the last nanosecond of a period), meas for every calendar period in zone tz; weeks begin on Monday.
 
     tz: a zone for all series, or a frame of series_id and tz, one row a series; a series without one takes UTC. The session's time zone must be UTC. A local day that never happened has no period.

@@ -1,13 +1,12 @@
-"""Thirty statistics of every series: one aggregation over readings with their deltas, and one more pass for the medians."""
+"""Thirty statistics of every series, merged from the states of its spans."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.functions import nav
-from gaugeworks.operators.cleaning import bracket_marks, bracketed
-from gaugeworks.operators.neighbours import AUTO, deltas, ranked, width
+from gaugeworks.operators import states as states_
+from gaugeworks.operators.spans import AUTO, resolved
 
 #: The fields, in order.
 FIELDS = (
@@ -18,63 +17,28 @@ FIELDS = (
 )
 
 
-#: Medians of doubles, by field: the column, and what the sketch is told of it.
-_MEDIANS = {"msmed": "meas", "dmsmed": "dmeas", "dchmed": "dchron_ns"}
-_HALF = {"half": 50}
-
-
 def nothing(spark: SparkSession, series: str = "") -> DataFrame:
     """The statistics of a series without readings: none of three kinds, all else missing."""
+    kinds = dict(x.split() for x in states_.SUMMARY.split(", "))
     counts = ("len", "nbre_of_nan", "nbre_of_nav")
-    kinds = {f: "long" if f in counts or f.startswith("ch") and f != "chmean" or f.startswith("ch_at") or f in ("chmean", "dchmin", "dchmax") else "double" for f in FIELDS}
     return spark.range(1).select(F.lit(series).alias("series_id"), *(F.lit(0 if f in counts else None).cast(kinds[f]).alias(f) for f in FIELDS))
 
 
-def stats(df: DataFrame, chunk: int | str | None = AUTO) -> DataFrame:
+def stats(df: DataFrame, chunk=AUTO) -> DataFrame:
     """series_id and FIELDS. Instants are nanoseconds; means and medians of intervals doubles of nanoseconds.
 
     Missing readings are stepped over; one broken reading breaks every statistic of the measurements, but not
     the first usable one. Of equal extremes the earliest counts. Medians are lower middles; deviations those of
     a sample. The mean instant is the first plus the mean offset, cut to whole nanoseconds.
+
+    Readings are scanned once. Of a series that is cut the states only bracket the medians; its readings are then scanned once more.
     """
-    key, point = F.struct("chron_ns", "seq"), F.struct("chron_ns", "meas")
-    size = width(df, chunk)
-    base = ranked(deltas(df, size), size, "__place", "__len")
-    if size is None:  # the deltas' window has the series in order already
-        base = base.withColumn("__first", F.min("chron_ns").over(Window.partitionBy("series_id").orderBy("chron_ns", "seq").rowsBetween(Window.unboundedPreceding, 0)))
-    else:
-        base = base.join(base.groupBy("series_id").agg(F.min("chron_ns").alias("__first")), "series_id")
-    base = base.withColumn("__offset", F.col("chron_ns") - F.col("__first"))
-    use = nav.usable("meas")
-    broken = F.bool_or(nav.is_broken("meas"))
-    interval = F.col("dchron_ns").isNotNull()
-    low = F.min(F.when(use, F.struct("meas", "chron_ns", "seq")))
-    high = F.max(F.when(use, F.struct("meas", (-F.col("chron_ns")).alias("back"))))
-    short = F.min(F.when(interval, F.struct("dchron_ns", "chron_ns")))
-    long_ = F.max(F.when(interval, F.struct("dchron_ns", (-F.col("chron_ns")).alias("back"))))
-    judged = {f: F.when(nav.usable(F.col(c).cast("double")), F.col(c).cast("double")) for f, c in _MEDIANS.items()}
-    got = base.groupBy("series_id").agg(
-        F.count("*").alias("len"), F.min_by(point, key).alias("a"), F.max_by(point, key).alias("z"), F.min("__first").alias("first"),
-        # Whole numbers, so that the mean doesn't lose nanoseconds.
-        F.sum(F.col("__offset").cast("decimal(38,0)")).alias("offsets"), F.max(F.when(F.col("__place") == F.expr("(__len - 1) div 2"), F.col("chron_ns"))).alias("chmed"),
-        F.min_by(point, F.when(use, key)).alias("u"), low.alias("lo"), high.alias("hi"), broken.alias("broken"), F.bool_or(nav.is_broken("dmeas")).alias("dbroken"),
-        nav.least("meas").alias("msmin"), nav.greatest("meas").alias("msmax"), nav.mean("meas").alias("msmean"), nav.std("meas").alias("msstd"),
-        short.alias("s"), long_.alias("l"), F.avg("dchron_ns").alias("dchmean"), F.stddev_samp("dchron_ns").alias("dchstd"),
-        nav.least("dmeas").alias("dmsmin"), nav.greatest("dmeas").alias("dmsmax"), nav.mean("dmeas").alias("dmsmean"), nav.std("dmeas").alias("dmsstd"),
-        F.count_if(~use).alias("nbre_of_nan"), F.count_if(nav.is_missing("meas")).alias("nbre_of_nav"),
-    )
-    sketched = base.groupBy("series_id").agg(*(x for f, v in judged.items() for x in (F.count(v).alias(f"{f}_n"), bracket_marks(v, _HALF).alias(f"{f}_marks"))))
-    three = F.array(*(F.struct(F.lit(f).alias("which"), v.alias("__v"), F.col(f"{f}_n").alias("__n"), F.col(f"{f}_marks").alias("__marks")) for f, v in judged.items()))
-    rows = base.join(sketched, "series_id").select("series_id", F.inline(three)).filter("__v is not null")
-    halves = bracketed(rows, ["series_id", "which"], _HALF).groupBy("series_id").agg(*(F.max(F.when(F.col("which") == f, F.col("half"))).alias(f) for f in _MEDIANS))
-    got = got.join(halves, "series_id", "left")
-    got = got.withColumn("msmed", F.when(F.col("broken"), nav.NAN).otherwise(F.col("msmed"))).withColumn("dmsmed", F.when(F.col("dbroken"), nav.NAN).otherwise(F.col("dmsmed")))
-    whole = F.when(~F.col("broken"), True)
-    columns = {
-        "chmin": F.col("a.chron_ns"), "val_at_chmin": F.col("a.meas"), "chmax": F.col("z.chron_ns"), "val_at_chmax": F.col("z.meas"),
-        "chmean": F.col("first") + F.expr("cast(floor(offsets / len) as long)"),
-        "ch_first_usable": F.col("u.chron_ns"), "val_at_first_usable": F.col("u.meas"),
-        "ch_at_msmin": F.when(whole, F.col("lo.chron_ns")), "ch_at_msmax": F.when(whole, -F.col("hi.back")),
-        "dchmin": F.col("s.dchron_ns"), "ch_at_dchmin": F.col("s.chron_ns"), "dchmax": F.col("l.dchron_ns"), "ch_at_dchmax": -F.col("l.back"),
-    }
-    return got.select("series_id", *(columns.get(f, F.col(f)).alias(f) for f in FIELDS))
+    spans = resolved(df, chunk)
+    return states_.settled(states_.merged(states_.states(df, spans)), df, spans).select("series_id", *FIELDS)
+
+
+def from_states(kept: DataFrame, readings: DataFrame | None = None, chunk=AUTO) -> DataFrame:
+    """The same from ``states.states``, also of several batches. Without ``readings`` a median that the states only bracket is missing: none is, where a series' states
+    hold at most ``states.MARKS`` readings each."""
+    told = states_.merged(kept)
+    return (told.drop("__open") if readings is None else states_.settled(told, readings, chunk)).select("series_id", *FIELDS)

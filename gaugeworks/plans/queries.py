@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import aggregators, nav
-from gaugeworks.operators import cleaning, compress, fill, neighbours, resample
+from gaugeworks.operators import cleaning, compress, fill, neighbours, resample, spans
 from gaugeworks.operators import stats as stats_
 from gaugeworks.plans import conditioning
 from gaugeworks.series import Container, Signal
@@ -178,7 +178,7 @@ _PCHIP = f"""WITH e AS ({_events()}), a AS (SELECT *, (chron_ns - lag(chron_ns)
 _REDUCED = f"""SELECT series_id, chron_ns, seq, meas FROM (SELECT *, lag(meas) OVER ({W}) AS b, row_number() OVER ({W}) AS i, lead(seq) OVER ({W}) AS z FROM (%s))
   WHERE i = 1 OR z IS NULL OR meas IS DISTINCT FROM b"""
 
-_DEADBAND = f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER ({W}) AS i, lead(seq) OVER ({W}) IS NULL AS final, CASE WHEN meas IS NULL THEN 1 WHEN isnan(meas) THEN 2 ELSE 0 END AS k FROM ({_events('user_id')})),
+_DEADBAND = f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER ({W}) AS i, lead(seq) OVER ({W}) IS NULL AS final, CASE WHEN meas IS NULL THEN 1 WHEN isnan(meas) THEN 2 ELSE 0 END AS k FROM (%s)),
   r AS (SELECT series_id, chron_ns, seq, meas, i, final, k AS hk, meas AS hm, true AS kept FROM e WHERE i = 1
     UNION ALL SELECT e.series_id, e.chron_ns, e.seq, e.meas, e.i, e.final,
       CASE WHEN e.k <> r.hk OR e.k = 0 AND abs(e.meas - r.hm) > 25 THEN e.k ELSE r.hk END,
@@ -313,7 +313,7 @@ def _build() -> dict[str, tuple[Callable, str | None]]:
     step = lambda df: df.withColumn("meas", F.when(nav.usable("meas"), F.floor(F.col("meas") / 100).cast("double")).otherwise(F.col("meas")))
     stepped = f"SELECT series_id, seq, chron_ns, CASE WHEN {USABLE} THEN floor(meas / 100) ELSE meas END AS meas FROM ({e})"
     out["reduce"] = point(lambda s, d: compress.reduce(step(events(s, d)))), _say(_REDUCED % stepped, *POINT)
-    out["reduce_deadband"] = point(lambda s, d: compress.reduce_with_deadband(events(s, d, "user_id"), 25)), _say(_DEADBAND, *POINT)
+    out["reduce_deadband"] = point(lambda s, d: compress.reduce_with_deadband(events(s, d, "user_id"), 25)), _say(_DEADBAND % u, *POINT)
     out["expand"] = grid(lambda s, d: compress.expand(events(s, d), START, STOP, "3h")), _say(_EXPANDED % e, *GRID)
     out["mark_silences"] = point(lambda s, d: compress.mark_silences(events(s, d), "1h")), _say(_SILENT % (e, e), *POINT)
     out["watch_reduce_expand"] = grid(lambda s, d: conditioning.restored(step(events(s, d)), "1h", START, STOP, "3h")), _say(_EXPANDED % (_REDUCED % (_SILENT % (stepped, stepped))), *GRID)
@@ -327,8 +327,8 @@ def _build() -> dict[str, tuple[Callable, str | None]]:
     out["json_summary"] = lambda s, d: export.stats_json(events(s, d, clean=True)).select("series_id", *(c.alias(k) for k, c in summary().items())), f"SELECT series_id, max(chron_ns) AS chmax, round(max(meas), 6) AS msmax, round(quantile_disc(meas, 0.5), 6) AS msmed, min(dchron_ns) AS dchmin, CAST(quantile_disc(dchron_ns, 0.5) AS BIGINT) AS dchmed, round(max(dmeas), 6) AS dmsmax, 0 AS broken FROM ({_DELTAS % _events(clean=True)}) GROUP BY 1"
     out["container_union"] = _variants, " UNION ALL ".join(f"SELECT '{name}' AS variant, {i} AS variant_rank, * FROM ({_say(source, *POINT)})" for i, (name, source) in enumerate((("raw", e), ("cleaned", bounded))))
     at_value = {"val_at_chmin": "arg_min(meas, (chron_ns, seq))", "val_at_chmax": "arg_max(meas, (chron_ns, seq))", "val_at_first_usable": f"arg_min(meas, (chron_ns, seq)) FILTER ({USABLE})"}
-    ends_usable = f"SELECT * FROM ({_events('user_id')}) WHERE seq % 3 > 0"
-    out["stats_values"] = lambda s, d: _shown(stats_.stats(events(s, d, "user_id").filter("seq % 3 > 0")), "series_id", meas=tuple(at_value)), _say(f"SELECT series_id, {', '.join(f'first(meas ORDER BY chron_ns, seq) AS {k}' if k == 'val_at_chmin' else f'last(meas ORDER BY chron_ns, seq) AS {k}' if k == 'val_at_chmax' else f'first(meas ORDER BY chron_ns, seq) FILTER ({USABLE}) AS {k}' for k in at_value)} FROM ({ends_usable}) GROUP BY 1", "series_id", meas=tuple(at_value))
+    ends_usable = f"SELECT * FROM ({_events('user_id')})"
+    out["stats_values"] = lambda s, d: _shown(stats_.stats(events(s, d, "user_id")), "series_id", meas=tuple(at_value)), _say(f"SELECT series_id, {', '.join(f'first(meas ORDER BY chron_ns, seq) AS {k}' if k == 'val_at_chmin' else f'last(meas ORDER BY chron_ns, seq) AS {k}' if k == 'val_at_chmax' else f'first(meas ORDER BY chron_ns, seq) FILTER ({USABLE}) AS {k}' for k in at_value)} FROM ({ends_usable}) GROUP BY 1", "series_id", meas=tuple(at_value))
     zero = lambda s, d: events(s, d).select(*POINT, nav.div(F.when(F.col("seq") % 5 == 0, 0.0).otherwise(F.col("meas") - 50), F.lit(0.0)).alias("over"))
     out["nav_div_by_zero"] = lambda s, d: zero(s, d).select(*POINT, F.when(F.col("over").isNull(), "NaV").when(F.isnan("over"), "NaN").when(F.col("over") > 0, "+Inf").otherwise("-Inf").alias("over")), f"SELECT series_id, chron_ns, seq, CASE WHEN x IS NULL THEN 'NaV' WHEN isnan(x) OR x = 0 THEN 'NaN' WHEN x > 0 THEN '+Inf' ELSE '-Inf' END AS over FROM (SELECT *, CASE WHEN seq % 5 = 0 THEN 0 ELSE meas - 50 END AS x FROM ({e}))"
     out["json_instants"] = lambda s, d: events(s, d).select("series_id", "seq", export.rfc3339_text("chron_ns").alias("at"), export.rfc3339_text(F.when(F.col("seq") % 2 == 0, F.col("chron_ns") + 120_000_000)).alias("later")), f"SELECT series_id, seq, regexp_replace(strftime(make_timestamp_ns(chron_ns), '%Y-%m-%dT%H:%M:%S.%n'), '\\.?0+$', '') || 'Z' AS at, CASE WHEN seq % 2 = 0 THEN regexp_replace(strftime(make_timestamp_ns(chron_ns + 120000000), '%Y-%m-%dT%H:%M:%S.%n'), '\\.?0+$', '') || 'Z' ELSE '{export.NO_INSTANT}' END AS later FROM ({e})"
@@ -337,13 +337,17 @@ def _build() -> dict[str, tuple[Callable, str | None]]:
     out["agg_function_1h"] = grid(lambda s, d: resample.regularize(events(s, d, clean=True), "1h", own)), _say(_regularized(_events(clean=True), HOUR, "CAST(count(*) FILTER (meas > 60) AS DOUBLE)"), *GRID)
     out["agg_readings_1h"] = grid(lambda s, d: resample.regularize(events(s, d), "1h", aggregators.of_readings(lambda xs: F.coalesce(F.get(xs, F.lit(1)), F.lit(-1.0))))), _say(_regularized(e, HOUR, "coalesce(list(meas ORDER BY chron_ns, seq)[2], -1.0)"), *GRID)
     out["downscale_zones"] = grid(lambda s, d: resample.downscale(events(s, d), "daily", "count", s.createDataFrame([("view", "Asia/Tokyo"), ("click", "America/New_York")], "series_id string, tz string"))), _say(" UNION ALL ".join(f"({_downscaled(f'SELECT * FROM ({e}) WHERE {where}', 'daily', _AGG_SQL['count'], tz)})" for where, tz in (("series_id = 'view'", "Asia/Tokyo"), ("series_id = 'click'", "America/New_York"), ("series_id NOT IN ('view', 'click')", "UTC"))), *GRID)
-    # One series holds all readings and is cut by counted rows.
-    one, hot = f"SELECT 'all' AS series_id, seq, chron_ns, meas FROM ({e})", lambda s, d: events(s, d).withColumn("series_id", F.lit("all"))
-    cut = lambda f: lambda s, d: (lambda df: f(df, neighbours.width(df, rows=400)))(hot(s, d))
+    # One series holds all readings but one, a quarter of them in a second and some at one instant; another has a single reading. The first is cut by counted rows.
+    one = f"SELECT CASE WHEN seq = 1 THEN 'single' ELSE 'all' END AS series_id, seq, {START} + CASE WHEN seq % 20 = 7 THEN {HOUR} WHEN seq % 4 = 3 THEN {HOUR} + seq % 1000 * 1000000 ELSE chron_ns - {START} END AS chron_ns, meas FROM ({e})"
+    burst = F.when(F.col("seq") % 20 == 7, HOUR).when(F.col("seq") % 4 == 3, F.lit(HOUR) + F.col("seq") % 1000 * 1000000).otherwise(F.col("chron_ns") - START)
+    hot = lambda s, d: events(s, d).withColumn("series_id", F.when(F.col("seq") == 1, "single").otherwise("all")).withColumn("chron_ns", (F.lit(START) + burst).cast("long"))
+    cut = lambda f: lambda s, d: (lambda df: f(df, spans.Index(spans.cuts(df, 400))))(hot(s, d))
     out["hot_deltas"] = cut(lambda df, size: _shown(neighbours.deltas(df, size), *POINT, "dchron_ns", meas=("meas", "dmeas"))), _say(_DELTAS % one, *POINT, "dchron_ns", meas=("meas", "dmeas"))
     out["hot_linear"] = cut(lambda df, size: _shown(fill.interpolate(df, "linear", chunk=size), *POINT)), _say(_filled(one, _FILL_SQL["linear"]), *POINT)
     out["hot_silences"] = cut(lambda df, size: _shown(compress.mark_silences(df, "1h", size), *POINT)), _say(_SILENT % (one, one), *POINT)
     out["hot_reduce"] = cut(lambda df, size: _shown(compress.reduce(step(df), size), *POINT)), _say(_REDUCED % stepped.replace(f"({e})", f"({one})"), *POINT)
+    out["hot_deadband"] = cut(lambda df, size: _shown(compress.reduce_with_deadband(df, 25, size), *POINT)), _say(_DEADBAND % one, *POINT)
+    out["hot_at"] = cut(lambda df, size: _shown(at(df, 777, size), *POINT)), _say(f"SELECT * FROM (SELECT *, row_number() OVER ({W}) AS i FROM ({one})) WHERE i = 778", *POINT)
     out["hot_stats"] = cut(lambda df, size: _shown(stats_.stats(df, size), "series_id", *_AT, meas=(*_MS, *_DM))), _say(f"SELECT * FROM ({_stats_sql(one, 'chron')}) JOIN (SELECT series_id, {', '.join(f'{x} AS ms{k}' for k, x in _five('meas').items())}, {', '.join(f'{x} AS dms{k}' for k, x in _five('dmeas').items())} FROM ({_DELTAS % one}) GROUP BY 1) USING (series_id)", "series_id", *_AT, meas=(*_MS, *_DM))
     return out
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from gaugeworks.durations import ns, written
 from gaugeworks.functions import nav
-from gaugeworks.operators import cleaning, compress, fill, neighbours, resample
+from gaugeworks.operators import cleaning, compress, fill, neighbours, ranks, resample
+from gaugeworks.operators import spans as spans_
 from gaugeworks.operators import stats as stats_
 from gaugeworks.sources import readings as r
 
@@ -41,7 +42,8 @@ class Signal:
     #: What was done, or a function that finds it out when first asked.
     note: str | Callable[[], str] = ""
     tz: str | DataFrame = "UTC"
-    chunk: int | str | None = neighbours.AUTO
+    #: How long series are cut; AUTO is found out from the first signal of a chain, and handed on.
+    chunk: object = spans_.AUTO
 
     @property
     def comment(self) -> str:
@@ -54,11 +56,30 @@ class Signal:
     def _next(self, df: DataFrame, suffix: str, comment: str | Callable[[], str]) -> Signal:
         if "seq" not in df.columns:
             df = df.withColumn("seq", F.lit(0).cast("long"))
-        return replace(self, df=df.select(*r.SCHEMA.names), name=f"{self.name} {suffix}", note=comment)
+        return replace(self, df=df.select(*r.SCHEMA.names), name=f"{self.name} {suffix}", note=comment, chunk=self.spans)
+
+    @property
+    def spans(self):
+        """The cuts of this signal's long series. Nothing runs here: they are part of the plan."""
+        return spans_.resolved(self.df, self.chunk)
+
+    def indexed(self, rows: int = spans_.SPAN_ROWS) -> Signal:
+        """The same, its cuts found now and stored: worth it for a large source of which much is made."""
+        return replace(self, chunk=spans_.index(self.df, rows))
+
+    def ranks(self) -> ranks.Ranks:
+        """A look-up of readings by their place; it reads all instants once."""
+        return ranks.Ranks.of(self.df, self.spans)
 
     # Ingestion and reading.
 
-    def add(self, chron_ns: int, meas: float | None, series: str = "s") -> Signal:
+    def add(self, chron_ns: int, meas: float | None, series: str | None = None) -> Signal:
+        """One point more, after those of its instant; to the signal's one series, if none is named ("s" where there is none yet)."""
+        if series is None:
+            held = [x["series_id"] for x in self.df.select("series_id").distinct().limit(2).collect()]
+            if len(held) > 1:
+                raise ValueError("several series: name the one that the point belongs to")
+            series = held[0] if held else "s"
         return self.add_batch(r.from_rows(self.df.sparkSession, [(chron_ns, meas)], series))
 
     def add_batch(self, batch: DataFrame) -> Signal:
@@ -68,22 +89,28 @@ class Signal:
         return self.df.count()
 
     def at(self, i: int):
-        """The i-th point with its deltas; of several series, of each."""
-        size = neighbours.width(self.df, self.chunk)
-        got = r.at(neighbours.deltas(self.df, size), i, size).collect() if i >= 0 else []
+        """The i-th point with its deltas; of several series, of each. Only the spans that hold it are sorted."""
+        got = self.ranks().at(i).drop("place").collect() if i >= 0 else []
         if not got:
             raise IndexError(i)
         return got[0] if len(got) == 1 else got
 
+    def _end(self, pick):
+        key = F.struct("chron_ns", "seq")
+        got = [x["p"] for x in self.df.groupBy("series_id").agg(pick(F.struct(*r.SCHEMA.names), key).alias("p")).orderBy("series_id").collect()]
+        return None if not got else got[0] if len(got) == 1 else got
+
     def first(self):
-        return next(iter(self.df.orderBy(*r.KEY).limit(1).collect()), None)
+        """The earliest point; of several series, of each; None of nothing."""
+        return self._end(F.min_by)
 
     def last(self):
-        return next(iter(self.df.orderBy(*(F.desc(k) for k in r.KEY)).limit(1).collect()), None)
+        return self._end(F.max_by)
 
     def points(self) -> Iterator:
-        """In order, a partition at a time; stop whenever you like."""
-        return neighbours.deltas(self.df, self.chunk).orderBy(*r.KEY).toLocalIterator()
+        """In order, a span at a time: what lies beyond the span where you stop isn't read for it nor sorted."""
+        for page in self.ranks().pages():
+            yield from page.drop("place").toLocalIterator()
 
     def range(self, visit: Callable[[int, object], bool]) -> None:
         for i, point in enumerate(self.points()):
@@ -91,14 +118,14 @@ class Signal:
                 return
 
     def meas(self) -> DataFrame:
-        return r.measurements(self.df, chunk=self.chunk)
+        return r.measurements(self.df, chunk=self.spans)
 
     def deltas(self) -> DataFrame:
-        return neighbours.deltas(self.df, self.chunk)
+        return neighbours.deltas(self.df, self.spans)
 
     def stats(self) -> DataFrame:
         """A row for each series; one of nothing if there are no readings at all."""
-        return stats_.nothing(self.df.sparkSession) if self.df.isEmpty() else stats_.stats(self.df, self.chunk)
+        return stats_.nothing(self.df.sparkSession) if self.df.isEmpty() else stats_.stats(self.df, self.spans)
 
     # Cleaning: (cleaned, rejected).
 
@@ -134,41 +161,41 @@ class Signal:
         return self._split(marked, self._fences(cleaning.peirce_limits(self.df), lambda x: f"Peirce criterion: deviation above {nav.shown(x['limit'])}", NO_PEIRCE))
 
     def remove_stray_points(self, jump: float, direction=cleaning.StrayDirection.BOTH):
-        marked = cleaning.mark_stray_points(self.df, jump, direction, chunk=self.chunk)
+        marked = cleaning.mark_stray_points(self.df, jump, direction, chunk=self.spans)
         return self._split(marked, f"stray points, {cleaning.StrayDirection(direction).value}, jump above {nav.shown(jump)}")
 
     def remove_stray_points_percent(self, percent: float, direction=cleaning.StrayDirection.BOTH):
-        marked = cleaning.mark_stray_points(self.df, percent, direction, True, self.chunk)
+        marked = cleaning.mark_stray_points(self.df, percent, direction, True, self.spans)
         return self._split(marked, f"stray points, {cleaning.StrayDirection(direction).value}, jump above {nav.shown(percent)}%")
 
     # Resampling, filling, compressing.
 
     def regularize(self, step, agg="mean", tolerance=0) -> Signal:
-        out = resample.regularize(self.df, step, agg, tolerance, self.chunk)
+        out = resample.regularize(self.df, step, agg, tolerance, self.spans)
         late = f", late readings tolerated up to {written(ns(tolerance))}" if ns(tolerance) else ""
         return self._next(out, "regularized", f"every {written(ns(step))}{late}")
 
     def downscale(self, period: str, agg="mean") -> Signal:
-        out = resample.downscale(self.df, period, agg, self.tz, self.chunk)
+        out = resample.downscale(self.df, period, agg, self.tz, self.spans)
         return self._next(out, period, f"grouped by calendar {UNITS[period]}, periods of unequal length")
 
     def interpolate(self, how, max_gap=0) -> Signal:
-        out = fill.interpolate(self.df, how, max_gap, self.chunk)
+        out = fill.interpolate(self.df, how, max_gap, self.spans)
         limit = f", up to {written(ns(max_gap))}" if ns(max_gap) else ""
         return self._next(out, "interpolated", f"gaps filled: {fill.method(how).value}{limit}")
 
     def reduce(self) -> Signal:
-        return self._next(compress.reduce(self.df, self.chunk), "reduced", "transitions only")
+        return self._next(compress.reduce(self.df, self.spans), "reduced", "transitions only")
 
     def reduce_with_deadband(self, band: float) -> Signal:
-        out = compress.reduce_with_deadband(self.df, band)
+        out = compress.reduce_with_deadband(self.df, band, self.spans)
         return self._next(out, "reduced", f"transitions beyond ±{nav.shown(band)}" if band else "transitions only")
 
     def expand(self, start_ns: int, end_ns: int, step) -> Signal:
-        return self._next(compress.expand(self.df, start_ns, end_ns, step, self.chunk), "expanded", f"held every {written(ns(step))}")
+        return self._next(compress.expand(self.df, start_ns, end_ns, step, self.spans), "expanded", f"held every {written(ns(step))}")
 
     def mark_silences(self, max_gap) -> Signal:
-        return self._next(compress.mark_silences(self.df, max_gap, self.chunk), "watched", f"silences beyond {written(ns(max_gap))} marked as NaV")
+        return self._next(compress.mark_silences(self.df, max_gap, self.spans), "watched", f"silences beyond {written(ns(max_gap))} marked as NaV")
 
 
 class Container:

@@ -9,7 +9,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.operators.neighbours import AUTO, deltas, width
+from gaugeworks.operators.neighbours import AUTO, deltas
 from gaugeworks.operators.stats import stats
 from gaugeworks.sources.readings import PART_ROWS, parts
 
@@ -55,10 +55,9 @@ def rfc3339_text(at: Column | str) -> Column:
     return F.coalesce(text, F.lit(NO_INSTANT))
 
 
-def columns(df: DataFrame, rows: int = PART_ROWS, chunk: int | str | None = AUTO) -> DataFrame:
+def columns(df: DataFrame, rows: int = PART_ROWS, chunk=AUTO) -> DataFrame:
     """series_id, part, and arrays chron_ns, meas, dchron_ns, dmeas in order: a series becomes rows of at most ``rows`` readings."""
-    size = width(df, chunk)
-    return parts(deltas(df, size), {"chron_ns": F.col("chron_ns"), "meas": finite("meas"), "dchron_ns": F.col("dchron_ns"), "dmeas": finite("dmeas")}, rows, size)
+    return parts(deltas(df, chunk), {"chron_ns": F.col("chron_ns"), "meas": finite("meas"), "dchron_ns": F.col("dchron_ns"), "dmeas": finite("dmeas")}, rows, chunk)
 
 
 def stats_json(df: DataFrame) -> DataFrame:

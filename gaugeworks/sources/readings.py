@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.operators.neighbours import AUTO, ranked
+from gaugeworks.operators.neighbours import ranked
+from gaugeworks.operators.ranks import span_table
+from gaugeworks.operators.spans import AUTO, SPAN, assigned, resolved
 
 SCHEMA = T.StructType([T.StructField("series_id", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("chron_ns", T.LongType()), T.StructField("meas", T.DoubleType())])
 KEY = ("series_id", "chron_ns", "seq")
@@ -66,22 +68,27 @@ def ends(readings_: DataFrame) -> DataFrame:
     return readings_.groupBy("series_id").agg(F.min_by(point, key).alias("first"), F.max_by(point, key).alias("last"))
 
 
-def at(readings_: DataFrame, i: int, chunk: int | str | None = AUTO) -> DataFrame:
-    """The i-th reading, from 0, of every series that has it."""
-    return ranked(readings_, chunk, "__i").filter(F.col("__i") == i).drop("__i")
+def at(readings_: DataFrame, i: int, chunk=AUTO) -> DataFrame:
+    """The i-th reading, from 0, of every series that has it. Only readings of the spans that hold it are sorted."""
+    spans = resolved(readings_, chunk)
+    holds = span_table(readings_, spans).filter((F.col("before") <= i) & (F.col("before") + F.col("n") > i))
+    holds = holds.select(F.col("series_id").alias("__id"), F.col(SPAN).alias("__at"), "before")
+    met = assigned(readings_, spans).join(holds, F.col("series_id").eqNullSafe(F.col("__id")) & F.col(SPAN).eqNullSafe(F.col("__at")))
+    place = F.row_number().over(Window.partitionBy("series_id", SPAN).orderBy("chron_ns", "seq")) - 1
+    return met.withColumn("__i", place + F.col("before")).filter(F.col("__i") == i).select(*readings_.columns)
 
 
 #: Most readings that one row's arrays hold.
 PART_ROWS = 1_000_000
 
 
-def parts(readings_: DataFrame, columns: dict[str, Column], rows: int = PART_ROWS, chunk: int | str | None = AUTO) -> DataFrame:
+def parts(readings_: DataFrame, columns: dict[str, Column], rows: int = PART_ROWS, chunk=AUTO) -> DataFrame:
     """series_id, part (from 0), and an array for each of ``columns``, in order: a series becomes rows of at most ``rows`` readings."""
     placed = ranked(readings_, chunk, "__i").withColumn("part", F.expr(f"__i div {rows}"))
     packed = F.array_sort(F.collect_list(F.struct("__i", *(c.alias(name) for name, c in columns.items()))))
     return placed.groupBy("series_id", "part").agg(packed.alias("p")).select("series_id", "part", *(F.col("p")[n].alias(n) for n in columns))
 
 
-def measurements(readings_: DataFrame, rows: int = PART_ROWS, chunk: int | str | None = AUTO) -> DataFrame:
+def measurements(readings_: DataFrame, rows: int = PART_ROWS, chunk=AUTO) -> DataFrame:
     """All measurements of each series in order, gaps included, in arrays: series_id, part, meas."""
     return parts(readings_, {"meas": F.col("meas")}, rows, chunk)

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import functions as F
-
 from gaugeworks.durations import written
 from gaugeworks.functions.nav import shown
 
@@ -48,11 +46,7 @@ def series_text(series, *what: int) -> str:
     out = [" / ".join(x for x in (series.name, series.id, series.comment) if x)]
     if low >= high:
         return "\n".join([*out, "no points" if total else "no readings"])
-    from gaugeworks.operators.neighbours import ranked, width
-
-    size = width(series.df, series.chunk)
-    places = ranked(series.deltas(), size, "place").filter(F.col("place").between(low, high - 1))
-    points = places.orderBy("series_id", "place").collect()
+    points = series.ranks().between(low, high).orderBy("series_id", "place").collect()
     out += _lines([["#", "instant", "value", "after", "step"], *([str(p["place"]), *point_row(p)] for p in points)], right=True)
     return "\n".join(out + ([f"{high - low} of {total} points"] if high - low < total else []))
 
