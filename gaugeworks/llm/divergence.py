@@ -100,7 +100,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
                     db.register("part", part)
                     db.execute(count)
                     db.unregister("part")
-                    held = db.execute("SELECT count(*) FROM c").fetchone()[0]
+                    held = db.execute("SELECT count(*) FROM c").fetchall()[0][0]
                     if held > HELD_ROWS:
                         yield from _batches(db, merged, _COUNTED_ARROW)
                         db.execute("DELETE FROM c")

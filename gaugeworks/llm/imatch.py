@@ -8,6 +8,8 @@ agree in a subset where none of their differing terms falls into it.
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ KEPT_BITS, SUBSETS_EACH = (1, 3, 5, 7), 8
 SUBSETS = len(KEPT_BITS) * SUBSETS_EACH
 #: Hexadecimal digits of the whole lexicon's signature, and of each subset's.
 WHOLE_DIGITS, DIGITS = 16, 8
-#: Most terms that are broadcast to the texts; beyond it they are joined by shuffling.
+#: Most terms that every task holds; beyond it they are joined by shuffling.
 BROADCAST_TERMS = 1_000_000
 #: Rows of a run of ids in which neighbours are looked up, about, and most runs.
 RUN_ROWS, RUNS = 20_000, 4_096
@@ -87,19 +89,64 @@ def neighbours(docs: DataFrame, id: str, text: str, rows: int = RUN_ROWS) -> Dat
     return both.select("*", F.row_number().over(order).alias("i_"), F.lead("t_").over(order).alias("next_"))
 
 
-def _keeps(i: int):
-    return lambda x: x["mask"].bitwiseAND(F.lit(1 << i).cast("long")) != 0
+_ENTRIES = "array<struct<term:string,mask:bigint>>"
+
+
+def _tabled(known: DataFrame, terms: int) -> tuple[DataFrame, int]:
+    """The lexicon as one value: an array of buckets by the terms' hash; and how many there are. At most BROADCAST_TERMS terms."""
+    many = 1 << max(1, terms).bit_length()
+    bucket = F.pmod(F.xxhash64("term"), F.lit(many)).cast("int")
+    full = known.groupBy(bucket.alias("b")).agg(F.collect_list(F.struct("term", "mask")).alias("e"))
+    every = known.sparkSession.range(many).select(F.col("id").cast("int").alias("b")).join(full, "b", "left").select("b", F.coalesce("e", F.array().cast(_ENTRIES)).alias("e"))
+    return stored(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "e"))), lambda x: x["e"]).alias("t")), "imatch-table"), many
+
+
+def _looked_up(sides: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """``sides`` with a_ and b_, sorted arrays of terms, replaced by those of their entries (term, mask) that are in the lexicon.
+
+    The lexicon is a value that every task holds, and a term is looked up where its text lies; a lexicon that is too large for that is joined.
+    """
+    terms = known.limit(BROADCAST_TERMS + 1).count()
+    rest = [c for c in sides.columns if c not in ("a_", "b_")]
+    if terms <= BROADCAST_TERMS:
+        table, many = _tabled(known, terms)
+        found = lambda c: F.flatten(F.transform(c, lambda x: F.filter(F.get(F.col(f"lex_{c}"), F.pmod(F.xxhash64(x), F.lit(many)).cast("int")), lambda y: y["term"] == x)))
+        # A value for each column: each is read in one place alone, so that it goes there instead of into every row.
+        held = sides.withColumns({"lex_a_": table.scalar(), "lex_b_": table.scalar()})
+        return held.select(*rest, found("a_").alias("a_"), found("b_").alias("b_"))
+    held = F.expr("transform(concat(a_, b_), (x, i) -> struct(x as term, i < size(a_) as left))")
+    each = sides.select(*keys, F.explode(held).alias("one")).select(*keys, "one.*").join(known, "term")
+    entry = F.struct("term", "mask")
+    mine = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("left"), entry))).alias("a_"), F.array_sort(F.collect_list(F.when(~F.col("left"), entry))).alias("b_"))
+    none = F.array().cast(_ENTRIES)
+    return sides.select(*rest).join(mine, keys, "left").select(*rest, F.coalesce("a_", none).alias("a_"), F.coalesce("b_", none).alias("b_"))
 
 
-def signatures(terms: Column) -> Column:
-    """The fingerprint of an array of structs (term, mask), distinct and sorted: digits of the whole, then of each subset; a subset
-    without any of the terms is dashes."""
+def _keeps(mask: int):
+    return lambda x: x["mask"].bitwiseAND(F.lit(mask).cast("long")) != 0
+
+
+def _signed(sides: DataFrame, which: dict[str, str], every: str) -> DataFrame:
+    """``sides`` with a fingerprint for each array of entries in ``which`` (array: name): digits of the whole, then of each subset; a subset without any
+    of the terms is dashes. Where there are no entries at all, the digits of ``every`` and the array's name stand everywhere."""
     joined = lambda some: F.array_join(F.transform(some, lambda x: x["term"]), " ")
-    parts = [F.substring(F.md5(joined(terms)), 1, WHOLE_DIGITS)]
-    for i in range(SUBSETS):
-        some = F.filter(terms, _keeps(i))
-        parts.append(F.when(F.size(some) > 0, F.substring(F.md5(joined(some)), 1, DIGITS)).otherwise("-" * DIGITS))
-    return F.concat(*parts)
+    of = lambda j: sum(1 << i for i in range(j * SUBSETS_EACH, (j + 1) * SUBSETS_EACH))
+    # Terms of any subset of one size first, as few are in those of the small ones.
+    some = sides.select("*", *(F.filter(c, _keeps(of(j))).alias(f"{c}{j}") for c in which for j in range(len(KEPT_BITS))))
+    made = {}
+    for c, name in which.items():
+        parts = [F.substring(F.md5(joined(F.col(c))), 1, WHOLE_DIGITS)]
+        for i in range(SUBSETS):
+            own = joined(F.filter(f"{c}{i // SUBSETS_EACH}", _keeps(1 << i)))  # no term is empty
+            parts.append(F.nullif(F.substring(F.md5(own), 1, DIGITS), F.lit(_NOTHING)))
+        whole = F.col(every + c)
+        instead = F.concat(F.substring(whole, 1, WHOLE_DIGITS), F.repeat(F.substring(whole, 1, DIGITS), F.lit(SUBSETS)))
+        made[name] = F.when(F.size(c) > 0, F.concat(parts[0], *(F.coalesce(x, F.lit("-" * DIGITS)) for x in parts[1:]))).otherwise(instead)
+    return some.select(*(c for c in sides.columns if c not in which), *(x.alias(n) for n, x in made.items()))
+
+
+#: The digits of nothing.
+_NOTHING = md5(b"").hexdigest()[:DIGITS]
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -124,22 +171,11 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", rows:
     size = F.char_length("t_")
     half = F.call_function("div", size, F.lit(2)).cast("int")
     near = near.withColumn("n_", size.cast("long")).withColumn("edited_", F.when(F.col("own_"), F.concat(F.substring("t_", F.lit(1), size - half), F.substring("next_", F.lit(1), half))))
-    sides = near.select("run_", "i_", "id_", "own_", "n_", F.sha2("edited_", 256).alias("sha_"), F.array_distinct(words("t_")).alias("a_"), F.array_distinct(words("edited_")).alias("b_"))
-    plain = lambda c: F.md5(F.array_join(F.array_sort(c), " "))
-    sides = sides.select("run_", "i_", "id_", "own_", "n_", "sha_", plain("a_").alias("all_a"), plain("b_").alias("all_b"), "a_", "b_")
-    # One row for each term and the side that holds it.
-    held = F.expr("transform(concat(a_, b_), (x, i) -> struct(x as term, i < size(a_) as left))")
-    each = sides.withColumn("one", F.explode_outer(held)).select("run_", "i_", "id_", "own_", "n_", "sha_", "all_a", "all_b", F.col("one.term").alias("term"), F.col("one.left").alias("left_"))
-    if known.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        known = F.broadcast(known)
-    met = each.join(known, "term", "left")
-    entry = F.struct("term", "mask")
-    mine = met.groupBy("run_", "i_", "id_", "own_", "n_", "sha_", "all_a", "all_b").agg(
-        F.array_sort(F.collect_list(F.when(F.col("mask").isNotNull() & F.col("left_"), entry))).alias("a_"), F.array_sort(F.collect_list(F.when(F.col("mask").isNotNull() & ~F.col("left_"), entry))).alias("b_")
-    )
-    instead = lambda c: F.concat(F.substring(c, 1, WHOLE_DIGITS), F.repeat(F.substring(c, 1, DIGITS), F.lit(SUBSETS)))
-    told = lambda terms, every: F.when(F.size(terms) > 0, signatures(F.col(terms))).otherwise(instead(every))
-    made = mine.select("run_", "i_", "id_", "own_", "n_", "sha_", told("a_", "all_a").alias("f_"), told("b_", "all_b").alias("g_"))
+    keys = ["run_", "i_"]
+    sorted_ = lambda c: F.array_sort(F.array_distinct(words(c)))
+    sides = near.select(*keys, "id_", "own_", "n_", F.sha2("edited_", 256).alias("sha_"), sorted_("t_").alias("a_"), sorted_("edited_").alias("b_"))
+    sides = sides.select("*", *(F.md5(F.array_join(c, " ")).alias(f"all_{c}") for c in ("a_", "b_")))
+    made = _signed(_looked_up(sides, known, keys), {"a_": "f_", "b_": "g_"}, "all_")
     after = made.withColumn("after_", F.lead("f_").over(Window.partitionBy("run_").orderBy("i_"))).filter("own_")
     return after.select(
         F.col("id_").alias(id), F.col("n_").alias("n_chars"), F.col("sha_").alias("edited_sha256"), F.col("f_").alias("fingerprint"), F.col("g_").alias("edited_fingerprint"),

@@ -9,7 +9,7 @@ from gaugeworks.llm import common
 @pytest.mark.parametrize("least", [0, 1_000])
 def test_keyed_join(spark, monkeypatch, how, least):
     """Hot keys, null keys, keys without a match: as a plain join answers."""
-    monkeypatch.setattr(common, "HOT_LEAST", least)
+    monkeypatch.setattr(storage, "HOT_LEAST", least)
     r = random.Random(1)
     rows = [(r.choice(["a"] * 16 + ["b", "c", None]), r.choice([1] * 9 + [2]), i) for i in range(400)]
     left = spark.createDataFrame(rows, "k string, l int, i int")

@@ -67,7 +67,7 @@ def test_elements_joined(spark, monkeypatch, shingle, num):
     """Too many shared elements for a filter: the same result by joins."""
     monkeypatch.setattr(jaccard, "FILTER_MOST", 0)
     monkeypatch.setattr(jaccard, "HEAVY_MOST", 9)
-    monkeypatch.setattr(common, "HOT_LEAST", 5)
+    monkeypatch.setattr(storage, "HOT_LEAST", 5)
     docs = near_copies(9)
     out = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in jaccard.ngram_jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), shingle=shingle, num=num).collect()}
     assert [out[d] for d, _ in docs] == list(zip(*groups(docs, shingle, num, 100)))
@@ -75,7 +75,7 @@ def test_elements_joined(spark, monkeypatch, shingle, num):
 
 def test_hot_keys(spark, monkeypatch):
     """A passage in most texts, and a hub of near copies, dealt to several tasks."""
-    monkeypatch.setattr(common, "HOT_LEAST", 5)
+    monkeypatch.setattr(storage, "HOT_LEAST", 5)
     monkeypatch.setattr(jaccard, "PAIRS_LEAST", 10)
     docs = near_copies(7)
     out = {r["doc_id"]: r["component_id"] for r in jaccard.ngram_jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), shingle=3, num=80).collect()}

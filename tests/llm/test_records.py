@@ -284,7 +284,7 @@ def test_extra_columns(spark):
 
 def test_hot_records(spark, monkeypatch):
     """One URL at one instant, and one root that all answer, dealt to several tasks."""
-    monkeypatch.setattr(common, "HOT_LEAST", 3)
+    monkeypatch.setattr(storage, "HOT_LEAST", 3)
     records = [(f"r{i:03}", "a.com", 5 + i % 2, "response", None, None, f"d{i}", {}) for i in range(40)] + [(f"v{i}", "a.com", 7 if i % 4 else 6, "revisit", None, None, None, {}) for i in range(60)]
     df = spark.createDataFrame(records, "record_id string, url string, ts long, kind string, etag string, last_modified string, digest string, headers map<string,string>")
     assert {(x["ts"], x["source_record"]) for x in warc.resolve_revisits(df).collect()} == {(6, "r038"), (7, "r039")} and warc.resolve_revisits(df).count() == 60
