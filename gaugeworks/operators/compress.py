@@ -11,16 +11,16 @@ from gaugeworks.durations import ns
 from gaugeworks.errors import AlarmArgumentError, RegularizeArgumentError
 from gaugeworks.operators.deadband import deadband
 from gaugeworks.operators.neighbours import Look, around, nearest
-from gaugeworks.operators.spans import AUTO, resolved
+from gaugeworks.operators.spans import AUTO, handed, resolved
 
 
 def reduce(df: DataFrame, chunk=AUTO) -> DataFrame:
     """First, last, and every reading that differs from the one before; missing, broken and numbers are three classes."""
-    here = F.struct("meas")
-    near = around(df, [Look("__before", here), Look("__after", here, after=True)], chunk)
+    here, spans = F.struct("meas"), resolved(df, chunk)
+    near = around(df, [Look("__before", here), Look("__after", here, after=True)], spans)
     same = F.col("meas").eqNullSafe(F.col("__before.meas"))
     keep = F.col("__before").isNull() | F.col("__after").isNull() | ~same
-    return near.filter(keep).select(*df.columns)
+    return handed(near.filter(keep).select(*df.columns), spans)
 
 
 def reduce_with_deadband(df: DataFrame, band: float, chunk=AUTO) -> DataFrame:
@@ -30,7 +30,8 @@ def reduce_with_deadband(df: DataFrame, band: float, chunk=AUTO) -> DataFrame:
     """
     if isnan(band) or band < 0:
         raise RegularizeArgumentError(f"band {band} is negative or NaN")
-    return deadband(df, float(band), resolved(df, chunk))
+    spans = resolved(df, chunk)
+    return handed(deadband(df, float(band), spans), spans)
 
 
 def expand(df: DataFrame, start_ns: int, end_ns: int, step: int | str, chunk=AUTO) -> DataFrame:
@@ -45,11 +46,21 @@ def expand(df: DataFrame, start_ns: int, end_ns: int, step: int | str, chunk=AUT
         raise RegularizeArgumentError(f"step {step} isn't above zero")
     if end_ns < start_ns:
         raise RegularizeArgumentError("the end lies before the start")
-    span = df.groupBy("series_id").agg(F.max("chron_ns").alias("__last")).withColumn("__a", F.lit(start_ns).cast("long")).withColumn("__b", F.lit(end_ns).cast("long"))
-    grid = _unfolded(span, "__a", "__b", step_ns, "chron_ns").select("series_id", "chron_ns", F.lit(0).cast("long").alias("seq"), F.lit(1).alias("__grid"), F.lit(None).cast("double").alias("meas"), "__last")
-    points = df.select("series_id", "chron_ns", "seq", F.lit(0).alias("__grid"), "meas", F.lit(None).cast("long").alias("__last"))
-    near = nearest(points.unionByName(grid), F.when(F.col("__grid") == 0, F.struct("meas")), "__held", chunk=chunk, rank="__grid")
-    return near.filter("__grid = 1").select("series_id", "chron_ns", F.when(F.col("chron_ns") <= F.col("__last"), F.col("__held.meas")).alias("meas"))
+    spans = resolved(df, chunk)
+    near = nearest(df.select("series_id", "seq", "chron_ns", "meas"), F.struct("chron_ns"), "__next", after=True, chunk=spans)
+    # A reading is held at the ticks from its own instant to before the next reading's; the last one at a tick of its own instant only.
+    tick = lambda t: t + F.pmod(F.lit(start_ns) - t, F.lit(step_ns))
+    first = F.greatest(F.lit(start_ns), tick(F.col("chron_ns"))).cast("long")
+    last = F.least(F.lit(end_ns), F.when(F.col("__next").isNull(), F.col("chron_ns")).otherwise(F.col("__next.chron_ns") - 1)).cast("long")
+    held = near.select("series_id", "meas", first.alias("__a"), last.alias("__b"))
+    said = _unfolded(held.filter("__a <= __b"), "__a", "__b", step_ns, "chron_ns").select("series_id", "chron_ns", "meas")
+    # Ticks before a series' first reading and after its last.
+    around_ = df.groupBy("series_id").agg(F.min("chron_ns").alias("__first"), F.max("chron_ns").alias("__last"))
+    end = F.lit(end_ns).cast("long")
+    before = around_.select("series_id", F.lit(start_ns).cast("long").alias("__a"), F.least(end, F.col("__first") - 1).alias("__b"))
+    after = around_.select("series_id", F.greatest(F.lit(start_ns), tick(F.col("__last") + 1)).cast("long").alias("__a"), end.alias("__b"))
+    silent = _unfolded(before.unionByName(after).filter("__a <= __b"), "__a", "__b", step_ns, "chron_ns")
+    return handed(said.unionByName(silent.select("series_id", "chron_ns", F.lit(None).cast("double").alias("meas"))), spans)
 
 
 def mark_silences(df: DataFrame, max_gap: int | str, chunk=AUTO) -> DataFrame:
@@ -57,7 +68,8 @@ def mark_silences(df: DataFrame, max_gap: int | str, chunk=AUTO) -> DataFrame:
     gap = ns(max_gap)
     if gap <= 0:
         raise AlarmArgumentError(f"a silence of {max_gap} isn't above zero")
-    base = df.select("series_id", "seq", "chron_ns", "meas")
-    near = nearest(base, F.struct("chron_ns"), "__next", after=True, chunk=chunk)
+    base, spans = df.select("series_id", "seq", "chron_ns", "meas"), resolved(df, chunk)
+    near = nearest(base, F.struct("chron_ns"), "__next", after=True, chunk=spans)
     quiet = near.filter((F.col("__next.chron_ns") - F.col("chron_ns") > gap) & F.col("meas").isNotNull())
-    return base.unionByName(quiet.select("series_id", "seq", (F.col("chron_ns") + gap).alias("chron_ns"), F.lit(None).cast("double").alias("meas")))
+    marked = base.unionByName(quiet.select("series_id", "seq", (F.col("chron_ns") + gap).alias("chron_ns"), F.lit(None).cast("double").alias("meas")))
+    return handed(marked, spans)

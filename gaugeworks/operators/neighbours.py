@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.operators.spans import AUTO, SPAN, assigned, joined, only_cut, resolved, turned, whole
+from gaugeworks.operators.spans import AUTO, SPAN, assigned, handed, joined, only_cut, resolved, turned, whole
 
 
 @dataclass(frozen=True)
@@ -37,14 +37,14 @@ def around(df: DataFrame, looks: list[Look], chunk=AUTO, rank: str | None = None
         return F.last(look.value, True).over(frame.rowsBetween(Window.unboundedPreceding, 0 if look.own else -1))
 
     if not own:
-        return df.withColumns({x.name: within(x) for x in looks})
+        return handed(df.withColumns({x.name: within(x) for x in looks}), spans)
     picks = [(F.min_by if x.after else F.max_by)(x.value, F.when(x.value.isNotNull(), F.struct(*keys))).alias(f"__end{i}") for i, x in enumerate(looks)]
     ends = only_cut(df, spans).groupBy("series_id", SPAN).agg(*picks)
     hand = lambda i, x: F.last(f"__end{i}", True).over(Window.partitionBy("series_id").orderBy(turned(SPAN, x.after)).rowsBetween(Window.unboundedPreceding, -1)).alias(f"__carry{i}")
     carried = ends.select("series_id", SPAN, *(hand(i, x) for i, x in enumerate(looks)))
     near = assigned(df, spans).withColumns({f"__near{i}": within(x) for i, x in enumerate(looks)})
     met = joined(near, carried, spans)
-    return met.select(*df.columns, *(F.coalesce(f"__near{i}", f"__carry{i}").alias(x.name) for i, x in enumerate(looks)))
+    return handed(met.select(*df.columns, *(F.coalesce(f"__near{i}", f"__carry{i}").alias(x.name) for i, x in enumerate(looks))), spans)
 
 
 def nearest(df: DataFrame, value: Column, name: str, after: bool = False, own: bool = False, chunk=AUTO, rank: str | None = None) -> DataFrame:
@@ -71,7 +71,8 @@ def deltas(df: DataFrame, chunk=AUTO) -> DataFrame:
     """Readings with dchron_ns and dmeas: what has changed since the reading before; none for the first."""
     from gaugeworks.functions import nav
 
-    near = nearest(df, F.struct("chron_ns", "meas"), "__before", chunk=chunk)
+    spans = resolved(df, chunk)
+    near = nearest(df, F.struct("chron_ns", "meas"), "__before", chunk=spans)
     before = F.col("__before")
     dmeas = F.when(before.isNotNull(), nav.sub("meas", before["meas"]))
-    return near.withColumn("dchron_ns", F.col("chron_ns") - before["chron_ns"]).withColumn("dmeas", dmeas).drop("__before")
+    return handed(near.withColumn("dchron_ns", F.col("chron_ns") - before["chron_ns"]).withColumn("dmeas", dmeas).drop("__before"), spans)

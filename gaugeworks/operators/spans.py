@@ -65,12 +65,25 @@ def index(df: DataFrame, rows: int = SPAN_ROWS) -> Index:
 
 
 def resolved(df: DataFrame, chunk) -> Index | Every | str:
-    """What ``chunk`` means for ``df``, once for all windows of an operator. Runs nothing."""
+    """What ``chunk`` means for ``df``, once for all windows of an operator. Runs nothing. AUTO: what ``df`` has been handed, if it was made by an operator."""
     if isinstance(chunk, (Index, Every)) or chunk == STORED:
         return chunk
     if chunk is None:
         return Index(None)
-    return Index(cuts(df)) if chunk == AUTO else Every(ns(chunk))
+    if chunk != AUTO:
+        return Every(ns(chunk))
+    return getattr(df, _HANDED, None) or getattr(handed(df, Index(cuts(df, SPAN_ROWS))), _HANDED)
+
+
+#: The attribute of a frame that says how its series are cut.
+_HANDED = "_gaugeworks_spans"
+
+
+def handed(df: DataFrame, spans) -> DataFrame:
+    """``df``, cut for later operators as what it was made of: else each step of a chain would count all that comes before it anew."""
+    if spans != STORED:
+        setattr(df, _HANDED, spans)
+    return df
 
 
 def whole(spans) -> bool:

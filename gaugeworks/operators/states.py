@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions import nav
 from gaugeworks.operators.neighbours import deltas
 from gaugeworks.operators.runs import per_group
-from gaugeworks.operators.spans import AUTO, SPAN, assigned, only_cut, resolved, whole
+from gaugeworks.operators.spans import AUTO, SPAN, assigned, resolved
 
 #: Marks of a quantity in one state. A median of several states lies between marks that have about 1 / MARKS of the readings between them.
 MARKS = 1_024
@@ -28,7 +28,7 @@ _MOMENTS = "{0}_n long, {0}_mean double, {0}_m2 double, {0}_low {1}, {0}_low_at
 STATE = ", ".join([
     "series_id string", f"{SPAN} long", "n long", "first_chron long", "first_meas double", "last_chron long", "last_meas double", "offsets decimal(38,0)", "n_missing long", "n_broken long",
     "use_chron long", "use_meas double", _MOMENTS.format("ms", "double"), _MOMENTS.format("dm", "double"), "dm_broken long", _MOMENTS.format("dc", "long"),
-    *(f"{q}_marks array<{'long' if 'chron' in q else 'double'}>, {q}_count long" for q in MEDIANS),
+    *(f"{q}_marks array<{'long' if 'chron' in q else 'double'}>, {q}_count long, {q}_middle {'long' if 'chron' in q else 'double'}" for q in MEDIANS),
 ])
 NAMES = [x.split()[0] for x in STATE.replace(", ", ",").replace("decimal(38,0)", "d").split(",")]
 
@@ -71,10 +71,10 @@ class Moments:
         return self.n, self.mean, self.m2, self.low, self.low_at, self.high, self.high_at
 
 
-def marks(values: np.ndarray) -> np.ndarray:
-    """All values sorted, or MARKS of them at evenly spread ranks, both ends among them."""
-    values = np.sort(values)
-    return values if len(values) <= MARKS else values[_places(len(values), MARKS)]
+def marks(values: np.ndarray) -> tuple:
+    """(all values sorted, or MARKS of them at evenly spread ranks, both ends among them; how many there are; their lower middle)."""
+    values, n = np.sort(values), len(values)
+    return values if n <= MARKS else values[_places(n, MARKS)], n, values[(n - 1) // 2].item() if n else None
 
 
 def _places(n: int, kept: int) -> np.ndarray:
@@ -120,7 +120,7 @@ def state_of(key: tuple, table: pa.Table) -> Iterator[tuple]:
     yield (
         *key, len(chron), *one(0), *one(-1), _whole_sum(chron - chron[0]), int(missing.sum()), int(broken.sum()), *((None, None) if first_use is None else one(first_use)),
         *Moments.of(meas[use], chron[use]).row(), *Moments.of(steps, chron[1:][~torn & ~gone]).row(), int(torn.sum()), *Moments.of(waits, chron[1:]).row(),
-        *(x for q in MEDIANS for x in (marks(numbers[q]), len(numbers[q]))),
+        *(x for q in MEDIANS for x in marks(numbers[q])),
     )
 
 
@@ -147,11 +147,13 @@ class Merged:
         self.missing, self.broken, self.use, self.torn = row["n_missing"], row["n_broken"], (row["use_chron"], row["use_meas"]), row["dm_broken"]
         self.ms, self.dm, self.dc = (Moments(*(row[f"{k}_{f}"] for f in ("n", "mean", "m2", "low", "low_at", "high", "high_at"))) for k in ("ms", "dm", "dc"))
         self.marks = {q: [(np.array(row[f"{q}_marks"]), row[f"{q}_count"])] if row[f"{q}_count"] else [] for q in MEDIANS}
+        self.middles = {q: row[f"{q}_middle"] for q in MEDIANS}  # of one state these are the medians
 
     def then(self, b: Merged) -> None:
         """Takes in ``b``, whose readings come after all of these."""
         if b.first[0] < self.last[0]:
             raise ValueError("states of one series overlap in time")
+        self.middles = {}
         at, wait = b.first[0], b.first[0] - self.last[0]
         seam = Merged._seam(self.last[1], b.first[1])
         self.offsets += b.offsets + b.n * (b.first[0] - self.first[0])
@@ -178,7 +180,9 @@ class Merged:
         out = {}
         for q in MEDIANS:
             total = sum(n for _, n in self.marks[q])
-            if total:
+            if total and self.middles:
+                out[q] = ((total + 1) // 2, self.middles[q], self.middles[q])
+            elif total:
                 out[q] = ((total + 1) // 2, *bracket(self.marks[q], (total + 1) // 2))
         return out
 
@@ -227,19 +231,17 @@ def merged(kept: DataFrame) -> DataFrame:
 
 def settled(told: DataFrame, readings: DataFrame, chunk=AUTO) -> DataFrame:
     """``merged``'s rows with the open medians found among ``readings``: those below a bracket are counted, those in it counted by value."""
-    spans = resolved(readings, chunk)
-    if whole(spans):
-        return told.drop("__open")
-    asked = told.select(F.col("series_id").alias("__id"), F.inline("__open"))  # at most four rows for each series that is cut
-    rows = deltas(only_cut(readings, spans).drop(SPAN), spans)
+    asked = told.select(F.col("series_id").alias("__id"), F.inline("__open"))  # at most four rows for each series of several states
+    lacking = asked.select(F.col("__id").alias("__lacking")).distinct()
+    rows = deltas(readings.join(lacking, F.col("series_id").eqNullSafe(F.col("__lacking")), "left_semi"), resolved(readings, chunk))
     none_l, none_d = F.lit(None).cast("long"), F.lit(None).cast("double")
     of = lambda q, c: F.struct(F.lit(q).alias("which_"), F.col(c).alias("l") if "chron" in q else none_l.alias("l"), none_d.alias("d") if "chron" in q else F.when(nav.usable(c), F.col(c)).alias("d"))
     each = rows.select("series_id", F.inline(F.array(*(of(q, c) for q, c in zip(MEDIANS, ("chron_ns", "dchron_ns", "meas", "dmeas")))))).filter("l is not null or d is not null")
-    met = each.join(F.broadcast(asked), F.col("series_id").eqNullSafe(F.col("__id")) & (F.col("which") == F.col("which_"))).filter("l <= high_l or d <= high_d")
+    met = each.join(asked, F.col("series_id").eqNullSafe(F.col("__id")) & (F.col("which") == F.col("which_"))).filter("l <= high_l or d <= high_d")
     inside = F.coalesce(F.col("l") >= F.col("low_l"), F.col("d") >= F.col("low_d"))
     counts = met.select("series_id", "which", "rank", F.when(inside, F.col("l")).alias("l"), F.when(inside, F.col("d")).alias("d")).groupBy("series_id", "which", "rank", "l", "d").agg(F.count("*").alias("c"))
     upto = F.sum("c").over(Window.partitionBy("series_id", "which").orderBy(F.asc_nulls_first("l"), F.asc_nulls_first("d")))
     found = counts.withColumn("upto", upto).filter("(l is not null or d is not null) and upto >= rank")
     first = found.groupBy("series_id").agg(*(F.min(F.when(F.col("which") == q, F.col("l" if "chron" in q else "d"))).alias(f"__{q}") for q in MEDIANS)).withColumnRenamed("series_id", "__id")
-    met = told.drop("__open").join(F.broadcast(first), F.col("series_id").eqNullSafe(F.col("__id")), "left")
+    met = told.drop("__open").join(first, F.col("series_id").eqNullSafe(F.col("__id")), "left")
     return met.withColumns({f: F.coalesce(f, F.col(f"__{q}").cast("long" if q == "chron" else "double")) for q, f in _FIELD.items()}).select(*told.drop("__open").columns)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import states as states_
-from gaugeworks.operators.spans import AUTO, resolved
+from gaugeworks.operators.spans import AUTO, resolved, whole
 
 #: The fields, in order.
 FIELDS = (
@@ -34,7 +34,8 @@ def stats(df: DataFrame, chunk=AUTO) -> DataFrame:
     Readings are scanned once. Of a series that is cut the states only bracket the medians; its readings are then scanned once more.
     """
     spans = resolved(df, chunk)
-    return states_.settled(states_.merged(states_.states(df, spans)), df, spans).select("series_id", *FIELDS)
+    told = states_.merged(states_.states(df, spans))
+    return (told if whole(spans) else states_.settled(told, df, spans)).select("series_id", *FIELDS)
 
 
 def from_states(kept: DataFrame, readings: DataFrame | None = None, chunk=AUTO) -> DataFrame:

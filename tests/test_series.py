@@ -4,7 +4,7 @@ import random
 import pytest
 from helpers import HOUR, NAN, ORIGIN, every_minute, got, hourly, kind, values
 
-from gaugeworks.operators import cleaning, compress, fill, neighbours, resample
+from gaugeworks.operators import cleaning, compress, fill, neighbours, resample, spans
 from gaugeworks.operators.neighbours import deltas
 from gaugeworks.operators.stats import stats
 from gaugeworks.series import Container, Signal, new_id
@@ -84,15 +84,15 @@ def test_counted_chunks(spark, monkeypatch, rows):
     steps = {
         "deltas": neighbours.deltas, "stats": stats, "reduce": compress.reduce, "ranked": neighbours.ranked, "at": lambda d: at(d, 5), "silences": lambda d: compress.mark_silences(d, "2h"),
         "pchip": lambda d: fill.interpolate(d.dropDuplicates(["series_id", "chron_ns"]), "pchip"), "cubic": lambda d: fill.interpolate(d.dropDuplicates(["series_id", "chron_ns"]), "cubic spline"), "stray": lambda d: cleaning.mark_stray_points(d, 5),
-        "expand": lambda d: compress.expand(d, ORIGIN, ORIGIN + 50 * HOUR, "1h"), "grid": lambda d: resample.regularize(d, "5h"), "meas": lambda d: measurements(d, 30),
+        "expand": lambda d: compress.expand(d, ORIGIN, ORIGIN + 50 * HOUR, "1h"), "grid": lambda d: resample.regularize(d, "5h"), "meas": lambda d: measurements(d, 30), "band": lambda d: compress.reduce_with_deadband(d, 6),
     }
     seen = {}
     df = df.filter("seq % 3 <> 1").cache()
     for uncut in (True, False):
         if not uncut:
-            monkeypatch.setattr(neighbours, "CHUNK_ROWS", rows)
-            monkeypatch.setattr(neighbours, "UNCOUNTED_BYTES", 0)
-            assert neighbours.width(df) and neighbours.width(df, None) is None and neighbours.width(df.limit(3)) is None
+            monkeypatch.setattr(spans, "SPAN_ROWS", rows)
+            df = df.select("*")  # has been handed no cuts
+            assert [x["series_id"] for x in spans.cuts(df, rows).collect()] == ["s"]
         for name, step in steps.items():
             shown = sorted(str([round(v, 6) if isinstance(v, float) else v for v in x]) for x in step(df).collect())
             assert seen.setdefault(name, shown) == shown, name
