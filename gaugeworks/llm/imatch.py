@@ -1,15 +1,13 @@
 """Document fingerprints by I-Match, in DataFrame operations only.
 
 A lexicon holds the terms whose inverse document frequency lies in a band: neither those that stand everywhere nor those that hardly
-stand anywhere. A text is known by its distinct terms in the lexicon, sorted and hashed; and, so that a
+stand anywhere. A text is known by the hash of its distinct terms in the lexicon; and, so that a
 few changed terms don't hide a likeness, once more for each of several random subsets of the lexicon, of several sizes: two texts
 agree in a subset where none of their differing terms falls into it.
 """
 
 from __future__ import annotations
 
-from hashlib import md5
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,20 +21,20 @@ IDF_LOW, IDF_HIGH = 1.5, 8.0
 KEPT_BITS, SUBSETS_EACH = (1, 3, 5, 7), 8
 SUBSETS = len(KEPT_BITS) * SUBSETS_EACH
 #: Hexadecimal digits of the whole lexicon's signature, and of each subset's.
-WHOLE_DIGITS, DIGITS = 16, 8
-#: Most terms that every task holds; beyond it they are joined by shuffling.
+WHOLE_DIGITS, DIGITS = 15, 8
+#: Most terms that are broadcast to the texts; beyond it they are joined by shuffling.
 BROADCAST_TERMS = 1_000_000
 #: Rows of a run of ids in which neighbours are looked up, about, and most runs.
-RUN_ROWS, RUNS = 20_000, 4_096
+RUN_ROWS, RUNS = 2_000, 4_096
 
 
 def lexicon(docs: DataFrame, text: str = "text", low: float = IDF_LOW, high: float = IDF_HIGH) -> DataFrame:
-    """term and mask (bit i: subset i keeps it) for the terms of the band. docs: any rows; all count. Of an empty table, nothing."""
+    """term, hash and mask (bit i: subset i keeps it) for the terms of the band. docs: any rows; all count. Of an empty table, nothing."""
     n = docs.count()
     seen = docs.select(F.explode(F.array_distinct(words(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     # ln(n / df) within the band, asked of whole numbers.
     band = seen.filter((F.ln(F.lit(float(max(n, 1))) / F.col("df")) >= low) & (F.ln(F.lit(float(max(n, 1))) / F.col("df")) <= high))
-    return band.select("term", _mask(F.col("term")).alias("mask"))
+    return band.select("term", F.conv(F.substring(F.md5("term"), 1, WHOLE_DIGITS), 16, 10).cast("long").alias("hash"), _mask(F.col("term")).alias("mask"))
 
 
 def _mask(term: Column) -> Column:
@@ -89,64 +87,18 @@ def neighbours(docs: DataFrame, id: str, text: str, rows: int = RUN_ROWS) -> Dat
     return both.select("*", F.row_number().over(order).alias("i_"), F.lead("t_").over(order).alias("next_"))
 
 
-_ENTRIES = "array<struct<term:string,mask:bigint>>"
-
-
-def _tabled(known: DataFrame, terms: int) -> tuple[DataFrame, int]:
-    """The lexicon as one value: an array of buckets by the terms' hash; and how many there are. At most BROADCAST_TERMS terms."""
-    many = 1 << max(1, terms).bit_length()
-    bucket = F.pmod(F.xxhash64("term"), F.lit(many)).cast("int")
-    full = known.groupBy(bucket.alias("b")).agg(F.collect_list(F.struct("term", "mask")).alias("e"))
-    every = known.sparkSession.range(many).select(F.col("id").cast("int").alias("b")).join(full, "b", "left").select("b", F.coalesce("e", F.array().cast(_ENTRIES)).alias("e"))
-    return stored(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "e"))), lambda x: x["e"]).alias("t")), "imatch-table"), many
-
-
-def _looked_up(sides: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
-    """``sides`` with a_ and b_, sorted arrays of terms, replaced by those of their entries (term, mask) that are in the lexicon.
+def fingerprint(terms: DataFrame, keys: list[str], known: DataFrame) -> DataFrame:
+    """keys and f: digits of the whole lexicon's signature, then of each subset's; a subset without any of the terms is dashes. Rows of ``terms``: keys and a
+    term, each once; keys without a term of the lexicon have no row.
 
-    The lexicon is a value that every task holds, and a term is looked up where its text lies; a lexicon that is too large for that is joined.
+    A signature is the hash of a set of terms: their hashes, one upon another. That is what hashing them in sorted order tells, equal sets and no
+    others, but no list of terms is held, moved or sorted: a text is a few numbers in the aggregation's own table.
     """
-    terms = known.limit(BROADCAST_TERMS + 1).count()
-    rest = [c for c in sides.columns if c not in ("a_", "b_")]
-    if terms <= BROADCAST_TERMS:
-        table, many = _tabled(known, terms)
-        found = lambda c: F.flatten(F.transform(c, lambda x: F.filter(F.get(F.col(f"lex_{c}"), F.pmod(F.xxhash64(x), F.lit(many)).cast("int")), lambda y: y["term"] == x)))
-        # A value for each column: each is read in one place alone, so that it goes there instead of into every row.
-        held = sides.withColumns({"lex_a_": table.scalar(), "lex_b_": table.scalar()})
-        return held.select(*rest, found("a_").alias("a_"), found("b_").alias("b_"))
-    held = F.expr("transform(concat(a_, b_), (x, i) -> struct(x as term, i < size(a_) as left))")
-    each = sides.select(*keys, F.explode(held).alias("one")).select(*keys, "one.*").join(known, "term")
-    entry = F.struct("term", "mask")
-    mine = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("left"), entry))).alias("a_"), F.array_sort(F.collect_list(F.when(~F.col("left"), entry))).alias("b_"))
-    none = F.array().cast(_ENTRIES)
-    return sides.select(*rest).join(mine, keys, "left").select(*rest, F.coalesce("a_", none).alias("a_"), F.coalesce("b_", none).alias("b_"))
-
-
-def _keeps(mask: int):
-    return lambda x: x["mask"].bitwiseAND(F.lit(mask).cast("long")) != 0
-
-
-def _signed(sides: DataFrame, which: dict[str, str], every: str) -> DataFrame:
-    """``sides`` with a fingerprint for each array of entries in ``which`` (array: name): digits of the whole, then of each subset; a subset without any
-    of the terms is dashes. Where there are no entries at all, the digits of ``every`` and the array's name stand everywhere."""
-    joined = lambda some: F.array_join(F.transform(some, lambda x: x["term"]), " ")
-    of = lambda j: sum(1 << i for i in range(j * SUBSETS_EACH, (j + 1) * SUBSETS_EACH))
-    # Terms of any subset of one size first, as few are in those of the small ones.
-    some = sides.select("*", *(F.filter(c, _keeps(of(j))).alias(f"{c}{j}") for c in which for j in range(len(KEPT_BITS))))
-    made = {}
-    for c, name in which.items():
-        parts = [F.substring(F.md5(joined(F.col(c))), 1, WHOLE_DIGITS)]
-        for i in range(SUBSETS):
-            own = joined(F.filter(f"{c}{i // SUBSETS_EACH}", _keeps(1 << i)))  # no term is empty
-            parts.append(F.nullif(F.substring(F.md5(own), 1, DIGITS), F.lit(_NOTHING)))
-        whole = F.col(every + c)
-        instead = F.concat(F.substring(whole, 1, WHOLE_DIGITS), F.repeat(F.substring(whole, 1, DIGITS), F.lit(SUBSETS)))
-        made[name] = F.when(F.size(c) > 0, F.concat(parts[0], *(F.coalesce(x, F.lit("-" * DIGITS)) for x in parts[1:]))).otherwise(instead)
-    return some.select(*(c for c in sides.columns if c not in which), *(x.alias(n) for n, x in made.items()))
-
-
-#: The digits of nothing.
-_NOTHING = md5(b"").hexdigest()[:DIGITS]
+    met = terms.join(known, "term")
+    some = [F.bit_xor(F.when(F.col("mask").bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.col("hash"))).alias(f"x{i}") for i in range(SUBSETS)]
+    told = met.groupBy(*keys).agg(F.bit_xor("hash").alias("x"), *some)
+    digits = lambda c, n: F.coalesce(F.right(F.lpad(F.lower(F.hex(c)), WHOLE_DIGITS, "0"), F.lit(n)), F.lit("-" * n))
+    return told.select(*keys, F.concat(digits("x", WHOLE_DIGITS), *(digits(f"x{i}", DIGITS) for i in range(SUBSETS))).alias("f"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -172,10 +124,17 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", rows:
     half = F.call_function("div", size, F.lit(2)).cast("int")
     near = near.withColumn("n_", size.cast("long")).withColumn("edited_", F.when(F.col("own_"), F.concat(F.substring("t_", F.lit(1), size - half), F.substring("next_", F.lit(1), half))))
     keys = ["run_", "i_"]
-    sorted_ = lambda c: F.array_sort(F.array_distinct(words(c)))
-    sides = near.select(*keys, "id_", "own_", "n_", F.sha2("edited_", 256).alias("sha_"), sorted_("t_").alias("a_"), sorted_("edited_").alias("b_"))
-    sides = sides.select("*", *(F.md5(F.array_join(c, " ")).alias(f"all_{c}") for c in ("a_", "b_")))
-    made = _signed(_looked_up(sides, known, keys), {"a_": "f_", "b_": "g_"}, "all_")
+    if known.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        known = F.broadcast(known)
+    held = F.expr("transform(concat(a_, b_), (x, i) -> struct(x as term, i < size(a_) as left_))")
+    split = near.select(*keys, F.array_distinct(words("t_")).alias("a_"), F.array_distinct(words("edited_")).alias("b_")).select(*keys, F.explode(held).alias("one"))
+    sides = fingerprint(split.select(*keys, "one.*"), [*keys, "left_"], known)
+    sides = sides.groupBy(*keys).agg(F.max(F.when(F.col("left_"), F.col("f"))).alias("f_"), F.max(F.when(~F.col("left_"), F.col("f"))).alias("g_"))
+    # Only a text without terms of the lexicon is hashed by all of its own.
+    told = near.join(sides, keys, "left")
+    every = lambda c: F.md5(F.array_join(F.array_sort(F.array_distinct(words(c))), " "))
+    instead = lambda c: F.concat(F.substring(every(c), 1, WHOLE_DIGITS), F.repeat(F.substring(every(c), 1, DIGITS), F.lit(SUBSETS)))
+    made = told.select(*keys, "id_", "own_", "n_", F.sha2("edited_", 256).alias("sha_"), F.coalesce("f_", instead("t_")).alias("f_"), F.coalesce("g_", instead("edited_")).alias("g_"))
     after = made.withColumn("after_", F.lead("f_").over(Window.partitionBy("run_").orderBy("i_"))).filter("own_")
     return after.select(
         F.col("id_").alias(id), F.col("n_").alias("n_chars"), F.col("sha_").alias("edited_sha256"), F.col("f_").alias("fingerprint"), F.col("g_").alias("edited_fingerprint"),
@@ -195,9 +154,10 @@ def _mask_sql() -> str:
 
 
 def _side_sql(side: str) -> str:
-    """Fingerprints of one side's texts: by their terms in the lexicon, or else by all of them."""
-    subset = ", ".join(f"coalesce(substring(md5(string_agg(term, ' ' ORDER BY term) FILTER (mask & {1 << i} <> 0)), 1, {DIGITS}), '{'-' * DIGITS}')" for i in range(SUBSETS))
-    return f"""SELECT k, substring(md5(string_agg(term, ' ' ORDER BY term)), 1, {WHOLE_DIGITS}) || concat({subset}) AS f FROM (SELECT k, unnest(list_distinct({side})) AS term FROM w) JOIN l USING (term) GROUP BY 1"""
+    """Fingerprints of one side's texts by their terms in the lexicon."""
+    digits = lambda x, n: f"coalesce(right(printf('%015x', {x}), {n}), '{'-' * n}')"
+    subset = ", ".join(digits(f"bit_xor(hash) FILTER (mask & {1 << i} <> 0)", DIGITS) for i in range(SUBSETS))
+    return f"""SELECT k, {digits('bit_xor(hash)', WHOLE_DIGITS)} || concat({subset}) AS f FROM (SELECT k, unnest(list_distinct({side})) AS term FROM w) JOIN l USING (term) GROUP BY 1"""
 
 
 def _likeness_sql(a: str, b: str) -> str:
@@ -218,7 +178,7 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY d
 e AS (SELECT a.k, a.doc_id, a.t, b.k AS after, substring(a.t, 1, length(a.t) - length(a.t) // 2) || substring(b.t, 1, length(a.t) // 2) AS u FROM d AS a JOIN d AS b ON b.k = a.k % (SELECT count(*) FROM d) + 1),
 w AS (SELECT *, {_WORDS_SQL.format('t')} AS a, {_WORDS_SQL.format('u')} AS b FROM e),
 f AS (SELECT term, count(*) AS df FROM (SELECT k, unnest(list_distinct(a)) AS term FROM w) GROUP BY 1),
-l AS (SELECT term, {_mask_sql()} AS mask FROM f WHERE ln((SELECT count(*) FROM d)::DOUBLE / df) BETWEEN {IDF_LOW} AND {IDF_HIGH}),
+l AS (SELECT term, CAST('0x' || substring(md5(term), 1, {WHOLE_DIGITS}) AS BIGINT) AS hash, {_mask_sql()} AS mask FROM f WHERE ln((SELECT count(*) FROM d)::DOUBLE / df) BETWEEN {IDF_LOW} AND {IDF_HIGH}),
 x AS ({_side_sql('a')}), y AS ({_side_sql('b')}),
 z AS (SELECT w.k, w.after, w.doc_id, length(w.t) AS n_chars, sha256(w.u) AS edited_sha256, coalesce(x.f, {_every_sql('w.a')}) AS f, coalesce(y.f, {_every_sql('w.b')}) AS g FROM w LEFT JOIN x USING (k) LEFT JOIN y USING (k))
 SELECT z.doc_id, z.n_chars, z.edited_sha256, z.f AS fingerprint, z.g AS edited_fingerprint, {_likeness_sql('z.f', 'z.g')} AS near_edited, {_likeness_sql('z.f', 'n.f')} AS near_next FROM z JOIN z AS n ON n.k = z.after

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import others, small, stored, table
+from gaugeworks.llm.common import keyed_join, others, small, stored, table
 
 FINDINGS = "array<struct<at:long, rank:int, kind:string, start:long, end:long>>"
 LEDGER = f"blob string, rules string, findings {FINDINGS}"
@@ -85,9 +85,14 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, text: st
         known = known.unionByName(old)
     # Most blobs hold no secret; only the others meet their paths.
     hits = known.filter(F.size("findings") > 0)
+    paths = versions.select(*columns, F.sha2(content, 256).alias("blob"))
     if hits.agg(F.coalesce(F.sum(F.size("findings")), F.lit(0))).first()[0] <= BROADCAST_FINDINGS:
-        hits = F.broadcast(hits)
-    joined = versions.select(*columns, F.sha2(content, 256).alias("blob")).join(hits, "blob", "left")
+        joined = paths.join(F.broadcast(hits), "blob", "left")
+    else:
+        # The most copied blob, or the empty one, is no one task's.
+        rows = stored(paths.groupBy("blob").agg(F.count("*").alias("__rows")), "secret-copies")
+        hits = rows.join(hits, "blob", "left").select("blob", "findings", "__rows")
+        joined = keyed_join(paths, hits, ["blob"], "left", by=[c for c in columns if "map<" not in dict(versions.dtypes)[c]] or ["blob"])
     return joined.select(*columns, "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings")), added
 
 

@@ -17,7 +17,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import small, stored, table
+from gaugeworks.llm.common import keyed_join, small, stored, table
 
 #: Short notices by which files name their licence.
 TEMPLATES = {
@@ -194,7 +194,12 @@ def scan_licences(files: DataFrame, path: str = "path", text: str = "text", temp
     bare = paths.join(own.select("p"), "p", "left_anti")
     parts = F.split(folder(F.col("p")), "/")
     above = bare.select("p", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.struct(i.alias("depth"), F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.when(i > 0, "/").otherwise("")).alias("dir")))).alias("d"))
-    taken = above.select("p", "d.depth", "d.dir").join(small(folders, BROADCAST_ROWS), "dir").groupBy("p").agg(F.max(F.struct("depth", "licence_file", "given")).alias("g"))
+    asked = above.select("p", "d.depth", "d.dir")
+    if folders.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        given = asked.join(F.broadcast(folders), "dir")
+    else:
+        given = keyed_join(asked, folders, ["dir"], by=["p"])  # all files lie below the root
+    taken = given.groupBy("p").agg(F.max(F.struct("depth", "licence_file", "given")).alias("g"))
     out = paths.join(own.drop("words"), "p", "left").join(taken, "p", "left")
     origin = F.when(F.col("licence").isNotNull(), "own").when(F.col("g").isNotNull(), "inherited").otherwise("none")
     return out.select(F.col("p").alias(path), F.coalesce("licence", "g.given").alias("licence"), "cosine", F.coalesce("lines", F.lit(0)).alias("lines"), origin.alias("origin"), F.when(F.col("licence").isNull(), F.col("g.licence_file")).alias("licence_file"))

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,8 +28,8 @@ BINS = 1 << 20
 #: Parameters of the model: how many word bins a target may weigh at most, the most unevenly spread over its classes, from this z score on.
 #: All bins of all labelled texts in the sample are counted to choose them.
 WORDS_USED, WORDS_Z = 256, 5.0
-#: Most labelled rows that the classifier is fitted on, and most bytes of features on the driver.
-SAMPLE_ROWS = 4_000
+#: Most labelled rows that the classifier is fitted on, and most bytes of their texts.
+SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 64_000_000
 #: Most sites whose posteriors are broadcast; beyond it documents meet them in a salted join.
 BROADCAST_SITES = 200_000
 SALTS = 64
@@ -131,15 +131,20 @@ def fit_features(shape: np.ndarray, sizes: np.ndarray, at: np.ndarray, values: n
     return Classifier(fitted_shape, fitted_words, bias)
 
 
-def fit_on_labels(docs: DataFrame, labels: DataFrame, targets: dict[str, Column], id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> Classifier:
-    """Fits on at most ``rows`` labelled documents, those whose id's hash is smallest.
+def fit_on_labels(docs: DataFrame, labels: DataFrame, targets: dict[str, Column], id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> Classifier:
+    """Fits on at most ``rows`` labelled documents of at most ``size`` bytes together, those whose id's hash is smallest.
 
-    targets: 0/1 columns over labels. Labels that are null, and ids that are null, are left out.
+    targets: 0/1 columns over labels. Labels that are null, and ids that are null, are left out. Of several labels of one id the greatest of
+    each target counts, of several texts of one id the greatest; so an id is one row, and the model is the same whatever the order of rows.
     """
-    wanted = labels.select(F.col(id).alias("id_"), *(c.cast("int").alias(f"t_{name}") for name, c in targets.items())).dropna()
-    wanted = wanted.dropDuplicates(["id_"]).orderBy(F.xxhash64("id_"), "id_").limit(rows)
-    found = docs.select(docs[id].alias("id_"), docs[text].cast("string").alias("__text")).join(F.broadcast(wanted), "id_")
     marks = [f"t_{name}" for name in targets]
+    wanted = labels.select(F.col(id).alias("id_"), *(c.cast("int").alias(f"t_{name}") for name, c in targets.items())).dropna()
+    wanted = wanted.groupBy("id_").agg(*(F.max(m).alias(m) for m in marks)).orderBy(F.xxhash64("id_"), "id_").limit(rows)
+    met = docs.select(docs[id].alias("id_"), docs[text].cast("string").alias("__text")).join(F.broadcast(wanted), "id_")
+    once = stored(met.groupBy("id_").agg(*(F.first(m).alias(m) for m in marks), F.max("__text").alias("__text")), "quality-sample")
+    upto = F.sum(F.coalesce(F.octet_length("__text"), F.lit(0))).over(Window.orderBy(F.xxhash64("id_"), "id_").rowsBetween(Window.unboundedPreceding, 0))
+    small_enough = once.select("id_", upto.alias("upto")).filter(F.col("upto") <= size).select("id_")  # at most ``rows`` ids
+    found = once.join(F.broadcast(small_enough), "id_", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,7 +217,10 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     labels: id, quality and toxic (0 or 1). accepted: p_good of at least ``threshold`` and p_toxic,
     from the document alone, of at most ``toxic_threshold``. Nulls: a null text counts as empty, a null
     host or path as a site of its own; columns of ``docs`` named like a new one give way; null labels are no labels. Without labels every document
-    has even odds and is accepted. Repeated rows are scored each. The text isn't shuffled.
+    has even odds and is accepted. Repeated rows are scored each. The text isn't shuffled, but that of the sample.
+
+    Parameters of the model: it is fitted on a sample of labelled rows (SAMPLE_ROWS, SAMPLE_BYTES); a target weighs at most WORDS_USED word bins, those
+    most unevenly spread over its classes, from a z score of WORDS_Z on; a site's prior weighs as 2 to 10,000 documents.
     """
     made = ("e_good", "e_toxic", "host_posterior", "path_posterior", "p_good", "p_toxic", "accepted")
     docs = docs.select(*others(docs, made))

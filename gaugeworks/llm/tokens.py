@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import others, slices, small, stored, table, vocabulary
+from gaugeworks.llm.common import keyed_join, others, slices, small, stored, table, vocabulary
 
 CACHE = "digest string, n_tokens long"
 #: Most distinct words whose counts a worker keeps at a time, for vocabularies that split at white space.
@@ -110,9 +110,9 @@ def _encode(misses: DataFrame, name: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count(part.column(1).to_pylist()), pa.int64())], ["digest", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count(part.column(1).to_pylist()), pa.int64()), part.column(2)], ["digest", "n_tokens", "__rows"])
 
-    return misses.select("digest", "__content").mapInArrow(run, CACHE)
+    return misses.select("digest", "__content", "__rows").mapInArrow(run, f"{CACHE}, __rows long")
 
 
 def token_counts(docs: DataFrame, name: str, version: str = "1", cache: DataFrame | None = None, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -126,15 +126,20 @@ def token_counts(docs: DataFrame, name: str, version: str = "1", cache: DataFram
     content = normalised(F.col(text), name)
     digest = F.sha2(F.concat_ws("\n", F.lit(name), F.lit(version), content), 256)
     asked = docs.select(digest.alias("digest"), content.alias("__content"))
-    if cache is not None:
+    if cache is None:
+        # One content for each digest: copies meet in the partial aggregate before they are dealt out.
+        made = stored(_encode(asked.groupBy("digest").agg(F.first("__content").alias("__content"), F.count("*").alias("__rows")), name), "token-cache")
+        known, added = made, made.drop("__rows")
+    else:
         # Digests alone tell the misses; no text that the cache knows is moved.
-        missing = stored(asked.select("digest").distinct().join(cache.select("digest").distinct(), "digest", "left_anti"), "token-misses")
-        asked = asked.join(small(missing, BROADCAST_DIGESTS), "digest", "left_semi")
-    # One content for each digest: copies meet in the partial aggregate before they are dealt out.
-    misses = asked.groupBy("digest").agg(F.first("__content").alias("__content"))
-    added = stored(_encode(misses, name), "token-cache")
-    known = added if cache is None else added.unionByName(cache.groupBy("digest").agg(F.first("n_tokens").alias("n_tokens")))
-    joined = docs.select(*columns, digest.alias("digest")).join(known, "digest", "left")
+        rows = stored(asked.groupBy("digest").agg(F.count("*").alias("__rows")), "token-asked")
+        missing = stored(rows.join(cache.select("digest").distinct(), "digest", "left_anti"), "token-misses")
+        lacking = asked.join(small(missing.select("digest"), BROADCAST_DIGESTS), "digest", "left_semi")
+        added = stored(_encode(lacking.groupBy("digest").agg(F.first("__content").alias("__content"), F.count("*").alias("__rows")), name), "token-cache").drop("__rows")
+        every = added.unionByName(cache.groupBy("digest").agg(F.first("n_tokens").alias("n_tokens")))
+        known = stored(rows.join(every, "digest"), "token-known")
+    # The digest of an empty or much repeated text is no one task's.
+    joined = keyed_join(docs.select(*columns, digest.alias("digest")), known, ["digest"], "left", by=[c for c in columns if "map<" not in dict(docs.dtypes)[c]] or ["digest"])
     return joined.select(*columns, "digest", "n_tokens"), added
 
 

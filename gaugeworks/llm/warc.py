@@ -19,8 +19,8 @@ FIXED_FIELDS = (
 )
 #: Query parameters that don't change what a URL names.
 TRACKING = "^(utm_[a-z]+|ref|fbclid|gclid|sessionid|jsessionid|phpsessid)(=|$)"
-#: Slices of time, a power of two, into which each URL's records are cut, so that no URL is one task's.
-SLICES = 256
+#: Records of a slice of time, about, and least and most slices, powers of two: each URL's records are cut into them, so that no URL is one task's.
+SLICE_ROWS, SLICES, SLICES_MOST = 1_000_000, 256, 65_536
 
 
 def canonical_url(url: Column) -> Column:
@@ -48,10 +48,11 @@ def _lowered(headers: Column) -> Column:
 
 
 def sliced(r: DataFrame) -> DataFrame:
-    """``r`` with slice, 0 to SLICES - 1, by ts: about as many rows each, however ts are spread. Null if ts is."""
-    edges = r.agg(F.percentile_approx("ts", [i / SLICES for i in range(1, SLICES)], 10_000)).first()[0] or []
-    edges = F.array(*(F.lit(e).cast("long") for e in edges + [2**63 - 1] * (SLICES - 1 - len(edges))))
-    steps = F.array(*(F.lit(1 << k) for k in range(SLICES.bit_length() - 2, -1, -1)))
+    """``r`` with slice, from 0, by ts: about as many rows each, however ts are spread, in as many slices as the counted rows ask for. Null if ts is."""
+    many = min(SLICES_MOST, max(SLICES, 1 << (r.count() // SLICE_ROWS).bit_length()))
+    edges = r.agg(F.percentile_approx("ts", [i / many for i in range(1, many)], max(10_000, 20 * many))).first()[0] or []
+    edges = F.array(*(F.lit(e).cast("long") for e in edges + [2**63 - 1] * (many - 1 - len(edges))))
+    steps = F.array(*(F.lit(1 << k) for k in range(many.bit_length() - 2, -1, -1)))
     # Bisection: how many edges are at most ts.
     found = F.aggregate(steps, F.lit(0), lambda k, s: F.when(F.element_at(edges, k + s) <= F.col("ts"), k + s).otherwise(k))
     return r.withColumn("slice", F.when(F.col("ts").isNotNull(), found))
@@ -77,7 +78,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     own = F.max(F.when(F.col("kind") == "response", F.struct("record_id", "ts", "etag", "last_modified", "digest", entries))).alias("own")
     points = sliced(r.filter(answered)).groupBy("curl", "slice", "ts").agg(own, F.bool_or(F.col("kind") == "revisit").alias("asked"))
     points = stored(points, "warc-points")
-    # Within a slice a window; before it the last response of the URL's earlier slices, of which there are at most SLICES.
+    # Within a slice a window; before it the last response of the URL's earlier slices, of which there are few.
     inside = Window.partitionBy("curl", "slice").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("curl").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     ends = points.groupBy("curl", "slice").agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.col("ts"))).alias("end"), F.bool_or("asked").alias("wanted"))

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from gaugeworks import storage
 from gaugeworks.llm import common
 
 

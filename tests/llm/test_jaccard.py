@@ -6,7 +6,8 @@ import pyarrow as pa
 import pytest
 from plain import groups, near_copies, shingles
 
-from gaugeworks.llm import common, jaccard, wordhash
+from gaugeworks import storage
+from gaugeworks.llm import jaccard, wordhash
 from gaugeworks.llm.common import slices, text_bytes
 from gaugeworks.llm.components import components
 

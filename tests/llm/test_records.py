@@ -9,6 +9,7 @@ import textwrap
 import pytest
 from plain import contamination, groups, linked_quotes, prose, words
 
+from gaugeworks import storage
 from gaugeworks.llm import common, ledger, licences, quality, quotes, warc
 
 SF = "/root/testdata/sf0.01"
