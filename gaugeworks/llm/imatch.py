@@ -89,16 +89,16 @@ def neighbours(docs: DataFrame, id: str, text: str, rows: int = RUN_ROWS) -> Dat
 
 def fingerprint(terms: DataFrame, keys: list[str], known: DataFrame) -> DataFrame:
     """keys and f: digits of the whole lexicon's signature, then of each subset's; a subset without any of the terms is dashes. Rows of ``terms``: keys and a
-    term, each once; keys without a term of the lexicon have no row.
+    term, each once, or null; f is null where no term is in the lexicon.
 
     A signature is the hash of a set of terms: their hashes, one upon another. That is what hashing them in sorted order tells, equal sets and no
     others, but no list of terms is held, moved or sorted: a text is a few numbers in the aggregation's own table.
     """
-    met = terms.join(known, "term")
+    met = terms.join(known, "term", "left")
     some = [F.bit_xor(F.when(F.col("mask").bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.col("hash"))).alias(f"x{i}") for i in range(SUBSETS)]
     told = met.groupBy(*keys).agg(F.bit_xor("hash").alias("x"), *some)
-    digits = lambda c, n: F.coalesce(F.right(F.lpad(F.lower(F.hex(c)), WHOLE_DIGITS, "0"), F.lit(n)), F.lit("-" * n))
-    return told.select(*keys, F.concat(digits("x", WHOLE_DIGITS), *(digits(f"x{i}", DIGITS) for i in range(SUBSETS))).alias("f"))
+    digits = lambda c, n: F.right(F.lpad(F.lower(F.hex(c)), WHOLE_DIGITS, "0"), F.lit(n))
+    return told.select(*keys, F.concat(digits("x", WHOLE_DIGITS), *(F.coalesce(digits(f"x{i}", DIGITS), F.lit("-" * DIGITS)) for i in range(SUBSETS))).alias("f"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -114,7 +114,7 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", rows:
     """A row for each row of ``docs``: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last half replaced by as much of the beginning of the next text. A text none of whose terms is in the lexicon is
-    fingerprinted by all its distinct terms, the same in all subsets; one without terms by none. Equal texts have equal
+    fingerprinted by its own digest, the same in all subsets. Equal texts have equal
     fingerprints. Null is an empty text; repeated rows and ids are answered each, of equal ids the text with the smaller digest first, null ids
     last; one row is its own next; an empty table gives no rows. Other columns are not looked at. Whole texts are read, and the lexicon counts all rows.
     """
@@ -123,18 +123,18 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", rows:
     size = F.char_length("t_")
     half = F.call_function("div", size, F.lit(2)).cast("int")
     near = near.withColumn("n_", size.cast("long")).withColumn("edited_", F.when(F.col("own_"), F.concat(F.substring("t_", F.lit(1), size - half), F.substring("next_", F.lit(1), half))))
-    keys = ["run_", "i_"]
     if known.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         known = F.broadcast(known)
-    held = F.expr("transform(concat(a_, b_), (x, i) -> struct(x as term, i < size(a_) as left_))")
-    split = near.select(*keys, F.array_distinct(words("t_")).alias("a_"), F.array_distinct(words("edited_")).alias("b_")).select(*keys, F.explode(held).alias("one"))
-    sides = fingerprint(split.select(*keys, "one.*"), [*keys, "left_"], known)
-    sides = sides.groupBy(*keys).agg(F.max(F.when(F.col("left_"), F.col("f"))).alias("f_"), F.max(F.when(~F.col("left_"), F.col("f"))).alias("g_"))
-    # Only a text without terms of the lexicon is hashed by all of its own.
-    told = near.join(sides, keys, "left")
-    every = lambda c: F.md5(F.array_join(F.array_sort(F.array_distinct(words(c))), " "))
-    instead = lambda c: F.concat(F.substring(every(c), 1, WHOLE_DIGITS), F.repeat(F.substring(every(c), 1, DIGITS), F.lit(SUBSETS)))
-    made = told.select(*keys, "id_", "own_", "n_", F.sha2("edited_", 256).alias("sha_"), F.coalesce("f_", instead("t_")).alias("f_"), F.coalesce("g_", instead("edited_")).alias("g_"))
+    # A row for each term and the side that holds it, and one without a term for each side.
+    held = F.expr("transform(concat(array(null), a_, array(null), b_), (x, i) -> struct(x as term, i <= size(a_) as left_))")
+    rows_ = near.select("run_", "i_", "id_", "own_", "n_", "h_", F.sha2("edited_", 256).alias("sha_"), F.array_distinct(words("t_")).alias("a_"), F.array_distinct(words("edited_")).alias("b_"))
+    rows_ = rows_.select("run_", "i_", "id_", "own_", "n_", "h_", "sha_", F.explode(held).alias("one"))
+    doc = ["run_", "i_", "id_", "own_", "n_", "h_", "sha_"]
+    sides = fingerprint(rows_.select(*doc, "one.*"), [*doc, "left_"], known)
+    digest = F.when(F.col("left_"), F.col("h_")).otherwise(F.col("sha_"))
+    instead = F.concat(F.substring(digest, 1, WHOLE_DIGITS), F.repeat(F.substring(digest, 1, DIGITS), F.lit(SUBSETS)))
+    sides = sides.withColumn("f", F.coalesce("f", instead))
+    made = sides.groupBy(*doc).agg(F.max(F.when(F.col("left_"), F.col("f"))).alias("f_"), F.max(F.when(~F.col("left_"), F.col("f"))).alias("g_"))
     after = made.withColumn("after_", F.lead("f_").over(Window.partitionBy("run_").orderBy("i_"))).filter("own_")
     return after.select(
         F.col("id_").alias(id), F.col("n_").alias("n_chars"), F.col("sha_").alias("edited_sha256"), F.col("f_").alias("fingerprint"), F.col("g_").alias("edited_fingerprint"),
@@ -168,8 +168,8 @@ def _likeness_sql(a: str, b: str) -> str:
     return f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE ELSE coalesce(({same})::DOUBLE / nullif({told}, 0), 0) END"
 
 
-def _every_sql(side: str) -> str:
-    return f"substring(md5(array_to_string(list_sort(list_distinct({side})), ' ')), 1, {WHOLE_DIGITS}) || repeat(substring(md5(array_to_string(list_sort(list_distinct({side})), ' ')), 1, {DIGITS}), {SUBSETS})"
+def _digest_sql(text: str) -> str:
+    return f"substring(sha256({text}), 1, {WHOLE_DIGITS}) || repeat(substring(sha256({text}), 1, {DIGITS}), {SUBSETS})"
 
 
 _WORDS_SQL = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -180,6 +180,6 @@ w AS (SELECT *, {_WORDS_SQL.format('t')} AS a, {_WORDS_SQL.format('u')} AS b FRO
 f AS (SELECT term, count(*) AS df FROM (SELECT k, unnest(list_distinct(a)) AS term FROM w) GROUP BY 1),
 l AS (SELECT term, CAST('0x' || substring(md5(term), 1, {WHOLE_DIGITS}) AS BIGINT) AS hash, {_mask_sql()} AS mask FROM f WHERE ln((SELECT count(*) FROM d)::DOUBLE / df) BETWEEN {IDF_LOW} AND {IDF_HIGH}),
 x AS ({_side_sql('a')}), y AS ({_side_sql('b')}),
-z AS (SELECT w.k, w.after, w.doc_id, length(w.t) AS n_chars, sha256(w.u) AS edited_sha256, coalesce(x.f, {_every_sql('w.a')}) AS f, coalesce(y.f, {_every_sql('w.b')}) AS g FROM w LEFT JOIN x USING (k) LEFT JOIN y USING (k))
+z AS (SELECT w.k, w.after, w.doc_id, length(w.t) AS n_chars, sha256(w.u) AS edited_sha256, coalesce(x.f, {_digest_sql('w.t')}) AS f, coalesce(y.f, {_digest_sql('w.u')}) AS g FROM w LEFT JOIN x USING (k) LEFT JOIN y USING (k))
 SELECT z.doc_id, z.n_chars, z.edited_sha256, z.f AS fingerprint, z.g AS edited_fingerprint, {_likeness_sql('z.f', 'z.g')} AS near_edited, {_likeness_sql('z.f', 'n.f')} AS near_next FROM z JOIN z AS n ON n.k = z.after
 """
