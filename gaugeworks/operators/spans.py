@@ -81,7 +81,7 @@ _HANDED = "_gaugeworks_spans"
 
 def handed(df: DataFrame, spans) -> DataFrame:
     """``df``, cut for later operators as what it was made of: else each step of a chain would count all that comes before it anew."""
-    if spans != STORED:
+    if spans != STORED or SPAN in df.columns:
         setattr(df, _HANDED, spans)
     return df
 

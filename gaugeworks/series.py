@@ -56,7 +56,10 @@ class Signal:
     def _next(self, df: DataFrame, suffix: str, comment: str | Callable[[], str]) -> Signal:
         if "seq" not in df.columns:
             df = df.withColumn("seq", F.lit(0).cast("long"))
-        return replace(self, df=df.select(*r.SCHEMA.names), name=f"{self.name} {suffix}", note=comment, chunk=self.spans)
+        cut = self.spans
+        kept = [spans_.SPAN] if cut == spans_.STORED and spans_.SPAN in df.columns else []
+        # A grid no longer has the spans that were stored beside the readings.
+        return replace(self, df=df.select(*r.SCHEMA.names, *kept), name=f"{self.name} {suffix}", note=comment, chunk=cut if cut != spans_.STORED or kept else spans_.AUTO)
 
     @property
     def spans(self):
