@@ -27,15 +27,15 @@ from gaugeworks.llm.common import keyed_join, slices, small, stored, table
 #: Documents of a language that a kept term stands in, least; whole number that a share of 1 is; most terms reported of a group.
 DOCUMENTS, UNIT, RANKS = 3, 1_000_000_000, 200
 #: Bytes of text that a task counts at a time, and characters after which a longer text is cut between terms.
-PART_BYTES, CUT_CHARS = 16_000_000, 4_000_000
+PART_BYTES, CUT_CHARS = 3_000_000, 1_000_000
 #: Rows of counts after which a task passes on what it has.
-HELD_ROWS = 1_000_000
+HELD_ROWS = 250_000
 #: Rows of counts that a shard has, about.
-SHARD_ROWS = 2_000_000
+SHARD_ROWS = 500_000
 #: Most groups that are broadcast to the counts; beyond it they are joined by shuffling.
 BROADCAST_GROUPS = 200_000
 #: What a task's DuckDB may take of memory before it goes to the task's own disk.
-DUCK_MEMORY = "400MB"
+DUCK_MEMORY = "150MB"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _BETWEEN = re.compile(r"[\x00-\x40\x5B-\x60\x7B-\x7F]")
@@ -84,7 +84,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with Duck() as db:
-            db.execute("CREATE TABLE c (lang VARCHAR, source VARCHAR, term VARCHAR, n HUGEINT, docs HUGEINT)")
+            db.execute("CREATE TABLE c (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, docs BIGINT)")
             held = 0
             for batch in batches:
                 sizes = [len(t) for t in batch.column(2).to_pylist()]
