@@ -11,7 +11,7 @@ from gaugeworks.durations import ns
 from gaugeworks.errors import AlarmArgumentError, RegularizeArgumentError
 from gaugeworks.operators.deadband import deadband
 from gaugeworks.operators.neighbours import Look, around, nearest
-from gaugeworks.operators.spans import AUTO, handed, resolved
+from gaugeworks.operators.spans import AUTO, handed, kept, resolved
 
 
 def reduce(df: DataFrame, chunk=AUTO) -> DataFrame:
@@ -47,7 +47,7 @@ def expand(df: DataFrame, start_ns: int, end_ns: int, step: int | str, chunk=AUT
     if end_ns < start_ns:
         raise RegularizeArgumentError("the end lies before the start")
     spans = resolved(df, chunk)
-    near = nearest(df.select("series_id", "seq", "chron_ns", "meas"), F.struct("chron_ns"), "__next", after=True, chunk=spans)
+    near = nearest(df.select("series_id", "seq", "chron_ns", "meas", *kept(spans)), F.struct("chron_ns"), "__next", after=True, chunk=spans)
     # A reading is held at the ticks from its own instant to before the next reading's; the last one at a tick of its own instant only.
     tick = lambda t: t + F.pmod(F.lit(start_ns) - t, F.lit(step_ns))
     first = F.greatest(F.lit(start_ns), tick(F.col("chron_ns"))).cast("long")
@@ -68,8 +68,9 @@ def mark_silences(df: DataFrame, max_gap: int | str, chunk=AUTO) -> DataFrame:
     gap = ns(max_gap)
     if gap <= 0:
         raise AlarmArgumentError(f"a silence of {max_gap} isn't above zero")
-    base, spans = df.select("series_id", "seq", "chron_ns", "meas"), resolved(df, chunk)
+    spans = resolved(df, chunk)
+    base = df.select("series_id", "seq", "chron_ns", "meas", *kept(spans))
     near = nearest(base, F.struct("chron_ns"), "__next", after=True, chunk=spans)
     quiet = near.filter((F.col("__next.chron_ns") - F.col("chron_ns") > gap) & F.col("meas").isNotNull())
-    marked = base.unionByName(quiet.select("series_id", "seq", (F.col("chron_ns") + gap).alias("chron_ns"), F.lit(None).cast("double").alias("meas")))
+    marked = base.unionByName(quiet.select("series_id", "seq", (F.col("chron_ns") + gap).alias("chron_ns"), F.lit(None).cast("double").alias("meas"), *kept(spans)))
     return handed(marked, spans)

@@ -9,7 +9,7 @@ from gaugeworks.durations import ns
 from gaugeworks.errors import RegularizeArgumentError
 from gaugeworks.functions import aggregators
 from gaugeworks.operators.neighbours import nearest
-from gaugeworks.operators.spans import AUTO, handed, resolved
+from gaugeworks.operators.spans import AUTO, beyond, handed, resolved
 
 #: Seconds from the first year to 1970: grids are aligned to the former.
 YEAR_ONE = 62135596800
@@ -62,7 +62,7 @@ def regularize(df: DataFrame, step: int | str, agg="mean", tolerance: int | str
         raise RegularizeArgumentError(f"tolerance {tolerance} isn't from zero to below the step")
     spans = resolved(df, chunk)
     full = _reduced(ticks(df, step_ns, tolerance_ns), ["series_id", "tick"], agg).withColumnRenamed("tick", "chron_ns")
-    near = nearest(full.withColumn("seq", F.lit(0)), F.struct("chron_ns"), "__next", after=True, chunk=spans)
+    near = nearest(full.withColumn("seq", F.lit(0)), F.struct("chron_ns"), "__next", after=True, chunk=beyond(df, spans))
     spread = near.withColumn("__stop", F.coalesce(F.col("__next.chron_ns") - step_ns, F.col("chron_ns"))).select("series_id", F.col("chron_ns").alias("__start"), "__stop", "meas")
     grid = _unfolded(spread, "__start", "__stop", step_ns, "chron_ns")
     return handed(grid.select("series_id", "chron_ns", F.when(F.col("chron_ns") == F.col("__start"), F.col("meas")).alias("meas")), spans)
@@ -99,7 +99,7 @@ def downscale(df: DataFrame, period: str, agg="mean", tz: str | DataFrame = "UTC
     start = day if unit == "day" else F.trunc(day, unit)
     full = _reduced(df.withColumn("__start", start), [*keys, "__start"], agg)
     keyed = full.withColumn("chron_ns", F.unix_date("__start").cast("long") * 86400 * 10**9).withColumn("seq", F.lit(0))
-    near = nearest(keyed, F.struct("__start"), "__next", after=True, chunk=resolved(df, chunk))
+    near = nearest(keyed, F.struct("__start"), "__next", after=True, chunk=beyond(df, resolved(df, chunk)))
     spread = near.withColumn("__p", F.explode(F.expr(f"sequence(__start, coalesce(date_sub(__next.__start, 1), __start), {length})")))
     out = spread.withColumn("__open", _opens(F.col("__p"), zone)).withColumn("__close", _opens(F.expr(f"cast(__p + {length} as date)"), zone))
     return out.filter("__close > __open").select("series_id", (F.col("__close") - 1).alias("chron_ns"), F.when(F.col("__p") == F.col("__start"), F.col("meas")).alias("meas"))

@@ -86,6 +86,16 @@ def handed(df: DataFrame, spans) -> DataFrame:
     return df
 
 
+def kept(spans) -> list[str]:
+    """The column that a stored table's readings must not lose."""
+    return [SPAN] if spans == STORED else []
+
+
+def beyond(df: DataFrame, spans):
+    """Cuts for rows that are made of ``df`` and lie elsewhere, such as a grid's."""
+    return Index(cuts(df, SPAN_ROWS)) if spans == STORED else spans
+
+
 def whole(spans) -> bool:
     """Nothing is ever cut."""
     return isinstance(spans, Index) and spans.cuts is None

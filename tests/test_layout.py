@@ -38,13 +38,14 @@ def test_stored_order(spark, capsys):
             below = [x for x in plan[i + 1 :] if depth(x) > depth(line)]
             assert any("Aggregate" in x for x in below), line
     window = next(i for i, line in enumerate(plan) if " Window " in line and "__near0" in line)
-    assert " Sort " not in plan[window + 1] and "Exchange" not in "".join(plan[window + 1 : window + 4])
+    scan = next(i for i in range(window, len(plan)) if "FileScan" in plan[i])
+    assert not any(" Sort " in line or "Exchange" in line for line in plan[window + 1 : scan]) and scan <= window + 2
 
 
 def test_late_batches(spark, tmp_path):
     """Random batches, late and early, one of them twice: as if all had been there from the start."""
     r = random.Random(8)
-    kept, every = layout.LateTable(spark, str(tmp_path / "late"), "5d", parts=3), None
+    kept, every = layout.LateTable(spark, str(tmp_path / "late"), "2d", parts=3), None
     batches = [("s", some(r, 400)), ("t", some(r, 60)), ("s", some(r, 3)), ("s", [(ORIGIN - 40 * HOUR, 2.0), (ORIGIN + 9999 * HOUR, NAN)]), ("t", some(r, 2) + some(r, 1) * 2), ("new", [(ORIGIN, None)])]
     sizes = []
     for number, (name, points) in enumerate(batches):
@@ -56,7 +57,7 @@ def test_late_batches(spark, tmp_path):
         columns = [c for c in COLUMNS if c != "seq"]
         assert shown(kept.readings(), columns) == shown(neighbours.deltas(every, None), columns), number
     # A batch of three rewrites its spans and what follows them, not the series.
-    assert sizes[2] < 60 and sizes[3] < 60
+    assert sizes[2] < 100 and sizes[3] < 60
     assert {(x["series_id"], x["n"]) for x in kept.index().groupBy("series_id").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()} == {("s", 405), ("t", 64), ("new", 1)}
 
 
