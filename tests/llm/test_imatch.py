@@ -13,13 +13,13 @@ TEXTS = [None, "", "", "  ", "Größe ÉCOLE", "one", "same text here", "same te
 SCHEMA = "doc_id long, text string, term string, mask int"
 
 
-def both(spark, rows, **kwargs):
-    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)
+def both(spark, docs, **kwargs):
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], SCHEMA)
     mine = [tuple(r) for r in imatch.fingerprints(df, **kwargs).collect()]
     c = duckdb.connect()
     c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
-    if rows:
-        c.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    if docs:
+        c.executemany("INSERT INTO documents VALUES (?, ?)", docs)
     key = lambda r: tuple(map(str, r))
     return sorted(mine, key=key), sorted(c.sql(imatch.OP12_SQL).fetchall(), key=key)
 
