@@ -197,7 +197,7 @@ class Merged:
         return (
             key, self.n, *self.first, *self.last, settled.get("chron"), self.first[0] + self.offsets // self.n, *self.use,
             number(ms.low, self.broken), sound(ms.low_at), number(ms.high, self.broken), sound(ms.high_at), number(ms.mean, self.broken), number(settled.get("meas"), self.broken), number(ms.std(), self.broken),
-            dc.low, dc.low_at, dc.high, dc.high_at, dc.mean, None if "dchron" not in settled else float(settled["dchron"]), dc.std(),
+            dc.low, dc.low_at, dc.high, dc.high_at, (self.last[0] - self.first[0]) / dc.n if dc.n else None, None if "dchron" not in settled else float(settled["dchron"]), dc.std(),
             number(dm.low, self.torn), number(dm.high, self.torn), number(settled.get("dmeas"), self.torn), number(dm.mean, self.torn), number(dm.std(), self.torn), self.missing + self.broken, self.missing, open_,
         )
 

@@ -94,7 +94,7 @@ def test_counted_chunks(spark, monkeypatch, rows):
             df = df.select("*")  # has been handed no cuts
             assert [x["series_id"] for x in spans.cuts(df, rows).collect()] == ["s"]
         for name, step in steps.items():
-            shown = sorted(str([round(v, 6) if isinstance(v, float) else v for v in x]) for x in step(df).collect())
+            shown = sorted(str([float(f"{v:.9g}") if isinstance(v, float) else v for v in x]) for x in step(df).collect())
             assert seen.setdefault(name, shown) == shown, name
 
 
