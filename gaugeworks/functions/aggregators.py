@@ -96,6 +96,7 @@ def of_function(compute: Callable[[list[float | None]], float | None]) -> Aggreg
     return of_readings(udf)
 
 
+#: The names that users write.
 _NAMED: dict[str, Aggregator] = {
     "mean": mean, "average": mean, "avg": mean, "median": median, "min": least, "minimum": least, "max": greatest, "maximum": greatest,
     "sum": total, "first": first, "open": first, "last": last, "close": last, "firstusable": first_usable, "lastusable": last_usable,

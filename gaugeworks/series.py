@@ -19,6 +19,7 @@ from gaugeworks.sources import readings as r
 
 #: Comments where a fence can't be built.
 NO_PERCENTILES, NO_ZSCORE, NO_PEIRCE = "percentiles on nothing to measure", "z-score on too few readings", "Peirce on too few readings"
+#: Fixed values too: the suffixes of names and the wording of comments that the steps below write.
 #: Most series whose fences a comment names.
 NAMED = 5
 UNITS = {"daily": "day", "weekly": "week", "monthly": "month", "yearly": "year"}
