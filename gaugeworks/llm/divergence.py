@@ -31,7 +31,7 @@ PART_BYTES, CUT_CHARS = 3_000_000, 1_000_000
 #: Rows of counts after which a task passes on what it has.
 HELD_ROWS = 250_000
 #: Rows of counts that a shard has, about.
-SHARD_ROWS = 500_000
+SHARD_ROWS = 250_000
 #: Most groups that are broadcast to the counts; beyond it they are joined by shuffling.
 BROADCAST_GROUPS = 200_000
 #: What a task's DuckDB may take of memory before it goes to the task's own disk.
@@ -163,7 +163,7 @@ def divergence(docs: DataFrame, documents: int = DOCUMENTS, ranks: int = RANKS,
     base = docs.select(text_of(lang).alias("lang"), text_of(source).alias("source"), text_of(text).alias("text"))
     spark = docs.sparkSession
     counts = stored(term_counts(base), "divergence-parts")
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // SHARD_ROWS))
+    shards = max(1, -(-counts.count() // SHARD_ROWS))
     shard = F.pmod(F.xxhash64("lang", "term"), F.lit(shards)).cast("int")
 
     # Kept terms: a shard has every part of its terms.
@@ -187,24 +187,23 @@ def divergence(docs: DataFrame, documents: int = DOCUMENTS, ranks: int = RANKS,
     few = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     sums = groups.select("lang", "source", "total", "v", "lang_total")
     known = kept.join(F.broadcast(sums), ["lang", "source"]) if few else keyed_join(kept, sums, ["lang", "source"], by=["term"])
-    known = stored(known, "divergence-known")
     columns = "lang VARCHAR, source VARCHAR, term VARCHAR, n HUGEINT, total HUGEINT, v HUGEINT, lang_total HUGEINT"
     take = ["INSERT INTO c SELECT lang, source, term, n, total, v, lang_total FROM part"]
-    top = by_shard(
+    p, q, p0, q0 = (_share(c, f"{s}.total", "a.v") for c, s in (("a.n", "a"), ("b.n", "b"), ("0", "a"), ("0", "b")))
+    told = by_shard(
         known, shards, {"c": columns}, take,
         f"""WITH l AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
               s AS (SELECT c.lang, source, term, {_share('c.n', 'total', 'v')} AS p, {_share('l.n', 'lang_total', 'v')} AS q FROM c JOIN l USING (lang, term)),
               f AS (SELECT lang, source, term AS item, {_value('p', 'q')} AS value FROM s WHERE p > q)
-            SELECT lang, source, item, value FROM f QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) <= {ranks}""",
-        "lang string, source string, item string, value long",
-    )
-    p, q, p0, q0 = (_share(c, f"{s}.total", "a.v") for c, s in (("a.n", "a"), ("b.n", "b"), ("0", "a"), ("0", "b")))
-    both = by_shard(
-        known, shards, {"c": columns}, take,
-        f"""SELECT a.lang, a.source, b.source AS item, sum({_value(p, q)} - {_value(p, q0)} - {_value(p0, q)} + {_value(p0, q0)}) AS value
+            SELECT lang, source, 'term' AS part, item, value FROM f QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) <= {ranks}
+            UNION ALL
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum({_value(p, q)} - {_value(p, q0)} - {_value(p0, q)} + {_value(p0, q0)}) AS value
             FROM c AS a JOIN c AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL""",
-        "lang string, source string, item string, value decimal(38,0)",
+        "lang string, source string, part string, item string, value decimal(38,0)",
     )
+    told = stored(told, "divergence-shards")  # a few hundred rows for each group and shard
+    top = told.filter("part = 'term'").select("lang", "source", "item", F.col("value").cast("long").alias("value"))
+    both = told.filter("part = 'pair'").drop("part")
 
     # How many terms a group counts n times: a few rows for each group.
     bars = kept.groupBy("lang", "source", "n").agg(F.count("*").alias("terms"))
