@@ -339,8 +339,8 @@ def _build() -> dict[str, tuple[Callable, str | None]]:
     out["downscale_zones"] = grid(lambda s, d: resample.downscale(events(s, d), "daily", "count", s.createDataFrame([("view", "Asia/Tokyo"), ("click", "America/New_York")], "series_id string, tz string"))), _say(" UNION ALL ".join(f"({_downscaled(f'SELECT * FROM ({e}) WHERE {where}', 'daily', _AGG_SQL['count'], tz)})" for where, tz in (("series_id = 'view'", "Asia/Tokyo"), ("series_id = 'click'", "America/New_York"), ("series_id NOT IN ('view', 'click')", "UTC"))), *GRID)
     # One series holds all readings but one, a quarter of them in a second and some at one instant; another has a single reading. The first is cut by counted rows.
     one = f"SELECT CASE WHEN seq = 1 THEN 'single' ELSE 'all' END AS series_id, seq, {START} + CASE WHEN seq % 20 = 7 THEN {HOUR} WHEN seq % 4 = 3 THEN {HOUR} + seq % 1000 * 1000000 ELSE chron_ns - {START} END AS chron_ns, meas FROM ({e})"
-    burst = F.when(F.col("seq") % 20 == 7, HOUR).when(F.col("seq") % 4 == 3, F.lit(HOUR) + F.col("seq") % 1000 * 1000000).otherwise(F.col("chron_ns") - START)
-    hot = lambda s, d: events(s, d).withColumn("series_id", F.when(F.col("seq") == 1, "single").otherwise("all")).withColumn("chron_ns", (F.lit(START) + burst).cast("long"))
+    burst = lambda: F.when(F.col("seq") % 20 == 7, HOUR).when(F.col("seq") % 4 == 3, F.lit(HOUR) + F.col("seq") % 1000 * 1000000).otherwise(F.col("chron_ns") - START)
+    hot = lambda s, d: events(s, d).withColumn("series_id", F.when(F.col("seq") == 1, "single").otherwise("all")).withColumn("chron_ns", (F.lit(START) + burst()).cast("long"))
     cut = lambda f: lambda s, d: (lambda df: f(df, spans.Index(spans.cuts(df, 400))))(hot(s, d))
     out["hot_deltas"] = cut(lambda df, size: _shown(neighbours.deltas(df, size), *POINT, "dchron_ns", meas=("meas", "dmeas"))), _say(_DELTAS % one, *POINT, "dchron_ns", meas=("meas", "dmeas"))
     out["hot_linear"] = cut(lambda df, size: _shown(fill.interpolate(df, "linear", chunk=size), *POINT)), _say(_filled(one, _FILL_SQL["linear"]), *POINT)
