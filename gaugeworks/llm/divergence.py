@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import duckdb
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,14 +30,13 @@ DOCUMENTS, UNIT, RANKS = 3, 1_000_000_000, 200
 #: Bytes of text that a task counts at a time, and characters after which a longer text is cut between terms.
 PART_BYTES, CUT_CHARS = 3_000_000, 1_000_000
 #: Rows of counts after which a task passes on what it has.
-HELD_ROWS = 250_000
+HELD_ROWS = 1_000_000
 #: Rows of counts that a shard has, about.
 SHARD_ROWS = 250_000
 #: Most groups that are broadcast to the counts; beyond it they are joined by shuffling.
 BROADCAST_GROUPS = 200_000
 #: What a task's DuckDB may take of memory before it goes to the task's own disk.
-DUCK_MEMORY = "150MB"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+DUCK_MEMORY = "200MB"
 _TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _BETWEEN = re.compile(r"[\x00-\x40\x5B-\x60\x7B-\x7F]")
 
@@ -79,7 +79,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences) and docs (rows that hold it), as parts to be added up. docs: lang, source, text."""
     count = f"""INSERT INTO c SELECT lang, source, term, sum(k), count(*) FROM (
         SELECT i, any_value(lang) AS lang, any_value(source) AS source, term, count(*) AS k
-        FROM (SELECT i, lang, source, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS term FROM part) GROUP BY i, term) GROUP BY ALL"""
+        FROM (SELECT i, lang, source, unnest(regexp_extract_all(text, '{_TERM}')) AS term FROM part) GROUP BY i, term) GROUP BY ALL"""
     merged = "SELECT lang, source, term, sum(n) AS n, sum(docs) AS docs FROM c GROUP BY ALL"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +96,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
                             rows.append(i)
                             texts.append(piece)
                     at = pa.array(rows, pa.int32())
-                    part = pa.table({"i": at, "lang": some.column(0).take(at), "source": some.column(1).take(at), "text": pa.array(texts, pa.string())})  # noqa: F841
+                    part = pa.table({"i": at, "lang": some.column(0).take(at), "source": some.column(1).take(at), "text": pc.ascii_lower(pa.array(texts, pa.string()))})  # noqa: F841
                     db.register("part", part)
                     db.execute(count)
                     db.unregister("part")
@@ -141,8 +141,8 @@ def by_shard(rows: DataFrame, shards: int, tables: dict[str, str], steps: list[s
 
 
 def _share(count: str, total: str, v: str) -> str:
-    """The share of a count, in parts of UNIT, at least 1. Whole numbers of 128 bits."""
-    return f"(1 + ({UNIT}::HUGEINT * ({count} + 1)) // ({total} + {v}))"
+    """The share of a count, in parts of UNIT, at least 1 and at most UNIT + 1. Made of whole numbers of 128 bits, it has 64, as has a value: at most UNIT**2."""
+    return f"CAST(1 + ({UNIT}::HUGEINT * ({count} + 1)) // ({total} + {v}) AS BIGINT)"
 
 
 def _value(p: str, q: str) -> str:
@@ -168,8 +168,8 @@ def divergence(docs: DataFrame, documents: int = DOCUMENTS, ranks: int = RANKS,
 
     # Kept terms: a shard has every part of its terms.
     kept = by_shard(
-        counts.select(shard.alias("shard"), "*"), shards, {"c": "lang VARCHAR, source VARCHAR, term VARCHAR, n HUGEINT, docs HUGEINT"},
-        ["INSERT INTO c SELECT lang, source, term, sum(n), sum(docs) FROM part GROUP BY ALL"],
+        counts.select(shard.alias("shard"), "*"), shards, {"c": "lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, docs BIGINT"},
+        ["INSERT INTO c SELECT lang, source, term, n, docs FROM part"],
         f"""WITH s AS (SELECT lang, source, term, sum(n) AS n, sum(docs) AS docs FROM c GROUP BY ALL), k AS (SELECT lang, term FROM s GROUP BY ALL HAVING sum(docs) >= {documents})
             SELECT lang, source, term, n FROM s JOIN k USING (lang, term)""",
         "lang string, source string, term string, n long",
@@ -187,17 +187,15 @@ def divergence(docs: DataFrame, documents: int = DOCUMENTS, ranks: int = RANKS,
     few = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     sums = groups.select("lang", "source", "total", "v", "lang_total")
     known = kept.join(F.broadcast(sums), ["lang", "source"]) if few else keyed_join(kept, sums, ["lang", "source"], by=["term"])
-    columns = "lang VARCHAR, source VARCHAR, term VARCHAR, n HUGEINT, total HUGEINT, v HUGEINT, lang_total HUGEINT"
-    take = ["INSERT INTO c SELECT lang, source, term, n, total, v, lang_total FROM part"]
-    p, q, p0, q0 = (_share(c, f"{s}.total", "a.v") for c, s in (("a.n", "a"), ("b.n", "b"), ("0", "a"), ("0", "b")))
+    columns = "lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, p BIGINT, p0 BIGINT, v BIGINT, lang_total HUGEINT"
+    take = [f"INSERT INTO c SELECT lang, source, term, n, {_share('n', 'total', 'v')}, {_share('0', 'total', 'v')}, v, lang_total FROM part"]
     told = by_shard(
         known, shards, {"c": columns}, take,
-        f"""WITH l AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
-              s AS (SELECT c.lang, source, term, {_share('c.n', 'total', 'v')} AS p, {_share('l.n', 'lang_total', 'v')} AS q FROM c JOIN l USING (lang, term)),
-              f AS (SELECT lang, source, term AS item, {_value('p', 'q')} AS value FROM s WHERE p > q)
+        f"""WITH l AS (SELECT lang, term, {_share('sum(n)', 'any_value(lang_total)', 'any_value(v)')} AS q FROM c GROUP BY ALL),
+              f AS (SELECT lang, source, term AS item, {_value('p', 'q')} AS value FROM c JOIN l USING (lang, term) WHERE p > q)
             SELECT lang, source, 'term' AS part, item, value FROM f QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) <= {ranks}
             UNION ALL
-            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum({_value(p, q)} - {_value(p, q0)} - {_value(p0, q)} + {_value(p0, q0)}) AS value
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum({_value('a.p', 'b.p')} - {_value('a.p', 'b.p0')} - {_value('a.p0', 'b.p')} + {_value('a.p0', 'b.p0')}) AS value
             FROM c AS a JOIN c AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL""",
         "lang string, source string, part string, item string, value decimal(38,0)",
     )

@@ -69,3 +69,11 @@ def test_cuts_fall_between_terms(monkeypatch):
     for text in ("ab cd-ef ghijklm no", "abcdefghijkl", "", "a b c d e f g"):
         pieces = list(divergence._cut(text))
         assert "".join(pieces) == text and [t for p in pieces for t in re.findall("[a-z]+", p)] == re.findall("[a-z]+", text)
+
+
+def test_shares_and_values_are_of_64_bits():
+    """Also at the ends: a share of all occurrences against the least one. 128 bits cost most of the time of the pairs."""
+    n = 10**12
+    p, q = divergence._share(f"{n}::BIGINT", f"{n}::BIGINT", "1::BIGINT"), divergence._share("0::BIGINT", f"{n}::BIGINT", "1::BIGINT")
+    told = divergence.duckdb.sql(f"SELECT p, q, f, typeof(p), typeof(f) FROM (SELECT p, q, {divergence._value('p', 'q')} AS f FROM (SELECT {p} AS p, {q} AS q))").fetchall()
+    assert told == [(10**9 + 1, 1, 10**18, "BIGINT", "BIGINT")]
