@@ -22,6 +22,8 @@ AUTO, STORED = "auto", "stored"
 SPAN_ROWS = 4_000_000
 #: Readings of each span that are looked at to choose the cuts, about; and most spans of one series.
 LOOKED, MOST = 64, 16_384
+#: Cuts that are looked into beside a reading at once: first every BLOCK-th of its series, then those of the block it lies in.
+BLOCK = 128
 SPAN = "__span"
 #: What is handed from span to span is one row each, at most all readings / SPAN_ROWS and one more for each long series: small enough to broadcast.
 _HASHES = 1 << 30
@@ -51,8 +53,8 @@ def cuts(df: DataFrame, rows: int = SPAN_ROWS) -> DataFrame:
     long = n.select(F.col("series_id").alias("__id"), "__k", F.least(F.lit(1.0), F.col("__k") * LOOKED / F.col("__n")).alias("__rate"))
     met = df.select("series_id", "chron_ns", "seq").join(F.broadcast(long), F.col("series_id").eqNullSafe(F.col("__id")))
     some = met.filter(F.pmod(F.xxhash64("series_id", "chron_ns", "seq"), F.lit(_HASHES)) < F.col("__rate") * _HASHES)
-    seen = some.groupBy("series_id").agg(F.array_sort(F.collect_set(F.struct(F.col("chron_ns").alias("c"), F.col("seq").alias("s")))).alias("__seen"), F.first("__k").alias("__k"))
-    return seen.select("series_id", F.expr("array_distinct(transform(sequence(1L, greatest(1L, __k - 1)), i -> __seen[cast(i * size(__seen) div __k as int)]))").alias("cuts"))
+    seen = some.groupBy("series_id").agg(F.sort_array(F.collect_set(F.struct(F.col("chron_ns").alias("c"), F.col("seq").alias("s")))).alias("__seen"), F.first("__k").alias("__k"))
+    return seen.select("series_id", F.expr("transform(array_distinct(transform(sequence(1L, greatest(1L, __k - 1)), i -> cast(i * size(__seen) div __k as int))), i -> __seen[i])").alias("cuts"))
 
 
 def index(df: DataFrame, rows: int = SPAN_ROWS) -> Index:
@@ -107,6 +109,18 @@ def _found(array: str, steps: int) -> str:
     return f"aggregate(sequence(0, {steps - 1}), 0, (__got, __step) -> if({at} <= size({array}) and {array}[{at} - 1] <= struct(chron_ns as c, seq as s), {at}, __got))"
 
 
+def _placed(df: DataFrame, spans: Index, how: str) -> DataFrame:
+    """``df`` with SPAN. A join copies the cuts that it brings beside each reading, so all cuts of a series would cost each reading as much as there are spans."""
+    starts = f"sequence(0, size(cuts) - 1, {BLOCK})"
+    rough = spans.cuts.select(F.col("series_id").alias("__id"), F.expr(f"transform({starts}, i -> cuts[i])").alias("__rough"))
+    fine = spans.cuts.select(F.col("series_id").alias("__of"), F.posexplode(F.expr(f"transform({starts}, i -> slice(cuts, i + 1, {BLOCK}))")).alias("__at", "__fine"))
+    met = df.join(F.broadcast(rough), F.col("series_id").eqNullSafe(F.col("__id")), how)
+    met = met.withColumn("__block", F.when(F.col("__rough").isNotNull(), F.expr(_found("__rough", (MOST // BLOCK).bit_length())) - 1)).drop("__rough", "__id")
+    met = met.join(F.broadcast(fine), F.col("series_id").eqNullSafe(F.col("__of")) & (F.col("__block") == F.col("__at")), "left")
+    inside = F.expr(f"__block * {BLOCK} + {_found('__fine', BLOCK.bit_length())}")
+    return met.withColumn(SPAN, F.when(F.col("__block") < 0, 0).otherwise(inside).cast("long")).drop("__block", "__of", "__at", "__fine")
+
+
 def assigned(df: DataFrame, spans) -> DataFrame:
     """``df`` with SPAN: null in a series that isn't cut."""
     if spans == STORED:
@@ -115,9 +129,7 @@ def assigned(df: DataFrame, spans) -> DataFrame:
         return df.withColumn(SPAN, F.floor(F.col("chron_ns") / spans.size))
     if spans.cuts is None:
         return df.withColumn(SPAN, F.lit(None).cast("long"))
-    known = spans.cuts.select(F.col("series_id").alias("__id"), F.col("cuts").alias("__cuts"))
-    met = df.join(F.broadcast(known), F.col("series_id").eqNullSafe(F.col("__id")), "left")
-    return met.withColumn(SPAN, F.when(F.col("__cuts").isNotNull(), F.expr(_found("__cuts", MOST.bit_length())).cast("long"))).drop("__id", "__cuts")
+    return _placed(df, spans, "left")
 
 
 def joined(cut: DataFrame, per_span: DataFrame, spans) -> DataFrame:
@@ -130,9 +142,7 @@ def joined(cut: DataFrame, per_span: DataFrame, spans) -> DataFrame:
 def only_cut(df: DataFrame, spans) -> DataFrame:
     """The readings of series that are cut, with SPAN. Where none is, the plan ends at the empty table of cuts."""
     if isinstance(spans, Index) and spans.cuts is not None:
-        known = spans.cuts.select(F.col("series_id").alias("__id"), F.col("cuts").alias("__cuts"))
-        met = df.join(F.broadcast(known), F.col("series_id").eqNullSafe(F.col("__id")))
-        return met.withColumn(SPAN, F.expr(_found("__cuts", MOST.bit_length())).cast("long")).drop("__id", "__cuts")
+        return _placed(df, spans, "inner")
     return assigned(df, spans).filter(F.col(SPAN).isNotNull())
 
 

@@ -176,3 +176,17 @@ def test_bounds_of_a_band():
         low, high = deadband.within(value, band)
         assert not deadband.moved(low, value, band) and not deadband.moved(high, value, band)
         assert deadband.moved(math.nextafter(low, -INF), value, band) and deadband.moved(math.nextafter(high, INF), value, band)
+
+
+def test_cuts_are_looked_into_by_blocks(spark, monkeypatch):
+    """The span of each reading is the number of cuts not after it, though at most BLOCK cuts are copied beside it."""
+    from bisect import bisect_right
+
+    monkeypatch.setattr(spans, "BLOCK", 16)
+    df = spark.range(3000).selectExpr("if(id % 10 = 0, 't', 's') series_id", "id seq", "id div 7 chron_ns", "1D meas")
+    index = spans.Index(spans.cuts(df, 40).cache())
+    known = {x["series_id"]: [tuple(c) for c in x["cuts"]] for x in index.cuts.collect()}
+    assert len(known["s"]) > 3 * spans.BLOCK
+    for found in (spans.assigned(df, index), spans.only_cut(df, index)):
+        rows = found.collect()
+        assert len(rows) == 3000 and all(x[spans.SPAN] == bisect_right(known[x["series_id"]], (x["chron_ns"], x["seq"])) for x in rows)
