@@ -39,23 +39,38 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple
 def per_group(df: DataFrame, by: list[str], order: list[str], columns: list[str], make: Callable[[tuple, pa.Table], Iterator[tuple] | pa.Table], schema: str | StructType) -> DataFrame:
     """What ``make`` returns for every group of ``by``, whose rows it gets in ``order``: rows as tuples, or a table. A group is held
     by one task, one group at a time."""
-    arrow = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
-    arrow = pa.schema([(f.name, f.type) for f in arrow])
+    arrow = arrow_of(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
         for key, table in groups(batches, len(by)):
             got = make(key, table)
-            if isinstance(got, pa.Table):
-                yield from got.cast(arrow).to_batches()
-                continue
-            out.extend(got)
-            if len(out) >= PASSED_ROWS:
-                yield batch_of()
-                out.clear()
-        if out:
-            yield batch_of()
+            yield from got.cast(arrow).to_batches() if isinstance(got, pa.Table) else got
+
+    passed = lambda batches: passed_on(run(batches), arrow)
+    return sorted_groups(df, by, order, columns).mapInArrow(passed, schema)
+
+
+def sorted_groups(df: DataFrame, by: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """The rows of each group of ``by`` together in one partition, in ``order``; ``by`` come first."""
+    return df.select(*dict.fromkeys([*by, *order, *columns])).repartition(*by).sortWithinPartitions(*by, *order)
 
-    wanted = list(dict.fromkeys([*by, *order, *columns]))
-    return df.select(*wanted).repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+
+def arrow_of(schema: str | StructType) -> pa.Schema:
+    arrow = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+    return pa.schema([(f.name, f.type) for f in arrow])
+
+
+def passed_on(rows: Iterator[tuple | pa.RecordBatch], arrow: pa.Schema, most: int = PASSED_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches as they are, and tuples in batches of ``most``."""
+    out: list[tuple] = []
+    batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
+    for row in rows:
+        if isinstance(row, pa.RecordBatch):
+            yield row
+            continue
+        out.append(row)
+        if len(out) >= most:
+            yield batch_of()
+            out.clear()
+    if out:
+        yield batch_of()

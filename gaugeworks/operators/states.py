@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +18,15 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import nav
 from gaugeworks.operators.neighbours import deltas
-from gaugeworks.operators.runs import per_group
+from gaugeworks.operators.runs import arrow_of, groups, passed_on, per_group, sorted_groups
 from gaugeworks.operators.spans import AUTO, SPAN, assigned, resolved
 
 #: Marks of a quantity in one state. A median of several states lies between marks that have about 1 / MARKS of the readings between them.
 MARKS = 1_024
+#: Marks of a quantity that one task passes on for all its states of a series together, and how many it holds before it thins them.
+TOGETHER, HELD = 4_096, 65_536
+#: States that a task passes on at once.
+PASSED_STATES = 128
 #: Quantities with a median; the first two are whole nanoseconds.
 MEDIANS = ("chron", "dchron", "meas", "dmeas")
 _MOMENTS = "{0}_n long, {0}_mean double, {0}_m2 double, {0}_low {1}, {0}_low_at long, {0}_high {1}, {0}_high_at long"
@@ -31,6 +36,11 @@ STATE = ", ".join([
     *(f"{q}_marks array<{'long' if 'chron' in q else 'double'}>, {q}_count long, {q}_middle {'long' if 'chron' in q else 'double'}" for q in MEDIANS),
 ])
 NAMES = [x.split()[0] for x in STATE.replace(", ", ",").replace("decimal(38,0)", "d").split(",")]
+#: What ``combined`` adds: the weights of marks that stand for several states, null where a state's own follow from its count.
+_WEIGHTS = ", ".join(f"{q}_weights array<long>, {q}_slack long" for q in MEDIANS)
+COMBINED = f"{STATE}, {_WEIGHTS}"
+#: Where a state's marks begin.
+_PLAIN = len(NAMES) - 3 * len(MEDIANS)
 
 
 @dataclass
@@ -81,20 +91,47 @@ def _places(n: int, kept: int) -> np.ndarray:
     return np.arange(n) if kept >= n else np.arange(kept) * (n - 1) // (kept - 1)
 
 
+@dataclass
+class Marks:
+    """Sorted values of readings. At least as many readings as the weights up to a value sum to aren't above it; those below it are at most
+    ``slack`` more than the weights of lesser values sum to."""
+
+    values: np.ndarray
+    weights: np.ndarray
+    slack: int = 0
+
+    @classmethod
+    def of(cls, values: np.ndarray, n: int) -> Marks:
+        """A state's own, of ``n`` readings."""
+        weights = np.diff(_places(n, len(values)), prepend=-1)
+        return cls(values, weights, int(weights.max()) - 1)
+
+    @classmethod
+    def together(cls, parts: list[Marks]) -> Marks:
+        values, weights = (np.concatenate([getattr(p, k) for p in parts]) for k in ("values", "weights"))
+        order = np.argsort(values, kind="stable")
+        return cls(values[order], weights[order], sum(p.slack for p in parts))
+
+    def thinned(self, kept: int) -> Marks:
+        """``kept`` of them at most, both ends among them; what is left out adds its weight to the next one above."""
+        if len(self.values) <= kept:
+            return self
+        upto = np.cumsum(self.weights)
+        at = np.unique(np.searchsorted(upto, _places(int(upto[-1]), kept) + 1))
+        weights = np.diff(upto[at], prepend=0)
+        return Marks(self.values[at], weights, self.slack + int((weights - self.weights[at]).max()))
+
+    def bracket(self, rank: int):
+        upto = np.cumsum(self.weights)  # at least so many are not above
+        first = np.append(True, self.values[1:] != self.values[:-1])
+        below = (upto - self.weights)[first]  # at least so many are below, at most ``slack`` more
+        low = self.values[first][max(0, int(np.searchsorted(below, rank - 1 - self.slack, "right")) - 1)]
+        return low.item(), self.values[int(np.searchsorted(upto, rank))].item()
+
+
 def bracket(parts: list[tuple[np.ndarray, int]], rank: int):
     """(low, high) between which the value at ``rank`` (from 1) of all parts together lies, ends included; each part is marks and the number of values."""
-    values = np.concatenate([v for v, _ in parts])
-    weights = [np.diff(_places(n, len(v)), prepend=-1) for v, n in parts]
-    slack = sum(int(w.max()) - 1 for w in weights)
-    weights = np.concatenate(weights)
-    order = np.argsort(values, kind="stable")
-    values, upto = values[order], np.cumsum(weights[order])  # at least so many are not above
-    first = np.append(True, values[1:] != values[:-1])
-    below = (upto - weights[order])[first]  # at least so many are below, at most ``slack`` more
-    distinct = values[first]
-    low = distinct[max(0, int(np.searchsorted(below, rank - 1 - slack, "right")) - 1)]
-    high = values[int(np.searchsorted(upto, rank))]
-    return low.item(), high.item()
+    return Marks.together([Marks.of(v, n) for v, n in parts]).bracket(rank)
 
 
 def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,8 +172,63 @@ def _whole_sum(offsets: np.ndarray):
 def states(df: DataFrame, chunk=AUTO) -> DataFrame:
     """STATE of every series, or of every span of one that is cut: one exchange and one scan. Keep it, and union to it that of readings that
     came later than all of a series'."""
-    cut = assigned(df, resolved(df, chunk))
-    return per_group(cut, ["series_id", SPAN], ["chron_ns", "seq"], ["meas"], state_of, STATE)
+    arrow = arrow_of(STATE)
+    return _spans(df, chunk).mapInArrow(lambda batches: passed_on(_each(batches), arrow, PASSED_STATES), STATE)
+
+
+def brief(df: DataFrame, chunk=AUTO) -> DataFrame:
+    """``combined`` of ``states``, made by the tasks that scan the readings: marks of single states never leave them."""
+    arrow = arrow_of(COMBINED)
+    return _spans(df, chunk).mapInArrow(lambda batches: passed_on(_combined(_each(batches)), arrow, PASSED_STATES), COMBINED)
+
+
+def combined(kept: DataFrame) -> DataFrame:
+    """``kept`` with the marks of states of one series that stand together in a partition taken together and thinned, beside the last of
+    them: what one task then merges grows with the tasks, not with the states."""
+    arrow = arrow_of(COMBINED)
+    return kept.select(*NAMES).mapInArrow(lambda batches: passed_on(_combined(tuple(r.values()) for b in batches for r in _rows(b)), arrow, PASSED_STATES), COMBINED)
+
+
+def _spans(df: DataFrame, chunk) -> DataFrame:
+    return sorted_groups(assigned(df, resolved(df, chunk)), ["series_id", SPAN], ["chron_ns", "seq"], ["meas"])
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for key, table in groups(batches, 2):
+        yield from state_of(key, table)
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows as dicts, arrays as views of the batch."""
+    arrays = [f.name for f in batch.schema if pa.types.is_list(f.type) or pa.types.is_large_list(f.type)]
+    views = {c: (batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy(zero_copy_only=False)) for c in arrays}
+    plain = batch.select([c for c in batch.schema.names if c not in views]).to_pylist()
+    for i, row in enumerate(plain):
+        yield {c: views[c][1][views[c][0][i] : views[c][0][i + 1]] if c in views else row[c] for c in batch.schema.names}
+
+
+def _combined(rows: Iterator[tuple]) -> Iterator[tuple]:
+    for _, run in groupby(rows, lambda row: row[0]):
+        last, several, held, size = None, False, {q: [] for q in MEDIANS}, dict.fromkeys(MEDIANS, 0)
+        for row in run:
+            if last is not None:
+                several = True
+                yield (*last[:_PLAIN], *(None, 0, None) * len(MEDIANS), *(None, None) * len(MEDIANS))
+            last = row
+            for i, (q, parts) in enumerate(held.items()):
+                values, n = row[_PLAIN + 3 * i : _PLAIN + 3 * i + 2]
+                if n:
+                    parts.append(Marks.of(np.asarray(values), n))
+                    size[q] += len(values)
+                if size[q] > HELD:
+                    parts[:] = [Marks.together(parts).thinned(HELD // 2)]
+                    size[q] = len(parts[0].values)
+        if not several:
+            yield (*last, *(None, None) * len(MEDIANS))
+            continue
+        told = [Marks.together(parts).thinned(TOGETHER) if parts else None for parts in held.values()]
+        own = (x for m in told for x in ((m.values, int(m.weights.sum()), None) if m else (None, 0, None)))
+        yield (*last[:_PLAIN], *own, *(x for m in told for x in ((m.weights, m.slack) if m else (None, None))))
 
 
 class Merged:
@@ -146,9 +238,14 @@ class Merged:
         self.n, self.first, self.last, self.offsets = row["n"], (row["first_chron"], row["first_meas"]), (row["last_chron"], row["last_meas"]), int(row["offsets"])
         self.missing, self.broken, self.use, self.torn = row["n_missing"], row["n_broken"], (row["use_chron"], row["use_meas"]), row["dm_broken"]
         self.ms, self.dm, self.dc = (Moments(*(row[f"{k}_{f}"] for f in ("n", "mean", "m2", "low", "low_at", "high", "high_at"))) for k in ("ms", "dm", "dc"))
-        self.marks = {q: [(np.array(row[f"{q}_marks"]), row[f"{q}_count"])] if row[f"{q}_count"] else [] for q in MEDIANS}
+        self.marks = {q: [self._marks(row, q)] if row[f"{q}_count"] else [] for q in MEDIANS}
         self.middles = {q: row[f"{q}_middle"] for q in MEDIANS}  # of one state these are the medians
 
+    @staticmethod
+    def _marks(row: dict, q: str) -> Marks:
+        values, slack = np.asarray(row[f"{q}_marks"]), row.get(f"{q}_slack")
+        return Marks.of(values, row[f"{q}_count"]) if slack is None else Marks(values, np.asarray(row[f"{q}_weights"]), slack)
+
     def then(self, b: Merged) -> None:
         """Takes in ``b``, whose readings come after all of these."""
         if b.first[0] < self.last[0]:
@@ -158,10 +255,10 @@ class Merged:
         seam = Merged._seam(self.last[1], b.first[1])
         self.offsets += b.offsets + b.n * (b.first[0] - self.first[0])
         self.dc = self.dc.then(Moments(1, float(wait), 0.0, wait, at, wait, at)).then(b.dc)
-        self.marks["dchron"].append((np.array([wait]), 1))
+        self.marks["dchron"].append(Marks(np.array([wait]), np.array([1])))
         if seam is not None and seam == seam:
             self.dm = self.dm.then(Moments(1, seam, 0.0, seam, at, seam, at))
-            self.marks["dmeas"].append((np.array([seam]), 1))
+            self.marks["dmeas"].append(Marks(np.array([seam]), np.array([1])))
         self.dm, self.ms = self.dm.then(b.dm), self.ms.then(b.ms)
         self.torn += b.torn + (seam is not None and seam != seam)
         self.n, self.missing, self.broken, self.last = self.n + b.n, self.missing + b.missing, self.broken + b.broken, b.last
@@ -179,11 +276,11 @@ class Merged:
         """Of each quantity that has values: its lower middle's rank and the bracket it lies in."""
         out = {}
         for q in MEDIANS:
-            total = sum(n for _, n in self.marks[q])
+            total = sum(int(m.weights.sum()) for m in self.marks[q])
             if total and self.middles:
                 out[q] = ((total + 1) // 2, self.middles[q], self.middles[q])
             elif total:
-                out[q] = ((total + 1) // 2, *bracket(self.marks[q], (total + 1) // 2))
+                out[q] = ((total + 1) // 2, *Marks.together(self.marks[q]).bracket((total + 1) // 2))
         return out
 
     def row(self, key: str | None) -> tuple:
@@ -204,7 +301,7 @@ class Merged:
 
 def _merge(key: tuple, table: pa.Table) -> Iterator[tuple]:
     merged = None
-    for row in table.select([c for c in NAMES if c != SPAN]).to_pylist():
+    for row in (r for b in table.to_batches() for r in _rows(b)):
         if merged is None:
             merged = Merged(row)
         else:
@@ -222,11 +319,11 @@ _FIELD = {"chron": "chmed", "dchron": "dchmed", "meas": "msmed", "dmeas": "dmsme
 
 
 def merged(kept: DataFrame) -> DataFrame:
-    """SUMMARY of every series from its states, and __open: brackets of the medians that the states don't settle, which are missing. States of one
+    """SUMMARY of every series from its states, combined or not, and __open: brackets of the medians that the states don't settle, which are missing. States of one
     series must not overlap in time, but for readings of one instant that a span index has parted."""
     opened = ", ".join(f"{a}:{b}" for a, b in (x.split() for x in _OPEN.split(", ")))
     order = ["first_chron", "last_chron", SPAN]
-    return per_group(kept, ["series_id"], order, NAMES[1:], _merge, f"{SUMMARY}, __open array<struct<{opened}>>")
+    return per_group(kept, ["series_id"], order, [c for c in kept.columns if c != "series_id"], _merge, f"{SUMMARY}, __open array<struct<{opened}>>")
 
 
 def settled(told: DataFrame, readings: DataFrame, chunk=AUTO) -> DataFrame:

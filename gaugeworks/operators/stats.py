@@ -34,12 +34,12 @@ def stats(df: DataFrame, chunk=AUTO) -> DataFrame:
     Readings are scanned once. Of a series that is cut the states only bracket the medians; its readings are then scanned once more.
     """
     spans = resolved(df, chunk)
-    told = states_.merged(states_.states(df, spans))
+    told = states_.merged(states_.states(df, spans) if whole(spans) else states_.brief(df, spans))
     return (told if whole(spans) else states_.settled(told, df, spans)).select("series_id", *FIELDS)
 
 
 def from_states(kept: DataFrame, readings: DataFrame | None = None, chunk=AUTO) -> DataFrame:
     """The same from ``states.states``, also of several batches. Without ``readings`` a median that the states only bracket is missing: none is, where a series' states
-    hold at most ``states.MARKS`` readings each."""
-    told = states_.merged(kept)
+    hold at most ``states.MARKS`` readings each; all that a series' states hold is then in one task."""
+    told = states_.merged(kept if readings is None else states_.combined(kept))
     return (told.drop("__open") if readings is None else states_.settled(told, readings, chunk)).select("series_id", *FIELDS)

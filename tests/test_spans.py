@@ -102,6 +102,36 @@ def test_brackets_hold():
             assert states.bracket([(np.sort(p), len(p)) for p in parts], rank) == (every[rank - 1],) * 2
 
 
+def test_marks_of_many_states_stay_few(monkeypatch):
+    """However many states of a series a task has, it passes on so many marks of each quantity; brackets still hold, and a lone state is left as it is."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(states, "TOGETHER", 50)
+    monkeypatch.setattr(states, "HELD", 400)
+    r = np.random.default_rng(7)
+    table = lambda n, start: pa.table({"chron_ns": np.sort(r.integers(start, start + 10**6, n)), "meas": np.round(r.normal(size=n), 2)})
+    spans_ = [table(int(r.integers(1, 90)), i * 10**6) for i in range(200)]
+    rows = [row for i, t in enumerate(spans_) for row in states.state_of(("s", i), t)]
+    lone = next(states.state_of(("t", None), table(300, 0)))
+    split = [[*states._combined(iter([*part, *extra]))] for part, extra in ((rows[::2], [lone]), (rows[1::2], []))]
+    assert split[0][-1] == (*lone, *(None,) * 8)
+    names = [x.split()[0] for x in states.COMBINED.replace("decimal(38,0)", "d").split(", ")]
+    told = sorted((dict(zip(names, row)) for part in split for row in part if row[0] == "s"), key=lambda x: x["first_chron"])
+    assert len(told) == 200
+    for q in states.MEDIANS:
+        assert sum(0 if x[f"{q}_marks"] is None else len(x[f"{q}_marks"]) for x in told) <= 2 * 50
+    merged = states.Merged(told[0])
+    for row in told[1:]:
+        merged.then(states.Merged(row))
+    chron, meas = (np.concatenate([t.column(c).to_numpy() for t in spans_]) for c in ("chron_ns", "meas"))
+    want = {"chron": chron, "dchron": np.diff(chron), "meas": meas, "dmeas": np.diff(meas)}
+    for q, (rank, low, high) in merged.medians().items():
+        every = np.sort(want[q])
+        assert rank == (len(every) + 1) // 2 and low <= every[rank - 1] <= high
+        assert ((every >= low) & (every <= high)).mean() < 0.5
+
+
 def test_missed_bracket(spark, monkeypatch):
     """A sketch that is far off: ranks below and above its brackets are found all the same."""
     df = from_rows(spark, [(ORIGIN + i, float(i % 500)) for i in range(1000)]).unionByName(from_rows(spark, [(ORIGIN + i, float(i)) for i in range(9)], "t"))
