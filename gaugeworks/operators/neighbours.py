@@ -52,19 +52,19 @@ def nearest(df: DataFrame, value: Column, name: str, after: bool = False, own: b
     return around(df, [Look(name, value, after, own)], chunk, rank)
 
 
-def ranked(df: DataFrame, chunk=AUTO, name: str = "place") -> DataFrame:
-    """``df`` with each row's place in its series, from 0."""
-    spans = resolved(df, chunk)
+def ranked(df: DataFrame, chunk=AUTO, name: str = "place", of: Column | None = None) -> DataFrame:
+    """``df`` with each row's place in its series, from 0: how many rows, or those where ``of`` isn't null, come before."""
+    spans, of = resolved(df, chunk), F.lit(1) if of is None else of
     if whole(spans):
-        return df.withColumn(name, _numbered("series_id"))
+        return df.withColumn(name, _numbered(of, "series_id"))
     before = F.sum("__n").over(Window.partitionBy("series_id").orderBy(SPAN).rowsBetween(Window.unboundedPreceding, -1))
-    sizes = only_cut(df, spans).groupBy("series_id", SPAN).agg(F.count("*").alias("__n")).select("series_id", SPAN, F.coalesce(before, F.lit(0)).alias("__before"))
-    met = joined(assigned(df, spans).withColumn("__i", _numbered("series_id", SPAN)), sizes, spans)
+    sizes = only_cut(df, spans).groupBy("series_id", SPAN).agg(F.count(of).alias("__n")).select("series_id", SPAN, F.coalesce(before, F.lit(0)).alias("__before"))
+    met = joined(assigned(df, spans).withColumn("__i", _numbered(of, "series_id", SPAN)), sizes, spans)
     return met.select(*df.columns, (F.coalesce("__before", F.lit(0)) + F.col("__i")).alias(name))
 
 
-def _numbered(*by: str) -> Column:
-    return F.row_number().over(Window.partitionBy(*by).orderBy("chron_ns", "seq")) - F.lit(1).cast("long")
+def _numbered(of: Column, *by: str) -> Column:
+    return F.count(of).over(Window.partitionBy(*by).orderBy("chron_ns", "seq").rowsBetween(Window.unboundedPreceding, -1))
 
 
 def deltas(df: DataFrame, chunk=AUTO) -> DataFrame:

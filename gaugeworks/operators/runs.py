@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Rows of a result after which a batch is passed on.
-PASSED_ROWS = 10_000
+#: Rows of a result after which a batch is passed on, and rows of small groups that are looked at together.
+PASSED_ROWS, GROUPED_ROWS = 10_000, 100_000
 
 
 def _ends(column: pa.Array) -> np.ndarray:
@@ -36,6 +36,30 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple
         yield key, pa.Table.from_batches(held)
 
 
+def several(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The same groups, whole, but so many at a time that small ones don't cost a call each."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size < GROUPED_ROWS:
+            continue
+        table = pa.Table.from_batches(held)
+        ends = (_ends(table.column(i).combine_chunks()) for i in range(keys))
+        last = max(int(e[-2]) if len(e) > 1 else 0 for e in ends)
+        if last:
+            yield table.slice(0, last)
+            held, size = table.slice(last).to_batches(), len(table) - last
+    if size:
+        yield pa.Table.from_batches(held)
+
+
+def numbered(table: pa.Table, keys: int) -> np.ndarray:
+    """Which of the groups, from 0, each row belongs to."""
+    ends = np.unique(np.concatenate([_ends(table.column(i).combine_chunks()) for i in range(keys)]))
+    return np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+
+
 def per_group(df: DataFrame, by: list[str], order: list[str], columns: list[str], make: Callable[[tuple, pa.Table], Iterator[tuple] | pa.Table], schema: str | StructType) -> DataFrame:
     """What ``make`` returns for every group of ``by``, whose rows it gets in ``order``: rows as tuples, or a table. A group is held
     by one task, one group at a time."""
