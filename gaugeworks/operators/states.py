@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions import nav
 from gaugeworks.operators.neighbours import deltas
 from gaugeworks.operators.runs import arrow_of, groups, passed_on, per_group, sorted_groups
-from gaugeworks.operators.spans import AUTO, SPAN, assigned, resolved
+from gaugeworks.operators.spans import AUTO, SPAN, Every, assigned, resolved
 
 #: Marks of a quantity in one state. A median of several states lies between marks that have about 1 / MARKS of the readings between them.
 MARKS = 1_024
@@ -240,6 +240,7 @@ class Merged:
         self.ms, self.dm, self.dc = (Moments(*(row[f"{k}_{f}"] for f in ("n", "mean", "m2", "low", "low_at", "high", "high_at"))) for k in ("ms", "dm", "dc"))
         self.marks = {q: [self._marks(row, q)] if row[f"{q}_count"] else [] for q in MEDIANS}
         self.middles = {q: row[f"{q}_middle"] for q in MEDIANS}  # of one state these are the medians
+        self.seams = {"dchron": [], "dmeas": []}  # steps from one state to the next
 
     @staticmethod
     def _marks(row: dict, q: str) -> Marks:
@@ -256,9 +257,11 @@ class Merged:
         self.offsets += b.offsets + b.n * (b.first[0] - self.first[0])
         self.dc = self.dc.then(Moments(1, float(wait), 0.0, wait, at, wait, at)).then(b.dc)
         self.marks["dchron"].append(Marks(np.array([wait]), np.array([1])))
+        self.seams["dchron"].append(wait)
         if seam is not None and seam == seam:
             self.dm = self.dm.then(Moments(1, seam, 0.0, seam, at, seam, at))
             self.marks["dmeas"].append(Marks(np.array([seam]), np.array([1])))
+            self.seams["dmeas"].append(seam)
         self.dm, self.ms = self.dm.then(b.dm), self.ms.then(b.ms)
         self.torn += b.torn + (seam is not None and seam != seam)
         self.n, self.missing, self.broken, self.last = self.n + b.n, self.missing + b.missing, self.broken + b.broken, b.last
@@ -286,7 +289,7 @@ class Merged:
     def row(self, key: str | None) -> tuple:
         told = self.medians()
         settled = {q: x[1] for q, x in told.items() if x[1] == x[2]}
-        open_ = [(q, x[0], *((*x[1:], None, None) if "chron" in q else (None, None, *x[1:]))) for q, x in told.items() if x[1] != x[2]]
+        open_ = [(q, x[0], *((*x[1:], None, None) if "chron" in q else (None, None, *x[1:])), *((self.seams.get(q), None) if "chron" in q else (None, self.seams.get(q)))) for q, x in told.items() if x[1] != x[2]]
         nan = float("nan")
         number = lambda x, torn: nan if torn else x
         ms, dm, dc = self.ms, self.dm, self.dc
@@ -309,7 +312,7 @@ def _merge(key: tuple, table: pa.Table) -> Iterator[tuple]:
     yield merged.row(*key)
 
 
-_OPEN = "which string, rank long, low_l long, high_l long, low_d double, high_d double"
+_OPEN = "which string, rank long, low_l long, high_l long, low_d double, high_d double, seams_l array<long>, seams_d array<double>"
 SUMMARY = (
     "series_id string, len long, chmin long, val_at_chmin double, chmax long, val_at_chmax double, chmed long, chmean long, ch_first_usable long, val_at_first_usable double, "
     "msmin double, ch_at_msmin long, msmax double, ch_at_msmax long, msmean double, msmed double, msstd double, dchmin long, ch_at_dchmin long, dchmax long, ch_at_dchmax long, dchmean double, dchmed double, dchstd double, "
@@ -326,14 +329,31 @@ def merged(kept: DataFrame) -> DataFrame:
     return per_group(kept, ["series_id"], order, [c for c in kept.columns if c != "series_id"], _merge, f"{SUMMARY}, __open array<struct<{opened}>>")
 
 
-def settled(told: DataFrame, readings: DataFrame, chunk=AUTO) -> DataFrame:
-    """``merged``'s rows with the open medians found among ``readings``: those below a bracket are counted, those in it counted by value."""
-    asked = told.select(F.col("series_id").alias("__id"), F.inline("__open"))  # at most four rows for each series of several states
-    lacking = asked.select(F.col("__id").alias("__lacking")).distinct()
-    rows = deltas(readings.join(lacking, F.col("series_id").eqNullSafe(F.col("__lacking")), "left_semi"), resolved(readings, chunk))
+def settled(told: DataFrame, readings: DataFrame, chunk=AUTO, same: bool = False) -> DataFrame:
+    """``merged``'s rows with the open medians found among ``readings``: those below a bracket are counted, those in it counted by value.
+
+    same: the states are those of ``readings`` cut by ``chunk``. Their exchange then serves again, and steps between spans are known from the merge.
+    """
+    spans = resolved(readings, chunk)
+    small = F.broadcast if same and not isinstance(spans, Every) else lambda df: df  # one series of each SPAN_ROWS readings at most is cut
+    open_ = told.select(F.col("series_id").alias("__id"), F.inline("__open"))  # at most four rows for each series of several states
+    asked = small(open_.drop("seams_l", "seams_d"))
+    lacking = small(open_.select(F.col("__id").alias("__lacking")).distinct())
+    wanted = lambda df: df.join(lacking, F.col("series_id").eqNullSafe(F.col("__lacking")), "left_semi")
+    if same:
+        before = F.lag(F.struct("chron_ns", "meas")).over(Window.partitionBy("series_id", SPAN).orderBy("chron_ns", "seq"))
+        rows = wanted(_spans(readings, spans)).withColumn("__before", before)
+        step = F.when(F.col("__before").isNotNull(), nav.sub("meas", F.col("__before.meas")))
+        rows = rows.select("series_id", "chron_ns", "meas", (F.col("chron_ns") - F.col("__before.chron_ns")).alias("dchron_ns"), step.alias("dmeas"))
+    else:
+        rows = deltas(wanted(readings), spans)
     none_l, none_d = F.lit(None).cast("long"), F.lit(None).cast("double")
     of = lambda q, c: F.struct(F.lit(q).alias("which_"), F.col(c).alias("l") if "chron" in q else none_l.alias("l"), none_d.alias("d") if "chron" in q else F.when(nav.usable(c), F.col(c)).alias("d"))
-    each = rows.select("series_id", F.inline(F.array(*(of(q, c) for q, c in zip(MEDIANS, ("chron_ns", "dchron_ns", "meas", "dmeas")))))).filter("l is not null or d is not null")
+    each = rows.select("series_id", F.inline(F.array(*(of(q, c) for q, c in zip(MEDIANS, ("chron_ns", "dchron_ns", "meas", "dmeas"))))))
+    if same:
+        seam = lambda c, l, d: open_.select(F.col("__id").alias("series_id"), F.col("which").alias("which_"), F.explode(c).alias("__v")).select("series_id", "which_", l.alias("l"), d.alias("d"))  # noqa: E731, E741
+        each = each.unionByName(seam("seams_l", F.col("__v"), none_d)).unionByName(seam("seams_d", none_l, F.col("__v")))
+    each = each.filter("l is not null or d is not null")
     met = each.join(asked, F.col("series_id").eqNullSafe(F.col("__id")) & (F.col("which") == F.col("which_"))).filter("l <= high_l or d <= high_d")
     inside = F.coalesce(F.col("l") >= F.col("low_l"), F.col("d") >= F.col("low_d"))
     counts = met.select("series_id", "which", "rank", F.when(inside, F.col("l")).alias("l"), F.when(inside, F.col("d")).alias("d")).groupBy("series_id", "which", "rank", "l", "d").agg(F.count("*").alias("c"))

@@ -35,7 +35,7 @@ def stats(df: DataFrame, chunk=AUTO) -> DataFrame:
     """
     spans = resolved(df, chunk)
     told = states_.merged(states_.states(df, spans) if whole(spans) else states_.brief(df, spans))
-    return (told if whole(spans) else states_.settled(told, df, spans)).select("series_id", *FIELDS)
+    return (told if whole(spans) else states_.settled(told, df, spans, same=True)).select("series_id", *FIELDS)
 
 
 def from_states(kept: DataFrame, readings: DataFrame | None = None, chunk=AUTO) -> DataFrame:

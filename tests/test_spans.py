@@ -102,6 +102,20 @@ def test_brackets_hold():
             assert states.bracket([(np.sort(p), len(p)) for p in parts], rank) == (every[rank - 1],) * 2
 
 
+def test_second_look_takes_the_spans_of_the_first(spark):
+    """Steps from span to span, which no span holds, are counted with those inside spans."""
+    r = random.Random(10)
+    df = from_rows(spark, [(a + r.randrange(10**12), m) for a, m in series(spark, 8)]).unionByName(from_rows(spark, series(spark, 9, 40, gaps=False), "other"))
+    size = cut(df, 60)
+    thin = lambda q: F.expr(f"if({q}_count > 20, transform(sequence(0, 19), i -> {q}_marks[cast(i * ({q}_count - 1) div 19 as int)]), {q}_marks)").alias(f"{q}_marks")
+    few = states.states(df, size)
+    told = states.merged(states.combined(few.select(*(thin(c[:-6]) if c.endswith("_marks") else c for c in few.columns))))
+    open_ = told.filter("series_id = 's'").first()["__open"]
+    assert {"chron", "dchron", "meas", "dmeas"} == {x["which"] for x in open_} and all(len(x["seams_l"] or x["seams_d"]) > 9 for x in open_ if x["which"].startswith("d"))
+    want = {x["series_id"]: rounded(x) for x in stats(df, None).collect()}
+    assert {x["series_id"]: rounded(x) for x in states.settled(told, df, size, same=True).select("series_id", *FIELDS).collect()} == want
+
+
 def test_marks_of_many_states_stay_few(monkeypatch):
     """However many states of a series a task has, it passes on so many marks of each quantity; brackets still hold, and a lone state is left as it is."""
     import numpy as np
