@@ -77,3 +77,62 @@ def test_shares_and_values_are_of_64_bits():
     p, q = divergence._share(f"{n}::BIGINT", f"{n}::BIGINT", "1::BIGINT"), divergence._share("0::BIGINT", f"{n}::BIGINT", "1::BIGINT")
     told = divergence.duckdb.sql(f"SELECT p, q, f, typeof(p), typeof(f) FROM (SELECT p, q, {divergence._value('p', 'q')} AS f FROM (SELECT {p} AS p, {q} AS q))").fetchall()
     assert told == [(10**9 + 1, 1, 10**18, "BIGINT", "BIGINT")]
+
+
+def counted(rows):
+    """Occurrences and rows by language, source and term, by a loop."""
+    n, docs = Counter(), Counter()
+    for lang, source, text in rows:
+        terms = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        n.update((lang, source, t) for t in terms)
+        docs.update((lang, source, t) for t in set(terms))
+    return {k: (n[k], docs[k]) for k in n}
+
+
+def listed(counts):
+    terms = counts.terms.to_pylist()
+    return {(*counts.groups[g], terms[t]): (n, d) for t, g, n, d in zip(counts.term.tolist(), counts.group.tolist(), counts.n.tolist(), counts.docs.tolist())}
+
+
+def some_rows(seed, many=200):
+    r = random.Random(seed)
+    words = ["the", "The", "THE", "of", "é", "É", "größe", "x9y", "日本", "rare", "a-b", " ", "1", "\x00", "@[`{\x7f"]
+    return [(r.choice(["en", "", "d\n"]), r.choice(["x", "", "é y", "z"]), r.choice([" ", ""]).join(r.choice(words) for _ in range(r.choice([0, 1, 1, 9, 60])))) for _ in range(many)]
+
+
+@pytest.mark.parametrize("cut, find", [(1_000_000, 400_000), (4, 10), (1, 1)])
+def test_terms_of_parts_and_pieces(monkeypatch, cut, find):
+    """No term crosses from one text into the next, and a text looked at in pieces is one row."""
+    monkeypatch.setattr(divergence, "CUT_CHARS", cut)
+    monkeypatch.setattr(divergence, "FIND_CHARS", find)
+    rows = some_rows(cut)
+    parts = [divergence._counted(*map(list, zip(*rows[at : at + 70]))) for at in range(0, len(rows), 70)]
+    merged = divergence._merged(parts)
+    assert listed(merged) == counted(rows) and len(merged.n) == len(counted(rows)) > 50
+    some = divergence.np.arange(0, len(merged.n), 3)
+    told = divergence._unblocked(divergence._block(merged, some))
+    assert len(told.n) == len(some) and listed(told).items() <= counted(rows).items()
+    assert listed(divergence._merged([told, told])) == {k: (2 * n, 2 * d) for k, (n, d) in listed(told).items()}
+
+
+def test_rows_without_terms():
+    none = divergence._counted(["en", "de"], ["x", "y"], ["", "1 2"])
+    assert len(none.n) == 0 and len(divergence._merged([none, none]).n) == 0
+
+
+def test_order():
+    np = divergence.np
+    for key in ([], [3, 1, 3, 0], [1 << 62, 5, 1 << 62, 0], [0]):
+        key = np.array(key, np.int64)
+        assert divergence._order(key).tolist() == np.argsort(key, kind="stable").tolist()
+
+
+def test_counts_travel_as_blocks(spark):
+    """A task passes on a row for each shard, not for each count: rows of counts cost more than the counting did."""
+    rows = [("en", s, " ".join(f"word{chr(97 + i)}{chr(97 + j)}" for j in range(26))) for i in range(26) for s in "xyz"]
+    told = divergence.term_counts(spark.createDataFrame(rows, "lang string, source string, text string").coalesce(1), 4).collect()
+    assert sorted(r.shard for r in told) == [0, 1, 2, 3]
+    parts = [divergence._unblocked(r.block) for r in told]
+    assert listed(divergence._merged(parts)) == counted(rows) and len(counted(rows)) == 3 * 26 * 26
+    shards = [{k[::2] for k in listed(p)} for p in parts]
+    assert sum(map(len, shards)) == len(set().union(*shards))  # all counts of a term in one shard
